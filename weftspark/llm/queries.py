@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lz_fingerprint, mixing, near_dedup, piece_tokens, ppm_language, topk, warc
+from . import license_scan, lz_fingerprint, mixing, near_dedup, piece_tokens, ppm_language, suffix_dedup, topk, warc
 from .common import crc_of_id, read_table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
