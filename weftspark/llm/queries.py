@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lz_fingerprint, mixing, near_dedup, piece_tokens, ppm_language, suffix_dedup, topk, warc
+from . import license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, topk, warc
 from .common import crc_of_id, read_table
 
 
+def op1_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_of_id() % 7 == 2
+    found = ngram_model.score(docs, ngram_model.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -154,7 +154,7 @@ def normalise(archives: DataFrame) -> DataFrame:
             done = [one(p.as_py()) for p in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], names=["path", "index_path", "records"])
 
-    return kept(archives.repartition("path").mapInArrow(run, "path string, index_path string, records bigint"), "members")
+    return kept(archives.repartition(archives.count() or 1).mapInArrow(run, "path string, index_path string, records bigint"), "members")
 
 
 def _parsed(member: bytes) -> tuple:
@@ -189,7 +189,7 @@ def read_members(members: DataFrame) -> DataFrame:
                 if found := list(rows(path, index)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    return members.select("path", "index_path").repartition("path").mapInArrow(run, RECORDS)
+    return members.select("path", "index_path").repartition(members.count() or 1).mapInArrow(run, RECORDS)
 
 
 def archive(pages: DataFrame, label: str = "warc") -> DataFrame:
