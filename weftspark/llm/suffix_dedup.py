@@ -37,9 +37,9 @@ KGRAM = 32
 #: Different contexts of one anchor that one task sorts; more are dealt out by window.
 HOT = 20_000
 #: Bytes of contexts that one task sorts, about.
-SORTED_BYTES = 3 << 20
+SORTED_BYTES = 1 << 20
 #: Windows of a long text that are looked at together, and bytes of text whose contexts a task merges at once.
-CHUNK, MERGED_BYTES = 4 << 20, 48 << 20
+CHUNK, MERGED_BYTES = 1 << 20, 24 << 20
 _BASE = 0xD6E8FEB86659FD93
 _PLACE = 34
 _powers: list[np.ndarray] = []
