@@ -5,7 +5,7 @@ each phrase is the longest one met before plus one piece, and joins the dictiona
 minima of two fingerprints estimates how much of their dictionaries they share, and so how well one compresses by the other.
 
 Each document is compared to an edited copy, whose last quarter of characters is replaced by the first as many of the
-next document, and to the next document; next goes by ascending id (then text), and the first follows the last. Null
+next document, and to the next document; next goes by ascending id (then a hash of the text), and the first follows the last. Null
 text is empty; an empty text has no phrases, its fingerprint is all zeros and equal to that of other empty texts only.
 Null ids come first. Rows that repeat an id are documents of their own. A table of one row is its own next document.
 """
@@ -121,7 +121,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The fingerprint of each document, of its edited text, and their likeness."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))  # not the text: its sample would go to the driver
+    rows = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash").drop("text_hash")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, first = TaskContext.get().partitionId(), None, None
