@@ -5,11 +5,412 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import channels, names
+from .operators import activity, catalog, raster, sets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Inputs: a file listing from part, texels and planes from embeddings, packages from orders and customer, events as they are.
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = """concat('/lib/', case when p_size % 9 = 0 then 'B' else 'a' end, cast(p_partkey div 4 as string),
+      case p_size % 4 when 0 then '_' when 1 then '-' when 2 then ' ' else '__' end,
+      case p_partkey % 4 when 0 then 'BaseColor' when 1 then 'ROUGHNESS' when 2 then 'metallic' else 'Normal' end,
+      case p_size % 5 when 0 then '.png' when 1 then '.TGA' when 2 then '.jpg' when 3 then '.jpeg' else '.bmp' end)"""
+    return table(spark, sf_dir, "part").select(F.expr(path).alias("path"), F.col("p_partkey").alias("ord"))
+
+
+_LISTING = """listing as (select concat('/lib/', case when p_size % 9 = 0 then 'B' else 'a' end, cast(p_partkey // 4 as varchar),
+      case p_size % 4 when 0 then '_' when 1 then '-' when 2 then ' ' else '__' end,
+      case p_partkey % 4 when 0 then 'BaseColor' when 1 then 'ROUGHNESS' when 2 then 'metallic' else 'Normal' end,
+      case p_size % 5 when 0 then '.png' when 1 then '.TGA' when 2 then '.jpg' when 3 then '.jpeg' else '.bmp' end) as path, p_partkey as ord from part)"""
+_FILES = _LISTING + """, files as (select *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)[.][^.]*$', '\\1') as stem from listing
+  where lower(regexp_extract(path, '[.]([^./]*)$', 1)) in ('png', 'tga', 'jpg', 'jpeg'))"""
+_SETS = _FILES + """, kinds as (select *, regexp_extract(lower(stem), '(basecolor|roughness|metallic|normal)$', 1) as kind from files),
+  named as (select *, regexp_replace(substr(stem, 1, length(stem) - length(kind)), '[_ -]+$', '') as prefix from kinds where kind <> ''),
+  sets as (select prefix, max(path) filter (kind = 'basecolor') as basecolor, max(path) filter (kind = 'roughness') as roughness,
+    max(path) filter (kind = 'metallic') as metallic, max(path) filter (kind = 'normal') as normal from named group by prefix
+    having basecolor is not null and roughness is not null and metallic is not null and normal is not null)"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((F.col("e").cast("double") + 0.5) * 255))).cast("int")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e")).select("vec_id", "p", v.alias("v"))
+
+
+def texels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One 4 x 4 raster for each vector, four vectors to a set: base colour, roughness, metallic, normal."""
+    pixel = F.floor(F.col("i") / 4)
+    value = lambda k: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((F.get("embedding", F.col("i") * 4 + k).cast("double") + 0.5) * 255))).cast("int")
+    rows = table(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return rows.select(F.floor(F.col("vec_id") / 4).alias("texture_id"), (F.col("vec_id") % 4).alias("part"), pixel.cast("int").alias("y"), (F.col("i") % 4).cast("int").alias("x"), *[value(k).alias(c) for k, c in enumerate("rgba")])
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).select(F.col("vec_id").alias("texture_id"), F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), "v")
+
+
+_SAMPLES = "samples as (select vec_id, i - 1 as p, least(255, greatest(0, floor((embedding[i]::double + 0.5) * 255)))::int as v from embeddings, (select unnest(range(1, 65)) as i))"
+_TEXELS = _SAMPLES + """, texels as (select vec_id // 4 as texture_id, vec_id % 4 as part, (p // 16)::int as y, (p // 4 % 4)::int as x,
+  max(v) filter (p % 4 = 0) as r, max(v) filter (p % 4 = 1) as g, max(v) filter (p % 4 = 2) as b, max(v) filter (p % 4 = 3) as a from samples group by all)"""
+_PLANES = _SAMPLES + ", planes as (select vec_id as texture_id, (p // 8)::int as y, (p % 8)::int as x, v from samples)"
+_PACKED = _TEXELS + """, packed as (select n.texture_id, n.y, n.x, 255 - (2126 * s.r + 7152 * s.g + 722 * s.b) // 10000 as pr, n.g as pg,
+  (2126 * m.r + 7152 * m.g + 722 * m.b) // 10000 as pb, n.r as pa from texels n join texels s using (texture_id, y, x) join texels m using (texture_id, y, x)
+  where n.part = 3 and s.part = 1 and m.part = 2)"""
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = texels(spark, sf_dir)
+    return raster.pack_normal(t.where("part = 3"), t.where("part = 1"), t.where("part = 2"))
+
+
+@query(f"with {_SETS} select * from sets")
+def texture_sets(spark, sf_dir):
+    return sets.find_sets(listing(spark, sf_dir))
+
+
+@query(f"with {_FILES} select path from files")
+def image_filter(spark, sf_dir):
+    return sets.image_files(listing(spark, sf_dir)).select("path")
+
+
+def _numbered(spark, sf_dir):
+    path = "concat('/mips/', p_partkey div 8, '/p', p_size % 7, case p_partkey % 4 when 0 then '.jpeg' when 1 then '.tga' when 2 then '.png' else '.txt' end)"
+    return table(spark, sf_dir, "part").select(F.expr(path).alias("path"))
+
+
+@query("""with f as (select '/mips/' || (p_partkey // 8) as dir, p_size % 7 as i, p_partkey % 4 as e from part where p_partkey % 4 < 3),
+ b as (select dir, i, case max(e) when 2 then '.png' when 1 then '.tga' else '.jpeg' end as ext from f group by dir, i)
+ select dir, i::int as i, dir || '/p' || i || ext as path, (row_number() over (partition by dir order by i) - 1)::int as level from b""")
+def mip_sequence(spark, sf_dir):
+    return sets.numbered_sequence(_numbered(spark, sf_dir))
+
+
+@query(f"with {_TEXELS} select texture_id, y, x, r, g, b, 0 as a from texels where part = 0")
+def merge_base_color(spark, sf_dir):
+    return raster.merge_base_color(texels(spark, sf_dir).where("part = 0"), "keep")
+
+
+@query(f"with {_PACKED} select * from packed")
+def merge_packed_normal(spark, sf_dir):
+    return _packed(spark, sf_dir)
+
+
+@query(f"with {_PACKED}, {_SETS} select s.prefix, k.* from packed k join sets s on k.texture_id = regexp_extract(s.prefix, '([0-9]+)$', 1)::bigint")
+def merge_sets(spark, sf_dir):
+    """Flagship: packed normal maps of the complete texture sets."""
+    found = sets.find_sets(listing(spark, sf_dir)).select("prefix", F.regexp_extract("prefix", "([0-9]+)$", 1).cast("bigint").alias("texture_id"))
+    return _packed(spark, sf_dir).join(found, "texture_id")
+
+
+@query(f"with {_TEXELS} select texture_id, y, x, r, g, b, a as alpha from texels where part = 0")
+def split_color(spark, sf_dir):
+    return raster.split_color(texels(spark, sf_dir).where("part = 0"))
+
+
+@query(f"with {_PACKED} select texture_id, y, x, 255 - pr as roughness, pb as metallic, pa as normal_r, pg as normal_g, 255 as normal_b, 255 as normal_a from packed")
+def split_packed(spark, sf_dir):
+    return raster.split_packed(_packed(spark, sf_dir).select("texture_id", "y", "x", F.col("pr").alias("r"), F.col("pg").alias("g"), F.col("pb").alias("b"), F.col("pa").alias("a")))
+
+
+def _packed_names(spark, sf_dir):
+    end = "case p_size % 6 when 0 then '_c' when 1 then '_n' when 2 then '_n_c' when 3 then '_c_n' when 4 then '_C_c' else '' end"
+    return table(spark, sf_dir, "part").select(F.expr(f"concat('/in/t', p_partkey div 3, {end}, '.dds')").alias("path"), F.col("p_partkey").alias("ord"))
+
+
+_NAMES = """names as (select '/in/t' || (p_partkey // 3) || case p_size % 6 when 0 then '_c' when 1 then '_n' when 2 then '_n_c' when 3 then '_c_n' when 4 then '_C_c' else '' end || '.dds' as path, p_partkey as ord from part),
+ stems as (select *, regexp_extract(path, '([^/]*)[.]dds$', 1) as stem from names),
+ outs as (select path, ord, regexp_replace(regexp_replace(regexp_replace(regexp_replace(stem, '(_c)+$', ''), '(_C)+$', ''), '(_n)+$', ''), '(_N)+$', '') as prefix,
+   unnest(case when lower(stem) like '%\\_c' escape '\\' then ['BaseColor', 'Alpha'] when lower(stem) like '%\\_n' escape '\\' then ['Roughness', 'Metallic', 'Normal'] else [] end) as channel from stems)"""
+
+
+@query(f"with {_NAMES} select path, channel, prefix || '_' || channel || '.png' as name from outs")
+def split_names(spark, sf_dir):
+    return sets.split_outputs(_packed_names(spark, sf_dir))
+
+
+@query(f"with {_NAMES}, o as (select path, ord, prefix || '_' || channel || '.png' as name from outs) select name, arg_max(path, ord) as path, count(*) as inputs from o group by name")
+def output_collisions(spark, sf_dir):
+    files = _packed_names(spark, sf_dir)
+    return sets.collisions(sets.split_outputs(files))
+
+
+@query("""with f as (select '/in/' || (p_partkey % 300) || case p_size % 3 when 0 then '.v2' when 1 then '' else '.a.b' end || '.png' as path from part),
+ s as (select path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)[.][^.]*$', '\\1') as stem from f) select path, regexp_replace(stem, '^(.+)[.][^.]*$', '\\1') || '.dds' as name from s""")
+def convert_names(spark, sf_dir):
+    path = F.expr("concat('/in/', p_partkey % 300, case p_size % 3 when 0 then '.v2' when 1 then '' else '.a.b' end, '.png')")
+    return table(spark, sf_dir, "part").select(path.alias("path")).withColumn("name", names.convert_name(F.col("path")))
+
+
+@query(f"with {_TEXELS} select texture_id, part, y, x, 0 as black, 255 as white, a as kept from texels")
+def alpha_override(spark, sf_dir):
+    mode = lambda m: channels.override_alpha(F.col("a"), m)
+    return texels(spark, sf_dir).select("texture_id", "part", "y", "x", mode("black").alias("black"), mode("white").alias("white"), mode("keep").alias("kept"))
+
+
+@query(f"with {_TEXELS} select texture_id, part, y, x, (2126 * r + 7152 * g + 722 * b) // 10000 as v from texels")
+def luma(spark, sf_dir):
+    return texels(spark, sf_dir).select("texture_id", "part", "y", "x", channels.luma(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+
+
+def _resample_sql(n: int, m: int) -> str:
+    return f"""with {_PLANES}, w as (select o.o, i.i, 2 * greatest({n}, {m}) - abs((2 * i.i + 1) * {m} - (2 * o.o + 1) * {n}) as w from (select unnest(range({m})) as o) o, (select unnest(range({n})) as i) i
+      where 2 * greatest({n}, {m}) - abs((2 * i.i + 1) * {m} - (2 * o.o + 1) * {n}) > 0)
+      select texture_id, wy.o::int as y, wx.o::int as x, ((2 * sum(wx.w * wy.w * v) + sum(wx.w * wy.w)) // (2 * sum(wx.w * wy.w)))::int as v
+      from planes join w wx on wx.i = planes.x join w wy on wy.i = planes.y group by texture_id, wy.o, wx.o"""
+
+
+@query(_resample_sql(8, 5))
+def resample_down(spark, sf_dir):
+    return raster.resample(planes(spark, sf_dir), 8, 5)
+
+
+@query(_resample_sql(8, 16))
+def resample_up(spark, sf_dir):
+    return raster.resample(planes(spark, sf_dir), 8, 16)
+
+
+@query("""with l as (select vec_id // 4 as texture_id, (vec_id % 4)::int as level, case when vec_id // 4 % 7 = 3 and vec_id % 4 = 2 then 3 else greatest(1, 8 >> (vec_id % 4)::int) end as width, greatest(1, 8 >> (vec_id % 4)::int) as height from embeddings),
+ e as (select *, greatest(1, first_value(width) over w >> level) as expected_width, greatest(1, first_value(height) over w >> level) as expected_height from l window w as (partition by texture_id order by level))
+ select *, case when width <> expected_width or height <> expected_height then 'level ' || level || ': expected ' || expected_width || 'x' || expected_height || ', got ' || width || 'x' || height end as error from e""")
+def mip_validate(spark, sf_dir):
+    size = "greatest(1, shiftright(8, cast(vec_id % 4 as int)))"
+    levels = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 4 as texture_id", "cast(vec_id % 4 as int) as level", f"case when vec_id div 4 % 7 = 3 and vec_id % 4 = 2 then 3 else {size} end as width", f"{size} as height")
+    return raster.mip_errors(levels)
+
+
+@query("select p_partkey, ((p_size + 3) // 4 * ((p_partkey % 50 + 4) // 4) * 16)::bigint as bytes from part")
+def bc3_size(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", channels.bc3_size(F.col("p_size"), F.col("p_partkey") % 50 + 1).alias("bytes"))
+
+
+def _le(x: str) -> str:
+    digits = f"lpad(printf('%X', ({x})::bigint), 8, '0')"
+    return f"substr({digits}, 7, 2) || substr({digits}, 5, 2) || substr({digits}, 3, 2) || substr({digits}, 1, 2)"
+
+
+_HEADER = " || ".join(
+    ["'44445320'", _le("124"), _le("case when bc3 then 659463 else 135183 end"), _le("h"), _le("w"), _le("case when bc3 then (w + 3) // 4 * ((h + 3) // 4) * 16 else w * 4 end"), _le("0"), _le("n"), f"repeat('00', 44)", _le("32")]
+    + [_le("case when bc3 then 4 else 65 end"), "case when bc3 then '44585435' else '00000000' end", _le("case when bc3 then 0 else 32 end"), "case when bc3 then repeat('00', 16) else 'FF00000000FF00000000FF00000000FF' end", _le("case when n > 1 then 4198408 else 4096 end"), "repeat('00', 16)"]
+)
+
+
+@query(f"with t as (select p_partkey, (p_size * 4)::bigint as w, (p_partkey % 64 + 1)::bigint as h, p_partkey % 5 + 1 as n, p_size % 2 = 0 as bc3 from part) select p_partkey, {_HEADER} as header from t")
+def dds_header(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", raster.dds_header(F.col("p_size") * 4, F.col("p_partkey") % 64 + 1, F.col("p_partkey") % 5 + 1, F.col("p_size") % 2 == 0).alias("header"))
+
+
+@query(f"with {_TEXELS} select texture_id, string_agg(printf('%02X%02X%02X%02X', r, g, b, a), '' order by y, x) as payload from texels where part = 0 group by texture_id")
+def dds_rgba8(spark, sf_dir):
+    return raster.rgba8_payload(texels(spark, sf_dir).where("part = 0")).select("texture_id", F.hex("payload").alias("payload"))
+
+
+@query(f"with {_TEXELS} select texture_id, count(distinct part)::int as levels, string_agg(printf('%02X%02X%02X%02X', r, g, b, a), '' order by part, y, x) as payload from texels group by texture_id")
+def mip_payload(spark, sf_dir):
+    t = texels(spark, sf_dir)
+    level = t.withColumn("texture_id", F.struct("texture_id", "part"))
+    one = raster.rgba8_payload(level).select(F.col("texture_id.texture_id").alias("texture_id"), F.col("texture_id.part").alias("level"), "payload")
+    return raster.assemble_levels(one).select("texture_id", "levels", F.hex("payload").alias("payload"))
+
+
+_ALPHA = """cells as (select texture_id, y // 4 as yb, x // 4 as bx, y % 4 * 4 + x % 4 as i, v from planes),
+ ends as (select *, max(v) over w as a0, min(v) over w as a1 from cells window w as (partition by texture_id, yb, bx)),
+ steps as (select *, case when a0 = a1 then 0 else (14 * (a0 - v) + (a0 - a1)) // (2 * (a0 - a1)) end as step from ends),
+ alpha as (select texture_id, yb as "by", bx, max(a0) as a0, max(a1) as a1, sum((case when step = 0 then 0 when step = 7 then 1 else step + 1 end)::bigint << (3 * i))::bigint as a_bits from steps group by texture_id, yb, bx)"""
+
+
+@query(f"with {_PLANES}, {_ALPHA} select * from alpha")
+def bc3_alpha(spark, sf_dir):
+    return raster.bc3_alpha(planes(spark, sf_dir))
+
+
+_COLOR = """box as (select texture_id, max(r) as hr, min(r) as lr, max(g) as hg, min(g) as lg, max(b) as hb, min(b) as lb,
+   16 * sum(r * g) - sum(r) * sum(g) < 0 as tr, 16 * sum(b * g) - sum(b) * sum(g) < 0 as tb from texels where part = 0 group by texture_id),
+ corner as (select texture_id, ((case when tr then lr else hr end) * 31 + 127) // 255 * 2048 + (hg * 63 + 127) // 255 * 32 + ((case when tb then lb else hb end) * 31 + 127) // 255 as c0,
+   ((case when tr then hr else lr end) * 31 + 127) // 255 * 2048 + (lg * 63 + 127) // 255 * 32 + ((case when tb then hb else lb end) * 31 + 127) // 255 as c1 from box),
+ wide as (select *, [((c0 // 2048) * 255 + 15) // 31, ((c0 // 32 % 64) * 255 + 31) // 63, ((c0 % 32) * 255 + 15) // 31] as p0,
+   [((c1 // 2048) * 255 + 15) // 31, ((c1 // 32 % 64) * 255 + 31) // 63, ((c1 % 32) * 255 + 15) // 31] as p1 from corner),
+ pal as (select texture_id, c0, c1, [p0, p1, [(2 * p0[1] + p1[1]) // 3, (2 * p0[2] + p1[2]) // 3, (2 * p0[3] + p1[3]) // 3], [(p0[1] + 2 * p1[1]) // 3, (p0[2] + 2 * p1[2]) // 3, (p0[3] + 2 * p1[3]) // 3]] as p from wide),
+ far as (select t.texture_id, y * 4 + x as i, k, (r - p[k + 1][1]) ** 2 + (g - p[k + 1][2]) ** 2 + (b - p[k + 1][3]) ** 2 as d from texels t join pal using (texture_id), (select unnest(range(4)) as k) where part = 0),
+ code as (select texture_id, i, arg_min(k, d * 4 + k) as k from far group by texture_id, i),
+ color as (select texture_id, 0 as by, 0 as bx, any_value(c0) as c0, any_value(c1) as c1, sum(k::bigint << (2 * i)::int)::bigint as c_bits from code join pal using (texture_id) group by texture_id)"""
+
+
+@query(f"with {_TEXELS}, {_COLOR} select * from color")
+def bc3_color(spark, sf_dir):
+    return raster.bc3_color(texels(spark, sf_dir).where("part = 0"))
+
+
+@query(f"""with {_TEXELS}, planes as (select texture_id, y, x, a as v from texels where part = 0), {_ALPHA}, {_COLOR},
+ e as (select texture_id, a0, a1, a_bits, c_bits, p, i from alpha join color using (texture_id) join pal using (texture_id), (select unnest(range(16)) as i)),
+ k as (select *, ((c_bits >> (2 * i)::int) & 3)::int as cc, ((a_bits >> (3 * i)::int) & 7)::int as ac from e)
+ select texture_id, (i // 4)::int as y, (i % 4)::int as x, p[cc + 1][1]::int as r, p[cc + 1][2]::int as g, p[cc + 1][3]::int as b,
+   (case ac when 0 then a0 when 1 then a1 else ((8 - ac) * a0 + (ac - 1) * a1) // 7 end)::int as a from k""")
+def bc3_decode(spark, sf_dir):
+    t = texels(spark, sf_dir).where("part = 0")
+    return raster.bc3_decode(raster.bc3_alpha(t.select("texture_id", "y", "x", F.col("a").alias("v"))), raster.bc3_color(t))
+
+
+def _package_files(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.when(F.col("c_custkey") % 5 == 0, ".disabled").otherwise("")).alias("name"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.floor("o_totalprice").cast("bigint").alias("length"), F.col("o_orderdate").cast("timestamp_ntz").alias("modified"))
+    return customer.join(orders, "c_custkey").select("name", F.lit(False).alias("is_dir"), "length", "modified", "o_orderkey")
+
+
+_PACKAGES = """packs as (select c_name || case when c_custkey % 5 = 0 then '.disabled' else '' end as name, floor(o_totalprice)::bigint as length, o_orderdate::timestamp as modified, o_orderkey from customer join orders on o_custkey = c_custkey),
+ packages as (select name, suffix(name, '.disabled') as disabled, sum(length)::bigint as bytes, max(modified) as modified_at from packs group by name)"""
+
+
+def _packages(spark, sf_dir):
+    return catalog.list_packages(_package_files(spark, sf_dir))
+
+
+@query(f"with {_PACKAGES} select * from packages")
+def package_list(spark, sf_dir):
+    return _packages(spark, sf_dir).orderBy("name")
+
+
+def _sorted(how: str, order: str) -> None:
+    def run(spark, sf_dir):
+        return _packages(spark, sf_dir).orderBy(*catalog.sort_keys(how)).select("name", "bytes", "modified_at")
+
+    run.__name__ = f"package_sort_{how.replace('-', '_')}"
+    query(f"with {_PACKAGES} select name, bytes, modified_at from packages order by {order}")(run)
+
+
+_sorted("name-asc", "name")
+_sorted("name-desc", "name desc")
+_sorted("size-desc", "bytes desc, name")
+_sorted("date-desc", "modified_at desc, name")
+
+
+@query(f"with {_PACKAGES}, f as (select name || '/f' || (o_orderkey % 10) as rel_path, o_orderkey, max(length) as length from packs group by 1, 2), a as (select rel_path, max(length) as length from f where o_orderkey % 3 > 0 group by 1), b as (select rel_path, min(length) as length from f where o_orderkey % 3 = 0 group by 1) select coalesce(b.rel_path, a.rel_path) as rel_path, coalesce(b.length, a.length) as length from a full join b using (rel_path)")
+def package_import(spark, sf_dir):
+    files = _package_files(spark, sf_dir).withColumn("rel_path", F.concat("name", F.lit("/f"), F.col("o_orderkey") % 10))
+    existing = files.where("o_orderkey % 3 > 0").groupBy("rel_path").agg(F.max("length").alias("length"))
+    return catalog.import_files(existing, files.where("o_orderkey % 3 = 0").groupBy("rel_path").agg(F.min("length").alias("length")))
+
+
+@query("select count_if(c_custkey % 4 > 0) as imported, list_sort(list('copy failed: ' || c_name) filter (c_custkey % 4 = 0)) as errors from customer where c_custkey % 7 > 0")
+def import_outcome(spark, sf_dir):
+    kind = F.when(F.col("c_custkey") % 7 == 0, "other").otherwise("dir")
+    return catalog.import_outcome(table(spark, sf_dir, "customer").select(kind.alias("kind"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("copy failed: "), "c_name")).alias("error")))
+
+
+@query(f"with {_PACKAGES}, n as (select name, case when disabled then regexp_replace(name, '([.]disabled)+$', '') else name || '.disabled' end as new_name from packages) select name, new_name, exists (select 1 from packages p where p.name = n.new_name) as collides from n")
+def package_toggle(spark, sf_dir):
+    return catalog.toggle(_packages(spark, sf_dir))
+
+
+def _wanted(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where("c_custkey % 6 = 0").select(F.col("c_name").alias("name"))
+
+
+@query(f"with {_PACKAGES} select c_name as name, c_name in (select name from packages) as deleted from customer where c_custkey % 6 = 0")
+def package_delete(spark, sf_dir):
+    return catalog.delete(_packages(spark, sf_dir), _wanted(spark, sf_dir))[1]
+
+
+@query(f"with {_PACKAGES} select name, bytes from packages where name not in (select c_name from customer where c_custkey % 6 = 0)")
+def package_remaining(spark, sf_dir):
+    return catalog.delete(_packages(spark, sf_dir), _wanted(spark, sf_dir))[0].select("name", "bytes")
+
+
+def _tenths(n: int) -> str:
+    t = f"(2 * bytes * 10 + {n}) // {2 * n}"
+    return f"(({t}) // 10) || '.' || (({t}) % 10)"
+
+
+@query(f"with {_PACKAGES} select name, regexp_replace(name, '[.]disabled$', '') as title, case when bytes < 1024 then bytes || ' B' when bytes < 1048576 then {_tenths(1024)} || ' KB' else {_tenths(1048576)} || ' MB' end as size_text, strftime(modified_at, '%m/%d') as date_text from packages")
+def package_display(spark, sf_dir):
+    return catalog.display(_packages(spark, sf_dir))
+
+
+@query(f"with {_LISTING}, u as (select path, ord from listing union all select path, ord + 1000000 from listing where ord % 3 = 0) select path, min(ord) as ord from u group by path")
+def selection_union(spark, sf_dir):
+    one = listing(spark, sf_dir)
+    return sets.selection_union(one, one.where("ord % 3 = 0").withColumn("ord", F.col("ord") + 1000000))
+
+
+@query(f"with {_LISTING} select path, ord from listing where path not in (select path from listing where ord % 5 = 0)")
+def selection_remove(spark, sf_dir):
+    one = listing(spark, sf_dir)
+    return sets.selection_remove(one, one.where("ord % 5 = 0"))
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").alias("task_id"), F.col("event_type").alias("tone"), "value")
+
+
+@query("""with e as (select user_id as task_id, event_type as tone, ts, event_id, lag(ts) over w as pts, lag(event_type) over w as pt from events window w as (partition by user_id order by ts, event_id)),
+ r as (select *, sum(case when pts is null or ts - pts > interval 10 minutes or tone is distinct from pt then 1 else 0 end) over (partition by task_id order by ts, event_id) as run from e)
+ select task_id, run::bigint as run, tone, min(ts) as first_ts, max(ts) as last_ts, count(*) as repeats from r group by task_id, run, tone""")
+def activity_runs(spark, sf_dir):
+    return activity.collapse_runs(_events(spark, sf_dir), 600, per=("task_id",), order=("ts", "event_id"))
+
+
+@query("select event_id, ts, event_type as tone from events order by ts desc, event_id desc limit 40")
+def activity_feed(spark, sf_dir):
+    return activity.activity_feed(_events(spark, sf_dir)).select("event_id", "ts", "tone")
+
+
+@query("""with c as (select user_id as task_id, event_id, count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) as completed, count(*) over (partition by user_id) as total from events)
+ select *, least(100, floor(completed::double / total * 100 + 0.5))::bigint as percent from c""")
+def task_progress(spark, sf_dir):
+    return activity.progress_view(_events(spark, sf_dir))
+
+
+@query("select user_id as task_id, count_if(event_type <> 'error' and event_id % 9 > 0) as completed, count(*) as total, list(event_type || ' ' || event_id order by event_id) as logs from events group by user_id")
+def task_outcome(spark, sf_dir):
+    items = _events(spark, sf_dir).select("task_id", F.col("event_id").alias("ord"), ((F.col("tone") != "error") & (F.col("event_id") % 9 > 0)).alias("ok"), F.concat_ws(" ", "tone", "event_id").alias("message"))
+    return activity.task_outcome(items)
+
+
+@query("""with t as (select user_id as task_id, min(ts) + interval 1 day as start_ts, max(ts) - interval 1 day as end_ts from events group by user_id)
+ select e.user_id as task_id, e.event_id, e.ts from events e join t on t.task_id = e.user_id where e.ts between start_ts and end_ts""")
+def progress_in_task(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    tasks = e.groupBy("task_id").agg((F.min("ts") + F.expr("interval 1 day")).alias("start_ts"), (F.max("ts") - F.expr("interval 1 day")).alias("end_ts"))
+    return activity.in_task(e, tasks)
+
+
+@query("""select o_orderkey, case when o_orderkey % 4 = 0 then 'choose an input' when o_custkey % 3 = 0 then 'choose an output folder' when o_totalprice < 50000 then 'no files' end as blocker from orders""")
+def job_readiness(spark, sf_dir):
+    rules = [(F.col("o_orderkey") % 4 == 0, "choose an input"), (F.col("o_custkey") % 3 == 0, "choose an output folder"), (F.col("o_totalprice") < 50000, "no files")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", activity.readiness(rules).alias("blocker"))
+
+
+_KEYS = ("click", "view", "purchase")
+
+
+@query("with p as (select user_id as profile_id, event_type as key, arg_max(value, event_id) as v from events where value is not null group by all) select profile_id, " + ", ".join(f"max(v) filter (key = '{k}') as \"{k}\"" for k in _KEYS) + " from p group by profile_id")
+def profile_fold(spark, sf_dir):
+    patches = _events(spark, sf_dir).select(F.col("task_id").alias("profile_id"), F.col("event_id").alias("seq"), F.col("tone").alias("key"), F.col("value").cast("string").alias("value"))
+    return activity.fold_profiles(patches, _KEYS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
