@@ -145,7 +145,7 @@ _NAMES = """names as (select '/in/t' || (p_partkey // 3) || case p_size % 6 when
 
 @query(f"with {_NAMES} select path, channel, prefix || '_' || channel || '.png' as name from outs")
 def split_names(spark, sf_dir):
-    return sets.split_outputs(_packed_names(spark, sf_dir))
+    return sets.split_outputs(_packed_names(spark, sf_dir)).drop("ord")
 
 
 @query(f"with {_NAMES}, o as (select path, ord, prefix || '_' || channel || '.png' as name from outs) select name, arg_max(path, ord) as path, count(*) as inputs from o group by name")
