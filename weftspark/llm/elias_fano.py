@@ -79,22 +79,20 @@ class Sequence:
     def next_at_least(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value that is at least target (n if none), and whether it is equal."""
         high, low = (target >> _U(self.width)).astype(np.int64), target & _U((1 << self.width) - 1)
-        place = np.zeros(len(target), np.int64)
+        index = np.zeros(len(target), np.int64)
         later = high > 0
-        place[later] = self._select(high[later] - 1, False) + 1
-        index = place - high
-        equal = np.zeros(len(target), bool)
-        left = np.flatnonzero(index < self.n)
-        while len(left):  # through the values with the same high part
-            here = (self.bits[place[left] >> 6] >> (place[left] & 63).astype(_U) & _U(1)).astype(bool)
-            left = left[here]
-            value = self.lows(index[left])
-            equal[left] = value == low[left]
-            left = left[value < low[left]]
-            index[left] += 1
-            place[left] += 1
-            left = left[index[left] < self.n]
-        return index, equal
+        index[later] = self._select(high[later] - 1, False) + 1 - high[later]
+        end = self._select(high, False) - high
+        below, above = index.copy(), end.copy()  # by halving, among the values with the same high part
+        left = np.flatnonzero(below < above)
+        while len(left):
+            middle = (below[left] + above[left]) >> 1
+            up = self.lows(middle) < low[left]
+            below[left[up]], above[left[~up]] = middle[up] + 1, middle[~up]
+            left = left[below[left] < above[left]]
+        equal = below < end
+        equal[equal] = self.lows(below[equal]) == low[equal]
+        return below, equal
 
 
 def dump(arrays: dict[str, np.ndarray]) -> bytes:
