@@ -29,6 +29,7 @@ from .common import small_batches, text_bytes
 
 ORDER = 3
 ROWS_PER_LANG = 2000
+BROADCAST_LANGS = 10_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -52,7 +53,8 @@ def gram_counts(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFram
     labelled = docs.where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit("ppm"), F.col("doc_id").cast("string")), 11) / F.lit(float(1 << 53))
-    chosen = labelled.join(sizes, "lang").where(place * F.col("rows") < rows_per_lang).select("lang", "text")
+    few = sizes.count() <= BROADCAST_LANGS  # else the texts would be dealt out by language
+    chosen = labelled.join(F.broadcast(sizes) if few else sizes, "lang").where(place * F.col("rows") < rows_per_lang).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in small_batches([whole], "text", 8 << 20)):
