@@ -196,6 +196,41 @@ def test_near_dedup(docs, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def brute_classes(texts, similarity=0.8):
+    """The smallest place of each text's class, all pairs compared."""
+    words = [near_dedup.word_hashes(t, near_dedup._Hashes()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near_dedup.within(words[i], words[j], int((1 - similarity) * max(len(words[i]), len(words[j])) + 1e-9)):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def edited(words, n, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("unit", [4096, 6])
+def test_near_dedup_in_a_crowd(spark, unit, monkeypatch):
+    """Near copies among documents that share a passage, which makes them one group with a leader that most are unlike."""
+    monkeypatch.setattr(near_dedup, "UNIT", unit, raising=False)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, texts = [word() for _ in range(100)], []
+    for _ in range(30):
+        own = [word() for _ in range(60)]
+        texts += [" ".join(passage + own), " ".join(passage + edited(own, 8, rng))]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert len(set(found.values())) == 30 and [found[i] for i in range(60)] == brute_classes(texts)
+
+
 def test_license_scan(spark):
     rows = [("/a/LICENSE", "Released under the MIT License."), ("/a/b/x.py", "code"), ("/a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("/a/b/c/y.py", "no notice"), ("/z.py", None), ("/a/q.py", "# Licensed under the Apache License, Version 2.0."), (None, "")]
     found = {r["path"]: (r["license"], r["license_from"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}

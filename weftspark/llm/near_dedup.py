@@ -6,10 +6,10 @@ them in text order; documents that agree in one such tuple are candidates. Order
 similarity, which a banded bit-parallel alignment of the words then decides: 1 - distance / longer length >= SIMILARITY.
 
 Documents with the same words are one node from the start. The nodes that share a tuple are a group; each is compared to
-one of them, the group's leader, unless both are in one class already, so a group of n costs n comparisons. Similar nodes
-are joined into classes by alternating star contraction. Groups that did not become one class, such as those that a common
-passage makes, are cut finer by the next tuple of each node and get another leader, until none of more than two is left.
-A node is in as many groups as it has tuples at most, in every round.
+one of them, the group's leader, unless both are in one class already. Similar nodes are joined into classes by alternating
+star contraction. In groups that did not become one class, such as those that a common passage makes, every two members of
+different classes are then compared: lengths and counts of words by bucket rule out what can't be similar, the rest is
+aligned. So each two nodes that share a tuple end in one class or were found not to be similar.
 
 Texts that are null or without words are in a class of their own each. Documents of fewer than K words have one k-mer,
 all their words. Rows with the same id are one document. Ties go to smaller ids. Other columns are not read.
@@ -18,6 +18,7 @@ all their words. Rows with the same id are one document. Ties go to smaller ids.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TAKEN = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Hash values of a document that are held at the same time.
 HELD_VALUES = 1 << 17
+#: Buckets of words whose counts bound the distance of two documents from below.
+BUCKETS = 256
+#: Members of a group that one task compares with each other; larger groups are dealt out.
+UNIT = 4096
+PAIRS_AT_ONCE = 1 << 16
 
 
 class _Hashes(dict):
@@ -264,44 +270,139 @@ def _merged(roots: DataFrame | None, similar: DataFrame) -> DataFrame | None:
     return kept(moved.unionByName(step), "roots")
 
 
+def _bags(words: DataFrame) -> DataFrame:
+    """node, bag: how many words fall into each of BUCKETS buckets, 255 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for of_node in batch.column(1):
+                counts = np.bincount((np.frombuffer(of_node.as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                found.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "bag"])
+
+    return words.select("node", "words").mapInArrow(run, "node bigint, bag binary")
+
+
+def _possible(side: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bags: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one unit that are in two classes and that lengths and bags of words don't rule out, as two arrays of places."""
+    order = np.lexsort((nodes, sizes))
+    sorted_sizes, totals = sizes[order], bags.sum(axis=1, dtype=np.int64)
+    two = bool(side.any())
+    # Places up to here in the order are short enough for the place itself to be compared with.
+    ends = np.searchsorted(sorted_sizes * similarity - 1e-9, sorted_sizes, "right")
+    start = 0
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(np.cumsum(ends[start:] - np.arange(start, len(order))), PAIRS_AT_ONCE)) + start)
+        many = ends[start:stop] - np.arange(start, stop) - 1
+        first = np.repeat(np.arange(start, stop), many)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+        i, j = order[first], order[second]
+        apart = (roots[i] != roots[j]) & ((side[i] != side[j]) if two else True)
+        i, j = i[apart], j[apart]
+        shared = np.minimum(bags[i], bags[j]).sum(axis=1, dtype=np.int64)
+        least = np.maximum(totals[i], totals[j]) - shared
+        close = least <= (1 - similarity) * np.maximum(sizes[i], sizes[j]) + 1e-9
+        yield i[close], j[close]
+        start = stop
+
+
+def _pairs_in_units(rows: DataFrame, similarity: float) -> DataFrame:
+    """node, leader, bound of the pairs within each unit that have to be aligned. rows: unit, side, node, root, n_words, bag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            units, side, nodes, roots, sizes = (table.column(c).to_numpy() for c in ("unit", "side", "node", "root", "n_words"))
+            bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                for i, j in _possible(side[a:b], nodes[a:b], roots[a:b], sizes[a:b], bags[a:b], similarity):
+                    if len(i):
+                        x, y = nodes[a:b][i], nodes[a:b][j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["node", "leader"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units = batch.column(0).to_numpy()
+            last = int(np.searchsorted(units, units[-1]))  # sorted by unit; the last one may go on
+            if last or (held and held[-1].column(0)[0].as_py() != units[0]):
+                yield from found(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    dealt = rows.select("unit", "side", "node", "root", "n_words", "bag").repartition("unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "node bigint, leader bigint")
+
+
+def _units(members: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """unit, side, key, node, n_words: each two members of a group whose lengths allow similarity are in one unit at least.
+
+    A group of up to UNIT members is one unit. Larger ones are dealt into cells by length and hash, and each two cells whose
+    lengths are near enough are a unit, so that no task takes a whole large group. sizes: key, n.
+    """
+    members = members.join(sizes, "key")
+    small = members.where(F.col("n") <= UNIT).select(F.col("key").alias("unit"), F.lit(0).alias("side"), "node", "n_words")
+    banded = members.where(F.col("n") > UNIT).withColumn("band", F.floor(F.log("n_words") / math.log(1 / similarity) + 1e-9))
+    counted = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) * 2 / UNIT).alias("cells"))
+    cells = counted.select("key", "band", "cells", F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("cell"))
+    # A band reaches the next but one by rounding only; such pairs are then ruled out by their exact lengths.
+    other = cells.select("key", F.col("band").alias("band_b"), F.col("cell").alias("cell_b"))
+    near = cells.join(other, "key").where("band_b = band and cell_b >= cell or band_b > band and band_b <= band + 2")
+    unit = F.xxhash64("key", "band", "cell", "band_b", "cell_b").alias("unit")
+    same = (F.col("band") == F.col("band_b")) & (F.col("cell") == F.col("cell_b"))
+    sides = near.select("key", "band", "cell", unit, F.lit(0).alias("side")).unionByName(near.where(~same).select("key", F.col("band_b").alias("band"), F.col("cell_b").alias("cell"), unit, F.lit(1).alias("side")))
+    dealt = banded.join(counted, ["key", "band"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    return small.unionByName(dealt.join(sides, ["key", "band", "cell"]).select("unit", "side", "node", "n_words"))
+
+
 def similar_nodes(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between nodes (node, n_words, keys): node, leader; and node, root of the nodes that are not roots."""
     spark = docs.sparkSession
-    keys = nodes.select("node", F.posexplode("keys").alias("next", "tuple"))
-    members = nodes.select("node", "n_words", F.posexplode("keys").alias("sketch", "tuple")).select("node", "n_words", "sketch", F.xxhash64("sketch", "tuple").alias("key"))
-    links = roots = words = tried = None
-    for depth in range(1, SKETCHES + 1):
-        # The smallest node first, another one in each later round; the same for all tuples that a set of nodes shares.
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(depth)) if depth > 1 else F.lit(0), "node", "n_words")).alias("lead")
-        leaders = members.groupBy("key").agg(drawn, F.count(F.lit(1)).alias("n")).where("n > 1")
-        leaders = leaders.select("key", F.col("lead.node").alias("leader"), F.col("lead.n_words").alias("leader_words"), "n")
-        followers = kept(members.join(leaders, "key").where("node <> leader"), "followers")
-        if followers.isEmpty():
-            break
-        if words is None:  # later rounds have no other nodes
-            words = _words_of(followers.select("node").union(followers.select("leader")), docs)
-        comparable = F.least("n_words", "leader_words") >= F.greatest("n_words", "leader_words") * similarity - 1e-9
-        pairs = followers.where(comparable).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "leader"], "left_anti")
-        pairs = kept(pairs, "pairs")
-        best = pairs.groupBy("node").agg(F.max(F.struct("shared", F.col("leader"))).alias("most")).select("node", F.col("most.leader").alias("leader"))
-        # Each node's likeliest leader first; of the others, those that are not in its class by then. Later rounds have few pairs.
-        for chosen in (best, pairs.join(best, ["node", "leader"], "left_anti")) if depth == 1 else (pairs,):
-            done = _verified(_apart(chosen.select("node", "leader"), roots).select("node", "leader"), words, similarity)
-            similar = done.where("similar").select("node", "leader")
-            links = similar if links is None else links.unionByName(similar)
-            tried = done.select("node", "leader") if tried is None else tried.unionByName(done.select("node", "leader"))
-            roots = _merged(roots, similar)
-        # Groups of more than two that are not one class yet are cut finer, by one more tuple.
-        unsettled = kept(_apart(followers.where("n > 2").select("key", "node", "leader"), roots).select("key").distinct(), "unsettled")
-        if depth == SKETCHES or unsettled.isEmpty():
-            break
-        finer = members.join(unsettled, "key", "left_semi").withColumn("next", (F.col("sketch") + depth) % SKETCHES)
-        members = kept(finer.join(keys, ["node", "next"]).select("node", "n_words", "sketch", F.xxhash64("key", "tuple").alias("key")), "members")
-    if links is None:
-        links = spark.createDataFrame([], "node bigint, leader bigint")
-    return links, roots if roots is not None else spark.createDataFrame([], "node bigint, root bigint")
+    none = spark.createDataFrame([], "node bigint, leader bigint"), spark.createDataFrame([], "node bigint, root bigint")
+    members = nodes.select("node", "n_words", F.explode(F.array_distinct("keys")).alias("key"))
+    lead = F.min(F.struct("node", "n_words")).alias("lead")
+    # Tuples that the same nodes share are one group.
+    of_set = F.bit_xor(F.xxhash64("node")).alias("set_a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("set_b")
+    groups = members.groupBy("key").agg(lead, F.count(F.lit(1)).alias("n"), *of_set).where("n > 1")
+    leaders = groups.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("key", "lead")).alias("one"), F.count(F.lit(1)).alias("times"))
+    leaders = leaders.select("one.key", F.col("one.lead.node").alias("leader"), F.col("one.lead.n_words").alias("leader_words"), "n", "times")
+    followers = kept(members.join(leaders, "key"), "groups")
+    if followers.isEmpty():
+        return none
+    words = _words_of(followers.select("node"), docs)
+    links = roots = None
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal links, roots
+        done = _verified(_apart(pairs, roots).select("node", "leader"), words, similarity)
+        similar = done.where("similar").select("node", "leader")
+        links = similar if links is None else links.unionByName(similar)
+        roots = _merged(roots, similar)
+
+    comparable = F.least("n_words", "leader_words") >= F.greatest("n_words", "leader_words") * similarity - 1e-9
+    pairs = kept(followers.where("node <> leader").where(comparable).groupBy("node", "leader").agg(F.sum("times").alias("shared")), "pairs")
+    best = pairs.groupBy("node").agg(F.max(F.struct("shared", F.col("leader"))).alias("most")).select("node", F.col("most.leader").alias("leader"))
+    # Each node's likeliest leader first; of the others, those that are not in its class by then.
+    compare(best)
+    compare(pairs.select("node", "leader").join(best, ["node", "leader"], "left_anti"))
+    # In groups of more than two that are not one class yet, all pairs of members in two classes are compared.
+    unsettled = kept(_apart(followers.where("n > 2 and node <> leader").select("key", "n", "node", "leader"), roots).select("key", "n").distinct(), "unsettled")
+    if unsettled.isEmpty():
+        return links, roots if roots is not None else none[1]
+    units = kept(_units(followers.select("key", "node", "n_words"), unsettled, similarity), "units")
+    bags = kept(_bags(words.join(units.select("node").distinct(), "node", "left_semi")), "bags")
+    rooted = _rooted(units, roots, "node").withColumnRenamed("node_root", "root").join(bags, "node")
+    tried = pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
+    left = kept(_pairs_in_units(rooted, similarity).distinct().join(tried, ["node", "leader"], "left_anti"), "left")
+    # One pair of each node first: what that joins needs no further comparison.
+    compare(left.groupBy("node").agg(F.min("leader").alias("leader")))
+    compare(left.join(left.groupBy("node").agg(F.min("leader").alias("leader")), ["node", "leader"], "left_anti"))
+    return links, roots if roots is not None else none[1]
 
 
 def components(links: DataFrame) -> DataFrame:
