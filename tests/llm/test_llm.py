@@ -221,16 +221,42 @@ def test_near_dedup_in_a_crowd(spark, unit, monkeypatch):
     monkeypatch.setattr(near_dedup, "UNIT", unit, raising=False)
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(10**6)}"
-    passage, texts = [word() for _ in range(100)], []
+    passage, texts = [word() for _ in range(140)], []
     for _ in range(30):
-        own = [word() for _ in range(60)]
-        texts += [" ".join(passage + own), " ".join(passage + edited(own, 8, rng))]
+        own = [word() for _ in range(40)]
+        texts += [" ".join(passage + own), " ".join(edited(passage + own, 14, rng))]
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
     assert len(set(found.values())) == 30 and [found[i] for i in range(60)] == brute_classes(texts)
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_near_dedup_recall(spark, similarity):
+    """Pairs with single words changed at random or at even distances, of 5 to 400 words, against the alignment of all pairs."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(240):
+        n = (10, 20, 35, 60, 150, 400)[i % 6] if i < 180 else rng.randint(5, 45)
+        words = [f"v{rng.randrange(30_000)}" for _ in range(n)]
+        other = edited(words, int((1 - similarity) * n + 1e-9), rng)
+        if i % 12 < 6:  # evenly
+            changed = round(1 / (1 - similarity))
+            other = [f"e{i}.{k}" if k % changed == changed // 2 else w for k, w in enumerate(words)]
+        texts += [" ".join(words), " ".join(other)]
+    expected = [(i, i + 1) for i in range(0, len(texts), 2) if len(set(brute_classes(texts[i : i + 2]))) == 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    caught = sum(found[a] == found[b] for a, b in expected)
+    assert len(expected) > 200 and caught >= 0.95 * len(expected), (caught, len(expected))
+
+
+def test_near_dedup_of_short_texts(spark):
+    texts = ["a b c d e", "a b x d e", "f g h i", "f g h i j", "k l m n o p q r s", "k l m n X p q r s", "one two", "one three"]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(8)] == brute_classes(texts) == [0, 0, 2, 2, 4, 4, 6, 7]
+
+
 def test_license_scan(spark):
     rows = [("/a/LICENSE", "Released under the MIT License."), ("/a/b/x.py", "code"), ("/a/b/c/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("/a/b/c/y.py", "no notice"), ("/z.py", None), ("/a/q.py", "# Licensed under the Apache License, Version 2.0."), (None, "")]
     found = {r["path"]: (r["license"], r["license_from"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}

@@ -4,6 +4,8 @@ A document is its sequence of words (A-Z lower-cased). Its k-mers of K words are
 so that repeats differ. Each of SKETCHES hash functions picks the PICKED labelled k-mers with the smallest hashes and keeps
 them in text order; documents that agree in one such tuple are candidates. Order makes the tuple sensitive to edit
 similarity, which a banded bit-parallel alignment of the words then decides: 1 - distance / longer length >= SIMILARITY.
+K-mers are short and tuples small and many, so that a pair at SIMILARITY is a candidate with a chance of over 0.95; in
+documents of fewer than SHORT words the tuples are of PICKED_SHORT single words, as few k-mers outlast an edit there.
 
 Documents with the same words are one node from the start. The nodes that share a tuple are a group; each is compared to
 one of them, the group's leader, unless both are in one class already. Similar nodes are joined into classes by alternating
@@ -11,8 +13,7 @@ star contraction. In groups that did not become one class, such as those that a
 different classes are then compared: lengths and counts of words by bucket rule out what can't be similar, the rest is
 aligned. So each two nodes that share a tuple end in one class or were found not to be similar.
 
-Texts that are null or without words are in a class of their own each. Documents of fewer than K words have one k-mer,
-all their words. Rows with the same id are one document. Ties go to smaller ids. Other columns are not read.
+Texts that are null or without words are in a class of their own each. Rows with the same id are one document. Ties go to smaller ids. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import kept, mix64, small_batches
 
-K = 5
-SKETCHES = 24
-PICKED = 3
+K = 3
+SKETCHES = 48
+PICKED = 2
+#: Documents of fewer words have tuples of single words; from SHORT * SIMILARITY words on there are tuples of k-mers.
+SHORT = 40
+PICKED_SHORT = 4
 SIMILARITY = 0.8
 #: Documents of candidate pairs whose ids are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -61,9 +65,18 @@ def word_hashes(text: str | None, hashes: _Hashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
-def sketches(words: np.ndarray, k: int = K) -> list[int]:
+def sketches(words: np.ndarray) -> list[int]:
+    """The tuples of a document: those of single words if it is short, of k-mers if it isn't, of both about the bound."""
+    found = []
+    if len(words) < SHORT:
+        found += _tuples(words, 1, PICKED_SHORT)
+    if len(words) >= SHORT * SIMILARITY:
+        found += _tuples(words, K, PICKED)
+    return found
+
+
+def _tuples(words: np.ndarray, k: int, picked: int) -> list[int]:
     """A key for each hash function: its smallest labelled k-mers, in text order."""
-    k = min(k, len(words))
     n = len(words) - k + 1
     kmers = np.zeros(n, np.uint64)
     for j in range(k):
@@ -75,7 +88,7 @@ def sketches(words: np.ndarray, k: int = K) -> list[int]:
     label = np.empty(n, np.uint64)
     label[order] = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
     labelled = mix64(mix64(kmers) + label * _STEP)
-    picked = min(PICKED, n)
+    picked = min(picked, n)
     least = np.empty((picked, SKETCHES), np.int64)
     at_once = max(1, HELD_VALUES // n)
     for start in range(0, SKETCHES, at_once):
@@ -86,7 +99,7 @@ def sketches(words: np.ndarray, k: int = K) -> list[int]:
             least[i, start : start + at_once] = found
             values[each, found] = _TAKEN
     least.sort(axis=0)
-    keys = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64))
+    keys = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) + np.uint64(1000 * k))
     for i in range(picked):
         keys = mix64(keys * _STEP + labelled[least[i]])
     return keys.view(np.int64).tolist()
