@@ -263,6 +263,17 @@ def test_license_scan(spark):
     assert found == {"/a/LICENSE": ("MIT", "own"), "/a/b/x.py": ("MIT", "inherited"), "/a/b/c/COPYING": ("GPL-3.0", "own"), "/a/b/c/y.py": ("GPL-3.0", "inherited"), "/z.py": (None, "none"), "/a/q.py": ("Apache-2.0", "own"), None: (None, "none")}
 
 
+def test_license_query_keeps_each_row_once(spark, tmp_path):
+    from weftspark.llm import queries
+
+    mit = "Released under the MIT License."
+    rows = [(None, mit, "a"), (None, None, "a"), (7, mit, "a"), (7, mit, "a"), (7, "other", "a"), (8, "x", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op8_license_scan(spark, str(tmp_path)).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["license"]) for r in found), key=key) == sorted([(None, "MIT"), (None, None), (7, "MIT"), (7, "MIT"), (7, None), (8, None)], key=key)
+
+
 def test_warc(spark):
     page = "x" * 1500
     rows = [(1, "u", page), (2, "u\r\nv", page), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 600)]

@@ -9,7 +9,7 @@ A file without a licence of its own inherits that of the nearest directory above
 name begins with LICENSE, LICENCE or COPYING) was recognised; of several there, the one with the smallest path.
 
 Null or empty text has no notice. Null paths keep their own licence and inherit none. Rows that repeat a path are files
-of their own. Other columns are not read. An empty table gives no rows.
+of their own. Of other columns only `row` is read, and given back with each row's result. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,13 +69,14 @@ def notices(files: DataFrame, templates: dict[str, str] | None = None, threshold
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """path, license, similarity, license_from (own, inherited, none), license_path. files: path, text."""
-    numbered = files.select(F.col("path").cast("string").alias("path"), F.xxhash64("path", "text").alias("text_hash"), "text")
+    """path, license, similarity, license_from (own, inherited, none), license_path of each row. files: path, text, and row if it is to be carried along."""
+    carried = ["row"] if "row" in files.columns else []
+    numbered = files.select(F.col("path").cast("string").alias("path"), F.xxhash64("path", "text").alias("text_hash"), "text", *carried)
     # A file is its path and text: rows that repeat both have the same result.
     own = notices(numbered.select(F.struct("path", "text_hash").alias("file_id"), "text"), templates, threshold)
     own = own.select(F.col("file_id.path").alias("own_path"), F.col("file_id.text_hash").alias("own_hash"), "license", "similarity")
     same = F.col("path").eqNullSafe(F.col("own_path")) & (F.col("text_hash") == F.col("own_hash"))
-    marked = kept(numbered.drop("text").join(own, same, "left").select("path", "license", "similarity"), "own-licences")
+    marked = kept(numbered.drop("text").join(own, same, "left").select("path", "license", "similarity", *carried), "own-licences")
     directory = F.regexp_replace("path", r"[^/]*$", "")
     is_file = F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"(?i)^(licen[sc]e|copying)")
     dirs = kept(marked.where(is_file & F.col("license").isNotNull()).groupBy(directory.alias("dir")).agg(F.min_by(F.struct(F.col("license").alias("dir_license"), F.col("path").alias("license_path")), F.struct("path", "license")).alias("found")).select("dir", "found.*"), "licence-dirs")
@@ -88,4 +89,4 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     nearest = nearest.select(F.col("path").alias("heir"), "near.*")
     heir = (F.col("path") == F.col("heir")) & F.col("license").isNull()
     kind = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
-    return marked.join(nearest, heir, "left").select("path", F.coalesce("license", "dir_license").alias("license"), "similarity", kind.alias("license_from"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("license_path")).alias("license_path"))
+    return marked.join(nearest, heir, "left").select(*carried, "path", F.coalesce("license", "dir_license").alias("license"), "similarity", kind.alias("license_from"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("license_path")).alias("license_path"))

@@ -53,9 +53,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     thousand, hundred = F.floor(number / 1000), F.floor(number / 100)
     folder = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), thousand, F.lit("/"))
     path = F.when(number % 1000 == 0, F.concat(folder, F.lit("LICENSE"))).when(number % 100 == 0, F.concat(folder, hundred, F.lit("/LICENSE"))).otherwise(F.concat(folder, hundred, F.lit("/"), number, F.lit(".txt")))
-    ids = docs.select("doc_id", path.alias("path"))
-    found = license_scan.scan(docs.select(path.alias("path"), "text"))
-    return ids.join(found, "path").select("doc_id", "path", "license", "similarity", "license_from", "license_path")
+    found = license_scan.scan(docs.select(F.col("doc_id").alias("row"), path.alias("path"), "text"))
+    return found.select(F.col("row").alias("doc_id"), "path", "license", "similarity", "license_from", "license_path")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
