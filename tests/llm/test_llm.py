@@ -263,6 +263,18 @@ def test_license_scan(spark):
     assert found == {"/a/LICENSE": ("MIT", "own"), "/a/b/x.py": ("MIT", "inherited"), "/a/b/c/COPYING": ("GPL-3.0", "own"), "/a/b/c/y.py": ("GPL-3.0", "inherited"), "/z.py": (None, "none"), "/a/q.py": ("Apache-2.0", "own"), None: (None, "none")}
 
 
+def test_license_of_blocks_and_whole_files(spark):
+    texts = dict(license_scan.license_texts())
+    whole = {name: (license_scan.Path(license_scan.__file__).with_name("licenses") / f"{name}.txt").read_text() for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "Apache-2.0")}
+    assert set(whole) <= set(texts)
+    rows = [(f"/{name}/COPYING", "Copyright (c) 2020, Some Person\n\n" + text) for name, text in whole.items()]
+    wrapped = "/*\n * This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU General Public License for more details.\n */\nint main() { return 0; }\n"
+    commented = "".join(f"# {line}\n" if line else "#\n" for line in whole["BSD-3-Clause"].split("\n")) + "import os\nprint(os.name)\n"
+    rows += [("/h/a.c", wrapped), ("/h/b.py", commented), ("/h/c.txt", "  GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n"), ("/h/d.txt", "The story of the house and of the people of the town, who had no licence to sell the bread.\n" * 3)]
+    found = {r["path"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {f"/{name}/COPYING": name for name in whole} | {"/h/a.c": "GPL-2.0", "/h/b.py": "BSD-3-Clause", "/h/c.txt": "GPL-2.0", "/h/d.txt": None}
+
+
 def test_license_query_keeps_each_row_once(spark, tmp_path):
     from weftspark.llm import queries
 

@@ -1,9 +1,11 @@
-"""Licence scan: TF-IDF cosine of notice lines to templates, then inheritance from the nearest ancestor directory.
+"""Licence scan: TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-A notice is a line that holds one of the MARKERS; licence files and headers are read alike, all lines of whole texts.
-Notices and templates are sparse TF-IDF vectors of their words; idf is over the templates, and words that no template has
-count with the largest idf, so foreign text lowers the cosine. A notice takes the template of the highest cosine, if it
-is at least THRESHOLD; a file takes its best notice (ties: smaller template name).
+A notice is a line that holds one of the MARKERS, compared to the short TEMPLATES, or a block that holds one, compared to
+the whole licence texts, headers and titles in the folder licenses. Blocks are paragraphs, runs of comment lines, the text
+from its first to its last paragraph with a marker, and the whole text. Licence files and headers are read alike. Vectors
+are sparse; idf is over the templates, and words that no template has count with the largest idf, so foreign text lowers
+the cosine. A notice takes the template of the highest cosine, if it is at least THRESHOLD (blocks: BLOCK_THRESHOLD); a
+file takes its best notice (ties: smaller template name).
 
 A file without a licence of its own inherits that of the nearest directory above it in which a licence file (its base
 name begins with LICENSE, LICENCE or COPYING) was recognised; of several there, the one with the smallest path.
@@ -14,13 +16,22 @@ of their own. Of other columns only `row` is read, and given back with each row'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+import re
+from collections import Counter
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept
 
 THRESHOLD = 0.5
+#: Blocks are compared to whole licences, which share more of their common words with any prose.
+BLOCK_THRESHOLD = 0.8
 MARKERS = r"(?i)licen[sc]e|copyright|copyleft|spdx|public domain|all rights reserved|permission is hereby"
+_MARKED = re.compile(MARKERS)
 #: Up to so many directories with a licence file are broadcast; above, they are joined by shuffle.
 BROADCAST_DIRS = 100_000
 # The usual short notices of common licences, by SPDX name.
@@ -37,46 +48,105 @@ TEMPLATES = {
 }
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*)"), F.lit(1))
+WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+#: What stands before and after the text of a comment line.
+COMMENT = re.compile(r"^[ \t]*(?:<!--|/\*+|\*+(?!/)|//+!?|#+|--+|;+|%+)[ \t]?")
+COMMENT_END = re.compile(r"[ \t]*(?:\*+/|-->)[ \t]*$")
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """SPDX name, text of the whole licences, headers and titles in the folder licenses; a bounded table.
+
+    Headers count without their last paragraphs too, which are often left out or name another address.
+    """
+    found = []
+    for file in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+        name, text = re.sub(r"(\.header|\.title)?\.txt$", "", file.name), file.read_text("utf-8")
+        found.append((name, text))
+        paragraphs = text.strip().split("\n\n")
+        if file.name.endswith(".header.txt"):
+            found += [(name, "\n\n".join(paragraphs[:n])) for n in range(1, len(paragraphs))]
+    return found
+
+
+class Vectors:
+    """Unit TF-IDF vectors of templates (name, text), and the likeliest template of a text. damped: 1 + log of counts."""
+
+    def __init__(self, templates: list[tuple[str, str]], damped: bool):
+        self.damped, self.names = damped, [name for name, _ in templates]
+        counts = [Counter(WORDS.findall(text.lower())) for _, text in templates]
+        spread = Counter(word for c in counts for word in c)
+        self.idf = {word: math.log((1 + len(templates)) / (n + 1)) + 1 for word, n in spread.items()}
+        self.rare = max(self.idf.values()) + 0.5
+        self.postings: dict[str, list[tuple[int, float]]] = {}
+        for i, c in enumerate(counts):
+            weights = self._weights(c)
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            for word, w in weights.items():
+                self.postings.setdefault(word, []).append((i, w / norm))
+
+    def _weights(self, counts: Counter) -> dict[str, float]:
+        return {word: (1 + math.log(n) if self.damped else n) * self.idf.get(word, self.rare) for word, n in counts.items()}
+
+    def best(self, text: str, threshold: float) -> tuple[float, str] | None:
+        """Minus similarity and name of the template, the smallest such pair."""
+        weights = self._weights(Counter(WORDS.findall(text.lower())))
+        squares = sum(w * w for w in weights.values())
+        dots = [0.0] * len(self.names)
+        for word, w in weights.items():
+            for i, of_template in self.postings.get(word, ()):
+                dots[i] += w * of_template
+        found = [(-round(d / math.sqrt(squares), 9), self.names[i]) for i, d in enumerate(dots) if d]
+        return min((f for f in found if -f[0] >= threshold), default=None)
+
+
+def blocks(text: str) -> set[str]:
+    """The blocks of a text that hold a marker, without comment signs: paragraphs, runs of comment lines, from the first to the last paragraph with a marker, the whole."""
+    found, comment, paragraph, marked = set(), [], [], []
+    lines = re.split(r"\r?\n|\r", text)
+    for line in [*lines, ""]:
+        bare = COMMENT_END.sub("", COMMENT.sub("", line))
+        if bare.strip():
+            paragraph.append(bare)
+        elif paragraph:
+            marked.append("\n".join(paragraph))
+            paragraph = []
+        if COMMENT.match(line):
+            comment.append(bare)
+        elif comment:
+            found.add("\n".join(comment))
+            comment = []
+    if comment:
+        found.add("\n".join(comment))
+    places = [i for i, p in enumerate(marked) if _MARKED.search(p)]
+    if places:
+        found |= {marked[i] for i in places} | {"\n\n".join(marked[places[0] : places[-1] + 1]), "\n\n".join(marked)}
+    return {block for block in found if _MARKED.search(block)}
+
 
+def own_license(text: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> Column:
+    """license, similarity of the best notice line or block of a text, or null."""
+    short, long = Vectors(list((templates or TEMPLATES).items()), False), Vectors(license_texts(), True)
 
-def template_vectors(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, word, weight (of the unit vector), idf."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, text string")
-    terms = rows.select("license", F.explode(_words(F.col("text"))).alias("word")).groupBy("license", "word").agg(F.count(F.lit(1)).alias("tf"))
-    n = len(templates)
-    spread = terms.groupBy("word").agg((F.log((F.lit(1.0 + n)) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
-    weighted = terms.join(spread, "word").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "license").select("license", "word", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+    def of_text(value: str) -> tuple[str, float] | None:
+        lines = {line for line in re.split(r"\r?\n|\r", value) if _MARKED.search(line)}
+        found = [short.best(line, threshold) for line in lines] + [long.best(block, BLOCK_THRESHOLD) for block in blocks(value)]
+        best = min((f for f in found if f), default=None)
+        return best and (best[1], -best[0])
 
+    @F.pandas_udf("license string, similarity double")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(t and of_text(t)) or (None, None) for t in texts], columns=["license", "similarity"])
 
-def notices(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """file_id, license, similarity: the best template of each file that has one. files: file_id, text."""
-    templates = templates or TEMPLATES
-    vectors = kept(template_vectors(files.sparkSession, templates), "templates")
-    rare = float(vectors.agg(F.max("idf")).first()[0]) + 0.5
-    idf = F.broadcast(vectors.select("word", "idf").distinct())  # bounded by the templates
-    lines = files.where(F.col("text").rlike(MARKERS)).select("file_id", F.posexplode(F.split("text", r"\r?\n|\r")).alias("line", "notice")).where(F.col("notice").rlike(MARKERS))
-    terms = lines.select("file_id", "line", F.explode(_words(F.col("notice"))).alias("word")).groupBy("file_id", "line", "word").agg(F.count(F.lit(1)).alias("tf"))
-    terms = terms.join(idf, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norms = terms.groupBy("file_id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.where("idf is not null").join(F.broadcast(vectors.select("license", "word", "weight")), "word").groupBy("file_id", "line", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["file_id", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("similarity") >= threshold)
-    best = F.min_by(F.struct("license", "similarity"), F.struct(-F.col("similarity"), F.col("license")))
-    return scored.groupBy("file_id").agg(best.alias("best")).select("file_id", "best.license", "best.similarity")
+    # Most texts hold no marker and need not go to Python.
+    return scored(F.when(text.rlike(MARKERS), text))
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """path, license, similarity, license_from (own, inherited, none), license_path of each row. files: path, text, and row if it is to be carried along."""
     carried = ["row"] if "row" in files.columns else []
-    numbered = files.select(F.col("path").cast("string").alias("path"), F.xxhash64("path", "text").alias("text_hash"), "text", *carried)
-    # A file is its path and text: rows that repeat both have the same result.
-    own = notices(numbered.select(F.struct("path", "text_hash").alias("file_id"), "text"), templates, threshold)
-    own = own.select(F.col("file_id.path").alias("own_path"), F.col("file_id.text_hash").alias("own_hash"), "license", "similarity")
-    same = F.col("path").eqNullSafe(F.col("own_path")) & (F.col("text_hash") == F.col("own_hash"))
-    marked = kept(numbered.drop("text").join(own, same, "left").select("path", "license", "similarity", *carried), "own-licences")
+    found = files.select(F.col("path").cast("string").alias("path"), own_license(F.col("text"), templates, threshold).alias("own"), *carried)
+    marked = kept(found.select("path", "own.license", "own.similarity", *carried), "own-licences")
     directory = F.regexp_replace("path", r"[^/]*$", "")
     is_file = F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"(?i)^(licen[sc]e|copying)")
     dirs = kept(marked.where(is_file & F.col("license").isNotNull()).groupBy(directory.alias("dir")).agg(F.min_by(F.struct(F.col("license").alias("dir_license"), F.col("path").alias("license_path")), F.struct("path", "license")).alias("found")).select("dir", "found.*"), "licence-dirs")
