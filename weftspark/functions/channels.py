@@ -6,13 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def div(a: Column, b: Column | int) -> Column:
+    """Whole-number division."""
+    return F.call_function("div", a.cast("bigint"), (b if isinstance(b, Column) else F.lit(b)).cast("bigint"))
+
+
+def shifted_left(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", value.cast("bigint"), bits.cast("int"))
+
+
+def shifted_right(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", value.cast("bigint"), bits.cast("int"))
+
+
 def inverted(v: Column) -> Column:
     return (F.lit(255) - v).cast("int")
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
     """BT.709 weights in ten-thousandths, rounded down."""
-    return F.floor((r * 2126 + g * 7152 + b * 722) / 10000).cast("int")
+    return div(r * 2126 + g * 7152 + b * 722, 10000).cast("int")
 
 
 def override_alpha(a: Column, mode: str) -> Column:
@@ -25,8 +38,8 @@ def fill_alpha(mode: str) -> Column:
 
 
 def mip_size(base: Column, level: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(base / F.pow(F.lit(2), level))).cast("int")
+    return F.greatest(F.lit(1), shifted_right(base, level)).cast("int")
 
 
 def bc3_size(width: Column, height: Column) -> Column:
-    return (F.floor((width + 3) / 4) * F.floor((height + 3) / 4) * 16).cast("bigint")
+    return div(width + 3, 4) * div(height + 3, 4) * 16

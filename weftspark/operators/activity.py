@@ -10,11 +10,14 @@ from ..functions import names
 FEED, TOASTS = 40, 4
 
 
-def collapse_runs(events: DataFrame, gap_seconds: float, per: tuple[str, ...] = (), what: tuple[str, ...] = ("tone",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Runs of entries that repeat the one before within the gap: first_ts, last_ts, repeats."""
+def collapse_runs(events: DataFrame, gap_seconds: float, per: tuple[str, ...], what: tuple[str, ...] = ("tone",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Runs of entries that repeat the one before within the gap: first_ts, last_ts, repeats. per names the lines (tasks) that runs are in."""
+    if not per:
+        raise ValueError("per names at least one column: without it, one task would sort all entries")
     line = Window.partitionBy(*per).orderBy(*order)
     before = lambda c: F.lag(c).over(line)
-    late = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before("ts").cast("timestamp"))) > int(gap_seconds * 1_000_000)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    late = micros(F.col("ts")) - micros(before("ts")) > int(gap_seconds * 1_000_000)
     other = F.lit(False)
     for c in what:
         other = other | ~F.col(c).eqNullSafe(before(c))
@@ -28,6 +31,17 @@ def activity_feed(events: DataFrame, keep: int = FEED) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(keep)
 
 
+def activity_count(events: DataFrame) -> DataFrame:
+    """The number of all entries, which goes on counting when the feed is full."""
+    return events.agg(F.count(F.lit(1)).alias("entries"))
+
+
+def toasts(events: DataFrame, gap_seconds: float, per: tuple[str, ...], what: tuple[str, ...] = ("tone",), order: tuple[str, ...] = ("ts",), keep: int = TOASTS) -> DataFrame:
+    """The newest runs of repeated entries; how many to keep is the feature."""
+    runs = collapse_runs(events, gap_seconds, per, what, order)
+    return runs.orderBy(F.desc("first_ts"), *[F.desc(c) for c in per], F.desc("run")).limit(keep)
+
+
 def progress_view(progress: DataFrame) -> DataFrame:
     """Running count, total and percent of each task's events. progress: task_id, event_id, ts."""
     so_far = Window.partitionBy("task_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -41,8 +55,16 @@ def in_task(progress: DataFrame, tasks: DataFrame) -> DataFrame:
     return joined.where((F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))).select("task_id", "event_id", "ts")
 
 
+def task_counts(items: DataFrame) -> DataFrame:
+    """task_id, completed, total; the log lines stay rows of items."""
+    return items.groupBy("task_id").agg(F.count_if("ok").alias("completed"), F.count(F.lit(1)).alias("total"))
+
+
 def task_outcome(items: DataFrame) -> DataFrame:
-    """task_id, completed, total, logs in order. items: task_id, ord, ok, message."""
+    """task_id, completed, total, logs in order, as one row takes them. items: task_id, ord, ok, message.
+
+    For tasks of any length, task_counts() leaves the lines as rows.
+    """
     logs = F.transform(F.array_sort(F.collect_list(F.struct("ord", "message"))), lambda x: x["message"])
     return items.groupBy("task_id").agg(F.count_if("ok").alias("completed"), F.count(F.lit(1)).alias("total"), logs.alias("logs"))
 

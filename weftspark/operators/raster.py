@@ -1,4 +1,4 @@
-"""Channel packing, splitting and resampling of texels; block and container bytes."""
+"""Channel packing, splitting and resampling of texels; payloads and container bytes."""
 
 from __future__ import annotations
 
@@ -6,20 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import channels
+from ..functions.channels import div
+from ..functions.names import BAD_LEVEL
+from .blocks import bc3_alpha, bc3_blocks, bc3_color, bc3_decode, bc3_payload, joined, little_endian, number
+
+__all__ = ["bc3_alpha", "bc3_blocks", "bc3_color", "bc3_decode", "bc3_payload"]
 
 PLACE = ["texture_id", "y", "x"]
-UNCOMPRESSED = ("8.8.8.8", "R8G8B8A8_UNORM")
+MAPS = ("normal", "roughness", "metallic")
 
 
 def merge_base_color(texels: DataFrame, alpha: str = "black") -> DataFrame:
     return texels.select(*PLACE, "r", "g", "b", channels.fill_alpha(alpha).alias("a"))
 
 
+def pack_maps(maps: DataFrame) -> DataFrame:
+    """R = 255 - roughness, G = normal G, B = metallic, A = normal R, in one scan and one shuffle.
+
+    maps: texture_id, kind (normal, roughness or metallic), y, x, r, g, b. Places that lack a map have no row.
+    """
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    grey = channels.luma(F.col("r"), F.col("g"), F.col("b"))
+    packed = maps.where(F.col("kind").isin(*MAPS)).groupBy(*PLACE).agg(
+        of("roughness", channels.inverted(grey)).alias("pr"), of("normal", F.col("g")).alias("pg"), of("metallic", grey).alias("pb"), of("normal", F.col("r")).alias("pa")
+    )
+    return packed.where("pr is not null and pg is not null and pb is not null")
+
+
 def pack_normal(normal: DataFrame, roughness: DataFrame, metallic: DataFrame) -> DataFrame:
-    """R = 255 - roughness, G = normal G, B = metallic, A = normal R; the maps have one size and share texture_id."""
-    grey = lambda df, name: df.select(*PLACE, channels.luma(F.col("r"), F.col("g"), F.col("b")).alias(name))
-    joined = normal.select(*PLACE, "r", "g").join(grey(roughness, "rough"), PLACE).join(grey(metallic, "metal"), PLACE)
-    return joined.select(*PLACE, channels.inverted(F.col("rough")).alias("pr"), F.col("g").alias("pg"), F.col("metal").alias("pb"), F.col("r").alias("pa"))
+    """pack_maps() of three tables of texels of one size that share texture_id."""
+    named = [df.select(F.lit(kind).alias("kind"), *PLACE, "r", "g", "b") for kind, df in zip(MAPS, (normal, roughness, metallic), strict=True)]
+    return pack_maps(named[0].unionByName(named[1]).unionByName(named[2]))
 
 
 def split_color(texels: DataFrame) -> DataFrame:
@@ -27,14 +44,41 @@ def split_color(texels: DataFrame) -> DataFrame:
 
 
 def split_packed(texels: DataFrame) -> DataFrame:
-    return texels.select(*PLACE, channels.inverted(F.col("r")).alias("roughness"), F.col("b").alias("metallic"), F.col("a").alias("normal_r"), F.col("g").alias("normal_g"), F.lit(255).alias("normal_b"), F.lit(255).alias("normal_a"))
+    normal = F.col("a").alias("normal_r"), F.col("g").alias("normal_g"), F.lit(255).alias("normal_b"), F.lit(255).alias("normal_a")
+    return texels.select(*PLACE, channels.inverted(F.col("r")).alias("roughness"), F.col("b").alias("metallic"), *normal)
+
+
+def axis_weights(sizes: DataFrame) -> DataFrame:
+    """n, m, i, o, w: exact integer weights of the triangle filter from n samples to m, for each pair of sizes (n, m)."""
+    center = (F.col("o") * 2 + 1) * F.col("n")
+    reach = F.greatest("n", "m") * 2
+    low = F.greatest(F.lit(0), div(center - reach, F.col("m") * 2) - 1)
+    high = F.least(F.col("n") - 1, div(center + reach, F.col("m") * 2) + 1)
+    weight = reach - F.abs((F.col("i") * 2 + 1) * F.col("m") - center)
+    places = sizes.distinct().withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
+    near = places.withColumn("i", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    return near.select("n", "m", "i", "o", weight.cast("bigint").alias("w")).where("w > 0")
+
+
+def resample_to(texels: DataFrame, sizes: DataFrame, samples: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Texels at other sizes, each sample rounded half up. Across first, then down, so each pass joins a line's weights only.
+
+    texels: texture_id, y, x and the samples. sizes: texture_id, width, height, target_width, target_height.
+    """
+    across = axis_weights(sizes.select(F.col("width").alias("n"), F.col("target_width").alias("m")))
+    down = axis_weights(sizes.select(F.col("height").alias("n"), F.col("target_height").alias("m")))
+    sized = texels.join(sizes, "texture_id").join(across.toDF("width", "target_width", "x", "ox", "w"), ["width", "target_width", "x"])
+    line = sized.groupBy("texture_id", "height", "target_height", "y", "ox").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in samples], F.sum("w").alias("line_w"))
+    meeting = line.join(down.toDF("height", "target_height", "y", "oy", "w"), ["height", "target_height", "y"])
+    sums = meeting.groupBy("texture_id", "oy", "ox").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in samples], F.sum(F.col("w") * F.col("line_w")).alias("w"))
+    rounded = [div(F.col(c) * 2 + F.col("w"), F.col("w") * 2).cast("int").alias(c) for c in samples]
+    return sums.select("texture_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *rounded)
 
 
 def weights(spark, source: int, target: int) -> DataFrame:
-    """out, in, w: exact integer weights of the triangle filter between two sizes."""
-    reach = 2 * max(source, target)
-    pairs = [(o, i, w) for o in range(target) for i in range(max(0, (2 * o + 1) * source // (2 * target) - reach // target - 1), min(source, (2 * o + 1) * source // (2 * target) + reach // target + 2)) if (w := reach - abs((2 * i + 1) * target - (2 * o + 1) * source)) > 0]
-    return spark.createDataFrame(pairs, "o int, i int, w long")
+    """out, in, w: the weights between two sizes known beforehand."""
+    sizes = spark.range(1).select(F.lit(source).alias("n"), F.lit(target).alias("m"))
+    return axis_weights(sizes).select("o", "i", "w")
 
 
 def resample(planes: DataFrame, source: int, target: int) -> DataFrame:
@@ -43,25 +87,31 @@ def resample(planes: DataFrame, source: int, target: int) -> DataFrame:
         return planes
     table = weights(planes.sparkSession, source, target)
     across, down = F.broadcast(table.toDF("ox", "x", "wx")), F.broadcast(table.toDF("oy", "y", "wy"))
-    joined = planes.join(across, "x").join(down, "y").withColumn("w", F.col("wx") * F.col("wy"))
-    sums = joined.groupBy("texture_id", "oy", "ox").agg(F.sum(F.col("w") * F.col("v")).alias("sum"), F.sum("w").alias("weight"))
-    return sums.select("texture_id", F.col("oy").alias("y"), F.col("ox").alias("x"), F.floor((F.col("sum") * 2 + F.col("weight")) / (F.col("weight") * 2)).cast("int").alias("v"))
+    meeting = planes.join(across, "x").join(down, "y").withColumn("w", F.col("wx") * F.col("wy"))
+    sums = meeting.groupBy("texture_id", "oy", "ox").agg(F.sum(F.col("w") * F.col("v")).alias("sum"), F.sum("w").alias("weight"))
+    rounded = div(F.col("sum") * 2 + F.col("weight"), F.col("weight") * 2).cast("int")
+    return sums.select("texture_id", F.col("oy").alias("y"), F.col("ox").alias("x"), rounded.alias("v"))
+
+
+def _with_expected(levels: DataFrame) -> DataFrame:
+    first = Window.partitionBy("texture_id").orderBy("level")
+    base = levels.withColumns({"bw": F.first("width").over(first), "bh": F.first("height").over(first)})
+    sizes = {f"expected_{name}": channels.mip_size(F.col(short), F.col("level")) for name, short in (("width", "bw"), ("height", "bh"))}
+    sized = base.withColumns(sizes).drop("bw", "bh")
+    return sized.withColumn("wrong", (F.col("width") != F.col("expected_width")) | (F.col("height") != F.col("expected_height")))
 
 
 def mip_errors(levels: DataFrame) -> DataFrame:
     """Every level with its expected size and a message if it is another. levels: texture_id, level, width, height."""
-    first = Window.partitionBy("texture_id").orderBy("level")
-    base = levels.withColumn("bw", F.first("width").over(first)).withColumn("bh", F.first("height").over(first))
-    sized = base.withColumn("expected_width", channels.mip_size(F.col("bw"), F.col("level"))).withColumn("expected_height", channels.mip_size(F.col("bh"), F.col("level")))
-    wrong = (F.col("width") != F.col("expected_width")) | (F.col("height") != F.col("expected_height"))
-    message = F.concat(F.lit("level "), F.col("level"), F.lit(": expected "), F.col("expected_width"), F.lit("x"), F.col("expected_height"), F.lit(", got "), F.col("width"), F.lit("x"), F.col("height"))
-    return sized.select("texture_id", "level", "width", "height", "expected_width", "expected_height", F.when(wrong, message).alias("error"))
+    message = F.format_string("level %d: expected %dx%d, got %dx%d", "level", "expected_width", "expected_height", "width", "height")
+    columns = ["texture_id", "level", "width", "height", "expected_width", "expected_height"]
+    return _with_expected(levels).select(*columns, F.when(F.col("wrong"), message).alias("error"))
 
 
-def little_endian(value: Column) -> Column:
-    """Eight hex digits of a 32-bit word, lowest byte first."""
-    digits = F.lpad(F.hex(value.cast("bigint")), 8, "0")
-    return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
+def first_mip_error(levels: DataFrame) -> DataFrame:
+    """texture_id and the error of its first level of a wrong size, as a job reports it (null if all are right)."""
+    message = F.format_string(BAD_LEVEL, "level", "expected_width", "expected_height", "width", "height")
+    return _with_expected(levels).groupBy("texture_id").agg(F.min_by(F.when(F.col("wrong"), message), F.when(F.col("wrong"), F.col("level"))).alias("error"))
 
 
 def dds_header(width: Column, height: Column, levels: Column, bc3: Column) -> Column:
@@ -73,79 +123,73 @@ def dds_header(width: Column, height: Column, levels: Column, bc3: Column) -> Co
     masks = [F.when(bc3, 0).otherwise(m) for m in (0xFF, 0xFF00, 0xFF0000, 0xFF000000)]
     caps = F.when(levels > 1, 0x1000 + 0x400008).otherwise(0x1000)
     words = [word(0x20534444), word(124), word(flags), word(height), word(width), word(size), word(0), word(levels), *[word(0)] * 11, word(32)]
-    words += [word(F.when(bc3, 0x4).otherwise(0x41)), word(F.when(bc3, 0x35545844).otherwise(0)), word(F.when(bc3, 0).otherwise(32)), *map(word, masks), word(caps), *[word(0)] * 4]
-    return F.concat(*words)
+    kind = [F.when(bc3, 0x4).otherwise(0x41), F.when(bc3, 0x35545844).otherwise(0), F.when(bc3, 0).otherwise(32)]
+    return F.concat(*words, *map(word, kind), *map(word, masks), word(caps), *[word(0)] * 4)
+
+
+def dds_info(files: DataFrame) -> DataFrame:
+    """The rows of files (with bytes) and width, height, levels, format (BC1, BC2, BC3, RGBA8) and status of their level 0.
+
+    status: ok, not_dds, unsupported_format, or truncated.
+    """
+    head = F.hex(F.substring("bytes", 1, 128))
+    fourcc = F.substring(head, 169, 8)
+    blocks = F.when(number(head, 80, 4).bitwiseAND(4) == 4, F.element_at(F.create_map(*[F.lit(x) for x in ("44585431", "BC1", "44585433", "BC2", "44585435", "BC3")]), fourcc))
+    plain = (number(head, 80, 4) == 0x41) & (number(head, 88, 4) == 32) & (F.substring(head, 185, 32) == "FF00000000FF00000000FF00000000FF")
+    read = files.withColumns({
+        "width": number(head, 16, 4).cast("int"), "height": number(head, 12, 4).cast("int"), "levels": F.greatest(F.lit(1), number(head, 28, 4)).cast("int"),
+        "format": F.when(plain, "RGBA8").otherwise(blocks),
+    })
+    half = F.when(F.col("format") == "BC1", 2).otherwise(1)
+    size = F.when(F.col("format") == "RGBA8", F.col("width").cast("bigint") * F.col("height") * 4).otherwise(div(channels.bc3_size(F.col("width"), F.col("height")), half))
+    is_dds = (F.octet_length("bytes") >= 128) & (F.substring(head, 1, 8) == "44445320")
+    status = F.when(~is_dds | F.col("bytes").isNull(), "not_dds").when(F.col("format").isNull(), "unsupported_format")
+    return read.withColumn("status", status.when(F.octet_length("bytes") < size + 128, "truncated").otherwise("ok"))
+
+
+def dds_texels(files: DataFrame) -> DataFrame:
+    """Level 0 of DDS files as texels; those that dds_info() gives another status than ok have no rows. files: texture_id, bytes.
+
+    Files are cut into rows of texels or blocks first, so that nothing but these is taken on.
+    """
+    good = dds_info(files).where("status = 'ok'")
+    plain = good.where("format = 'RGBA8'").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    lines = plain.select("texture_id", "y", "width", F.substring("bytes", (F.col("y") * F.col("width") * 4 + 129).cast("int"), F.col("width") * 4).alias("line"))
+    cells = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    digits = F.hex(F.substring("line", F.col("x") * 4 + 1, F.lit(4)))
+    raw = cells.select("texture_id", "y", "x", *[number(digits, k, 1).cast("int").alias(c) for k, c in enumerate("rgba")])
+    return raw.unionByName(decode_dds_blocks(good.where("format <> 'RGBA8'")))
+
+
+def decode_dds_blocks(good: DataFrame) -> DataFrame:
+    """Texels of block-compressed files, without the padding of blocks at the edges."""
+    from .blocks import decode_blocks
+
+    size = F.when(F.col("format") == "BC1", 8).otherwise(16)
+    across = div(F.col("width") + 3, 4).cast("int")
+    sized = good.withColumns({"size": size, "across": across}).withColumn("by", F.explode(F.sequence(F.lit(0), div(F.col("height") + 3, 4).cast("int") - 1)))
+    strip = F.substring("bytes", (F.col("by") * F.col("across") * F.col("size") + 129).cast("int"), F.col("across") * F.col("size"))
+    strips = sized.select("texture_id", "width", "height", "format", "size", "across", "by", strip.alias("strip"))
+    each = strips.withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    # The texture's id carries its size through the decoder.
+    sized_id = F.struct("texture_id", "width", "height").alias("texture_id")
+    blocks = each.select(sized_id, "by", "bx", "format", F.substring("strip", F.col("bx") * F.col("size") + 1, F.col("size")).alias("block"))
+    found = decode_blocks(blocks).where("x < texture_id.width and y < texture_id.height")
+    return found.withColumn("texture_id", F.col("texture_id.texture_id"))
 
 
 def rgba8_payload(texels: DataFrame) -> DataFrame:
-    """texture_id and the raw texel bytes, row by row."""
-    bytes4 = F.concat(*[F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0") for c in "rgba"])
-    rows = texels.groupBy("texture_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", bytes4.alias("t")))).alias("all"))
-    return rows.select("texture_id", F.unhex(F.array_join(F.transform("all", lambda t: t["t"]), "")).alias("payload"))
+    """texture_id and the raw texel bytes, row by row. Rows are joined before whole textures, so that no task holds the texels of one."""
+    word = ((F.col("r").cast("bigint") * 256 + F.col("g")) * 256 + F.col("b")) * 256 + F.col("a")
+    texel = texels.select(*PLACE, F.unhex(F.lpad(F.hex(word), 8, "0")).alias("texel"))
+    rows = texel.groupBy("texture_id", "y").agg(joined("texel", "x").alias("strip"))
+    return rows.groupBy("texture_id").agg(joined("strip", "y").alias("payload"))
+
+
+def payload(texels: DataFrame, uncompressed: bool) -> DataFrame:
+    return rgba8_payload(texels) if uncompressed else bc3_payload(texels)
 
 
 def assemble_levels(levels: DataFrame) -> DataFrame:
     """texture_id and the payloads of its levels joined, level 0 first. levels: texture_id, level, payload."""
-    rows = levels.groupBy("texture_id").agg(F.array_sort(F.collect_list(F.struct("level", F.hex("payload").alias("p")))).alias("all"))
-    return rows.select("texture_id", F.size("all").alias("levels"), F.unhex(F.array_join(F.transform("all", lambda t: t["p"]), "")).alias("payload"))
-
-
-def bc3_alpha(planes: DataFrame) -> DataFrame:
-    """Alpha blocks of planes (texture_id, y, x, v): end points and 3-bit codes, texel 0 lowest."""
-    key = ["texture_id", "by", "bx"]
-    cells = planes.withColumn("by", F.floor(F.col("y") / 4).cast("int")).withColumn("bx", F.floor(F.col("x") / 4).cast("int")).withColumn("i", F.col("y") % 4 * 4 + F.col("x") % 4)
-    ends = cells.groupBy(*key).agg(F.max("v").alias("a0"), F.min("v").alias("a1"), F.collect_list(F.struct("i", "v")).alias("cells"))
-    span = F.col("a0") - F.col("a1")
-
-    def code(c: Column) -> Column:
-        step = F.floor((14 * (F.col("a0") - c["v"]) + span) / (2 * span))
-        found = F.when(span == 0, 0).when(step == 0, 0).when(step == 7, 1).otherwise(step + 1)
-        return F.shiftleft(found.cast("bigint"), 0) * F.pow(F.lit(8.0), c["i"]).cast("bigint")
-
-    bits = F.aggregate("cells", F.lit(0).cast("bigint"), lambda s, c: s + code(c))
-    return ends.select(*key, F.col("a0").cast("int").alias("a0"), F.col("a1").cast("int").alias("a1"), bits.alias("a_bits"))
-
-
-def _expand(c: Column) -> list[Column]:
-    """The 8-bit channels of an RGB565 word."""
-    r, g, b = F.floor(c / 2048), F.floor(c / 32) % 64, c % 32
-    return [F.floor((r * 255 + 15) / 31), F.floor((g * 255 + 31) / 63), F.floor((b * 255 + 15) / 31)]
-
-
-def _palette(c0: Column, c1: Column) -> list[list[Column]]:
-    a, b = _expand(c0), _expand(c1)
-    return [a, b, [F.floor((2 * p + q) / 3) for p, q in zip(a, b, strict=True)], [F.floor((p + 2 * q) / 3) for p, q in zip(a, b, strict=True)]]
-
-
-def bc3_color(texels: DataFrame) -> DataFrame:
-    """Colour blocks by range fit: two RGB565 corners of the block's box and 2-bit codes, texel 0 lowest."""
-    key = ["texture_id", "by", "bx"]
-    cells = texels.withColumn("by", F.floor(F.col("y") / 4).cast("int")).withColumn("bx", F.floor(F.col("x") / 4).cast("int")).withColumn("i", F.col("y") % 4 * 4 + F.col("x") % 4)
-    both = lambda c: (F.count(F.lit(1)) * F.sum(F.col(c) * F.col("g")) - F.sum(c) * F.sum("g")).alias(f"cov_{c}")
-    box = cells.groupBy(*key).agg(*[F.max(c).alias(f"hi_{c}") for c in "rgb"], *[F.min(c).alias(f"lo_{c}") for c in "rgb"], both("r"), both("b"), F.collect_list(F.struct("i", "r", "g", "b")).alias("cells"))
-    turned = {c: F.col(f"cov_{c}") < 0 for c in "rb"}
-    end = lambda c, side, other: F.when(turned[c], F.col(f"{other}_{c}")).otherwise(F.col(f"{side}_{c}")) if c in turned else F.col(f"{side}_{c}")
-    word = lambda side, other: (F.floor((end("r", side, other) * 31 + 127) / 255) * 2048 + F.floor((end("g", side, other) * 63 + 127) / 255) * 32 + F.floor((end("b", side, other) * 31 + 127) / 255)).cast("int")
-    ends = box.select(*key, word("hi", "lo").alias("c0"), word("lo", "hi").alias("c1"), "cells")
-    pal = F.array(*[F.struct(*[v.cast("bigint").alias(n) for v, n in zip(p, "rgb", strict=True)]) for p in _palette(F.col("c0"), F.col("c1"))])
-    ends = ends.withColumn("palette", pal)
-
-    def code(t: Column) -> Column:
-        far = [sum(((t[c] - F.col("palette")[k][c]) * (t[c] - F.col("palette")[k][c]) for c in "rgb"), F.lit(0)) for k in range(4)]
-        least = F.least(*far)
-        found = F.when(far[0] == least, 0).when(far[1] == least, 1).when(far[2] == least, 2).otherwise(3)
-        return found.cast("bigint") * F.pow(F.lit(4.0), t["i"]).cast("bigint")
-
-    return ends.select(*key, "c0", "c1", F.aggregate("cells", F.lit(0).cast("bigint"), lambda s, t: s + code(t)).alias("c_bits"))
-
-
-def bc3_decode(alpha: DataFrame, color: DataFrame) -> DataFrame:
-    """Texels of blocks; the palettes are those of the encoder."""
-    key = ["texture_id", "by", "bx"]
-    each = alpha.join(color, key).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    ac = F.floor(F.col("a_bits") / F.pow(F.lit(8.0), F.col("i")).cast("bigint")) % 8
-    cc = F.floor(F.col("c_bits") / F.pow(F.lit(4.0), F.col("i")).cast("bigint")) % 4
-    a = F.when(ac == 0, F.col("a0")).when(ac == 1, F.col("a1")).otherwise(F.floor(((8 - ac) * F.col("a0") + (ac - 1) * F.col("a1")) / 7))
-    pal = _palette(F.col("c0"), F.col("c1"))
-    pick = lambda n: F.when(cc == 0, pal[0][n]).when(cc == 1, pal[1][n]).when(cc == 2, pal[2][n]).otherwise(pal[3][n])
-    return each.select("texture_id", (F.col("by") * 4 + F.floor(F.col("i") / 4)).cast("int").alias("y"), (F.col("bx") * 4 + F.col("i") % 4).cast("int").alias("x"), *[pick(n).cast("int").alias(c) for n, c in enumerate("rgb")], a.cast("int").alias("a"))
+    return levels.groupBy("texture_id").agg(F.count(F.lit(1)).cast("int").alias("levels"), joined("payload", "level").alias("payload"))

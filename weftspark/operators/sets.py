@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -20,10 +20,13 @@ def find_sets(listing: DataFrame) -> DataFrame:
     return found.where(" and ".join(f"{k} is not null" for k in names.KINDS))
 
 
+def sequence_errors(folders: DataFrame, sequence: DataFrame) -> DataFrame:
+    """dir and the error of those folders that have no numbered files."""
+    return folders.select("dir").distinct().join(sequence.select("dir"), "dir", "left_anti").select("dir", F.lit(names.NO_LEVELS).alias("error"))
+
+
 def numbered_sequence(listing: DataFrame) -> DataFrame:
     """dir, i, path, level: of files p0 to p999 the best extension of each number; the level is the place, not the number."""
-    from pyspark.sql import Window
-
     name = names.basename(F.col("path"))
     files = listing.where(name.rlike(r"^p(0|[1-9][0-9]{0,2})[.](png|tga|jpg|jpeg)$")).select(
         F.regexp_replace("path", r"/[^/]*$", "").alias("dir"),
@@ -35,11 +38,13 @@ def numbered_sequence(listing: DataFrame) -> DataFrame:
     return best.withColumn("level", F.row_number().over(Window.partitionBy("dir").orderBy("i")) - 1)
 
 
-def split_outputs(files: DataFrame, export_format: str = "png") -> DataFrame:
+def split_outputs(files: DataFrame, export_format: str = "png", export_alpha: bool = True) -> DataFrame:
     """path, channel, name (and ord, if there): what splitting each file writes; files of neither kind write nothing."""
     own = [c for c in ("path", "ord") if c in files.columns]
     s = names.stem(F.col("path"))
-    channels = F.when(names.split_kind(s) == "c", F.array(F.lit("BaseColor"), F.lit("Alpha"))).when(names.split_kind(s) == "n", F.array(F.lit("Roughness"), F.lit("Metallic"), F.lit("Normal")))
+    listed = lambda *parts: F.array(*map(F.lit, parts))
+    color = listed("BaseColor", "Alpha") if export_alpha else listed("BaseColor")
+    channels = F.when(names.split_kind(s) == "c", color).when(names.split_kind(s) == "n", listed("Roughness", "Metallic", "Normal"))
     out = files.select(*own, names.split_prefix(s).alias("prefix"), F.explode(channels).alias("channel"))
     return out.select(*own, "channel", F.concat("prefix", F.lit("_"), "channel", F.lit(f".{export_format}")).alias("name"))
 
@@ -50,12 +55,21 @@ def collisions(outputs: DataFrame) -> DataFrame:
 
 
 def selection_union(*selections: DataFrame) -> DataFrame:
-    """ord and path, each path at its first place."""
+    """ord and path, each path at its first place; selection_in_order() sorts them."""
     whole = selections[0]
     for more in selections[1:]:
         whole = whole.unionByName(more)
     return whole.groupBy("path").agg(F.min("ord").alias("ord"))
 
 
+def selection_in_order(*selections: DataFrame) -> DataFrame:
+    """The union by first place."""
+    return selection_union(*selections).orderBy("ord")
+
+
+def split_inputs(manifest: DataFrame) -> DataFrame:
+    return manifest.where(names.is_dds(F.col("path")))
+
+
 def selection_remove(selection: DataFrame, removed: DataFrame) -> DataFrame:
     return selection.join(removed.select("path"), "path", "left_anti")

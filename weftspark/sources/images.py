@@ -7,12 +7,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions import names
+from ..operators.blocks import number
 
 RASTER = "path string, width int, height int, rgba binary, status string"
 
@@ -29,8 +31,13 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_list(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """Files of a manifest (ord, path), with their content; a path may occur more than once."""
-    return manifest.join(spark.read.format("binaryFile").load(folder).select("path", "content"), "path")
+    """Files of a manifest (ord, path), with their content, in its order; a path may occur more than once.
+
+    Paths are compared without the scheme that Spark puts before them.
+    """
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    files = spark.read.format("binaryFile").load(folder).select(bare("path").alias("bare"), "content")
+    return manifest.withColumn("bare", bare("path")).join(files, "bare").drop("bare").orderBy("ord")
 
 
 def _png(data: bytes) -> np.ndarray:
@@ -108,10 +115,43 @@ def decode(files: DataFrame) -> DataFrame:
 
 
 def to_texels(rasters: DataFrame) -> DataFrame:
-    """A row for each texel of decoded rasters."""
-    byte = lambda k: F.conv(F.hex(F.substring("rgba", (F.col("p") * 4 + k + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    rows = rasters.where("status = 'ok'").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
-    return rows.select(F.col("path").alias("texture_id"), F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), *[byte(k).alias(c) for k, c in enumerate("rgba")])
+    """A row for each texel of decoded rasters, which are cut into lines first."""
+    rows = rasters.where("status = 'ok'").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    line = F.substring("rgba", (F.col("y") * F.col("width") * 4 + 1).cast("int"), F.col("width") * 4)
+    lines = rows.select(F.col("path").alias("texture_id"), "y", "width", line.alias("line"))
+    cells = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    digits = F.hex(F.substring("line", F.col("x") * 4 + 1, F.lit(4)))
+    return cells.select("texture_id", "y", "x", *[number(digits, k, 1).cast("int").alias(c) for k, c in enumerate("rgba")])
+
+
+def encode(rasters: DataFrame, export_format: str = "png") -> DataFrame:
+    """name and bytes of TGA files, if the format is tga in any case, else of PNG files whatever their names end with.
+
+    rasters: name, width, height, channels (1: grey, 3: RGB, 4: RGBA), pixels.
+    """
+    to_tga = export_format.lower() == "tga"
+
+    @F.pandas_udf("binary")
+    def encoded(width: pd.Series, height: pd.Series, channels: pd.Series, pixels: pd.Series) -> pd.Series:
+        write = _as_tga if to_tga else _as_png
+        return pd.Series([write(np.frombuffer(p, np.uint8).reshape(h, w, c)) for w, h, c, p in zip(width, height, channels, pixels, strict=True)])
+
+    return rasters.select("name", encoded("width", "height", "channels", "pixels").alias("bytes"))
+
+
+def _as_png(image: np.ndarray) -> bytes:
+    height, width, channels = image.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), image.reshape(height, -1)], axis=1)  # no row filter
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def _as_tga(image: np.ndarray) -> bytes:
+    height, width, channels = image.shape
+    head = struct.pack("<BBB9xHHBB", 0, 0, 3 if channels == 1 else 2, width, height, 8 * channels, 32 | (8 if channels == 4 else 0))
+    order = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[channels]
+    return head + image[..., order].tobytes()
 
 
 class DdsSource(DataSource):

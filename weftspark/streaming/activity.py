@@ -2,27 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+RUN = "task_id bigint, tone string, first_ts timestamp, last_ts timestamp, repeats bigint"
+_STATE = "waiting array<struct<micros: bigint, event_id: bigint, tone: string>>, tone string, first bigint, last bigint, repeats bigint"
 
 
 def collapse_stream(events: DataFrame, gap: str = "10 minutes", late: str = "1 minute") -> DataFrame:
     """Sessions of equal entries with an inactivity gap; rows later than the watermark are dropped. events: ts, tone."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.session_window("ts", gap), "tone").agg(F.count(F.lit(1)).alias("repeats")).select("tone", F.col("session_window.start").alias("first_ts"), "repeats")
+    sessions = timed.groupBy(F.session_window("ts", gap), "tone").agg(F.count(F.lit(1)).alias("repeats"))
+    return sessions.select("tone", F.col("session_window.start").alias("first_ts"), "repeats")
+
+
+def collapse_runs_stream(events: DataFrame, gap_seconds: float, late: str = "1 minute") -> DataFrame:
+    """Runs as in operators.activity.collapse_runs(): another tone or a gap of over gap_seconds ends a run.
+
+    Entries wait in their task's state until the watermark has passed them, then go in order of ts and event_id; a run is
+    given when it has ended. Rows later than the watermark are dropped. events: task_id, event_id, ts, tone.
+    """
+    gap = int(gap_seconds * 1_000_000)
+
+    def stamp(micros: int) -> pd.Timestamp:
+        return pd.Timestamp(micros, unit="us", tz="UTC")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, tone, first, last, repeats = state.get if state.exists else ([], None, 0, 0, 0)
+        waiting = [tuple(w) for w in waiting]
+        for batch in batches:
+            waiting += zip(batch["micros"].astype(int), batch["event_id"].astype(int), batch["tone"], strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting.sort(key=lambda w: w[:2])
+        ready, ended = [w for w in waiting if w[0] <= passed], []
+        for micros, _, now in ready:
+            if repeats and now == tone and micros - last <= gap:
+                last, repeats = micros, repeats + 1
+                continue
+            if repeats:
+                ended.append((key[0], tone, stamp(first), stamp(last), repeats))
+            tone, first, last, repeats = now, micros, micros, 1
+        waiting = waiting[len(ready) :]
+        if repeats and last + gap < passed and not (waiting and waiting[0][0] - last <= gap):
+            ended.append((key[0], tone, stamp(first), stamp(last), repeats))
+            tone, repeats = None, 0
+        if repeats or waiting:
+            state.update((waiting, tone, first, last, repeats))
+            due = min([w[0] for w in waiting[:1]] + [last + gap] * bool(repeats))
+            state.setTimeoutTimestamp(max(due, passed) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(ended, columns=[c.split()[0] for c in RUN.split(", ")])
+
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.select(F.col("task_id").cast("bigint").alias("task_id"), "event_id", "tone", "ts", F.unix_micros("ts").alias("micros"))
+    return rows.groupBy("task_id").applyInPandasWithState(run, RUN, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_stream(progress: DataFrame, tasks: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Progress within its task's time; tasks is a finished table."""
+    """Progress within its task's time; what comes before or after is dropped. tasks is a finished table."""
     timed = progress.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    joined = timed.join(tasks, "task_id")
-    return joined.where((F.col("ts") >= F.col("start_ts").cast("timestamp")) & (F.col("ts") <= F.col("end_ts").cast("timestamp"))).select("task_id", "ts")
+    start, end = F.col("start_ts").cast("timestamp"), F.col("end_ts").cast("timestamp")
+    return timed.join(tasks, "task_id").where((F.col("ts") >= start) & (F.col("ts") <= end)).select("task_id", "ts")
 
 
 def convert_new_files(files: DataFrame, convert: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Each file of a streaming binaryFile source once: converted and appended to target."""
-    write = lambda batch, _: convert(batch).write.mode("append").parquet(target)
+    """Each file of a streaming binaryFile source once: converted and appended to target.
+
+    A batch that is run again after a failure overwrites its own folder, so no file is there twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        convert(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
