@@ -8,10 +8,10 @@ K-mers are short and tuples small and many, so that a pair at SIMILARITY is a ca
 documents of fewer than SHORT words the tuples are of PICKED_SHORT single words, as few k-mers outlast an edit there.
 
 Documents with the same words are one node from the start. The nodes that share a tuple are a group; each is compared to
-one of them, the group's leader, unless both are in one class already. Similar nodes are joined into classes by alternating
-star contraction. In groups that did not become one class, such as those that a common passage makes, every two members of
-different classes are then compared: lengths and counts of words by bucket rule out what can't be similar, the rest is
-aligned. So each two nodes that share a tuple end in one class or were found not to be similar.
+one of them, the group's leader, unless the group is in one class already. Similar nodes are joined into classes by alternating
+star contraction. In groups that did not become one class, such as those that a common passage makes, members of different
+classes are then compared until they are in one class: lengths and counts of words by bucket rule out what can't be
+similar, the rest is aligned. So each two nodes that share a tuple end in one class or were found not to be similar.
 
 Texts that are null or without words are in a class of their own each. Rows with the same id are one document. Ties go to smaller ids. Other columns are not read.
 """
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, mix64, small_batches
@@ -47,9 +47,8 @@ _TAKEN = np.uint64(0xFFFFFFFFFFFFFFFF)
 HELD_VALUES = 1 << 17
 #: Buckets of words whose counts bound the distance of two documents from below.
 BUCKETS = 256
-#: Members of a group that one task compares with each other; larger groups are dealt out.
-UNIT = 4096
-PAIRS_AT_ONCE = 1 << 16
+#: Members of a group that one task compares with each other, and their words; larger groups are dealt out.
+UNIT, UNIT_WORDS = 4096, 1 << 22
 
 
 class _Hashes(dict):
@@ -130,7 +129,7 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
         return False
     if most >= len(a):
         return _distance(a.tolist(), b.tolist()) <= most
-    band = min(16, most)
+    band = most if most <= 64 else 16
     while _distance_in_band(a.tolist(), b.tolist(), band) > band:  # most pairs need a narrow band only
         if band == most:
             return False
@@ -267,6 +266,13 @@ def _rooted(rows: DataFrame, roots: DataFrame | None, of: str) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias(of), F.col("root").alias(f"{of}_root")), of, "left").withColumn(f"{of}_root", F.coalesce(f"{of}_root", of))
 
 
+def _with_root(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows with the class so far of their node, as root."""
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return _rooted(_rooted(pairs, roots, "node"), roots, "leader").where("node_root <> leader_root")
 
@@ -283,58 +289,59 @@ def _merged(roots: DataFrame | None, similar: DataFrame) -> DataFrame | None:
     return kept(moved.unionByName(step), "roots")
 
 
-def _bags(words: DataFrame) -> DataFrame:
-    """node, bag: how many words fall into each of BUCKETS buckets, 255 at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for of_node in batch.column(1):
-                counts = np.bincount((np.frombuffer(of_node.as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                found.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "bag"])
-
-    return words.select("node", "words").mapInArrow(run, "node bigint, bag binary")
-
-
-def _possible(side: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bags: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one unit that are in two classes and that lengths and bags of words don't rule out, as two arrays of places."""
-    order = np.lexsort((nodes, sizes))
-    sorted_sizes, totals = sizes[order], bags.sum(axis=1, dtype=np.int64)
-    two = bool(side.any())
-    # Places up to here in the order are short enough for the place itself to be compared with.
-    ends = np.searchsorted(sorted_sizes * similarity - 1e-9, sorted_sizes, "right")
-    start = 0
-    while start < len(order):
-        stop = max(start + 1, int(np.searchsorted(np.cumsum(ends[start:] - np.arange(start, len(order))), PAIRS_AT_ONCE)) + start)
-        many = ends[start:stop] - np.arange(start, stop) - 1
-        first = np.repeat(np.arange(start, stop), many)
-        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
-        i, j = order[first], order[second]
-        apart = (roots[i] != roots[j]) & ((side[i] != side[j]) if two else True)
-        i, j = i[apart], j[apart]
-        shared = np.minimum(bags[i], bags[j]).sum(axis=1, dtype=np.int64)
-        least = np.maximum(totals[i], totals[j]) - shared
-        close = least <= (1 - similarity) * np.maximum(sizes[i], sizes[j]) + 1e-9
-        yield i[close], j[close]
-        start = stop
-
-
-def _pairs_in_units(rows: DataFrame, similarity: float) -> DataFrame:
-    """node, leader, bound of the pairs within each unit that have to be aligned. rows: unit, side, node, root, n_words, bag."""
+class _Unit:
+    """Members of one group that a task compares: shortest first, each with those before it that are in other classes."""
+
+    def __init__(self, rows: pa.Table, similarity: float):
+        order = np.lexsort((rows.column("node").to_numpy(), rows.column("n_words").to_numpy()))
+        rows = rows.take(order)
+        self.similarity, self.key = similarity, rows.column("key")[0].as_py()
+        self.side, self.nodes, self.sizes = (rows.column(c).to_numpy() for c in ("side", "node", "n_words"))
+        self.classes = np.array(rows.column("root").to_numpy())
+        self.words = [np.frombuffer(w.as_buffer(), np.uint64) for w in rows.column("words")]
+        self.keys = [frozenset(k) for k in rows.column("keys").to_pylist()]
+        self.bags = np.zeros((len(order), BUCKETS), np.uint8)
+        for bag, words in zip(self.bags, self.words, strict=True):
+            bag[:] = np.minimum(np.bincount((words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255)
+        self.totals = self.bags.sum(axis=1, dtype=np.int64)
+        self.two = bool(self.side.any())
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """The pairs that were found similar and joined two classes, larger node first."""
+        starts = np.searchsorted(self.sizes, self.sizes * self.similarity - 1e-9)  # shorter ones can't be similar
+        for i in range(1, len(self.sizes)):
+            for j in self._likely(int(starts[i]), i):
+                if self.classes[i] == self.classes[j] or min(self.keys[i] & self.keys[j]) != self.key:
+                    continue  # joined by now, or compared in another group that both are in
+                if within(self.words[j], self.words[i], int((1 - self.similarity) * self.sizes[i] + 1e-9)):
+                    a, b = sorted((self.classes[i], self.classes[j]))
+                    self.classes[self.classes == b] = a
+                    yield max(self.nodes[i], self.nodes[j]), min(self.nodes[i], self.nodes[j])
+
+    def _likely(self, start: int, i: int) -> np.ndarray:
+        """Members from start to before i that are in another class and share enough words, those that share most first."""
+        apart = self.classes[start:i] != self.classes[i]
+        if self.two:
+            apart &= self.side[start:i] != self.side[i]
+        j = np.flatnonzero(apart) + start
+        shared = np.minimum(self.bags[j], self.bags[i]).sum(axis=1, dtype=np.int64)
+        distance = np.maximum(self.totals[j], self.totals[i]) - shared
+        close = distance <= (1 - self.similarity) * self.sizes[i] + 1e-9
+        return j[close][np.argsort(-shared[close], kind="stable")]
+
+
+def _linked_in_units(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """node, leader of links that join classes within each unit. rows: unit, side, key, node, root, n_words, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            units, side, nodes, roots, sizes = (table.column(c).to_numpy() for c in ("unit", "side", "node", "root", "n_words"))
-            bags = np.frombuffer(b"".join(table.column("bag").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            units = table.column("unit").to_numpy()
             cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                for i, j in _possible(side[a:b], nodes[a:b], roots[a:b], sizes[a:b], bags[a:b], similarity):
-                    if len(i):
-                        x, y = nodes[a:b][i], nodes[a:b][j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["node", "leader"])
+                if links := list(_Unit(table.slice(a, b - a), similarity).links()):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["node", "leader"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -348,73 +355,98 @@ def _pairs_in_units(rows: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from found(pa.Table.from_batches(held))
 
-    dealt = rows.select("unit", "side", "node", "root", "n_words", "bag").repartition("unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(run, "node bigint, leader bigint")
+    dealt = rows.join(words, "node").select("unit", "side", "key", "node", "root", "n_words", "keys", "words")
+    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "node bigint, leader bigint").distinct()
 
 
-def _units(members: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """unit, side, key, node, n_words: each two members of a group whose lengths allow similarity are in one unit at least.
+def _units(members: DataFrame, similarity: float) -> DataFrame:
+    """unit, side, key, node, root, n_words, keys: each two members of a group whose lengths allow similarity are in one unit at least.
 
-    A group of up to UNIT members is one unit. Larger ones are dealt into cells by length and hash, and each two cells whose
-    lengths are near enough are a unit, so that no task takes a whole large group. sizes: key, n.
+    Groups of up to UNIT members and UNIT_WORDS words are one unit. Larger ones are dealt into cells by length and hash,
+    and each two cells whose lengths are near enough are a unit, so that no task takes a whole large group. keys are the
+    groups that a node is in, so that a pair that shares several is compared in one of them only.
     """
-    members = members.join(sizes, "key")
-    small = members.where(F.col("n") <= UNIT).select(F.col("key").alias("unit"), F.lit(0).alias("side"), "node", "n_words")
-    banded = members.where(F.col("n") > UNIT).withColumn("band", F.floor(F.log("n_words") / math.log(1 / similarity) + 1e-9))
-    counted = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) * 2 / UNIT).alias("cells"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_words").alias("total"))
+    of_node = Window.partitionBy("node")  # as many rows as a node has tuples, at most
+    rows = members.select("key", "node", "root", "n_words", F.collect_list("key").over(of_node).alias("keys")).join(sizes, "key")
+    fits = (F.col("members") <= UNIT) & (F.col("total") <= UNIT_WORDS)
+    columns = ["unit", "side", "key", "node", "root", "n_words", "keys"]
+    small = rows.where(fits).withColumns({"unit": F.col("key"), "side": F.lit(0)}).select(*columns)
+    banded = rows.where(~fits).withColumn("band", F.floor(F.log("n_words") / math.log(1 / similarity) + 1e-9))
+    many = F.greatest(F.count(F.lit(1)) * 2 / UNIT, F.sum("n_words") * 2 / UNIT_WORDS)
+    counted = banded.groupBy("key", "band").agg(F.ceil(many).alias("cells"))
     cells = counted.select("key", "band", "cells", F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("cell"))
     # A band reaches the next but one by rounding only; such pairs are then ruled out by their exact lengths.
     other = cells.select("key", F.col("band").alias("band_b"), F.col("cell").alias("cell_b"))
     near = cells.join(other, "key").where("band_b = band and cell_b >= cell or band_b > band and band_b <= band + 2")
     unit = F.xxhash64("key", "band", "cell", "band_b", "cell_b").alias("unit")
     same = (F.col("band") == F.col("band_b")) & (F.col("cell") == F.col("cell_b"))
-    sides = near.select("key", "band", "cell", unit, F.lit(0).alias("side")).unionByName(near.where(~same).select("key", F.col("band_b").alias("band"), F.col("cell_b").alias("cell"), unit, F.lit(1).alias("side")))
+    first = near.select("key", "band", "cell", unit, F.lit(0).alias("side"))
+    second = near.where(~same).select("key", F.col("band_b").alias("band"), F.col("cell_b").alias("cell"), unit, F.lit(1).alias("side"))
     dealt = banded.join(counted, ["key", "band"]).withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    return small.unionByName(dealt.join(sides, ["key", "band", "cell"]).select("unit", "side", "node", "n_words"))
+    return small.unionByName(dealt.join(first.unionByName(second), ["key", "band", "cell"]).select(*columns))
+
+
+def _open_groups(rooted: DataFrame) -> DataFrame:
+    """The rows (key, root, ...) of those groups whose members are in more than one class."""
+    spread = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    return rooted.join(spread, "key")
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """key, n, times, node, n_words, leader, leader_words: the members of each group of nodes that share a tuple.
+
+    Tuples that the same nodes share are one group, times their number. A group's leader is the member with the most
+    company over all its groups (ties: the smallest node): most groups of a cluster then have the same leader, which
+    keeps the different pairs of a member and a leader few.
+    """
+    members = nodes.select("node", "n_words", F.explode(F.array_distinct("keys")).alias("key"))
+    of_set = F.bit_xor(F.xxhash64("node")).alias("set_a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("set_b")
+    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *of_set).where("n > 1")
+    groups = groups.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "n", "times")
+    shared = kept(members.join(groups, "key"), "shared")
+    # A node has SKETCHES tuples at most, or twice as many, so these windows are small.
+    weighed = kept(shared.withColumn("company", F.sum(F.col("n") * F.col("times")).over(Window.partitionBy("node"))), "weighed")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"), "n_words")).alias("lead"))
+    leaders = leaders.select("key", (-F.col("lead.minus")).alias("leader"), F.col("lead.n_words").alias("leader_words"))
+    return kept(weighed.drop("company").join(leaders, "key"), "groups")
 
 
 def similar_nodes(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between nodes (node, n_words, keys): node, leader; and node, root of the nodes that are not roots."""
     spark = docs.sparkSession
     none = spark.createDataFrame([], "node bigint, leader bigint"), spark.createDataFrame([], "node bigint, root bigint")
-    members = nodes.select("node", "n_words", F.explode(F.array_distinct("keys")).alias("key"))
-    lead = F.min(F.struct("node", "n_words")).alias("lead")
-    # Tuples that the same nodes share are one group.
-    of_set = F.bit_xor(F.xxhash64("node")).alias("set_a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("set_b")
-    groups = members.groupBy("key").agg(lead, F.count(F.lit(1)).alias("n"), *of_set).where("n > 1")
-    leaders = groups.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("key", "lead")).alias("one"), F.count(F.lit(1)).alias("times"))
-    leaders = leaders.select("one.key", F.col("one.lead.node").alias("leader"), F.col("one.lead.n_words").alias("leader_words"), "n", "times")
-    followers = kept(members.join(leaders, "key"), "groups")
+    followers = _groups(nodes)
     if followers.isEmpty():
         return none
     words = _words_of(followers.select("node"), docs)
     links = roots = None
 
     def compare(pairs: DataFrame) -> None:
+        """Align pairs (node, leader) and join the classes of those that are similar."""
         nonlocal links, roots
-        done = _verified(_apart(pairs, roots).select("node", "leader"), words, similarity)
+        done = _verified(pairs, words, similarity)
         similar = done.where("similar").select("node", "leader")
         links = similar if links is None else links.unionByName(similar)
         roots = _merged(roots, similar)
 
     comparable = F.least("n_words", "leader_words") >= F.greatest("n_words", "leader_words") * similarity - 1e-9
-    pairs = kept(followers.where("node <> leader").where(comparable).groupBy("node", "leader").agg(F.sum("times").alias("shared")), "pairs")
-    best = pairs.groupBy("node").agg(F.max(F.struct("shared", F.col("leader"))).alias("most")).select("node", F.col("most.leader").alias("leader"))
-    # Each node's likeliest leader first; of the others, those that are not in its class by then.
+    pairs = followers.where("node <> leader").where(comparable).groupBy("node", "leader").agg(F.sum("times").alias("shared"))
+    # Each node's likeliest leader first.
+    best = kept(pairs.groupBy("node").agg(F.max(F.struct("shared", "leader")).alias("most")).select("node", F.col("most.leader").alias("leader")), "best")
     compare(best)
-    compare(pairs.select("node", "leader").join(best, ["node", "leader"], "left_anti"))
-    # In groups of more than two that are not one class yet, all pairs of members in two classes are compared.
-    unsettled = kept(_apart(followers.where("n > 2 and node <> leader").select("key", "n", "node", "leader"), roots).select("key", "n").distinct(), "unsettled")
-    if unsettled.isEmpty():
-        return links, roots if roots is not None else none[1]
-    units = kept(_units(followers.select("key", "node", "n_words"), unsettled, similarity), "units")
-    bags = kept(_bags(words.join(units.select("node").distinct(), "node", "left_semi")), "bags")
-    rooted = _rooted(units, roots, "node").withColumnRenamed("node_root", "root").join(bags, "node")
-    tried = pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
-    left = kept(_pairs_in_units(rooted, similarity).distinct().join(tried, ["node", "leader"], "left_anti"), "left")
-    # One pair of each node first: what that joins needs no further comparison.
-    compare(left.groupBy("node").agg(F.min("leader").alias("leader")))
-    compare(left.join(left.groupBy("node").agg(F.min("leader").alias("leader")), ["node", "leader"], "left_anti"))
+    # Then the other leaders of groups that are not one class by that.
+    group_rows = followers.select("key", "n", "node", "n_words", "leader", "leader_words")
+    still = kept(_open_groups(_with_root(group_rows, roots)).drop("root"), "open")
+    others = still.where("node <> leader").where(comparable).select("node", "leader").distinct().join(best, ["node", "leader"], "left_anti")
+    compare(_apart(others, roots).select("node", "leader"))
+    # In groups of more than two that are not one class yet, members of different classes are compared until they are
+    # in one or found not to be similar.
+    crowds = kept(_open_groups(_with_root(still.where("n > 2"), roots)), "crowds")
+    if not crowds.isEmpty():
+        found = kept(_linked_in_units(_units(crowds, similarity), words, similarity), "crowd-links")
+        links = links.unionByName(found)
+        roots = _merged(roots, found)
     return links, roots if roots is not None else none[1]
 
 
