@@ -16,9 +16,9 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     low = max((universe // max(n, 1)).bit_length() - 1, 0)
     upper = (values >> _U(low)).astype(np.int64) + np.arange(n)
     size = -(-(n + (universe >> low) + 2) // (64 * WORDS)) * WORDS
-    bits = np.zeros(size * 8, np.uint8)
-    np.bitwise_or.at(bits, upper >> 3, (1 << (upper & 7)).astype(np.uint8))
-    bits = bits.view(_U)
+    flags = np.zeros(size * 64, bool)
+    flags[upper] = True
+    bits = np.packbits(flags, bitorder="little").view(_U)
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).reshape(-1, WORDS).sum(axis=1, dtype=np.int64))])
     zeros = np.arange(len(ones)) * 64 * WORDS - ones
     packed = np.zeros(n * low // 64 + 2, _U)
@@ -26,12 +26,19 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         place = np.arange(n, dtype=np.int64) * low
         word, shift = place >> 6, (place & 63).astype(_U)
         rest = values & _U((1 << low) - 1)
-        np.bitwise_or.at(packed, word, rest << shift)
+        _put(packed, word, rest << shift)
         over = (place & 63) + low > 64
-        np.bitwise_or.at(packed, word[over] + 1, rest[over] >> (_U(64) - shift[over]))
+        _put(packed, word[over] + 1, rest[over] >> (_U(64) - shift[over]))
     return {"meta": np.array([n, low], np.int64), "bits": bits, "ones": ones, "zeros": zeros, "low": packed}
 
 
+def _put(packed: np.ndarray, word: np.ndarray, bits: np.ndarray) -> None:
+    """Set bits of words; word does not fall."""
+    if len(word):
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        packed[word[first]] |= np.bitwise_or.reduceat(bits, first)
+
+
 class Sequence:
     """A coded sequence; all methods take and give arrays."""
 
@@ -60,6 +67,19 @@ class Sequence:
             value = np.where(up, value >> _U(step), value)
         return (block * WORDS + word) * 64 + place
 
+    def _ones_from(self, place: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many ones follow one another from each place; before the zero numbered high."""
+        word, shift = place >> 6, (place & 63).astype(_U)
+        value = self.bits[word] >> shift
+        over = shift > 0
+        after = np.minimum(word[over] + 1, len(self.bits) - 1)
+        value[over] |= self.bits[after] << (_U(64) - shift[over])
+        zeros = ~value
+        count = np.bitwise_count((zeros & -zeros) - _U(1)).astype(np.int64)  # zeros below the lowest one
+        long = np.flatnonzero(zeros == 0)
+        count[long] = self._select(high[long], False) - place[long]
+        return count
+
     def lows(self, index: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(index), _U)
@@ -82,7 +102,7 @@ class Sequence:
         index = np.zeros(len(target), np.int64)
         later = high > 0
         index[later] = self._select(high[later] - 1, False) + 1 - high[later]
-        end = self._select(high, False) - high
+        end = index + self._ones_from(index + high, high)
         below, above = index.copy(), end.copy()  # by halving, among the values with the same high part
         left = np.flatnonzero(below < above)
         while len(left):

@@ -10,11 +10,13 @@ searches the successor of base + id within the node's followers.
 Probabilities are interpolated with absolute discounting, p(w|h) = max(n(hw) - D, 0)/n(h) + D * distinct(h)/n(h) * p(w|h'),
 down to (c + 1)/(N + V + 1) for one token, in which 1 of the V + 1 shares is for all unseen tokens.
 
-N-grams are counted by Spark: each task counts its own first, then the counts meet in ranges of n-grams that a sample of
-texts cuts evenly; the sample only sets the cuts. A frequent context spans several ranges. Ranges become files of the
-shared folder, which tasks map into memory; nothing of the model passes through the driver but the list of the files.
+N-grams of all orders are counted by Spark in one pass: each task counts its own first, then the counts meet in ranges of
+n-grams that a sample of texts cuts evenly; the sample only sets the cuts. A frequent context spans several ranges. Ranges
+become files of the shared folder, which tasks map into memory; nothing of the model passes through the driver but the
+list of the files.
 
-Null text is empty, and scores its end token only. Words are known by 64-bit hashes. Other columns are not read, rows
+Null text is empty, and scores its end token only. Words are known by 64-bit hashes; there may be 2**31 - 2 different ones,
+more are refused. Other columns are not read, rows
 are scored each for itself. With no training text every token has probability 1 (one share, of unseen tokens).
 """
 
@@ -31,50 +33,80 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, mapped_file, new_folder, opened, put_file, small_batches
+from .common import kept, mapped_file, mix64, new_folder, opened, put_file, small_batches
 from .elias_fano import Sequence, dump, encode, load
 
 ORDER = 3
 DISCOUNT = 0.75
-#: Expected number of texts that set the cuts, and tokens for each range, about.
-CUT_TEXTS, RANGE_TOKENS = 4000, 4 << 20
-#: N-grams that a task counts before it hands them on.
-COUNTED = 4 << 20
+#: Expected number of texts that set the cuts, of n-grams drawn from them for each range, and tokens for each range, about.
+CUT_TEXTS, CUTS_DRAWN, RANGE_TOKENS = 4000, 32, 4 << 20
+#: N-grams that a task counts before it hands them on; words that it remembers; bytes of text that it takes at once.
+COUNTED, REMEMBERED, AT_ONCE = 4 << 20, 500_000, 8 << 20
+MOST_WORDS = (1 << 31) - 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
+END = b"\n"  # no word holds a line end
+_LOW = np.int64(0xFFFFFFFF)
 _OPEN: dict[str, object] = {}
 
 
-class _Hashes(dict):
+class _Met(dict):
+    """Numbers of the words that a task has met, in order of meeting. Words that are new since they were taken are in new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens of all texts, one after the other, and where each text begins."""
+        tokens: list[bytes] = []
+        begins = [0]
+        for text in texts:
+            tokens += (text.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+            tokens.append(END)
+            begins.append(len(tokens))
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)), np.array(begins)
+
+    def take_new(self) -> np.ndarray:
+        found = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(self.new))
+        self.new = []
         return found
 
 
-def token_hashes(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, one after the other, and where each text begins."""
-    found, sizes = [], []
-    for text in texts:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-        found.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-        found.append(np.array([END], np.uint64))
-        sizes.append(len(words) + 1)
-    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+class _Known:
+    """Ids and training counts of the tokens of texts."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.met, self.ids, self.counts = _Met(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.met) > REMEMBERED:
+            self._forget()
+        numbers, begins = self.met.read(texts)
+        ids, counts = word_ids(self.met.take_new(), self.model)
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        return self.ids[numbers], self.counts[numbers], begins
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rising keys and their counts, small: bytes of the differences by place, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    both = np.concatenate([np.ascontiguousarray(steps).ravel(), np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel()])
-    return zstandard.ZstdCompressor(level=1).compress(both.tobytes())
+def pack(keys: np.ndarray, *others: np.ndarray) -> bytes:
+    """Rising keys and further columns, small: bytes of the keys' differences and of the columns by place, compressed."""
+    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel() for c in (steps, *others)]
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, 8, -1)
-    keys, counts = (np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in both)
-    return np.cumsum(keys, dtype=np.uint64), counts.astype(np.int64)
+def unpack(data: bytes, columns: int = 2) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 8, -1)
+    found = [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in planes]
+    return [np.cumsum(found[0], dtype=np.uint64), *(x.astype(np.int64) for x in found[1:])]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +116,15 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def summed_grams(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for n-grams, in order of context and token."""
+    order = np.lexsort((ids, contexts))
+    contexts, ids, counts = contexts[order], ids[order], counts[order]
+    new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1])])[: len(ids)]
+    first = np.flatnonzero(new)
+    return contexts[first], ids[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes and the codebook: 256 bins of equally many values, each standing for its mean."""
     order = np.argsort(values)
@@ -94,16 +135,34 @@ def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, (sums / np.maximum(np.bincount(bins, minlength=256), 1)).astype(np.float32)
 
 
+@dataclass
+class Level:
+    """The files of a level: the first n-gram of each (context, token), and the number of its first node."""
+
+    paths: list[str]
+    contexts: np.ndarray
+    tokens: np.ndarray
+    starts: np.ndarray
+
+    def file_of(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The file where each n-gram is, if it is anywhere."""
+        each, rank = np.unique(self.contexts, return_inverse=True)
+        at = np.searchsorted(each, contexts, "right") - 1
+        exact = (at >= 0) & (each[np.maximum(at, 0)] == contexts)
+        files, keys = rank.astype(np.int64) << 32 | self.tokens, at << 32 | np.where(exact, ids, _LOW)
+        return np.maximum(np.searchsorted(files, keys, "right") - 1, 0)
+
+
 @dataclass
 class Model:
-    """What tasks need to find the files: of each level, the paths, the first node of each file, and the cuts."""
+    """What tasks need to find the files."""
 
     words: list[str]
     word_starts: np.ndarray
     word_first: np.ndarray
     n_words: int
     total: int
-    levels: list[tuple[list[str], np.ndarray, np.ndarray]]
+    levels: list[Level]
 
 
 def _file(path: str, kind: type):
@@ -120,7 +179,7 @@ class _Words:
         self.most = self.hashes.at(np.array([self.hashes.n - 1]))[0]
 
 
-class _Level:
+class _LevelFile:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.first, self.contexts = (int(x) for x in arrays["range"])
         self.pointers, self.followers = Sequence(arrays, "pointer"), Sequence(arrays, "follower")
@@ -135,20 +194,20 @@ class _Level:
         return begin, end, base
 
     def find(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Local index of each follower (-1: none), its log10 probability, and the context's back-off (0: not a context)."""
+        """Local index of each follower (-1: none), its log10 probability, and the context's back-off (0: not a context). contexts do not fall."""
         local = contexts - self.first
         inside = (local >= 0) & (local < self.contexts)
         index, prob, back = np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(ids))
         at = np.flatnonzero(inside)
         if not len(at):
             return index, prob, back
-        each, inverse = np.unique(local[at], return_inverse=True)
-        begin, end, base = (x[inverse] for x in self.spans(each))
-        back[at] = self.back_book[self.back[local[at]]]
-        some = begin < end
-        at, begin, end, base = at[some], begin[some], end[some], base[some]
+        local = local[at]
+        new = np.concatenate([[True], local[1:] != local[:-1]])
+        inverse = np.cumsum(new) - 1
+        begin, end, base = (x[inverse] for x in self.spans(local[new]))
+        back[at] = self.back_book[self.back[local]]
         target = base + ids[at].astype(np.uint64)
-        within = target <= self.most
+        within = (begin < end) & (target <= self.most)
         at, begin, end, target = at[within], begin[within], end[within], target[within]
         found, equal = self.followers.next_at_least(target)
         equal &= (found >= begin) & (found < end)
@@ -156,13 +215,6 @@ class _Level:
         prob[at[equal]] = self.prob_book[self.prob[found[equal]]]
         return index, prob, back
 
-    def last_ids(self, index: np.ndarray) -> np.ndarray:
-        """The last token of local nodes."""
-        ends = self.pointers.at(np.arange(self.contexts + 1)).astype(np.int64)
-        context = np.searchsorted(ends, index, "right") - 1
-        each, inverse = np.unique(context, return_inverse=True)
-        return (self.followers.at(index) - self.spans(each)[2][inverse]).astype(np.int64)
-
 
 def word_ids(hashes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: unknown) and training counts of token hashes."""
@@ -192,61 +244,63 @@ def single_log(counts: np.ndarray, model: Model) -> np.ndarray:
     return np.log10((counts + 1.0) / (model.total + model.n_words + 1))
 
 
-def look_up(contexts: np.ndarray, ids: np.ndarray, level: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes (-1: none), log10 probabilities and back-offs of n-grams at a level; context or id -1: none."""
-    paths, starts, cuts = level
+def look_up(contexts: np.ndarray, ids: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes (-1: none), log10 probabilities and back-offs of n-grams at a level; context or id -1: none. contexts do not fall."""
     node, prob, back = np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(ids))
     known = np.flatnonzero(contexts >= 0)
-    # An unknown token is in no list, but its context has a back-off.
-    key = contexts[known].astype(np.uint64) << np.uint64(32) | np.maximum(ids[known], 0).astype(np.uint64)
-    each, inverse = np.unique(key, return_inverse=True)
-    part = np.searchsorted(cuts, each, "right")
-    found = [np.full(len(each), -1), np.zeros(len(each)), np.zeros(len(each))]
+    if not level.paths or not len(known):
+        return node, prob, back
+    contexts, asked = contexts[known], np.maximum(ids[known], 0)  # an unknown token is in no list, but its context has a back-off
+    part = level.file_of(contexts, asked)
     for k in np.unique(part):
-        if paths[k] is None:
-            continue
         at = np.flatnonzero(part == k)
-        index, p, b = _file(paths[k], _Level).find((each[at] >> np.uint64(32)).astype(np.int64), (each[at] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        found[0][at], found[1][at], found[2][at] = np.where(index >= 0, index + starts[k], -1), p, b
-    node[known], prob[known], back[known] = (x[inverse] for x in found)
+        index, p, b = _file(level.paths[k], _LevelFile).find(contexts[at], asked[at])
+        at = known[at]
+        node[at], prob[at], back[at] = np.where(index >= 0, index + level.starts[k], -1), p, b
     unknown = ids < 0
     node[unknown], prob[unknown] = -1, 0.0
     return node, prob, back
 
 
-def _contexts(ids: np.ndarray, begins: np.ndarray, model: Model, upto: int) -> list[np.ndarray]:
-    """For each level, the node that stands before each token (-1: none), for the levels built so far up to upto."""
+def _pairs(ids: np.ndarray, begins: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each token (start: none), and the keys of both; -1 where one is not known."""
     before = np.concatenate([[-1], ids[:-1]])
-    before[begins[:-1]] = model.n_words  # the start of a text
-    contexts = [before]
-    for level in model.levels[: upto - 2]:
-        node = look_up(contexts[-1], ids, level)[0]
-        after = np.concatenate([[-1], node[:-1]])
-        after[begins[:-1]] = -1
-        contexts.append(after)
-    return contexts
+    before[begins[:-1]] = start
+    return before, np.where((before >= 0) & (ids >= 0), before << 32 | ids, -1)
+
+
+def _grams(ids: np.ndarray, begins: np.ndarray, start: int, order: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By order: contexts, tokens and counts of the n-grams of training texts. The context of three is the key of the first two."""
+    _, keys = _pairs(ids, begins, start)
+    each, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    found = {2: (each >> 32, each & _LOW, counts)}
+    if order == 3:
+        rank = np.concatenate([[-1], inverse[:-1]])
+        rank[begins[:-1]] = -1
+        some = rank >= 0
+        three, counts = np.unique(rank[some] << 32 | ids[some], return_counts=True)
+        found[3] = each[three >> 32], three & _LOW, counts
+    return found
 
 
 def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[list[str], np.ndarray, np.ndarray, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
-
         def hand_on() -> pa.RecordBatch:
-            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            keys, sums = summed(met.take_new(), counts)
             part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-            rows = [(k, pack(keys[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            rows = [(k, pack(keys[a:b], sums[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
 
-        for batch in small_batches(batches, "text", 8 << 20):
-            keys, _ = token_hashes(batch.column(0).to_pylist(), hashes)
-            keys, counts = np.unique(keys, return_counts=True)
-            held.append((keys, counts))
-            size += len(keys)
-            if size > COUNTED:
+        met, counts = _Met(), np.zeros(0, np.int64)
+        for batch in small_batches(batches, "text", AT_ONCE):
+            now = np.bincount(met.read(batch.column(0))[0], minlength=len(met))
+            now[: len(counts)] += counts
+            counts = now
+            if len(met) > REMEMBERED:
                 yield hand_on()
-                held, size = [], 0
-        if held:
+                met, counts = _Met(), np.zeros(0, np.int64)
+        if len(met):
             yield hand_on()
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -261,130 +315,165 @@ def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[list[str],
     done = texts.mapInArrow(count, "part int, data binary").groupBy("part").applyInPandas(build, "part int, path string, first bigint, size bigint, total bigint")
     files = kept(done, "word-files").orderBy("part").collect()  # a row for each file
     starts = np.concatenate([[0], np.cumsum([f["size"] for f in files])]).astype(np.int64)
+    if starts[-1] > MOST_WORDS:
+        raise ValueError(f"{starts[-1]} different words; ids are of 31 bits")
     first = np.array([f["first"] + (1 << 63) for f in files], np.uint64)
     return [f["path"] for f in files], starts[:-1], first, int(starts[-1]), sum(f["total"] for f in files)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], model: Model, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys (context << 32 | token) of the n-grams of each batch, with counts."""
-    hashes = _Hashes()
-    for batch in small_batches(batches, "text", 8 << 20):
-        tokens, begins = token_hashes(batch.column(0).to_pylist(), hashes)
-        ids, _ = word_ids(tokens, model)
-        context = _contexts(ids, begins, model, order)[-1]
-        known = context >= 0
-        yield np.unique(context[known].astype(np.uint64) << np.uint64(32) | ids[known].astype(np.uint64), return_counts=True)
-
-
-def _train_level(texts: DataFrame, sample: DataFrame, folder: str, model: Model, order: int, ranges: int, discount: float) -> tuple:
+def _drawn_cuts(texts: DataFrame, model: Model, order: int, ranges: int, size: int, rows: int) -> dict[int, list[tuple[int, int]]]:
+    """For each order, n-grams that cut the texts' into ranges of about equal size. The rows that are read are bounded, as are the n-grams drawn."""
     shared = texts.sparkSession.sparkContext.broadcast(model)  # names and starts of the files
+    share = min(1.0, CUT_TEXTS / max(rows, 1))
+    rate = min(1.0, CUTS_DRAWN * ranges / max(share * size / 6, 1))
+    sample = texts.where(F.pmod(F.col("row_hash"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _ in _keys(batches, shared.value, order):
-            some = keys[np.random.default_rng(7).random(len(keys)) < 64 * ranges / max(len(keys), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64))], names=["key"])
-
-    drawn = np.sort(np.array([r[0] for r in sample.mapInArrow(draw, "key bigint").limit(1 << 20).collect()], np.int64).astype(np.uint64))
-    cuts = np.unique(drawn[np.arange(1, ranges) * len(drawn) // ranges]) if len(drawn) else drawn
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        known = _Known(shared.value)
+        met: dict[int, list] = {n: [] for n in range(2, order + 1)}
+        for batch in small_batches(batches, "text", AT_ONCE):
+            ids, _, begins = known.read(batch.column(0))
+            for n, (contexts, tokens, counts) in _grams(ids, begins, shared.value.n_words, order).items():
+                # By a hash of the n-gram, so that one that occurs often is drawn as one.
+                some = mix64(mix64(contexts) + tokens.astype(np.uint64)).astype(np.float64) < rate * 2.0**64
+                met[n].append((contexts[some], tokens[some], counts[some]))
+        for n, parts in met.items():
+            if parts:
+                contexts, tokens, counts = summed_grams(*map(np.concatenate, zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), n, np.int32)), *map(pa.array, (contexts, tokens, counts))], names=["n", "context", "token", "times"])
+
+    drawn = sample.select("text").mapInArrow(draw, "n int, context bigint, token bigint, times bigint").groupBy("n", "context", "token").agg(F.sum("times").alias("times"))
+    found = drawn.toPandas()
+    cuts = {}
+    for n in range(2, order + 1):
+        of_n = found[found["n"] == n].sort_values(["context", "token"])
+        at = np.unique(np.arange(1, ranges) * len(of_n) // ranges) if len(of_n) else []
+        cuts[n] = [(int(c), int(t)) for c, t in of_n[["context", "token"]].to_numpy()[at]] if len(of_n) else []
+    return cuts
 
-        def hand_on() -> pa.RecordBatch:
-            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            ends = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
-            rows = [(k, pack(keys[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
 
-        for keys, counts in _keys(batches, shared.value, order):
-            held.append((keys, counts))
-            size += len(keys)
-            if size > COUNTED:
-                yield hand_on()
-                held, size = [], 0
-        if held:
-            yield hand_on()
+def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts: dict[int, list[tuple[int, int]]]) -> list:
+    """Files of the counts of each range of each order; a row for each."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # names and starts of the files
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        pieces = [unpack(d) for d in part["data"]]
-        keys, counts = summed(np.concatenate([k for k, _ in pieces]), np.concatenate([c for _, c in pieces]))
-        number, path = int(part["part"].iloc[0]), f"{folder}/counts-{order}-{int(part['part'].iloc[0])}"
-        put_file(path, lambda out: out.write(pack(keys, counts)))
-        context = keys >> np.uint64(32)
-        edge = [(int(c), int((context == c).sum()), int(counts[context == c].sum())) for c in (context[0], context[-1])]
-        return pd.DataFrame({"part": [number], "path": [path], "size": [len(keys)], "first": [edge[0][0]], "first_n": [edge[0][1]], "first_sum": [edge[0][2]], "last": [edge[1][0]], "last_n": [edge[1][1]], "last_sum": [edge[1][2]]})
-
-    done = texts.mapInArrow(count, "part int, data binary").groupBy("part").applyInPandas(meet, "part int, path string, size bigint, first bigint, first_n bigint, first_sum bigint, last bigint, last_n bigint, last_sum bigint")
-    files = kept(done, "count-files").orderBy("part").collect()  # a row for each range
-    edges: dict[int, list[int]] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(shared.value)
+        held: dict[int, list] = {n: [] for n in range(2, order + 1)}
+        sizes = dict.fromkeys(held, 0)
+
+        def hand_on(n: int) -> pa.RecordBatch:
+            contexts, tokens, counts = summed_grams(*map(np.concatenate, zip(*held[n], strict=True)))
+            held[n], sizes[n] = [], 0
+            ends = [0]
+            for context, token in cuts[n]:
+                a, b = np.searchsorted(contexts, context), np.searchsorted(contexts, context, "right")
+                ends.append(int(a + np.searchsorted(tokens[a:b], token)))
+            ends.append(len(tokens))
+            rows = [(k, pack(contexts[a:b], tokens[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            columns = [pa.array([n] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["n", "part", "data"])
+
+        for batch in small_batches(batches, "text", AT_ONCE):
+            ids, _, begins = known.read(batch.column(0))
+            for n, grams in _grams(ids, begins, shared.value.n_words, order).items():
+                held[n].append(grams)
+                sizes[n] += len(grams[0])
+                if sizes[n] > COUNTED:
+                    yield hand_on(n)
+        for n in held:
+            if held[n]:
+                yield hand_on(n)
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        pieces = [unpack(d, 3) for d in rows["data"]]
+        contexts, tokens, counts = summed_grams(*(np.concatenate(c) for c in zip(*pieces, strict=True)))
+        n, part = int(rows["n"].iloc[0]), int(rows["part"].iloc[0])
+        path = f"{folder}/counts-{n}-{part}"
+        put_file(path, lambda out: out.write(pack(contexts, tokens, counts)))
+        found = {"n": n, "part": part, "path": path, "size": len(tokens), "token": int(tokens[0])}
+        for side, context in (("first", contexts[0]), ("last", contexts[-1])):
+            of_context = contexts == context
+            found |= {side: int(context), f"{side}_n": int(of_context.sum()), f"{side}_sum": int(counts[of_context].sum())}
+        return pd.DataFrame([found])
+
+    schema = "n int, part int, path string, size bigint, token bigint, first bigint, first_n bigint, first_sum bigint, last bigint, last_n bigint, last_sum bigint"
+    done = texts.select("text").mapInArrow(count, "n int, part int, data binary").groupBy("n", "part").applyInPandas(meet, schema)
+    return kept(done, "count-files").orderBy("n", "part").collect()
+
+
+def _build_level(spark: SparkSession, files: list, folder: str, model: Model, order: int, discount: float) -> Level:
+    shared = spark.sparkContext.broadcast(model)  # names and starts of the files
+    edges: dict[int, list[int]] = {}  # of contexts at the ends of files: how many tokens follow, and how often
     for f in files:
         for side in ("first", "last")[: 1 if f["first"] == f["last"] else 2]:
             both = edges.setdefault(f[side], [0, 0])
             both[0] += f[f"{side}_n"]
             both[1] += f[f"{side}_sum"]
-    bounds = [int(c >> np.uint64(32)) for c in cuts]
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        model, out = shared.value, []
-        for number, source in zip(rows["part"], rows["path"], strict=True):
-            number = int(number)
-            filesystem, name = opened(source)
-            with filesystem.open_input_stream(name, compression=None) as stream:
-                keys, counts = unpack(stream.read())
-            context, ids = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            # The contexts at the range's cuts have a back-off here, though their followers may all be in its neighbours.
-            near = [b for b in bounds[max(number - 1, 0) : number + 1] if b in edges]
-            first, last = min([context[0], *near]), max([context[-1], *near])
-            local = context - first
-            distinct = np.bincount(local, minlength=last - first + 1).astype(np.int64)
-            sums = np.bincount(local, counts, last - first + 1)
-            pointers = np.concatenate([[0], np.cumsum(distinct)])
-            for c in {int(context[0]), int(context[-1]), *near} & edges.keys():
-                distinct[c - first], sums[c - first] = edges[c]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                spare = np.where(sums > 0, discount * distinct / sums, 1.0)
-            if order == 2:
-                lower = 10 ** single_log(counts_of_ids(ids, model), model)
-            else:
-                lower = 10 ** _lower(context, ids, model)
-            prob = np.maximum(counts - discount, 0) / sums[local] + spare[local] * lower
-            ends = pointers[1:][distinct_at := np.diff(pointers) > 0]
-            most = ids[ends - 1] + 1
-            base = np.zeros(last - first + 1, np.int64)
-            base[distinct_at] = np.concatenate([[0], np.cumsum(most)[:-1]])
-            values = base[local] + ids
-            prob_codes, prob_book = _quantised(np.log10(prob))
-            back_codes, back_book = _quantised(np.log10(spare))
-            arrays = {"range": np.array([first, last - first + 1]), "prob": prob_codes, "prob_book": prob_book, "back": back_codes, "back_book": back_book}
-            arrays |= {f"pointer.{k}": v for k, v in encode(pointers, len(keys) + 1).items()} | {f"follower.{k}": v for k, v in encode(values, int(values[-1]) + 1).items()}
-            path = f"{folder}/level-{order}-{number}"
-            put_file(path, lambda out, arrays=arrays: out.write(dump(arrays)))
-            out.append((number, path))
-        return pd.DataFrame(out, columns=["part", "path"])
-
-    listed = texts.sparkSession.createDataFrame([(f["part"], f["path"]) for f in files], "part int, path string")
-    built = dict(kept(listed.repartition(max(len(files), 1)).mapInPandas(lambda it: (build(x) for x in it if len(x)), "part int, path string"), "level-files").collect())
+
+    def nodes_of(contexts: np.ndarray, model: Model) -> np.ndarray:
+        return contexts if order == 2 else look_up(contexts >> 32, contexts & _LOW, model.levels[0])[0]
+
+    def lower(contexts: np.ndarray, ids: np.ndarray, model: Model) -> np.ndarray:
+        """Probability of each token after its context without the first token."""
+        single = single_log(counts_of_ids(ids, model), model)
+        if order == 2:
+            return 10**single
+        each, inverse = np.unique((contexts & _LOW) << 32 | ids, return_inverse=True)
+        node, prob, back = (x[inverse] for x in look_up(each >> 32, each & _LOW, model.levels[0]))
+        return 10 ** np.where(node >= 0, prob, back + single)
+
+    def build(number: int, source: str, ends: list[int], after: int | None) -> tuple[int, str, int]:
+        """Write the file of a range. ends: its first and last context; after: the first of the next file."""
+        model = shared.value
+        filesystem, name = opened(source)
+        with filesystem.open_input_stream(name, compression=None) as stream:
+            contexts, ids, counts = unpack(stream.read(), 3)
+        contexts = contexts.astype(np.int64)
+        new = np.concatenate([[True], contexts[1:] != contexts[:-1]])
+        each = contexts[new]
+        nodes = nodes_of(each, model)
+        first, local_of = int(nodes[0]), nodes - nodes[0]
+        # The next file's first context has its back-off here too: its tokens below that file's first are looked for here.
+        more = np.array([after] if after is not None and after > each[-1] else [], np.int64)
+        last = int(nodes_of(more, model)[0]) if len(more) else int(nodes[-1])
+        local = local_of[np.cumsum(new) - 1]
+        distinct = np.bincount(local, minlength=last - first + 1).astype(np.int64)
+        sums = np.bincount(local, counts, last - first + 1)
+        pointers = np.concatenate([[0], np.cumsum(distinct)])
+        at_edges = dict(zip(each[[0, -1]].tolist(), local_of[[0, -1]].tolist(), strict=True)) | {int(c): last - first for c in more}
+        for context, at in at_edges.items():
+            distinct[at], sums[at] = edges[context]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spare = np.where(sums > 0, discount * distinct / sums, 1.0)
+        prob = np.maximum(counts - discount, 0) / sums[local] + spare[local] * lower(contexts, ids, model)
+        some = np.diff(pointers) > 0
+        base = np.zeros(last - first + 1, np.int64)
+        base[some] = np.concatenate([[0], np.cumsum(ids[pointers[1:][some] - 1] + 1)[:-1]])
+        values = base[local] + ids
+        prob_codes, prob_book = _quantised(np.log10(prob))
+        back_codes, back_book = _quantised(np.log10(spare))
+        arrays = {"range": np.array([first, last - first + 1]), "prob": prob_codes, "prob_book": prob_book, "back": back_codes, "back_book": back_book}
+        arrays |= {f"pointer.{k}": v for k, v in encode(pointers, len(ids) + 1).items()}
+        arrays |= {f"follower.{k}": v for k, v in encode(values, int(values[-1]) + 1).items()}
+        path = f"{folder}/level-{order}-{number}"
+        put_file(path, lambda out: out.write(dump(arrays)))
+        return number, path, first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [build(r["number"], r["path"], r["ends"], r["after"]) for r in batch.to_pylist()]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["number", "path", "first_node"])
+
+    after = [f["first"] for f in files[1:]] + [None]
+    rows = [(k, f["path"], [f["first"], f["last"]], after[k]) for k, f in enumerate(files)]
+    listed = spark.createDataFrame(rows, "number bigint, path string, ends array<bigint>, after bigint").repartition(max(len(files), 1))
+    built = kept(listed.mapInArrow(run, "number bigint, path string, first_node bigint"), "level-files").orderBy("number").collect()
     for f in files:
         filesystem, name = opened(f["path"])
         filesystem.delete_file(name)
-    sizes = {f["part"]: f["size"] for f in files}
-    paths = [built.get(k) for k in range(len(cuts) + 1)]
-    starts = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(len(cuts) + 1)])[:-1]]).astype(np.int64)
-    return paths, starts, cuts
-
-
-def _lower(context: np.ndarray, ids: np.ndarray, model: Model) -> np.ndarray:
-    """log10 probability of each token after its context without the first token."""
-    paths, starts, _ = model.levels[-1]
-    each, inverse = np.unique(context, return_inverse=True)
-    last = np.full(len(each), -1)
-    part = np.searchsorted(starts, each, "right") - 1
-    for k in np.unique(part):
-        at = part == k
-        last[at] = _file(paths[k], _Level).last_ids(each[at] - starts[k])
-    # Contexts of two tokens: after the last one alone.
-    node, prob, back = look_up(last[inverse], ids, model.levels[0])
-    return np.where(node >= 0, prob, back + single_log(counts_of_ids(ids, model), model))
+    starts = np.concatenate([[0], np.cumsum([f["size"] for f in files])[:-1]]).astype(np.int64) if files else np.zeros(0, np.int64)
+    return Level([b["path"] for b in built], np.array([b["first_node"] for b in built], np.int64), np.array([f["token"] for f in files], np.int64), starts)
 
 
 def train(texts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Model:
@@ -392,40 +481,53 @@ def train(texts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> M
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
     spark: SparkSession = texts.sparkSession
-    texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # The hash of the whole row draws the sample: copies of one text are drawn each for itself.
+    keys = [F.col(f"`{c}`").cast("string") for c, kind in texts.dtypes if not kind.startswith(("array", "map", "struct"))]
+    texts = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(*keys).alias("row_hash"))
     folder = new_folder(spark, "ngrams")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    ranges = max(least, -(-(size[0] or 0) // (6 * RANGE_TOKENS)))
-    model = Model(*_train_words(texts, folder, ranges), [])
-    share = min(1.0, CUT_TEXTS / max(size[1], 1))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    size, rows = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    ranges = max(least, -(-(size or 0) // (6 * RANGE_TOKENS)))
+    model = Model(*_train_words(texts.select("text"), folder, ranges), [])
+    files = _count_grams(texts, folder, model, order, _drawn_cuts(texts, model, order, ranges, size or 0, rows))
     for n in range(2, order + 1):
-        model.levels.append(_train_level(texts, sample, folder, model, n, ranges, discount))
+        model.levels.append(_build_level(spark, [f for f in files if f["n"] == n], folder, model, n, discount))
     return model
 
 
+def token_logs(ids: np.ndarray, counts: np.ndarray, begins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each token alone, and after the tokens before it."""
+    base = single_log(counts, model)
+    before, _ = _pairs(ids, begins, model.n_words)
+    # Each different n-gram is looked up once, in order; -1 is an unknown token, and stands first.
+    pairs, inverse = np.unique((before + 1) << 32 | ids + 1, return_inverse=True)
+    node, prob, back = look_up((pairs >> 32) - 1, (pairs & _LOW) - 1, model.levels[0])
+    total = np.where(node[inverse] >= 0, prob[inverse], back[inverse] + base)
+    if len(model.levels) > 1:
+        rank = np.concatenate([[-1], inverse[:-1]])
+        rank[begins[:-1]] = -1
+        context = np.where(rank >= 0, node[rank], -1)
+        known = np.flatnonzero(context >= 0)
+        three, of_three = np.unique(rank[known] << 32 | ids[known] + 1, return_inverse=True)
+        found, prob, back = (x[of_three] for x in look_up(node[three >> 32], (three & _LOW) - 1, model.levels[1]))
+        total[known] = np.where(found >= 0, prob, back + total[known])
+    return base, total
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of each text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names and starts of the files
+    names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hashes = shared.value, _Hashes()
-        for batch in small_batches(batches, "text", 8 << 20):
-            tokens, begins = token_hashes(batch.column("text").to_pylist(), hashes)
-            ids, counts = word_ids(tokens, model)
-            base = single_log(counts, model)
-            total = base
-            context = np.concatenate([[-1], ids[:-1]])
-            context[begins[:-1]] = model.n_words
-            for level in model.levels:
-                node, prob, back = look_up(context, ids, level)
-                total = np.where(node >= 0, prob, back + total)
-                context = np.concatenate([[-1], node[:-1]])
-                context[begins[:-1]] = -1
-            n = batch.num_rows
-            sums = [np.add.reduceat(x, begins[:-1]) for x in (counts > 0, base, total)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begins)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, model.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return docs.select(F.col(id_col), "text").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        model, known = shared.value, _Known(shared.value)
+        for batch in small_batches(batches, "text", AT_ONCE):
+            ids, counts, begins = known.read(batch.column("text"))
+            base, total = token_logs(ids, counts, begins, model)
+            n_known, base, total = (np.add.reduceat(x, begins[:-1]) for x in ((counts > 0).astype(np.int64), base, total))
+            columns = [np.diff(begins), n_known, np.full(batch.num_rows, model.total, np.int64), base, total]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=names)
+
+    schema = f"`{id_col}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return docs.select(F.col(f"`{id_col}`"), "text").mapInArrow(run, schema)
