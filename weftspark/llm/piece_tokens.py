@@ -8,7 +8,8 @@ No entry of a usable vocabulary has the space mark after another character, so m
 run of marks; texts are cut there, and the result of each distinct cut is reused within a task.
 
 Null text and empty text have no ids. Very long texts and very long words take time and memory in proportion to their
-length. Rows, ties and repeated rows are independent of each other; other columns pass through unread.
+length. Rows, ties and repeated rows are independent of each other; an id may be null or repeat, and is given back as it
+is. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,16 +33,14 @@ _LOADED: dict[str, Codec] = {}
 
 
 class Known(dict):
-    """Ids of the cuts met so far, as text."""
+    """Of the cuts met so far, the ids as text and the bytes that these decode to."""
 
     def __init__(self, coder: Codec):
         self.coder = coder
 
-    def __missing__(self, cut: str) -> str:
+    def __missing__(self, cut: str) -> tuple[str, bytes]:
         ids = self.coder._cut_ids(cut)
-        if self.coder.decode_bytes(ids) != cut.replace(MARK, " ").encode():
-            self.coder.all_decode_to_themselves = False
-        found = ",".join(map(str, ids))
+        found = ",".join(map(str, ids)), self.coder.decode_bytes(ids)
         if len(cut) < 64:
             if len(self) > CACHE:
                 self.clear()
@@ -75,7 +74,6 @@ class Codec:
         self.matches.make_automaton()
         self.compatible: dict[int, bool] = {}
         self.known = Known(self)
-        self.all_decode_to_themselves = True
 
     def _split(self, piece: str, own: int) -> bool:
         """Find the two halves whose merging made the entry; false if merging its characters does not end in it."""
@@ -161,26 +159,30 @@ class Codec:
                 start, kind = k, now
         yield kind, cut[start:]
 
-    def ids_text(self, text: str) -> str:
-        """The ids of a text in decimal, joined by commas."""
-        return ",".join(map(self.known.__getitem__, CUT.findall(MARK + text.replace(" ", MARK)))) if text else ""
+    def coded(self, text: str) -> tuple[str, str]:
+        """The ids of a text in decimal, joined by commas, and the text that they decode to.
+
+        Ids decode each for itself, so the bytes of a text are those of its cuts, one after the other.
+        """
+        if not text:
+            return "", ""
+        cuts = list(map(self.known.__getitem__, CUT.findall(MARK + text.replace(" ", MARK))))
+        ids, data = ",".join([c[0] for c in cuts]), b"".join([c[1] for c in cuts])
+        return ids, self._text(data, int(ids.split(",", 1)[0]))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.ids_text(text).split(",")] if text else []
+        return [int(i) for i in self.coded(text)[0].split(",")] if text else []
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.decoded[i] for i in ids])
 
-    def decode_ids_of(self, text: str, ids: str) -> str:
-        """decode() of a text's own ids. Every cut was decoded when it was met; if all gave themselves, so does the whole."""
-        if self.all_decode_to_themselves:
-            return text.replace(MARK, " ")
-        return self.decode([int(i) for i in ids.split(",")] if ids else [])
+    def _text(self, data: bytes, first: int) -> str:
+        """Without the space that encoding puts before a text."""
+        return (data[1:] if self.piece[first].startswith(MARK) else data).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the space that encoding puts before it."""
-        data = self.decode_bytes(ids)
-        return (data[1:] if ids and self.piece[ids[0]].startswith(MARK) else data).decode("utf-8", "replace")
+        return self._text(self.decode_bytes(ids), ids[0]) if ids else ""
 
 
 def codec(model_file: str) -> Codec:
@@ -211,10 +213,10 @@ def token_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         for batch in small_batches(batches, "text"):
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column("text").to_pylist():
-                ids = coder.ids_text(text or "")
+                ids, decoded = coder.coded(text or "")
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode_ids_of(text or "", ids).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
