@@ -8,6 +8,7 @@ Pages with equal payloads of at least MIN_REVISIT bytes are stored once, as the
 others are revisit records that name it. Null html is an empty payload; empty and short payloads are always responses;
 a null page id is written as an empty id and read back as null. Repeated rows are records like any other: of rows that
 share both page id and payload, all are responses. Other columns are not read. An empty table gives no archive and no rows.
+An archive that is cut off or damaged is an error, wherever the cut is.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_t
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null: a response)."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("long_digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.col("digest")))
-    first = rows.where("long_digest is not null").groupBy("long_digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "long_digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("long", F.octet_length("payload") >= MIN_REVISIT)
+    # Short payloads have keys of their own, which meet nothing and go to many tasks.
+    rows = rows.withColumn("key", F.when(F.col("long"), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url", "digest"))))
+    first = rows.where("long").groupBy("key").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return rows.join(first, "key", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -117,14 +120,17 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _inflated(source, size: int = 1 << 20) -> Iterator[bytes]:
-    """The content of a gzip file of one or many members."""
-    stream = zlib.decompressobj(31)
+    """The content of a gzip file of one or many members. One that ends before its last member does is an error."""
+    stream, begun = zlib.decompressobj(31), False
     while data := source.read(size):
         while data:
+            begun = True
             yield stream.decompress(data)
             data = stream.unused_data
             if stream.eof:
-                stream = zlib.decompressobj(31)
+                stream, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("an archive ends within its gzip stream")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
