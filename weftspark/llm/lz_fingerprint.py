@@ -1,8 +1,9 @@
 """Lempel-Ziv phrase fingerprints of documents.
 
-A text is cut into pieces of up to five characters that begin at words, and these are parsed into dictionary phrases:
-each phrase is the longest one met before plus one piece, and joins the dictionary. The set of phrases is hashed, and its minimum under each of SIGNATURE hash functions kept; the share of equal
-minima of two fingerprints estimates how much of their dictionaries they share, and so how well one compresses by the other.
+A text is parsed character by character into dictionary phrases: each phrase is the longest one met before plus one
+character, and joins the dictionary. The set of phrases is hashed, and its minimum under each of SIGNATURE hash functions
+kept; the share of equal minima of two fingerprints estimates how much of their dictionaries they share, and so how well
+one compresses by the other.
 
 Each document is compared to an edited copy, whose last quarter of characters is replaced by the first as many of the
 next document, and to the next document; next goes by ascending id (then a hash of the text), and the first follows the last. Null
@@ -13,7 +14,6 @@ Null ids come first. Rows that repeat an id are documents of their own. A table
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import kept, mix64
 
 SIGNATURE = 64
-PIECE = re.compile(r"\s*\S{1,5}|\s+")
 _FACTORS = mix64(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -43,12 +42,11 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def parse(pieces: list[str], known: set[str], phrase: str = "", at: int = 0) -> tuple[list[int], str]:
+def parse(text: str, known: set[str], phrase: str = "", at: int = 0) -> tuple[list[int], str]:
     """Parse on from the offset at: where the new phrases end, and the phrase that is not complete. known grows."""
     ends, add = [], known.add
-    for piece in pieces:
-        phrase += piece
-        at += len(piece)
+    for at, character in enumerate(text, at + 1):
+        phrase += character
         if phrase not in known:
             add(phrase)
             ends.append(at)
@@ -84,24 +82,22 @@ def _hex(found: np.ndarray) -> str:
 
 
 class Parsed:
-    """A text parsed up to the last piece that an edit of its last quarter can't change, and on from there."""
+    """A text parsed up to the last character that an edit of its last quarter can't change, and on from there."""
 
     def __init__(self, text: str):
         self.text, self.kept = text, len(text) - len(text) // 4
         self.codes, self.known = _codes(text), set()
-        pieces = PIECE.findall(text[: self.kept])[:-1]
-        self.ends, self.phrase = parse(pieces, self.known)
-        self.cut = sum(map(len, pieces))
-        self.least = minima(self.codes[: self.cut], 0, self.ends)
+        self.ends, self.phrase = parse(text[: self.kept], self.known)
+        self.least = minima(self.codes[: self.kept], 0, self.ends)
         self.signature = self._onward(text, self.codes)
 
     def _onward(self, text: str, codes: np.ndarray) -> np.ndarray:
-        """The signature of a text that is the same up to the cut."""
-        ends, _ = parse(PIECE.findall(text[self.cut :]), self.known, self.phrase, self.cut)
+        """The signature of a text that begins with what is kept."""
+        ends, _ = parse(text[self.kept :], self.known, self.phrase, self.kept)
         start = self.ends[-1] if self.ends else 0
         least = np.minimum(self.least, minima(codes[start:], 0, [e - start for e in ends]))
         for a, b in zip([start, *ends], ends, strict=False):
-            self.known.discard(text[a:b])  # as it was at the cut
+            self.known.discard(text[a:b])  # as it was
         return signature(least, bool(self.ends or ends))
 
     def row(self, doc_id: int | None, after: Parsed) -> tuple:
