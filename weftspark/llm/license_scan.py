@@ -1,12 +1,15 @@
 """Licence scan: TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-A notice is a line that holds one of the MARKERS, compared to the short TEMPLATES, or a block that holds one, compared to
-the whole licence texts, headers and titles in the folder licenses. Blocks are paragraphs, runs of comment lines, the text
-from its first to its last paragraph with a marker, and the whole text. Licence files and headers are read alike. Vectors
-are sparse; idf is over the templates, and words that no template has count with the largest idf, so foreign text lowers
+A notice is a line, compared to the short TEMPLATES, or a block, compared to the whole licence texts, headers and titles in
+the folder licenses. Blocks are paragraphs, runs of comment lines, the text from its first to its last paragraph that holds
+one of the MARKERS, and the whole text. Licence files and headers are read alike. Vectors are sparse; document frequencies
+are those of all files and templates, and words that no template has count with the largest idf, so foreign text lowers
 the cosine. A notice takes the template of the highest cosine, if it is at least THRESHOLD (blocks: BLOCK_THRESHOLD); a
 file takes its best notice (ties: smaller template name).
 
+No line or block is left out: those of a text need no look only if its words, all together, hold too little of the weight
+of every template for any cosine to reach its threshold.
+
 A file without a licence of its own inherits that of the nearest directory above it in which a licence file (its base
 name begins with LICENSE, LICENCE or COPYING) was recognised; of several there, the one with the smallest path.
 
@@ -19,13 +22,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, small_batches
 
 THRESHOLD = 0.5
 #: Blocks are compared to whole licences, which share more of their common words with any prose.
@@ -69,14 +75,34 @@ def license_texts() -> list[tuple[str, str]]:
     return found
 
 
+def words_of(text: str) -> list[str]:
+    return WORDS.findall(text.lower())
+
+
+def document_frequencies(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
+    """The number of files and templates, and in how many of them each word of the templates is. files: text."""
+    of_templates = Counter(word for _, text in templates for word in set(words_of(text)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in (small for whole in batches for small in small_batches([whole], "text")):
+            for text in batch.column(0):
+                found.update(of_templates.keys() & set(words_of(text.as_py() or "")))
+                found[""] += 1  # no word; counts the files
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "files"])
+
+    counts = files.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, files bigint").groupBy("word").agg(F.sum("files"))
+    of_files = dict(counts.collect())  # a row for each word of the templates
+    return of_files.pop("", 0) + len(templates), {word: n + of_files.get(word, 0) for word, n in of_templates.items()}
+
+
 class Vectors:
     """Unit TF-IDF vectors of templates (name, text), and the likeliest template of a text. damped: 1 + log of counts."""
 
-    def __init__(self, templates: list[tuple[str, str]], damped: bool):
-        self.damped, self.names = damped, [name for name, _ in templates]
-        counts = [Counter(WORDS.findall(text.lower())) for _, text in templates]
-        spread = Counter(word for c in counts for word in c)
-        self.idf = {word: math.log((1 + len(templates)) / (n + 1)) + 1 for word, n in spread.items()}
+    def __init__(self, templates: list[tuple[str, str]], damped: bool, threshold: float, n: int, frequencies: dict[str, int]):
+        self.damped, self.threshold, self.names = damped, threshold, [name for name, _ in templates]
+        counts = [Counter(words_of(text)) for _, text in templates]
+        self.idf = {word: math.log((1 + n) / (1 + frequencies[word])) + 1 for c in counts for word in c}
         self.rare = max(self.idf.values()) + 0.5
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for i, c in enumerate(counts):
@@ -84,32 +110,45 @@ class Vectors:
             norm = math.sqrt(sum(w * w for w in weights.values()))
             for word, w in weights.items():
                 self.postings.setdefault(word, []).append((i, w / norm))
+        self.place = {word: k for k, word in enumerate(self.postings)}
+        self.squares = np.zeros((len(self.postings), len(templates)))
+        for word, k in self.place.items():
+            for i, w in self.postings[word]:
+                self.squares[k, i] = w * w
 
     def _weights(self, counts: Counter) -> dict[str, float]:
         return {word: (1 + math.log(n) if self.damped else n) * self.idf.get(word, self.rare) for word, n in counts.items()}
 
-    def best(self, text: str, threshold: float) -> tuple[float, str] | None:
+    def reachable(self, words: set[str]) -> bool:
+        """Whether a text of these words can have a cosine of at least the threshold: it is at most the length of the part of a template that they hold."""
+        places = [self.place[word] for word in self.place.keys() & words]
+        return bool(self.squares[places].sum(axis=0).max(initial=0) >= self.threshold**2 - 1e-9)
+
+    def best(self, text: str) -> tuple[float, str] | None:
         """Minus similarity and name of the template, the smallest such pair."""
-        weights = self._weights(Counter(WORDS.findall(text.lower())))
+        counts = Counter(words_of(text))
+        if not self.reachable(set(counts)):
+            return None
+        weights = self._weights(counts)
         squares = sum(w * w for w in weights.values())
         dots = [0.0] * len(self.names)
         for word, w in weights.items():
             for i, of_template in self.postings.get(word, ()):
                 dots[i] += w * of_template
         found = [(-round(d / math.sqrt(squares), 9), self.names[i]) for i, d in enumerate(dots) if d]
-        return min((f for f in found if -f[0] >= threshold), default=None)
+        return min((f for f in found if -f[0] >= self.threshold), default=None)
 
 
 def blocks(text: str) -> set[str]:
-    """The blocks of a text that hold a marker, without comment signs: paragraphs, runs of comment lines, from the first to the last paragraph with a marker, the whole."""
-    found, comment, paragraph, marked = set(), [], [], []
+    """The blocks of a text, without comment signs: paragraphs, runs of comment lines, from the first to the last paragraph with a marker, the whole."""
+    found, comment, paragraph, paragraphs = set(), [], [], []
     lines = re.split(r"\r?\n|\r", text)
     for line in [*lines, ""]:
         bare = COMMENT_END.sub("", COMMENT.sub("", line))
         if bare.strip():
             paragraph.append(bare)
         elif paragraph:
-            marked.append("\n".join(paragraph))
+            paragraphs.append("\n".join(paragraph))
             paragraph = []
         if COMMENT.match(line):
             comment.append(bare)
@@ -118,19 +157,23 @@ def blocks(text: str) -> set[str]:
             comment = []
     if comment:
         found.add("\n".join(comment))
-    places = [i for i, p in enumerate(marked) if _MARKED.search(p)]
+    places = [i for i, p in enumerate(paragraphs) if _MARKED.search(p)]
     if places:
-        found |= {marked[i] for i in places} | {"\n\n".join(marked[places[0] : places[-1] + 1]), "\n\n".join(marked)}
-    return {block for block in found if _MARKED.search(block)}
+        found.add("\n\n".join(paragraphs[places[0] : places[-1] + 1]))
+    return found | set(paragraphs) | {"\n\n".join(paragraphs)}
 
 
-def own_license(text: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> Column:
-    """license, similarity of the best notice line or block of a text, or null."""
-    short, long = Vectors(list((templates or TEMPLATES).items()), False), Vectors(license_texts(), True)
+def own_license(text: Column, templates: dict[str, str], threshold: float, n: int, frequencies: dict[str, int]) -> Column:
+    """license, similarity of the best notice line or block of a text, or null. n, frequencies: of document_frequencies()."""
+    short = Vectors(list(templates.items()), False, threshold, n, frequencies)
+    long = Vectors(license_texts(), True, BLOCK_THRESHOLD, n, frequencies)
 
     def of_text(value: str) -> tuple[str, float] | None:
-        lines = {line for line in re.split(r"\r?\n|\r", value) if _MARKED.search(line)}
-        found = [short.best(line, threshold) for line in lines] + [long.best(block, BLOCK_THRESHOLD) for block in blocks(value)]
+        words, found = set(words_of(value)), []
+        if short.reachable(words):
+            found += [short.best(line) for line in set(re.split(r"\r?\n|\r", value))]
+        if long.reachable(words):
+            found += [long.best(block) for block in blocks(value)]
         best = min((f for f in found if f), default=None)
         return best and (best[1], -best[0])
 
@@ -138,18 +181,21 @@ def own_license(text: Column, templates: dict[str, str] | None = None, threshold
     def scored(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(t and of_text(t)) or (None, None) for t in texts], columns=["license", "similarity"])
 
-    # Most texts hold no marker and need not go to Python.
-    return scored(F.when(text.rlike(MARKERS), text))
+    return scored(text)
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """path, license, similarity, license_from (own, inherited, none), license_path of each row. files: path, text, and row if it is to be carried along."""
-    carried = ["row"] if "row" in files.columns else []
-    found = files.select(F.col("path").cast("string").alias("path"), own_license(F.col("text"), templates, threshold).alias("own"), *carried)
+    carried, templates = ["row"] if "row" in files.columns else [], templates or TEMPLATES
+    n, frequencies = document_frequencies(files, [*templates.items(), *license_texts()])
+    own = own_license(F.col("text").cast("string"), templates, threshold, n, frequencies)
+    found = files.select(F.col("path").cast("string").alias("path"), own.alias("own"), *carried)
     marked = kept(found.select("path", "own.license", "own.similarity", *carried), "own-licences")
     directory = F.regexp_replace("path", r"[^/]*$", "")
     is_file = F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"(?i)^(licen[sc]e|copying)")
-    dirs = kept(marked.where(is_file & F.col("license").isNotNull()).groupBy(directory.alias("dir")).agg(F.min_by(F.struct(F.col("license").alias("dir_license"), F.col("path").alias("license_path")), F.struct("path", "license")).alias("found")).select("dir", "found.*"), "licence-dirs")
+    licensed = marked.where(is_file & F.col("license").isNotNull()).groupBy(directory.alias("dir"))
+    of_file = F.struct(F.col("license").alias("dir_license"), F.col("path").alias("license_path"))
+    dirs = kept(licensed.agg(F.min_by(of_file, F.struct("path", "license")).alias("found")).select("dir", "found.*"), "licence-dirs")
     few = dirs.count() <= BROADCAST_DIRS
     without = marked.where("license is null and path is not null").select("path").distinct()
     parts = F.split(directory, "/")
@@ -158,5 +204,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     nearest = steps.join(F.broadcast(dirs) if few else dirs, "dir").groupBy("path").agg(F.max_by(F.struct("dir_license", "license_path"), F.length("dir")).alias("near"))
     nearest = nearest.select(F.col("path").alias("heir"), "near.*")
     heir = (F.col("path") == F.col("heir")) & F.col("license").isNull()
-    kind = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
-    return marked.join(nearest, heir, "left").select(*carried, "path", F.coalesce("license", "dir_license").alias("license"), "similarity", kind.alias("license_from"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("license_path")).alias("license_path"))
+    own_one = F.col("license").isNotNull()
+    kind = F.when(own_one, "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
+    columns = [F.coalesce("license", "dir_license").alias("license"), "similarity", kind.alias("license_from")]
+    return marked.join(nearest, heir, "left").select(*carried, "path", *columns, F.when(own_one, F.col("path")).otherwise(F.col("license_path")).alias("license_path"))
