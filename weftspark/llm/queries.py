@@ -33,7 +33,7 @@ def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
-    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,115 +1,190 @@
 """Exact top-k search by inner product, with an impact-ordered index read a score at a time.
 
-Rows are dealt into blocks of bounded size. In a block, each dimension's values, measured from the end of its range that
-the query's sign makes worst, are impacts of at least 0; they are quantised into LEVELS segments of postings. A query
-processes segments by descending quantised impact times weight, adding to its accumulators. What a row can still gain is
-bounded by the largest impact left in each dimension, and processing stops only when the rows that could reach the k-th
-best lower bound are proved few; all of these are scored exactly. If the proof never comes, all segments are processed.
-
-Values are floor(1024 * x) and scores are exact 64-bit sums. Vectors that are null or hold null or non-finite components
-take no part; shorter vectors count as filled with zeros. Ties go to the smaller id. Rows that repeat an id are
-candidates of their own, but never for a query with their id. A query with fewer than k candidates returns all of them.
+Rows are dealt into blocks of bounded size, and each block's index is written once to the shared folder. In a block, a
+value counts by how far it is from the middle of its dimension; times the query's weight, that distance is its impact. The
+distances of a dimension are quantised into LEVELS segments of postings of equal size. A query processes segments by
+descending quantised impact, adding to its accumulators.
+
+What a row's score can still gain or lose is bounded by what is left of the dimensions whose segment with the row is not
+processed yet. Processing stops when the rows that this bound proves to be the only possible members of the best k are
+few; all of these are scored exactly. Until then, and at worst to the end, segments are processed.
+
+Values are floor(1024 * x) and scores are exact integer sums; a score beyond 64 bits is an error. Vectors that are null or
+hold null or non-finite components take no part; shorter vectors count as filled with zeros. Ties go to the smaller id.
+Rows that repeat an id are candidates of their own, but never for a query with their id; equal queries have equal rows
+once. A query with fewer than k candidates returns all of them. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import kept, mapped_file, new_folder, put_file
+from .elias_fano import dump, load
+
 K = 10
 LEVELS = 8
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
-#: Rescoring begins once so many rows, times k, are left.
-FEW = 8
+#: Possible members are few if they are FEW times k or a FEW_SHARE-th of the rows. The bound is looked at once half of the
+#: postings are processed, then after each LOOKS-th of them.
+FEW, FEW_SHARE, LOOKS = 8, 16, 16
+FOUND = "query_id bigint, vec_id bigint, score bigint, postings bigint, of bigint"
 
 
 def quantised(vector: Column) -> Column:
     """floor(1024 * x) of each component; null if the vector takes no part."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & finite, F.transform(vector, lambda x: F.floor(x.cast("double") * 1024).cast("bigint")))
+    value = lambda x: F.floor(x.cast("double") * 1024)
+    inside = lambda x: F.when(F.abs(x.cast("double")) < 2.0**52, value(x).cast("bigint")).otherwise(F.raise_error(F.lit("a component is 2**52 or more")).cast("bigint"))
+    return F.when(vector.isNotNull() & finite, F.transform(vector, inside))
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products; in whole numbers of any size where 64 bits might not hold them."""
+    most = int(np.abs(rows).max(initial=0)) * int(np.abs(query).max(initial=0)) * max(rows.shape[1], 1)
+    if most < 1 << 63:
+        return rows @ query
+    found = rows.astype(object) @ query.astype(object)
+    if len(found) and max(abs(x) for x in found) >= 1 << 63:
+        raise OverflowError("a score does not fit in 64 bits")
+    return found.astype(np.int64)
 
 
 class Block:
-    """The index of one block: for each dimension, postings in order of value, cut into segments."""
+    """The index of one block: for each dimension, the rows by descending distance from its middle, cut into segments."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.low, self.high = rows.min(axis=0), rows.max(axis=0)
-        n, order = len(ids), np.argsort(rows, axis=0, kind="stable")
-        cuts = np.unique(np.linspace(0, n, LEVELS + 1).astype(int))
-        self.segments = [[(order[a:b, d], rows[order[a, d], d], rows[order[b - 1, d], d]) for a, b in zip(cuts, cuts[1:], strict=False)] for d in range(rows.shape[1])]
+        self.middle = np.median(rows, axis=0) if len(rows) else np.zeros(rows.shape[1])
+        offsets = (rows - self.middle).T
+        order = np.argsort(-np.abs(offsets), axis=1, kind="stable")
+        n = len(ids)
+        self.cuts = np.unique(np.linspace(0, n, LEVELS + 1).astype(np.int64))
+        #: By dimension: rows, and their values from the middle.
+        self.order, self.offsets = order.astype(np.int32), np.take_along_axis(offsets, order, axis=1)
+        #: The largest distance of each segment, and 0 after the last.
+        self.reach = np.concatenate([np.abs(self.offsets[:, self.cuts[:-1]]).T, np.zeros((1, rows.shape[1]))])
+        segment = np.empty(offsets.shape, np.uint8)
+        of_place = np.searchsorted(self.cuts, np.arange(n), "right") - 1
+        np.put_along_axis(segment, order, np.broadcast_to(of_place, offsets.shape).astype(np.uint8), axis=1)
+        self.segment = np.ascontiguousarray(segment.T)
+
+    ARRAYS = ("ids", "rows", "middle", "order", "offsets", "cuts", "reach", "segment")
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {name: getattr(self, name).ravel() for name in self.ARRAYS}
+
+    @classmethod
+    def read(cls, arrays: dict[str, np.ndarray]) -> Block:
+        block = cls.__new__(cls)
+        for name in cls.ARRAYS:
+            setattr(block, name, arrays[name])
+        width = len(block.middle)
+        for name in ("rows", "reach", "segment"):
+            setattr(block, name, getattr(block, name).reshape(-1, width))
+        for name in ("order", "offsets"):
+            setattr(block, name, getattr(block, name).reshape(width, -1))
+        return block
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """ids and scores of the k best rows, and the number of postings processed."""
         width = min(len(query), self.rows.shape[1])
-        plan = []
-        left = np.zeros(width)  # the most that a row can still gain in each dimension
-        base = 0.0
-        for d in np.flatnonzero(query[:width]):
-            weight = float(query[d])
-            worst = self.low[d] if weight > 0 else self.high[d]
-            base += weight * worst
-            for rows, least, most in self.segments[d]:
-                near, far = sorted(((least - worst) * weight, (most - worst) * weight))
-                plan.append((far, near, d, rows))
-        plan.sort(key=lambda s: -s[0])
-        for far, _, d, _ in reversed(plan):
-            left[d] = far
-        ahead: dict[int, list[tuple[float, float]]] = {}
-        for far, near, d, _ in plan:
-            ahead.setdefault(d, []).append((far, near))
-        taken = np.zeros(width, int)
-        got, loose = np.zeros(len(self.ids)), np.zeros(width)  # loose: how far a lower bound may be under the truth
-        processed, check = 0, max(len(plan) // 8, 1)
+        query = query[:width]
         own = self.ids == query_id
-        got[own] = -np.inf
         want = min(k, len(self.ids) - int(own.sum()))
         if want <= 0:
             return self.ids[:0], np.zeros(0, np.int64), 0
+        weights = np.abs(query).astype(np.float64)
+        used = np.flatnonzero(weights)
+        impacts = self.reach[:-1, used] * weights[used]
+        levels, places = np.unravel_index(np.argsort(-impacts, axis=None, kind="stable"), impacts.shape)
+        taken = np.zeros(width, np.int64)
+        got = np.full(len(self.ids), float(self.middle[:width] @ query))
         candidates = np.flatnonzero(~own)
-        for step, (far, near, d, rows) in enumerate(plan, 1):
-            got[rows] += near
-            processed += len(rows)
-            loose[d] = max(loose[d], far - near)
-            taken[d] += 1
-            left[d] = ahead[d][taken[d]][0] if taken[d] < len(ahead[d]) else 0.0
-            if step % check == 0:
-                reach = np.maximum(left, loose).sum()
-                bound = np.partition(got, len(got) - want)[len(got) - want]
-                candidates = np.flatnonzero((got + reach >= bound) & ~own)
-                if len(candidates) <= FEW * k:
-                    break
-        scores = self.rows[candidates, :width] @ query[:width]
+        total = len(self.ids) * len(used)
+        processed, look = 0, total // 2
+        slack = 1e-9 * (float(np.abs(self.middle[:width]) @ weights) + float(self.reach[0, :width] @ weights)) + 1e-6
+        for level, d in zip(levels, used[places], strict=True):
+            part = slice(self.cuts[level], self.cuts[level + 1])
+            got[self.order[d, part]] += self.offsets[d, part] * float(query[d])
+            processed += part.stop - part.start
+            taken[d] = level + 1
+            if processed < look:
+                continue
+            look = processed + total // LOOKS
+            left = self.reach[taken, np.arange(width)] * weights
+            open_ = self._left(candidates, taken, left, width) + slack
+            low, high = got[candidates] - open_, got[candidates] + open_
+            proven = np.partition(low, len(low) - want)[len(low) - want]
+            candidates = candidates[high >= proven]
+            if len(candidates) <= max(FEW * k, len(self.ids) // FEW_SHARE):
+                break
+        scores = exact_scores(self.rows[candidates, :width], query)
         best = np.lexsort((self.ids[candidates], -scores))[:want]
         return self.ids[candidates[best]], scores[best], processed
 
+    def _left(self, candidates: np.ndarray, taken: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+        """How much each candidate's score may differ from what it has got: the sum over the dimensions not processed for it."""
+        out = np.empty(len(candidates))
+        for at in range(0, len(candidates), 4096):
+            part = candidates[at : at + 4096]
+            out[at : at + 4096] = (self.segment[part, :width] >= taken) @ left
+        return out
+
+
+def _written(rows: DataFrame, blocks: int, folder: str, name: str, index: bool) -> DataFrame:
+    """number, path of a file for each of so many blocks of rows (vec_id, v); with index, its segments."""
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("vec_id", kind="stable")
+        ids, number = part["vec_id"].to_numpy(np.int64), int(part["block"].iloc[0])
+        matrix = np.zeros((len(part), max(map(len, part["v"]))), np.int64)
+        for i, v in enumerate(part["v"]):
+            matrix[i, : len(v)] = v
+        arrays = Block(ids, matrix).arrays() if index else {"ids": ids, "rows": matrix.ravel(), "middle": np.zeros(matrix.shape[1])}
+        path = f"{folder}/{name}-{number}"
+        put_file(path, lambda out: out.write(dump(arrays)))
+        return pd.DataFrame({"number": [number], "path": [path]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
+    return kept(dealt.groupBy("block").applyInPandas(write, "number bigint, path string"), f"{name}-files")
+
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score. Both inputs have vec_id and embedding; each block of rows meets each block of queries."""
-    take = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("v is not null and vec_id is not null")
-    rows, asked = take(vectors), take(queries)
-    blocks, groups = -(-rows.count() // block_rows) or 1, -(-asked.count() // block_queries) or 1
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = rows.withColumn("block", deal(blocks)).withColumn("part", every(groups))
-    asked = asked.withColumn("part", deal(groups)).withColumn("block", every(blocks))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            width = max(map(len, left["v"]))
-            matrix = np.zeros((len(left), width), np.int64)
-            for i, v in enumerate(left["v"]):
-                matrix[i, : len(v)] = v
-            index = Block(left["vec_id"].to_numpy(), matrix)
-            for query_id, query in zip(right["vec_id"], right["v"], strict=True):
-                ids, scores, processed = index.search(query_id, np.asarray(query, np.int64), k)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores, "postings": processed}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "postings")})
-
-    found = rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(cell, "query_id bigint, vec_id bigint, score bigint, postings bigint")
+    """query_id, rank, vec_id, score, and the postings processed of how many. Both inputs have vec_id and embedding.
+
+    Tasks get names of files only: each reads the index of one block and the queries of one group.
+    """
+    spark = vectors.sparkSession
+    take = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("v is not null and vec_id is not null and size(v) > 0")
+    rows, asked = take(vectors), take(queries).dropDuplicates(["vec_id", "v"])
+    folder = new_folder(spark, "topk")
+    blocks = _written(rows, -(-rows.count() // block_rows) or 1, folder, "block", True)
+    groups = _written(asked, -(-asked.count() // block_queries) or 1, folder, "queries", False)
+    n_blocks, n_groups = blocks.count(), groups.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, query_path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block, arrays = Block.read(load(mapped_file(path))), load(mapped_file(query_path))
+                found = [block.search(int(i), q, k) for i, q in zip(arrays["ids"], arrays["rows"].reshape(len(arrays["ids"]), -1), strict=True)]
+                times = [len(ids) for ids, _, _ in found]
+                spread = lambda x: np.repeat(np.array(x, np.int64), times)
+                columns = [spread(arrays["ids"]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                columns += [spread([f[2] for f in found]), spread([block.rows.size] * len(found))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    # Every block with every group of queries, as all rows are to be searched; the names are few.
+    numbered = lambda df, name: df.select(F.row_number().over(Window.orderBy("number")).alias(name), F.col("path").alias(f"{name}_path"))
+    cells = spark.range(n_blocks * n_groups).select((F.col("id") % max(n_blocks, 1) + 1).alias("b"), (F.floor(F.col("id") / max(n_blocks, 1)) + 1).alias("g"))
+    cells = cells.join(numbered(blocks, "b"), "b").join(numbered(groups, "g"), "g").select("b_path", "g_path")
+    found = kept(cells.repartition(max(n_blocks * n_groups, 1)).mapInArrow(run, FOUND), "found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "postings", "of")
