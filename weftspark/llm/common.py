@@ -81,7 +81,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about limit bytes at most, or one row."""
     for batch in batches:
         if not batch.num_rows:

@@ -6,8 +6,10 @@ and what it costs after the context that is one byte shorter. A context never se
 shortened; below order 0, each of the 256 bytes costs 8 bits. The statistics are frozen: scoring a text does not change
 them. A text belongs to the language that codes it in the fewest bits; equal lengths go to the smaller name.
 
-The trees are learned from at most rows_per_lang documents of each language, in expectation (those whose hashed id falls
-under a share that their number gives); all bytes of those count. Everything else covers all documents and whole texts.
+The trees are learned from at most rows_per_lang documents and bytes_per_lang bytes of each language, in expectation (those
+whose hashed id falls under a share that their number and size give); all bytes of those count. Everything else covers all
+documents and whole texts. A sample of more than MOST_GRAMS different strings, or tables of more than MOST_COSTS costs, are
+refused: they go to every task.
 
 A text that is null, empty, or without a letter is `und` with score 0. With no learned language, all texts are. The
 score of another text is the share of its language among all, by 2 to the power of minus bits. Repeated rows are judged
@@ -16,7 +18,6 @@ alike; other columns are not read. lang, source and id take no part in a predict
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import kept, small_batches, text_bytes
 
 ORDER = 3
-ROWS_PER_LANG = 2000
+ROWS_PER_LANG, BYTES_PER_LANG = 2000, 32 << 20
+MOST_GRAMS, MOST_COSTS = 20_000_000, 1 << 26
 BROADCAST_LANGS = 10_000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -48,13 +49,14 @@ class Tables:
     leave: list[np.ndarray]
 
 
-def gram_counts(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
+def gram_counts(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> DataFrame:
     """lang, n, gram, count: strings of 1 to ORDER + 1 bytes of the training documents. docs: doc_id, text, lang."""
     labelled = docs.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    share = F.least(F.lit(rows_per_lang) / F.col("rows"), F.lit(bytes_per_lang) / F.greatest("bytes", F.lit(1)))
     place = F.shiftrightunsigned(F.xxhash64(F.lit("ppm"), F.col("doc_id").cast("string")), 11) / F.lit(float(1 << 53))
     few = sizes.count() <= BROADCAST_LANGS  # else the texts would be dealt out by language
-    chosen = labelled.join(F.broadcast(sizes) if few else sizes, "lang").where(place * F.col("rows") < rows_per_lang).select("lang", "text")
+    chosen = labelled.join(F.broadcast(sizes) if few else sizes, "lang").where(place < share).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in small_batches([whole], "text", 8 << 20)):
@@ -76,7 +78,10 @@ def gram_counts(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> DataFram
 
 
 def fit(counts: DataFrame) -> Tables:
-    """The tables of the collected counts: the sample bounds their number."""
+    """The tables of the collected counts: the sample bounds their number, which is checked first."""
+    counts = kept(counts, "gram-counts")
+    if (n := counts.count()) > MOST_GRAMS:
+        raise ValueError(f"the sample has {n} strings of up to {ORDER + 1} bytes; take fewer rows or bytes of each language")
     found = counts.toPandas()
     langs = sorted(found["lang"].unique())
     levels: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
@@ -86,6 +91,8 @@ def fit(counts: DataFrame) -> Tables:
     tables = Tables(langs, [], [], [], [])
     for n in range(ORDER + 1):
         known = np.unique(np.concatenate([g for g, _ in levels[n].values()] or [np.zeros(0, np.int64)]))
+        if len(known) * len(langs) > MOST_COSTS:
+            raise ValueError(f"{len(known)} strings in {len(langs)} languages; take fewer rows or bytes of each language")
         contexts = np.unique(known >> 8) if n else np.zeros(1, np.int64)
         costs, leaves = np.zeros((len(known), len(langs))), np.zeros((len(contexts), len(langs)))
         lower = _at(tables, n - 1, known & ((1 << 8 * n) - 1)) if n else np.full((len(known), len(langs)), 8.0)
@@ -151,26 +158,44 @@ def code_lengths(data: np.ndarray, offsets: np.ndarray, tables: Tables) -> np.nd
     return bits
 
 
+def _judged(texts: pa.Array, tables: Tables) -> tuple[list[str], list[float], list[float | None]]:
+    """Language, score and bits per byte of each text."""
+    data, offsets = text_bytes(texts)
+    bits = code_lengths(data, offsets, tables)
+    names, scores, rates = [], [], []
+    for k, text in enumerate(texts):
+        text = text.as_py()
+        if not tables.langs or not text or not any(map(str.isalpha, text)):
+            names.append("und"), scores.append(0.0), rates.append(None)
+            continue
+        best = int(bits[k].argmin())
+        names.append(tables.langs[best])
+        scores.append(float(1 / np.exp2(np.maximum(bits[k, best] - bits[k], -1000)).sum()))
+        rates.append(float(bits[k, best] / (offsets[k + 1] - offsets[k])))
+    return names, scores, rates
+
+
 def classify(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, bits_per_byte of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # a bounded sample's statistics
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
         for batch in small_batches(batches, "text"):
-            texts = batch.column("text")
-            data, offsets = text_bytes(texts)
-            names, scores, rates = [], [], []
-            bits = code_lengths(data, offsets, tables)
-            for k, text in enumerate(texts.to_pylist()):
-                if not tables.langs or not text or not LETTER.search(text):
-                    names.append("und"), scores.append(0.0), rates.append(None)
-                    continue
-                best = int(bits[k].argmin())
-                names.append(tables.langs[best])
-                scores.append(float(1 / np.exp2(np.maximum(bits[k, best] - bits[k], -1000)).sum()))
-                rates.append(float(bits[k, best] / (offsets[k + 1] - offsets[k])))
+            names, scores, rates = _judged(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[id_col, "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, bits_per_byte double")
+
+
+def with_language(docs: DataFrame, tables: Tables, text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, whose text is of a learned language (not `und`)."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)  # a bounded sample's statistics
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, at):
+            names, _, _ = _judged(batch.column(at), shared.value)
+            yield batch.filter(pa.array([name != "und" for name in names]))
+
+    return docs.mapInArrow(run, docs.schema)
