@@ -79,6 +79,62 @@ def test_ngram_probabilities_add_up(spark, docs):
         assert abs(each.sum() + unseen - 1) < 0.05
 
 
+def brute_scores(training, texts, order, discount=0.75):
+    """log10 probabilities of texts by interpolated absolute discounting, n-gram by n-gram."""
+    tokens = lambda text: (text or "").encode().translate(ngram_model.LOWER).split() + [b"\n"]
+    counts = [{} for _ in range(order)]
+    for text in training:
+        words = [None, *tokens(text)]
+        for k in range(1, len(words)):
+            for n in range(order):
+                if n <= k:
+                    gram = tuple(words[k - n : k + 1])
+                    counts[n][gram] = counts[n].get(gram, 0) + 1
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    followers = [{} for _ in range(order)]
+    for n in range(1, order):
+        for gram, c in counts[n].items():
+            followers[n].setdefault(gram[:-1], []).append(c)
+
+    def probability(gram):
+        n = len(gram) - 1
+        if n == 0:
+            return (counts[0].get(gram, 0) + 1) / (total + distinct + 1)
+        lower = probability(gram[1:])
+        after = followers[n].get(gram[:-1])
+        if not after:
+            return lower
+        return max(counts[n].get(gram, 0) - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower
+
+    found = []
+    for text in texts:
+        words = [None, *tokens(text)]
+        found.append(sum(np.log10(probability(tuple(words[max(0, k - order + 1) : k + 1]))) for k in range(1, len(words))))
+    return found
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_ngram_scores_equal_brute_force(spark, order):
+    """Few n-grams for each file, so that the codes of 8 bits lose nothing; contexts that span files, unknown words, null and repeated rows."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("the a b c d e f".split()) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    texts += [None, "", "The  the\tTHE", texts[3], texts[3], " ".join(["the", *"abcdef"] * 6)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, row_hash string").repartition(3)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "unknown the words a", "a b unknown c d"])], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in ngram_model.score(asked, ngram_model.train(docs, order)).collect()}
+    expected = brute_scores(texts, [r["text"] for r in asked.orderBy("doc_id").collect()], order)
+    assert max(abs(found[i]["score"] - e) for i, e in enumerate(expected)) < 1e-3
+    assert found[len(texts)]["n_known"] == 3 and found[len(texts)]["n_tokens"] == 5
+
+
+def test_ngram_model_of_nothing(spark, empty, docs):
+    model = ngram_model.train(empty)
+    assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in ngram_model.score(docs, model).collect())
+    assert ngram_model.score(empty, ngram_model.train(docs)).count() == 0
+    odd = docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    assert ngram_model.score(odd, model).where("doc_id is null").count() == 3
+
+
 def brute_removed(rows):
     seen, out = set(), {}
     for doc_id, data in sorted(rows):
@@ -88,7 +144,7 @@ def brute_removed(rows):
                 gone[k : k + 100] = True
             seen.add(data[k : k + 100])
         left = bytes(np.frombuffer(data, np.uint8)[~gone])
-        out[doc_id] = len(data), int(gone.sum()), hashlib.sha256(left).hexdigest()
+        out[doc_id] = len(data), int(gone.sum()), hashlib.sha256(left).hexdigest(), int(np.sum(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
     return out
 
 
@@ -98,12 +154,23 @@ def test_suffix_dedup(docs, empty, hot, monkeypatch):
     expected = brute_removed({(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()})
     got = suffix_dedup.removed(docs).collect()
     assert len(got) == docs.count()
-    assert all((r["n_bytes"], r["n_removed"], r["kept_sha256"]) == expected[r["doc_id"]] for r in got)
+    assert all((r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) == expected[r["doc_id"]] for r in got)
     assert suffix_dedup.removed(empty).count() == 0
     stay = suffix_dedup.without_repeats(docs)
     assert stay.columns == docs.columns and stay.where("doc_id in (101, 102)").count() == 2
 
 
+def test_suffix_dedup_of_awkward_texts(spark):
+    """Null ids, texts that repeat themselves, periodic, long and multi-byte ones."""
+    rng = random.Random(3)
+    block = "".join(rng.choice("xyz") for _ in range(130))
+    rows = [(None, block + "é" * 120), (1, "ab" * 300), (2, "abc" * 90 + block), (3, "".join(rng.choice("pq") for _ in range(40_000)) + block + "ab" * 60), (4, block[:99]), (5, block[20:] + "é" * 90), (6, None), (7, "é" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_removed({(-1 if i is None else i, (t or "").encode()) for i, t in rows})
+    got = suffix_dedup.removed(docs).collect()
+    assert {(-1 if r["doc_id"] is None else r["doc_id"]): (r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) for r in got} == expected
+
+
 def test_suffix_array():
     random.seed(2)
     for _ in range(150):
@@ -286,6 +353,45 @@ def test_license_query_keeps_each_row_once(spark, tmp_path):
     assert sorted(((r["doc_id"], r["license"]) for r in found), key=key) == sorted([(None, "MIT"), (None, None), (7, "MIT"), (7, "MIT"), (7, None), (8, None)], key=key)
 
 
+def test_license_similarity_equals_brute_force(spark):
+    """Every line and block against every template, with document frequencies counted one by one; texts without any marker word too."""
+    import math
+    from collections import Counter
+
+    long = license_scan.license_texts()
+    pieces = [text.strip().split("\n\n")[0] for _, text in long] + [text.split("\n")[0] for text in license_scan.TEMPLATES.values()]
+    texts = [None, "", "the of and", "Redistribution and use in source and binary forms is permitted", "x\r\n# Permission to use, copy and modify\r\n", *pieces, "\n\n".join(pieces[:3]), pieces[1] + "\nother words\n"]
+    every = [*license_scan.TEMPLATES.items(), *long]
+    words = [set(license_scan.words_of(t or "")) for t in [*texts, *(t for _, t in every)]]
+
+    def best(text, templates, damped, threshold):
+        idf = lambda w: math.log((1 + len(words)) / (1 + sum(w in x for x in words))) + 1
+        vocabulary = {w: idf(w) for _, t in templates for w in license_scan.words_of(t)}
+        rare = max(vocabulary.values()) + 0.5
+        vector = lambda t: {w: (1 + math.log(n) if damped else n) * vocabulary.get(w, rare) for w, n in Counter(license_scan.words_of(t)).items()}
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        own = vector(text)
+        found = []
+        for name, t in templates:
+            other = vector(t)
+            cosine = sum(x * other.get(w, 0) for w, x in own.items()) / (norm(own) * norm(other)) if own else 0
+            if round(cosine, 9) >= threshold:
+                found.append((-round(cosine, 9), name))
+        return min(found, default=None)
+
+    expected = {}
+    for i, text in enumerate(texts):
+        found = [best(line, list(license_scan.TEMPLATES.items()), False, 0.5) for line in (text or "").replace("\r\n", "\n").split("\n")]
+        found += [best(block, long, True, 0.8) for block in license_scan.blocks(text or "")]
+        top = min((f for f in found if f), default=None)
+        expected[i] = top and (top[1], -top[0])
+    files = spark.createDataFrame([(i, f"/f/{i}", t) for i, t in enumerate(texts)], "row long, path string, text string").repartition(3)
+    found = {r["row"]: r["license"] and (r["license"], r["similarity"]) for r in license_scan.scan(files).collect()}
+    assert {i: e and e[0] for i, e in expected.items()} == {i: f and f[0] for i, f in found.items()}
+    assert all(abs(expected[i][1] - found[i][1]) < 1e-6 for i in found if found[i])
+    assert license_scan.scan(files.limit(0)).count() == 0
+
+
 def test_warc(spark):
     page = "x" * 1500
     rows = [(1, "u", page), (2, "u\r\nv", page), (3, None, None), (4, "u", "short"), (5, "u", "short"), (6, "u", "é" * 600)]
@@ -314,3 +420,187 @@ def test_crc_of_id(spark):
     from weftspark.llm.common import crc_of_id
 
     assert spark.createDataFrame([(12,)], "doc_id long").select(crc_of_id()).first()[0] == zlib.crc32(b"12")
+
+
+def brute_fingerprint(text):
+    """Phrases by the rule, each hashed by itself, and the least hash under each function."""
+    known, phrase = [], ""
+    for c in text:
+        phrase += c
+        if phrase not in known:
+            known.append(phrase)
+            phrase = ""
+    base, mask = lz_fingerprint._BASE, (1 << 64) - 1
+    hashes = np.array([sum((ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(x)) & mask for x in known], np.uint64)
+    if not known:
+        return np.zeros(lz_fingerprint.SIGNATURE, np.uint16)
+    least = (lz_fingerprint.mix64(hashes)[:, None] * lz_fingerprint._FACTORS).min(axis=0)
+    return (lz_fingerprint.mix64(least) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def test_lz_fingerprints_equal_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 30 or doc_id > 99 and doc_id <> 103").collect()]
+    rows += [(200, "aaaaaaaaaaaaaaaa"), (201, "日本語の文章🙂" * 9), (202, "x"), (None, "no id"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    found = lz_fingerprint.fingerprints(table).collect()
+    assert len(found) == len(rows)
+    in_order = table.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.asc_nulls_first("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    texts, expected = [r["text"] for r in in_order], []
+    for k, (text, after) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True)):
+        tail = len(text) // 4
+        own, other, following = (brute_fingerprint(x) for x in (text, text[: len(text) - tail] + after[:tail], after))
+        expected.append((str(in_order[k]["doc_id"]), own.astype(">u2").tobytes().hex(), other.astype(">u2").tobytes().hex(), float((own == other).mean()), float((own == following).mean())))
+    got = [(str(r["doc_id"]), r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in found]
+    assert sorted(got) == sorted(expected)
+
+
+def brute_bits(counts, data):
+    """Code length of a byte string: the longest known context codes or escapes to the next shorter one."""
+    bits = 0.0
+    for i, byte in enumerate(data):
+        for n in range(min(i, ppm_language.ORDER), -1, -1):
+            after = counts[n].get(data[i - n : i])
+            if not after:
+                continue
+            total, distinct = sum(after.values()), len(after)
+            if byte in after:
+                bits += np.log2((total + distinct) / after[byte])
+                break
+            bits += np.log2((total + distinct) / distinct)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 60))), "de" if i % 3 else "fr") for i in range(40)] + [(50, None, "it"), (51, "zz", "it"), (52, "q", None)]
+    learned = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    tables = ppm_language.fit(ppm_language.gram_counts(learned))
+    assert tables.langs == ["de", "fr", "it"]
+    asked = ["", "a", "zz", "abc abc é é", "unseen WORDS 123", "é" * 30]
+    data = "".join(asked).encode()
+    offsets = np.cumsum([0] + [len(x.encode()) for x in asked])
+    got = ppm_language.code_lengths(np.frombuffer(data, np.uint8), offsets, tables)
+    for k, lang in enumerate(tables.langs):
+        counts = [{} for _ in range(ppm_language.ORDER + 1)]
+        for _, text, of in rows:
+            if of == lang and text:
+                raw = text.encode()
+                for i in range(len(raw)):
+                    for n in range(min(i, ppm_language.ORDER) + 1):
+                        after = counts[n].setdefault(raw[i - n : i], {})
+                        after[raw[i]] = after.get(raw[i], 0) + 1
+        assert np.allclose(got[:, k], [brute_bits(counts, x.encode()) for x in asked])
+
+
+def test_texts_without_letters(spark, docs, monkeypatch):
+    rows = [(1, "½ ² ①"), (2, "12_34"), (3, "٣"), (4, "日"), (5, None), (None, "abc"), (1, "abc")]
+    tables = ppm_language.fit(ppm_language.gram_counts(docs))
+    found = ppm_language.classify(spark.createDataFrame(rows, "doc_id long, text string"), tables).collect()
+    assert sorted((str(r["doc_id"]), r["lang_pred"] == "und") for r in found) == [("1", False), ("1", True), ("2", True), ("3", True), ("4", False), ("5", True), ("None", False)]
+    for bound in ("MOST_COSTS", "MOST_GRAMS"):
+        monkeypatch.setattr(ppm_language, bound, 10)
+        with pytest.raises(ValueError):
+            ppm_language.fit(ppm_language.gram_counts(docs))
+        monkeypatch.undo()
+
+
+def test_topk_stops_on_proof_and_stays_exact(spark):
+    """One block that is large enough for the proof, beside awkward rows: other lengths, repeated ids, equal and large vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.normal(size=16)]) for i in range(3000)]
+    rows += [(3000, [1.0]), (3100, []), (3101, [2.0] * 20), (7, [3.0] * 16), (3200, [1.0] * 16), (3200, [1.0] * 16), (None, [1.0] * 16), (3300, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.search(vectors, vectors.where("vec_id % 100 = 0")).collect()
+    usable = [(i, np.floor(np.array(v + [0.0] * (20 - len(v))) * 1024).astype(np.int64)) for i, v in rows if v and i is not None]
+    for q, x in [u for u in usable if u[0] % 100 == 0]:
+        best = sorted((-int(x @ y), i) for i, y in usable if i != q)[:10]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == best
+    assert sum(r["postings"] for r in found) < 0.9 * sum(r["of"] for r in found)
+    large = spark.createDataFrame([(1, [3e6] * 64), (2, [-3e6] * 64), (100, [3e3] * 64)], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.search(large, large.where("vec_id = 100")).orderBy("rank").collect()] == [1, 2]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(large, large.where("vec_id = 1")).collect()
+    assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_warc_of_awkward_pages(spark):
+    page = "y" * 2000
+    rows = [(None, "u", page), (5, None, page), (5, None, page), (6, "u", page), (7, "u", "z" * 3_000_000), (None, None, None), (8, "u", "WARC/1.1\r\n\r\n" * 200)]
+    pages = spark.createDataFrame([(*r, "clash", "x") for r in rows], "page_id long, url string, html string, digest string, payload string").repartition(3)
+    members = warc.archive(pages)
+    found = warc.read_members(members).collect()
+    key = lambda r: (str(r[0]), r[1], r[2], str(r[3]))
+    expected = [(i, len((h or "").encode()), "revisit" if h == page and i == 5 else "response", 6 if h == page and i == 5 else None) for i, _, h in rows]
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found]
+    assert sorted([g for g in got if g[0] is not None], key=key) == sorted([e for e in expected if e[0] is not None], key=key)
+    assert len(got) == len(rows) and members.count() >= 1
+
+
+@pytest.mark.parametrize("cut", ["between records", "within a record", "in the trailer"])
+def test_archives_that_end_early(spark, tmp_path, cut):
+    import zlib as z
+
+    rows = [warc._record(k, "u", b"p" * 500, "d", None) for k in range(6)]
+    stream = z.compressobj(3, z.DEFLATED, 31)
+    whole = b"".join(stream.compress(r) + stream.flush(z.Z_FULL_FLUSH) for r in rows[:2])
+    if cut == "within a record":
+        whole += stream.compress(rows[2][:100]) + stream.flush(z.Z_FULL_FLUSH)
+    elif cut == "in the trailer":
+        whole = (whole + stream.flush())[:-3]
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    with pytest.raises(Exception, match="an archive ends"):
+        warc.normalise(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")).count()
+
+
+def test_piece_tokens_of_nothing_and_of_null_ids(spark, docs, empty):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert piece_tokens.token_digests(empty, path).count() == 0
+    odd = spark.createDataFrame([(None, "▁a \u2581"), (1, None), (1, None), (1, "")], "doc_id long, text string")
+    found = piece_tokens.token_digests(odd, path).collect()
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert sum(r["doc_id"] is None for r in found) == 1 and [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found if r["doc_id"] == 1] == [(0, nothing, nothing)] * 3
+
+
+def test_mixing_comes_near_its_targets(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = mixing.copies(table).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.1 * r["target"] for r in found)
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark, docs):
+    """The same documents with columns whose names clash or need quoting."""
+    return docs.withColumnRenamed("size", "my col").withColumn("lang_pred", F.lit("x")).withColumn("row", F.array(F.lit(1))).withColumn("a.b", F.lit(2))
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages(spark, odd_docs, empty, k):
+    """Each stage keeps clean documents and, but for the last, all columns; its decision takes effect; empty tables stay empty."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, odd_docs, "")
+    rows = out.collect()
+    assert name != "piece_ids" or out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert name == "piece_ids" or out.columns == odd_docs.columns
+    ids = [r["doc_id"] for r in rows]
+    if name == "language_id":
+        assert not {101, 102, 104} & set(ids) and {1, 103, 106} <= set(ids)
+    elif name == "near_duplicates":
+        assert 100 not in ids and {0, 1, 101, 103, 104} <= set(ids) and len(set(ids)) == len(ids)
+    elif name == "repeated_strings":
+        assert {0, 101, 102, 103} <= set(ids)
+        assert sum(len(r["text"] or "") for r in rows) < sum(len(r["text"] or "") for r in odd_docs.collect())
+    assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_runs(spark, tmp_path):
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert set(r["doc_id"] for r in found.collect()) <= set(r["doc_id"] for r in table.collect()) and found.count() > 0
