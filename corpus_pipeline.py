@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftspark.llm import mixing, near_dedup, piece_tokens, ppm_language, suffix_dedup
 from weftspark.llm.common import crc_of_id, kept, read_table
@@ -12,8 +11,7 @@ from weftspark.llm.common import crc_of_id, kept, read_table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (`und`) go. The trees are learned as in op6: not from every fourth id by checksum."""
     tables = ppm_language.fit(ppm_language.gram_counts(docs.where(crc_of_id() % 4 != 2)))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return ppm_language.classify(rows, tables, id_col="row").where("lang_pred <> 'und'").select("row.*")
+    return ppm_language.with_language(docs, tables)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
