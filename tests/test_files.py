@@ -197,6 +197,31 @@ def test_split_of_packed_files_to_images(spark, tmp_path):
     assert jobs.split_files(files.withColumn("path", F.lit("/in/rock_c.dds")), export_alpha=False).files.count() == 1
 
 
+def test_jpeg_files(spark, tmp_path):
+    """A flat JPEG file, written by the JVM, and one that is none."""
+    java = spark._jvm.java
+    picture = java.awt.image.BufferedImage(16, 8, java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for y in range(8):
+        for x in range(16):
+            picture.setRGB(x, y, 200 << 16 | 100 << 8 | 50)
+    spark._jvm.javax.imageio.ImageIO.write(picture, "jpg", java.io.File(str(tmp_path / "flat.jpg")))
+    (tmp_path / "bad.jpg").write_bytes(b"nothing")
+    pictures = spark.read.format("image").load(str(tmp_path))
+    assert sorted((r["path"].rsplit("/", 1)[1], r["status"], r["width"]) for r in images.picture_status(pictures).collect()) == [("bad.jpg", "not a picture", None), ("flat.jpg", "ok", 16)]
+    texels = images.picture_texels(pictures).collect()
+    assert len(texels) == 128 and all(abs(r["r"] - 200) < 4 and abs(r["g"] - 100) < 4 and abs(r["b"] - 50) < 4 and r["a"] == 255 for r in texels)
+
+
+def test_files_of_levels_through_the_sink(spark, tmp_path):
+    good = pictured(spark, "t", sample(4, 4), 0).unionByName(pictured(spark, "t", sample(2, 2), 1))
+    sizes = spark.createDataFrame([("t", k, 4 >> k, 4 >> k) for k in range(2)], "texture_id string, level int, width int, height int")
+    files = jobs.mip_files(good, sizes, fmt="8.8.8.8").files.withColumn("name", F.lit("Mipmap.dds"))
+    spark.dataSource.register(images.DdsSource)
+    files.write.format("dds").mode("append").save(str(tmp_path / "out"))
+    data = (tmp_path / "out" / "Mipmap.dds").read_bytes()
+    assert data[128:192] == sample(4, 4).tobytes() and data[192:] == sample(2, 2).tobytes()
+
+
 def test_manifest_order_and_repeats(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.dds").write_bytes(name.encode())

@@ -124,6 +124,29 @@ def to_texels(rasters: DataFrame) -> DataFrame:
     return cells.select("texture_id", "y", "x", *[number(digits, k, 1).cast("int").alias(c) for k, c in enumerate("rgba")])
 
 
+def picture_texels(pictures: DataFrame) -> DataFrame:
+    """Texels of Spark's own image source, for JPEG files: grey or BGR bytes, row by row. Files that it can't read have none.
+
+    For PNG files use decode(): that source takes the low byte of 16-bit samples and drops the alpha of grey images.
+    """
+    image = pictures.select(F.col("image.origin").alias("texture_id"), *[F.col(f"image.{c}").alias(c) for c in ("width", "height", "nChannels", "mode", "data")])
+    rows = image.where("mode >= 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    line = F.substring("data", (F.col("y") * F.col("width") * F.col("nChannels") + 1).cast("int"), F.col("width") * F.col("nChannels"))
+    lines = rows.select("texture_id", "y", "width", "nChannels", line.alias("line"))
+    cells = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    digits = F.hex(F.substring("line", F.col("x") * F.col("nChannels") + 1, F.col("nChannels")))
+    grey = F.col("nChannels") == 1
+    of = lambda place: number(digits, place, 1).cast("int")
+    samples = [F.when(grey, of(0)).otherwise(of(2 - k)).alias(c) for k, c in enumerate("rgb")]
+    return cells.select("texture_id", "y", "x", *samples, F.when(F.col("nChannels") == 4, of(3)).otherwise(255).alias("a"))
+
+
+def picture_status(pictures: DataFrame) -> DataFrame:
+    """path, width, height, status of the image source's files, as decode() gives them."""
+    ok = F.col("image.mode") >= 0
+    return pictures.select(F.col("image.origin").alias("path"), F.when(ok, F.col("image.width")).alias("width"), F.when(ok, F.col("image.height")).alias("height"), F.when(ok, "ok").otherwise("not a picture").alias("status"))
+
+
 def encode(rasters: DataFrame, export_format: str = "png") -> DataFrame:
     """name and bytes of TGA files, if the format is tga in any case, else of PNG files whatever their names end with.
 
