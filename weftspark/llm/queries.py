@@ -52,7 +52,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, number = read_table(spark, sf_dir, "documents"), F.col("doc_id")
     thousand, hundred = F.floor(number / 1000), F.floor(number / 100)
     folder = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), thousand, F.lit("/"))
-    path = F.when(number % 1000 == 0, F.concat(folder, F.lit("LICENSE"))).when(number % 100 == 0, F.concat(folder, hundred, F.lit("/LICENSE"))).otherwise(F.concat(folder, hundred, F.lit("/"), number, F.lit(".txt")))
+    of_folder, of_part = F.concat(folder, F.lit("LICENSE")), F.concat(folder, hundred, F.lit("/LICENSE"))
+    path = F.when(number % 1000 == 0, of_folder).when(number % 100 == 0, of_part).otherwise(F.concat(folder, hundred, F.lit("/"), number, F.lit(".txt")))
     found = license_scan.scan(docs.select(F.col("doc_id").alias("row"), path.alias("path"), "text"))
     return found.select(F.col("row").alias("doc_id"), "path", "license", "similarity", "license_from", "license_path")
 
@@ -107,5 +108,21 @@ select page_id, n as payload_bytes, digest as payload_digest, case when first_id
 """
 
 
+_SUFFIX = """
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+w as (select doc_id, unnest(list_transform(range(n - 99), lambda s: {'s': s, 'k': md5(b[s + 1 : s + 100])})) as w from d where n >= 100),
+f as (select k, min((doc_id::hugeint << 40) + s) as earliest from (select doc_id, w.s as s, w.k as k from w) group by k having count(*) > 1),
+later as (select doc_id, w.s as s from w join f on w.k = f.k where (doc_id::hugeint << 40) + w.s > earliest),
+runs as (select doc_id, s, sum(case when s > before + 100 or before is null then 1 else 0 end) over (partition by doc_id order by s) as run
+         from (select doc_id, s, lag(s) over (partition by doc_id order by s) as before from later)),
+spans as (select doc_id, min(s) as a, max(s) + 100 as z from runs group by doc_id, run),
+edges as (select doc_id, list(a order by a) as starts, list(z order by a) as stops, count(*) as n_spans, sum(z - a)::bigint as n_removed from spans group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(case when n_spans is null then b else unhex(array_to_string(list_transform(range(len(starts) + 1),
+    lambda i: hex(b[case when i = 0 then 1 else stops[i] + 1 end : case when i = len(starts) then n else starts[i + 1] end])), '')) end) as kept_sha256
+from d left join edges using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _MIX, "op5_topk": _TOPK, "op9_warc": _WARC}
+    return {"op2_suffix_dedup": _SUFFIX, "op3_mixing": _MIX, "op5_topk": _TOPK, "op9_warc": _WARC}
