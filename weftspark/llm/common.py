@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 #: A word is a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_BYTES = 8 << 20
 _OWN_FOLDER: dict[str, str] = {}
+_FOLDERS: dict[int, tuple] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a folder of this session's own."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset in local mode, a folder of this session's own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="weftspark-")
@@ -38,11 +43,30 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of ARROW_BYTES at most, where the session sets no bound: 10000 long texts would be large ones."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and lost executors cost no recomputation."""
+    bounded_batches(df.sparkSession)
     folder = new_folder(df.sparkSession, label)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    found = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _FOLDERS[id(found)] = weakref.ref(found, lambda _, key=id(found): _FOLDERS.pop(key, None)), folder
+    return found
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete what kept() wrote for these frames, once nothing reads them any more. Other frames are left alone."""
+    for df in frames:
+        ref, folder = _FOLDERS.pop(id(df), (None, ""))
+        if ref and ref() is df:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -61,14 +85,12 @@ def put_file(uri: str, write: Callable) -> None:
 
 
 def mapped_file(uri: str) -> np.ndarray:
-    """The bytes of a shared file, memory mapped; a file that is not on a mounted folder is copied and unlinked first."""
+    """The bytes of a shared file: memory mapped if the folder is mounted, else read."""
     filesystem, path = opened(uri)
     if isinstance(filesystem, pafs.LocalFileSystem):
         return np.memmap(path, np.uint8, "r") if filesystem.get_file_info(path).size else np.zeros(0, np.uint8)
-    with tempfile.NamedTemporaryFile() as copy, filesystem.open_input_stream(path, compression=None) as source:
-        shutil.copyfileobj(source, copy)
-        copy.flush()
-        return np.memmap(copy.name, np.uint8, "r") if copy.tell() else np.zeros(0, np.uint8)
+    with filesystem.open_input_stream(path, compression=None) as source:
+        return np.frombuffer(source.read(), np.uint8)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +113,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, limit: i
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it has
 
 
 def crc_of_id(column: str = "doc_id") -> Column:

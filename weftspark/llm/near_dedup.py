@@ -13,7 +13,9 @@ star contraction. In groups that did not become one class, such as those that a
 classes are then compared until they are in one class: lengths and counts of words by bucket rule out what can't be
 similar, the rest is aligned. So each two nodes that share a tuple end in one class or were found not to be similar.
 
-Texts that are null or without words are in a class of their own each. Rows with the same id are one document. Ties go to smaller ids. Other columns are not read.
+Texts that are null or without words are in a class of their own each. Rows that share an id but not their words are in the
+classes of their words; where the id is the smallest of both, these are one class. A document with a null id is in the class of those with the same words, if there are any, else in class
+null; keep_one() keeps it. Ties go to smaller ids. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, mix64, small_batches
+from .common import forget, kept, mix64, small_batches
 
 K = 3
 SKETCHES = 48
@@ -217,30 +219,39 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = word_hashes(text.as_py(), hashes)
                 ids.append(doc_id), sizes.append(len(words))
-                digests.append(hashlib.md5(words.tobytes()).digest() if len(words) else None)
+                digests.append(_digest(words))
                 keys.append(sketches(words) if len(words) else [])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "keys"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, digest binary, n_words bigint, keys array<bigint>")
 
 
+def _digest(words: np.ndarray) -> bytes | None:
+    return hashlib.md5(words.tobytes()).digest() if len(words) else None
+
+
 def _word_rows(docs: DataFrame) -> DataFrame:
-    """node, words of each document, as 8-byte hashes."""
+    """node, digest, words of each document, as 8-byte hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in small_batches(batches, "text"):
-            words = [word_hashes(t.as_py(), hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["node", "words"])
+            words = [word_hashes(t.as_py(), hashes) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array(map(_digest, words), pa.binary()), pa.array([w.tobytes() for w in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "digest", "words"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").mapInArrow(run, "node bigint, words binary").groupBy("node").agg(F.first("words").alias("words"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").mapInArrow(run, "node bigint, digest binary, words binary")
 
 
 def _words_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, words of the nodes."""
-    needed = kept(nodes.distinct(), "company").withColumnRenamed("node", "doc_id")
+    """node, words of the nodes (node, digest)."""
+    needed = kept(nodes, "needed")
     few = needed.count() <= BROADCAST_IDS
-    return kept(_word_rows(docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")), "words")
+    ids = needed.select(F.col("node").alias("doc_id"))
+    rows = _word_rows(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")).join(needed, ["node", "digest"])
+    found = kept(rows.groupBy("node").agg(F.min("words").alias("words")), "words")  # all of a node are equal
+    forget(needed)
+    return found
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -409,17 +420,19 @@ def _groups(nodes: DataFrame) -> DataFrame:
     weighed = kept(shared.withColumn("company", F.sum(F.col("n") * F.col("times")).over(Window.partitionBy("node"))), "weighed")
     leaders = weighed.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"), "n_words")).alias("lead"))
     leaders = leaders.select("key", (-F.col("lead.minus")).alias("leader"), F.col("lead.n_words").alias("leader_words"))
-    return kept(weighed.drop("company").join(leaders, "key"), "groups")
+    found = kept(weighed.drop("company").join(leaders, "key"), "groups")
+    forget(shared, weighed)
+    return found
 
 
 def similar_nodes(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified links between nodes (node, n_words, keys): node, leader; and node, root of the nodes that are not roots."""
+    """Verified links between nodes (node, digest, n_words, keys): node, leader; and node, root of the nodes that are not roots."""
     spark = docs.sparkSession
     none = spark.createDataFrame([], "node bigint, leader bigint"), spark.createDataFrame([], "node bigint, root bigint")
     followers = _groups(nodes)
     if followers.isEmpty():
         return none
-    words = _words_of(followers.select("node"), docs)
+    words = _words_of(nodes.join(followers.select("node").distinct(), "node", "left_semi").select("node", "digest"), docs)
     links = roots = None
 
     def compare(pairs: DataFrame) -> None:
@@ -463,7 +476,8 @@ def components(links: DataFrame) -> DataFrame:
         large = kept(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = kept(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        before, edges = edges, kept(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        forget(before, large)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -471,8 +485,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = kept(_sketch_rows(docs), "sketches")
     nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     of_digest = kept(nodes, "nodes")
-    heads = rows.withColumnRenamed("doc_id", "node").join(of_digest, ["digest", "node"]).dropDuplicates(["digest"])
-    links, roots = similar_nodes(docs, kept(heads.select("node", "n_words", "keys"), "heads"), similarity)
+    # Of several texts that one id leads, the one with the smallest digest stands for all.
+    heads = rows.withColumnRenamed("doc_id", "node").join(of_digest, ["digest", "node"])
+    heads = heads.groupBy("node").agg(F.min_by(F.struct("digest", "n_words", "keys"), "digest").alias("head")).select("node", "head.*")
+    links, roots = similar_nodes(docs, kept(heads, "heads"), similarity)
     degree = links.union(links.select("leader", "node")).toDF("node", "other").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = rows.select("doc_id", "digest", "n_words").join(of_digest, "digest", "left").join(roots, "node", "left").join(degree, "node", "left")
     return placed.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"), "n_words", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, mapped_file, mix64, new_folder, opened, put_file, small_batches
+from .common import forget, kept, mapped_file, mix64, new_folder, opened, put_file, small_batches
 from .elias_fano import Sequence, dump, encode, load
 
 ORDER = 3
@@ -47,6 +47,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 END = b"\n"  # no word holds a line end
 _LOW = np.int64(0xFFFFFFFF)
 _OPEN: dict[str, object] = {}
+_READ, READ_BYTES = [0], 256 << 20
 
 
 class _Met(dict):
@@ -166,10 +167,14 @@ class Model:
 
 
 def _file(path: str, kind: type):
+    """A file of the model; files that had to be read take no more than READ_BYTES of a task's memory, about."""
     if path not in _OPEN:
-        if len(_OPEN) > 20_000:
+        data = mapped_file(path)
+        _READ[0] += 0 if isinstance(data, np.memmap) else len(data)
+        if len(_OPEN) > 20_000 or _READ[0] > READ_BYTES:
             _OPEN.clear()
-        _OPEN[path] = kind(load(mapped_file(path)))
+            _READ[0] = 0
+        _OPEN[path] = kind(load(data))
     return _OPEN[path]
 
 
@@ -313,7 +318,9 @@ def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[list[str],
         return pd.DataFrame({"part": [number], "path": [path], "first": [int(keys[0]) - (1 << 63)], "size": [len(keys)], "total": [int(counts.sum())]})
 
     done = texts.mapInArrow(count, "part int, data binary").groupBy("part").applyInPandas(build, "part int, path string, first bigint, size bigint, total bigint")
-    files = kept(done, "word-files").orderBy("part").collect()  # a row for each file
+    listed = kept(done, "word-files")
+    files = listed.orderBy("part").collect()  # a row for each file
+    forget(listed)
     starts = np.concatenate([[0], np.cumsum([f["size"] for f in files])]).astype(np.int64)
     if starts[-1] > MOST_WORDS:
         raise ValueError(f"{starts[-1]} different words; ids are of 31 bits")
@@ -398,7 +405,10 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
 
     schema = "n int, part int, path string, size bigint, token bigint, first bigint, first_n bigint, first_sum bigint, last bigint, last_n bigint, last_sum bigint"
     done = texts.select("text").mapInArrow(count, "n int, part int, data binary").groupBy("n", "part").applyInPandas(meet, schema)
-    return kept(done, "count-files").orderBy("n", "part").collect()
+    listed = kept(done, "count-files")
+    files = listed.orderBy("n", "part").collect()
+    forget(listed)
+    return files
 
 
 def _build_level(spark: SparkSession, files: list, folder: str, model: Model, order: int, discount: float) -> Level:
@@ -468,7 +478,9 @@ def _build_level(spark: SparkSession, files: list, folder: str, model: Model, or
     after = [f["first"] for f in files[1:]] + [None]
     rows = [(k, f["path"], [f["first"], f["last"]], after[k]) for k, f in enumerate(files)]
     listed = spark.createDataFrame(rows, "number bigint, path string, ends array<bigint>, after bigint").repartition(max(len(files), 1))
-    built = kept(listed.mapInArrow(run, "number bigint, path string, first_node bigint"), "level-files").orderBy("number").collect()
+    written = kept(listed.mapInArrow(run, "number bigint, path string, first_node bigint"), "level-files")
+    built = written.orderBy("number").collect()
+    forget(written)
     for f in files:
         filesystem, name = opened(f["path"])
         filesystem.delete_file(name)

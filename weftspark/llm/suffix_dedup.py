@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, mix64, small_batches, text_bytes
+from .common import forget, kept, mix64, small_batches, text_bytes
 
 LENGTH = 100
 KGRAM = 32
@@ -270,7 +270,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     columns = ["anchor", "context", "doc_id", "text_hash", "start", "windows"]
     elsewhere = seen.where("n > 1 or not alone").select(*columns)
     in_task = found.where("windows < 0 or (not alone and repeated)").select(*columns)
-    repeated = kept(elsewhere.unionByName(in_task), "contexts")
+    repeated = all_contexts = kept(elsewhere.unionByName(in_task), "contexts")
     spans = repeated.where("windows < 0").select("doc_id", "text_hash", "start", (F.col("start") - F.col("windows")).alias("stop"))
     repeated = repeated.where("windows > 0")
     where = F.struct("doc_id", "text_hash", "start", "windows")
@@ -280,7 +280,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     several = kept(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "several")
     different = first.select("anchor", "first.*").join(several, "anchor")
     of_doc = different.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "contexts", "start", "windows")).alias("pieces"))
-    pieces = rows.join(kept(of_doc, "wanted"), ["doc_id", "text_hash"])
+    wanted = kept(of_doc, "wanted")
+    pieces = rows.join(wanted, ["doc_id", "text_hash"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -295,7 +296,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     few = _sorted_spans(pieces.where(F.col("contexts") <= HOT), -(-size // SORTED_BYTES) or 1)
     spans = spans.unionByName(again).unionByName(few).unionByName(_window_spans(pieces.where(F.col("contexts") > HOT)))
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = kept(spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    forget(all_contexts, first, several, wanted, pieces)
+    return found
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -310,7 +313,7 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop in bytes) and kept, the bytes that stay."""
-    rows = _identified(docs).join(kept(removed_spans(docs), "spans"), ["doc_id", "text_hash"], "left")
+    rows = _identified(docs).join(removed_spans(docs), ["doc_id", "text_hash"], "left")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, stop: bigint>>, kept binary, text_hash bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +336,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character that lost some of its bytes goes whole. Rows whose text loses everything go; rows that lose nothing are
     unchanged.
     """
-    spans = kept(removed_spans(docs), "spans")
+    spans = removed_spans(docs)
     names = {c.lower() for c in docs.columns}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, _identified_id().alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text").join(spans, ["doc_id", "text_hash"], "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, mapped_file, new_folder, put_file
+from .common import forget, kept, mapped_file, new_folder, put_file
 from .elias_fano import dump, load
 
 K = 10
@@ -186,5 +186,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int =
     cells = spark.range(n_blocks * n_groups).select((F.col("id") % max(n_blocks, 1) + 1).alias("b"), (F.floor(F.col("id") / max(n_blocks, 1)) + 1).alias("g"))
     cells = cells.join(numbered(blocks, "b"), "b").join(numbered(groups, "g"), "g").select("b_path", "g_path")
     found = kept(cells.repartition(max(n_blocks * n_groups, 1)).mapInArrow(run, FOUND), "found")
+    forget(blocks, groups)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "postings", "of")
