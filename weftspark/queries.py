@@ -129,9 +129,9 @@ def merge_sets(spark, sf_dir):
     return _packed(spark, sf_dir).join(found, "texture_id")
 
 
-@query(f"with {_TEXELS} select texture_id, y, x, r, g, b, a as alpha from texels where part = 0")
+@query(f"with {_RASTERS} select texture_id, y, x, r, g, b, a as alpha from rasters")
 def split_color(spark, sf_dir):
-    return raster.split_color(texels(spark, sf_dir).where("part = 0"))
+    return raster.split_color(rasters(spark, sf_dir))
 
 
 @query(f"with {_PACKED} select texture_id, y, x, 255 - pr as roughness, pb as metallic, pa as normal_r, pg as normal_g, 255 as normal_b, 255 as normal_a from packed")
@@ -332,13 +332,15 @@ def _wanted(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_custkey % 6 = 0").select(F.col("c_name").alias("name"))
 
 
-@query(f"with {_PACKAGES} select c_name as name, c_name in (select name from packages) as deleted from customer where c_custkey % 6 = 0")
+@query(f"with {_PACKAGES} select c_name as name, c_name in (select name from packages) as deleted from customer")
 def package_delete(spark, sf_dir):
-    return catalog.delete(_packages(spark, sf_dir), _wanted(spark, sf_dir))[1]
+    """Asked for all names, of which some aren't in the catalogue."""
+    return catalog.delete(_packages(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))[1]
 
 
 @query(f"with {_PACKAGES} select name, bytes from packages where name not in (select c_name from customer where c_custkey % 6 = 0)")
 def package_remaining(spark, sf_dir):
+    """What stays when some are deleted."""
     return catalog.delete(_packages(spark, sf_dir), _wanted(spark, sf_dir))[0].select("name", "bytes")
 
 
