@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -103,6 +104,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have about limit bytes at most, or one row."""
     for batch in batches:
@@ -113,7 +122,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, limit: i
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it has
+    give_back()
 
 
 def crc_of_id(column: str = "doc_id") -> Column:

@@ -23,30 +23,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches, small_batches
 
 MARK = "▁"
 CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Entries held by the caches of a task; they are emptied when full.
-CACHE = 1_500_000
+#: Entries held by the caches of a task, about; they are emptied when the task ends.
+CACHE = 120_000
 _LOADED: dict[str, Codec] = {}
 
 
 class Known(dict):
-    """Of the cuts met so far, the ids as text and the bytes that these decode to."""
+    """Of the cuts met lately, the ids as text and the bytes that these decode to. Those not asked for in a while go first."""
 
     def __init__(self, coder: Codec):
-        self.coder = coder
+        self.coder, self.before = coder, {}
 
     def __missing__(self, cut: str) -> tuple[str, bytes]:
-        ids = self.coder._cut_ids(cut)
-        found = ",".join(map(str, ids)), self.coder.decode_bytes(ids)
+        found = self.before.get(cut)
+        if found is None:
+            ids = self.coder._cut_ids(cut)
+            found = ",".join(map(str, ids)), self.coder.decode_bytes(ids)
         if len(cut) < 64:
             if len(self) > CACHE:
+                self.before = dict(self)
                 self.clear()
             self[cut] = found
         return found
 
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
 
 class Codec:
     """Tables for one model file, made once in each Python worker."""
@@ -94,7 +101,7 @@ class Codec:
         """Whether merging leaves the two tokens side by side: undo their merges, latest first, and look for an earlier merge over the border."""
         key = left << 32 | right
         if (found := self.compatible.get(key)) is None:
-            if len(self.compatible) > CACHE:
+            if len(self.compatible) > 2 * CACHE:
                 self.compatible.clear()
             found = self.compatible[key] = self._undo(left, right)
         return found
@@ -159,6 +166,10 @@ class Codec:
                 start, kind = k, now
         yield kind, cut[start:]
 
+    def forget(self) -> None:
+        self.known.forget()
+        self.compatible.clear()
+
     def coded(self, text: str) -> tuple[str, str]:
         """The ids of a text in decimal, joined by commas, and the text that they decode to.
 
@@ -193,6 +204,7 @@ def codec(model_file: str) -> Codec:
 
 def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of every row: id, ids array<int>, decoded string."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +212,14 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         for batch in small_batches(batches, "text"):
             ids = [coder.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(i) for i in ids])], names=[id_col, "ids", "decoded"])
+        coder.forget()
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def token_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,5 +232,6 @@ def token_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, text_bytes
+from .common import bounded_batches, forget, kept, small_batches, text_bytes
 
 ORDER = 3
 ROWS_PER_LANG, BYTES_PER_LANG = 2000, 32 << 20
 MOST_GRAMS, MOST_COSTS = 20_000_000, 1 << 26
 BROADCAST_LANGS = 10_000
+#: Bytes of text that a task looks at together.
+AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -83,6 +85,7 @@ def fit(counts: DataFrame) -> Tables:
     if (n := counts.count()) > MOST_GRAMS:
         raise ValueError(f"the sample has {n} strings of up to {ORDER + 1} bytes; take fewer rows or bytes of each language")
     found = counts.toPandas()
+    forget(counts)
     langs = sorted(found["lang"].unique())
     levels: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
     for n in range(ORDER + 1):
@@ -177,11 +180,12 @@ def _judged(texts: pa.Array, tables: Tables) -> tuple[list[str], list[float], li
 
 def classify(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, bits_per_byte of every row."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # a bounded sample's statistics
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", AT_ONCE):
             names, scores, rates = _judged(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[id_col, "lang_pred", "score", "bits_per_byte"])
 
@@ -190,11 +194,12 @@ def classify(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col:
 
 def with_language(docs: DataFrame, tables: Tables, text_col: str = "text") -> DataFrame:
     """The rows of docs, unchanged, whose text is of a learned language (not `und`)."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # a bounded sample's statistics
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, at):
+        for batch in small_batches(batches, at, AT_ONCE):
             names, _, _ = _judged(batch.column(at), shared.value)
             yield batch.filter(pa.array([name != "und" for name in names]))
 
