@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,18 +246,26 @@ def _word_rows(docs: DataFrame) -> DataFrame:
 def _words_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """node, words of the nodes (node, digest)."""
     needed = kept(nodes, "needed")
-    few = needed.count() <= BROADCAST_IDS
-    ids = needed.select(F.col("node").alias("doc_id"))
-    rows = _word_rows(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")).join(needed, ["node", "digest"])
+    few = _if_few(needed)
+    rows = _word_rows(docs.join(few(needed.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")).join(few(needed), ["node", "digest"])
     found = kept(rows.groupBy("node").agg(F.min("words").alias("words")), "words")  # all of a node are equal
     forget(needed)
     return found
 
 
+def _if_few(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to join numbers of nodes: broadcast if there are BROADCAST_IDS at most, else by shuffle. rows were kept."""
+    return F.broadcast if rows.count() <= BROADCAST_IDS else lambda ids: ids
+
+
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """node, leader, similar of each pair."""
-    # By node last: the alignments of a leader's many followers then lie in many tasks.
-    both = pairs.join(words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")), "leader").join(words, "node")
+    pairs = kept(pairs, "to-verify")
+    few = _if_few(pairs)
+    # Only words that are asked for are shuffled. By node last: the alignments of a leader's many followers then lie in many tasks.
+    of_nodes = words.join(few(pairs.select("node").distinct()), "node", "left_semi")
+    of_leaders = words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")).join(few(pairs), "leader")
+    both = of_leaders.join(of_nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +275,9 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
                 found.append(within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["node", "leader", "similar"])
 
-    return kept(both.select("node", "leader", "words", "leader_words").mapInArrow(run, "node bigint, leader bigint, similar boolean"), "verified")
+    found = kept(both.select("node", "leader", "words", "leader_words").mapInArrow(run, "node bigint, leader bigint, similar boolean"), "verified")
+    forget(pairs)
+    return found
 
 
 def _rooted(rows: DataFrame, roots: DataFrame | None, of: str) -> DataFrame:
@@ -366,7 +376,9 @@ def _linked_in_units(rows: DataFrame, words: DataFrame, similarity: float) -> Da
         if held:
             yield from found(pa.Table.from_batches(held))
 
-    dealt = rows.join(words, "node").select("unit", "side", "key", "node", "root", "n_words", "keys", "words")
+    rows = kept(rows, "unit-rows")
+    asked = words.join(_if_few(rows)(rows.select("node").distinct()), "node", "left_semi")
+    dealt = rows.join(asked, "node").select("unit", "side", "key", "node", "root", "n_words", "keys", "words")
     return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "node bigint, leader bigint").distinct()
 
 
