@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftspark.llm import mixing, near_dedup, piece_tokens, ppm_language, suffix_dedup
-from weftspark.llm.common import crc_of_id, kept, read_table
+from weftspark.llm.common import crc_of_id, forget, kept, read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,13 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("mixed_sources", mixed_sources), ("piece_ids", piece_ids)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("mixed_sources", mixed_sources),
+    ("piece_ids", piece_ids),
+]
 #: The language, alignment and tokenizer stages have no SQL form.
 ORACLE_SQL = None
 
@@ -44,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        before, docs = docs, kept(stage(spark, docs, sf_dir), name)
+        forget(before)
     return docs
