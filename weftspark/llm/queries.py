@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, topk, warc
+from . import collocations, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, topk, warc
 from .common import crc_of_id, read_table
 
 
@@ -69,6 +69,11 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.best(collocations.phrases(read_table(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -124,5 +129,26 @@ from d left join edges using (doc_id)
 """
 
 
+_COLLOCATIONS = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+s as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+x as (select lang, unnest(list_transform(range(len(w)), lambda i: {'a': w[i + 1], 'b': w[i + 2], 'c': w[i + 3]})) as x from s),
+w as materialized (select lang, x.a as a, x.b as b, x.c as c from x),
+n as (select lang, count(*) as n from w group by lang),
+one as materialized (select lang, a, count(*) as f from w group by lang, a),
+two as materialized (select lang, a, b, count(*) as f from w where b is not null group by lang, a, b having count(*) >= 10),
+three as materialized (select lang, a, b, c, count(*) as f from w where c is not null group by lang, a, b, c having count(*) >= 10),
+longer as (select lang, a, b, max(f) as longest from (select lang, a, b, f from three union all select lang, b, c, f from three) group by lang, a, b),
+cuts as (select t.lang, t.a || ' ' || t.b as phrase, 1 as k, t.f as a, x.f as l, y.f as r from two t join one x on x.lang = t.lang and x.a = t.a join one y on y.lang = t.lang and y.a = t.b
+           left join longer g on g.lang = t.lang and g.a = t.a and g.b = t.b where longest is null or 100 * longest < 50 * t.f
+         union all select t.lang, t.a || ' ' || t.b || ' ' || t.c, 1, t.f, x.f, y.f from three t join one x on x.lang = t.lang and x.a = t.a join two y on y.lang = t.lang and y.a = t.b and y.b = t.c
+         union all select t.lang, t.a || ' ' || t.b || ' ' || t.c, 2, t.f, x.f, y.f from three t join two x on x.lang = t.lang and x.a = t.a and x.b = t.b join one y on y.lang = t.lang and y.a = t.c),
+scored as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts),
+least_cut as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank from least_cut)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _SUFFIX, "op3_mixing": _MIX, "op5_topk": _TOPK, "op9_warc": _WARC}
+    return {"op2_suffix_dedup": _SUFFIX, "op3_mixing": _MIX, "op5_topk": _TOPK, "op9_warc": _WARC, "op13_collocations": _COLLOCATIONS}
