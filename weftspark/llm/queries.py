@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, topk, warc
+from . import collocations, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, token_counts, topk, warc
 from .common import crc_of_id, read_table
 
 
@@ -69,6 +69,14 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fits_chars: how many characters of the text take 1024 tokens at most."""
+    import public_tokenizers
+
+    found = token_counts.table(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.longest_within(found, "1024").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fits_chars")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.best(collocations.phrases(read_table(spark, sf_dir, "documents")))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
