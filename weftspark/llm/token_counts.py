@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small_batches
+from .common import bounded_batches, give_back, small_batches
 from .piece_tokens import Codec
 
 CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
@@ -248,10 +248,11 @@ def _answered(counts: DataFrame, question: str, name: str, answer) -> DataFrame:
     numbered = counts.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.expr(question).cast("bigint").alias("question"), F.col("steps").alias("steps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "steps", 8 << 20):
+        for batch in batches:
             asked = zip(batch.column("question").to_pylist(), batch.column("steps").to_pylist(), strict=True)
             found = [None if q is None else answer(q, np.frombuffer(s or b"", STEP)) for q, s in asked]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, pa.int64())], names=[*(f"c{k}" for k in range(len(columns))), "answer"])
+        give_back()
 
     kinds = ", ".join(f"c{k} {counts.schema[c].dataType.simpleString()}" for k, c in enumerate(columns))
     return numbered.mapInArrow(run, f"{kinds}, answer bigint").toDF(*columns, name)
