@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, token_counts, topk, warc
+from . import collocations, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, token_counts, topk, vector_codes, warc
 from .common import crc_of_id, read_table
 
 
@@ -69,6 +69,11 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.encode(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fits_chars: how many characters of the text take 1024 tokens at most."""
     import public_tokenizers
@@ -137,6 +142,25 @@ from d left join edges using (doc_id)
 """
 
 
+_CODE_ROUND = """
+d{k} as (select p.part, p.vec_id, p.x, b.entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint as far from p join b{k} b on b.part = p.part),
+a{k} as materialized (select * from d{k} qualify row_number() over (partition by part, vec_id order by far, entry) = 1),
+s{k} as (select part, entry, pos, sum(x[pos])::hugeint as s, count(*)::hugeint as n from a{k}, range(1, (select max(len(x)) from p) + 1) t(pos) group by part, entry, pos),
+m{k} as (select part, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by pos) as c from s{k} group by part, entry),
+b{next} as materialized (select b.part, b.entry, coalesce(m.c, b.c) as c from b{k} b left join m{k} m on m.part = b.part and m.entry = b.entry),
+"""
+
+_CODES = f"""
+with v as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as e from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, label, part, e[part * (len(e) // 16) + 1 : (part + 1) * (len(e) // 16)] as x from v, range(16) t(part)),
+b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x as c from p qualify entry < 64),
+{_CODE_ROUND.format(k=0, next=1)}{_CODE_ROUND.format(k=1, next=2)}{_CODE_ROUND.format(k=2, next=3)}
+h as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from b2),
+r as (select vec_id, string_agg(format('{{:02x}}', entry), '' order by part) as code, sum(far)::bigint as error from a2 group by vec_id)
+select r.vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from r join v using (vec_id), h
+"""
+
 _COLLOCATIONS = r"""
 with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 s as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
@@ -159,4 +183,4 @@ select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) whe
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _SUFFIX, "op3_mixing": _MIX, "op5_topk": _TOPK, "op9_warc": _WARC, "op13_collocations": _COLLOCATIONS}
+    return {"op2_suffix_dedup": _SUFFIX, "op3_mixing": _MIX, "op5_topk": _TOPK, "op9_warc": _WARC, "op11_vector_codes": _CODES, "op13_collocations": _COLLOCATIONS}
