@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark.llm import elias_fano, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, topk, warc
+from weftspark.llm import collocations, elias_fano, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, token_counts, topk, vector_codes, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, target string"
 
@@ -263,6 +263,19 @@ def test_near_dedup(docs, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_keep_one_chooses_rows(spark):
+    """Repeated rows stay once; of an id with several texts only the text that leads its class; null ids only with texts of their own."""
+    t, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("t", "other", "third"))
+    rows = [(1, t, 1), (1, t, 1), (5, other, 2), (5, t, 3), (None, t, 4), (None, third, 5), (None, third, 5), (7, "", 6), (7, None, 7), (None, None, 8), (None, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").repartition(3)
+    found = sorted(((r[0], r[1], r[2]) for r in near_dedup.keep_one(docs).collect()), key=str)
+    assert sorted((r for r in found if r[1] and r[1].strip()), key=str) == sorted([(1, t, 1), (5, other, 2), (None, third, 5)], key=str)
+    assert len([r for r in found if r[0] == 7]) == 1 and len([r for r in found if r[0] is None and not (r[1] or "").strip()]) == 2
+    assert len(found) == 6
+    many = near_dedup.classes(docs).groupBy("doc_id", "class_id").count().collect()
+    assert {(r["doc_id"], r["class_id"]) for r in many} >= {(1, 1), (5, 1), (5, 5), (None, 1)}
+
+
 def brute_classes(texts, similarity=0.8):
     """The smallest place of each text's class, all pairs compared."""
     words = [near_dedup.word_hashes(t, near_dedup._Hashes()) for t in texts]
@@ -634,3 +647,170 @@ def test_queries_equal_their_sql(spark, name):
     assert set(columns) <= set(found.columns)
     plain = lambda row: [float(f"{x:.9g}") if isinstance(x, float) else x for x in row]
     assert sorted(map(plain, found.select(*columns).collect()), key=str) == sorted(map(plain, theirs.fetchall()), key=str)
+
+
+def brute_codes(rows, parts=16, entries=64, rounds=2):
+    """Codes of (vec_id, vector) by trying every entry."""
+    kept = sorted(((i, [int(np.floor(float(x) * 256)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    width = -(-max(len(v) for _, v in kept) // parts) * parts
+    d = width // parts
+    cut = [[tuple((v + [0] * width)[k * d : (k + 1) * d]) for k in range(parts)] for _, v in kept]
+    books = [[c[k] for c in cut[:entries]] for k in range(parts)]
+
+    def assign():
+        far = lambda x, e: sum((a - b) ** 2 for a, b in zip(x, e))
+        return [[min((far(c[k], e), i) for i, e in enumerate(books[k])) for k in range(parts)] for c in cut]
+
+    for _ in range(rounds):
+        found = assign()
+        for k in range(parts):
+            for i in range(len(books[k])):
+                own = [c[k] for c, f in zip(cut, found) if f[k][1] == i]
+                if own:
+                    books[k][i] = tuple(sum(x) // len(own) for x in zip(*own))
+    coded = [(i, "".join(f"{b:02x}" for _, b in f), sum(a for a, _ in f)) for (i, _), f in zip(kept, assign())]
+    return coded, hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("n", "width"), [(150, 32), (40, 20), (1, 16)])
+def test_vector_codes_equal_brute_force(spark, n, width):
+    rng = np.random.default_rng(n)
+    rows = [(int(i), [float(x) for x in rng.integers(-6, 6, width) / 64], int(i) % 3 if i % 4 else None) for i in range(n)]
+    rows += [(n, None, 1), (n + 1, [1.0, float("nan")], 1), (n + 2, [float("inf")] * width, 0), (n + 3, [None] * width, 0)]
+    if n > 1:
+        rows += [(None, rows[3][1], 5), (n + 4, [], 5), (7, rows[9][1], 2), (7, rows[9][1], 2), (n + 5, rows[2][1][:5], 2)]
+    vectors = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, code string").repartition(3)
+    coded, books = vector_codes.encode(vectors)
+    found = coded.collect()
+    expected, digest = brute_codes([(r[0], r[1]) for r in rows])
+    assert sorted(((r["vec_id"], r["code"], r["error"]) for r in found), key=str) == sorted(expected, key=str)
+    assert vector_codes.digest(books) == digest
+    sums = {}
+    for r in found:
+        sums[r["label"]] = sums.get(r["label"], 0) + r["error"]
+    assert all(r["label_error"] == sums[r["label"]] for r in found)
+    assert n == 1 or sum(r["evaluated"] for r in found) < len(found) * 16 * books.shape[1] / 2
+
+
+def test_vector_codes_of_nothing_and_salted_labels(spark, monkeypatch):
+    nothing = spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")
+    assert vector_codes.encode(nothing)[0].count() == 0
+    with pytest.raises(Exception, match="beyond"):
+        vector_codes.encode(spark.createDataFrame([(1, [1e9], 2)], "vec_id long, embedding array<float>, label int"))[0].collect()
+    coded = spark.createDataFrame([(i, None if i % 3 else 1, f"{i}", i) for i in range(30)], "vec_id long, label int, code string, error long")
+    plain = sorted(map(str, vector_codes.with_label_error(coded).collect()))
+    monkeypatch.setattr(vector_codes, "LABELS", 0)
+    assert sorted(map(str, vector_codes.with_label_error(coded).collect())) == plain
+
+
+def test_token_counts_of_prefixes(spark):
+    """Each prefix of odd texts costs what the library says; budgets, special strings, contractions, white space, characters newer than the library's tables."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(4)
+    bits = ["a", "the", "'", "'s", "'re", "'ll", "'l", " ", "  ", "\n", "\t", "\u00a0", "é", "日本", "1", "²", "!", "...", "<|endoftext|>", "<|end", "|>", "Anh", "😀", "\u0c5c", "\u0558", "ing", "\r\n", "\u3000", "\u0301", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["", None, "x" * 3000, " " * 700 + "a", "a" + "\n" * 300, "-" * 200]
+    docs = spark.createDataFrame([(i if i % 50 else None, t, "", 0) for i, t in enumerate(texts)], "doc_id long, text string, steps string, n_tokens int").repartition(3)
+    known = token_counts.counter(file)
+    for t in texts[:300]:
+        assert np.cumsum(np.frombuffer(known.steps(t), token_counts.STEP)).tolist() == [size(t[:k]) for k in range(1, len(t) + 1)]
+    table = token_counts.table(docs, file)
+    found = {r["doc_id"]: r for r in table.collect() if r["doc_id"] is not None}
+    assert table.count() == len(texts)
+    for i, t in enumerate(texts):
+        if i % 50:
+            t = t or ""
+            assert (found[i]["n_tokens"], found[i]["n_chars"], found[i]["n_bytes"]) == (size(t), len(t), len(t.encode()))
+    for r in token_counts.tokens_of_first(table, "n_chars div 2", "half").where("doc_id is not null").collect():
+        t = texts[r["doc_id"]] or ""
+        assert r["half"] == size(t[: len(t) // 2])
+    for r in token_counts.longest_within(table, "3").where("doc_id is not null and n_chars < 100").collect():
+        t = texts[r["doc_id"]] or ""
+        assert r["fits_chars"] == max(k for k in range(len(t) + 1) if size(t[:k]) <= 3)
+    assert token_counts.table(docs.where("false"), file).count() == 0
+
+
+def test_token_counter_refuses_other_vocabularies():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="byte-level"):
+        token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_token_classes_are_the_library_s():
+    """Units end only where the library's pieces end, for every character."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    known, pieces = token_counts.counter(file), Tokenizer.from_file(file).pre_tokenizer
+    for c in range(0, 0x110000, 7):
+        if not 0xD800 <= c < 0xE000:
+            s = f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}{chr(c)}"
+            ends = {m.end() for m in (known.odd_pattern if chr(c) in known.odd else known.pattern).finditer(s)}
+            assert ends <= {end for _, (_, end) in pieces.pre_tokenize_str(s)}
+
+
+def brute_phrases(rows, least, within=50):
+    """Scored phrases by counting every phrase."""
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    f, n = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(lower)):
+            words = re.findall(r"[^ \t]+", piece)
+            n[lang] = n.get(lang, 0) + len(words)
+            for size in (1, 2, 3):
+                for k in range(len(words) - size + 1):
+                    key = (lang, *words[k : k + size])
+                    f[key] = f.get(key, 0) + 1
+    out = []
+    for (lang, *words), a in f.items():
+        if len(words) < 2 or a < least:
+            continue
+        if len(words) == 2 and any(len(k) == 4 and k[0] == lang and (list(k[1:3]) == words or list(k[2:]) == words) and 100 * x >= within * a for k, x in f.items()):
+            continue
+        cuts = [(1000000 * a * a // (f[lang, *words[:k]] * f[lang, *words[k:]]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        out.append((lang, " ".join(words), a, f[lang, *words[:k]], f[lang, *words[k:]], n[lang], score))
+    return out
+
+
+def test_collocations_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["New", "york", "city", "the", "of", "É", "é", "a\u00a0b"]
+    line = lambda k: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ". ", ",", "\n", "\x0b"]) for _ in range(k))
+    rows = [(rng.choice(["en", "de", None, "und"]), line(rng.randint(0, 40))) for _ in range(60)] + [("en", None), ("en", ""), ("fr", "..."), ("en", "rare words only"), ("en", line(900))]
+    rows += rows[:5]
+    docs = spark.createDataFrame([(lang, text, 1) for lang, text in rows], "lang string, text string, phrase int").repartition(3)
+    for chunk, bits, least in ((1 << 20, 1 << 29, 10), (300, 1 << 16, 3), (300, 1 << 16, 1)):
+        monkeypatch.setattr(collocations, "CHUNK", chunk)
+        monkeypatch.setattr(collocations, "FILTER_BITS", bits)
+        found = collocations.phrases(docs, least)
+        assert sorted(map(tuple, found.collect())) == sorted(brute_phrases(rows, least))
+        ranked = sorted(found.collect(), key=lambda r: (r["lang"], -r["score"], -r["a"], r["phrase"].encode()))
+        best = collocations.best(found, 4).orderBy("lang", "rank").collect()
+        langs = sorted({r["lang"] for r in ranked})
+        assert [(r["lang"], r["phrase"]) for r in best] == [(r["lang"], r["phrase"]) for lang in langs for r in [x for x in ranked if x["lang"] == lang][:4]]
+    assert collocations.best(collocations.phrases(docs.where("false"))).count() == 0
+    counted = spark.createDataFrame([(3 * 10**13, 4 * 10**13, 5 * 10**13)], "a long, l long, r long")
+    assert counted.select(collocations.ratio("a", "l", "r")).first()[0] == 1000000 * 9 // 20
+
+
+def test_tidied_keeps_only_what_is_asked_for(spark, tmp_path):
+    import os
+
+    from weftspark.llm import common
+
+    before = set(os.listdir(common.shared_folder(spark).removeprefix("file://")))
+    with common.tidied() as stays:
+        common.kept(spark.range(3).toDF("x"), "gone")
+        stays.append(common.kept(spark.range(4).toDF("x"), "stays"))
+    after = set(os.listdir(common.shared_folder(spark).removeprefix("file://"))) - before
+    assert len(after) == 1 and next(iter(after)).startswith("stays") and stays[0].count() == 4

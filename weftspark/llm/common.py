@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -21,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_BYTES = 8 << 20
 _OWN_FOLDER: dict[str, str] = {}
 _FOLDERS: dict[int, tuple] = {}
+_SCOPES: list[list[DataFrame]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +59,25 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(folder)
     found = df.sparkSession.read.schema(df.schema).parquet(folder)
     _FOLDERS[id(found)] = weakref.ref(found, lambda _, key=id(found): _FOLDERS.pop(key, None)), folder
+    if _SCOPES:
+        _SCOPES[-1].append(found)
     return found
 
 
+@contextmanager
+def tidied() -> Iterator[list[DataFrame]]:
+    """What kept() writes within is deleted at the end, but for the frames put into the list that is given."""
+    made, stays = [], []
+    _SCOPES.append(made)
+    try:
+        yield stays
+    finally:
+        _SCOPES.pop()
+        forget(*[df for df in made if not any(df is s for s in stays)])
+        if _SCOPES:
+            _SCOPES[-1].extend(stays)
+
+
 def forget(*frames: DataFrame | None) -> None:
     """Delete what kept() wrote for these frames, once nothing reads them any more. Other frames are left alone."""
     for df in frames:
@@ -126,7 +144,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, limit: i
 
 
 def crc_of_id(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string").cast("binary"))
+    """The checksum of an id as text; that of an empty text for null."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

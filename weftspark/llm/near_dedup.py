@@ -14,8 +14,8 @@ classes are then compared until they are in one class: lengths and counts of wor
 similar, the rest is aligned. So each two nodes that share a tuple end in one class or were found not to be similar.
 
 Texts that are null or without words are in a class of their own each. Rows that share an id but not their words are in the
-classes of their words; where the id is the smallest of both, these are one class. A document with a null id is in the class of those with the same words, if there are any, else in class
-null; keep_one() keeps it. Ties go to smaller ids. Other columns are not read. An empty table gives no rows.
+classes of their words; where the id is the smallest of both, these are one class. A document with a null id is in the
+class of those with the same words, if there are any, else in class null. Ties go to smaller ids. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, kept, mix64, small_batches
+from .common import WORD, forget, kept, mix64, small_batches, tidied
 
 K = 3
 SKETCHES = 48
@@ -210,7 +210,7 @@ def _distance_in_band(a: list[int], b: list[int], band: int) -> int:
 
 
 def _sketch_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, node_key, n_words, keys of every document with words."""
+    """doc_id, text_key, digest, n_words, keys of every row; digest is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -221,9 +221,14 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
                 ids.append(doc_id), sizes.append(len(words))
                 digests.append(_digest(words))
                 keys.append(sketches(words) if len(words) else [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n_words", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "digest", "n_words", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, digest binary, n_words bigint, keys array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id bigint, text_key string, digest binary, n_words bigint, keys array<bigint>")
+
+
+def _text_key(text: Column) -> Column:
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
 
 
 def _digest(words: np.ndarray) -> bytes | None:
@@ -492,22 +497,49 @@ def components(links: DataFrame) -> DataFrame:
         forget(before, large)
 
 
+def _placed(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_key, digest, n_words, node (its words' smallest doc_id), class_id, n_links of every row."""
+    with tidied() as stays:
+        rows = kept(_sketch_rows(docs), "sketches")
+        nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+        of_digest = kept(nodes, "nodes")
+        # Of several texts that one id leads, the one with the smallest digest stands for all.
+        heads = rows.withColumnRenamed("doc_id", "node").join(of_digest, ["digest", "node"])
+        heads = heads.groupBy("node").agg(F.min_by(F.struct("digest", "n_words", "keys"), "digest").alias("head")).select("node", "head.*")
+        links, roots = similar_nodes(docs, kept(heads, "heads"), similarity)
+        degree = links.union(links.select("leader", "node")).toDF("node", "other").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        placed = rows.select("doc_id", "text_key", "digest", "n_words").join(of_digest, "digest", "left").join(roots, "node", "left").join(degree, "node", "left")
+        class_id, n_links = F.coalesce("root", "node", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+        stays.append(kept(placed.select("doc_id", "text_key", "digest", "n_words", "node", class_id, n_links), "placed"))
+    return stays[0]
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (its class's smallest doc_id), n_words, n_links (links of its words' node to others that were verified)."""
-    rows = kept(_sketch_rows(docs), "sketches")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    of_digest = kept(nodes, "nodes")
-    # Of several texts that one id leads, the one with the smallest digest stands for all.
-    heads = rows.withColumnRenamed("doc_id", "node").join(of_digest, ["digest", "node"])
-    heads = heads.groupBy("node").agg(F.min_by(F.struct("digest", "n_words", "keys"), "digest").alias("head")).select("node", "head.*")
-    links, roots = similar_nodes(docs, kept(heads, "heads"), similarity)
-    degree = links.union(links.select("leader", "node")).toDF("node", "other").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = rows.select("doc_id", "digest", "n_words").join(of_digest, "digest", "left").join(roots, "node", "left").join(degree, "node", "left")
-    return placed.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"), "n_words", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return _placed(docs, similarity).select("doc_id", "class_id", "n_words", "n_links")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose document is the smallest of its class."""
-    first = classes(docs, similarity).where("doc_id = class_id").select("doc_id").distinct()
-    null_ids = docs.where("doc_id is null")
-    return docs.join(kept(first, "kept-ids"), "doc_id", "left_semi").unionByName(null_ids)
+    """Of each class of docs one row: the smallest document's, of its rows with equal words the one with the smallest text digest.
+
+    Rows are chosen, not ids: where one id has several texts, only the text that leads the class stays. A text that only
+    rows with null ids have stays once. Texts without words stay once an id, and in each row whose id is null.
+    """
+    placed = _placed(docs, similarity)
+    first = placed.where("digest is null and doc_id is not null or digest is not null and (node is null or node = doc_id and class_id = doc_id)")
+    first = first.groupBy("doc_id", "digest", "text_key").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "digest")
+    first = kept(first.agg(F.min(F.struct("text_key", "n")).alias("least")).select("doc_id", "least.*"), "first-rows")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        return rows.join(chosen, doc_id.cast("bigint").eqNullSafe(F.col("doc_id")) & (_text_key(text) == F.col("text_key")), "left_semi")
+
+    found = of(first.where("n = 1")).unionByName(rows.where(doc_id.isNull() & ~F.coalesce(text, F.lit("")).rlike(WORD)))
+    repeated = first.where("n > 1")
+    if not repeated.isEmpty():
+        plain = [n for n in names if "map<" not in rows.schema[n].dataType.simpleString() and rows.schema[n].dataType.simpleString() != "variant"]
+        turn = F.row_number().over(Window.partitionBy(doc_id, _text_key(text)).orderBy(F.xxhash64(*plain)))
+        found = found.unionByName(of(repeated).withColumn("turn", turn).where("turn = 1").drop("turn"))
+    return found.toDF(*docs.columns)

@@ -203,4 +203,7 @@ def with_language(docs: DataFrame, tables: Tables, text_col: str = "text") -> Da
             names, _, _ = _judged(batch.column(at), shared.value)
             yield batch.filter(pa.array([name != "und" for name in names]))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by number, as mapInArrow takes a dot in a name for a field.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    found = docs.toDF(*names)
+    return found.mapInArrow(run, found.schema).toDF(*docs.columns)

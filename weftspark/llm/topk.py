@@ -10,7 +10,7 @@ processed yet. Processing stops when the rows that this bound proves to be the o
 few; all of these are scored exactly. Until then, and at worst to the end, segments are processed.
 
 Values are floor(1024 * x) and scores are exact integer sums; a score beyond 64 bits is an error. Vectors that are null or
-hold null or non-finite components take no part; shorter vectors count as filled with zeros. Ties go to the smaller id.
+hold null or non-finite components take no part; shorter vectors, also those of no components, count as filled with zeros. Ties go to the smaller id.
 Rows that repeat an id are candidates of their own, but never for a query with their id; equal queries have equal rows
 once. A query with fewer than k candidates returns all of them. An empty table gives no rows. Other columns are not read.
 """
@@ -145,7 +145,7 @@ def _written(rows: DataFrame, blocks: int, folder: str, name: str, index: bool)
     def write(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
         ids, number = part["vec_id"].to_numpy(np.int64), int(part["block"].iloc[0])
-        matrix = np.zeros((len(part), max(map(len, part["v"]))), np.int64)
+        matrix = np.zeros((len(part), max(1, *map(len, part["v"]))), np.int64)
         for i, v in enumerate(part["v"]):
             matrix[i, : len(v)] = v
         arrays = Block(ids, matrix).arrays() if index else {"ids": ids, "rows": matrix.ravel(), "middle": np.zeros(matrix.shape[1])}
@@ -163,7 +163,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int =
     Tasks get names of files only: each reads the index of one block and the queries of one group.
     """
     spark = vectors.sparkSession
-    take = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("v is not null and vec_id is not null and size(v) > 0")
+    take = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("v is not null and vec_id is not null")
     rows, asked = take(vectors), take(queries).dropDuplicates(["vec_id", "v"])
     folder = new_folder(spark, "topk")
     blocks = _written(rows, -(-rows.count() // block_rows) or 1, folder, "block", True)
