@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.channels import div, shifted_left, shifted_right
+from ..functions.channels import div, shifted_right
+from . import scanlines
+from .scanlines import joined
 
 KEY = ["texture_id", "by", "bx"]
 
 
-def _cells(texels: DataFrame) -> DataFrame:
-    """With the block of each texel, and its place in it."""
-    place = F.col("y").bitwiseAND(3) * 4 + F.col("x").bitwiseAND(3)
-    return texels.withColumns({"by": F.shiftright("y", 2).cast("int"), "bx": F.shiftright("x", 2).cast("int"), "i": place.cast("int")})
+def alpha_ends(v: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of blocks of 16 values: the largest, the smallest, and 3-bit codes between them, texel 0 lowest."""
+    a0, a1 = v.max(axis=-1), v.min(axis=-1)
+    span = a0 - a1
+    step = ((a0[..., None] - v) * 14 + span[..., None]) // (2 * np.maximum(span, 1))[..., None]
+    codes = np.array([0, 2, 3, 4, 5, 6, 7, 1])[step] * there
+    return a0, a1, (codes << (3 * np.arange(16))).sum(axis=-1)
+
 
+def color_ends(r: np.ndarray, g: np.ndarray, b: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of blocks of 16 colours: two corners of their box as RGB565 words, and 2-bit codes of the nearest colours between them, the first of equals.
 
-def _summed(cells: str, code, bits: int) -> Column:
-    """The codes of a block's texels side by side, texel 0 lowest."""
-    return F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, c: s + shifted_left(code(c), c["i"] * bits))
+    The corners are the box's; channels that fall as green rises change sides.
+    """
+    n = there.sum(axis=-1)
+    ends = []
+    for c, levels in ((r, 31), (g, 63), (b, 31)):
+        falls = n * (c * g * there).sum(axis=-1) < (c * there).sum(axis=-1) * (g * there).sum(axis=-1)
+        high, low = c.max(axis=-1), c.min(axis=-1)
+        ends.append([(np.where(falls, x, y) * levels + 127) // 255 for x, y in ((low, high), (high, low))])
+    c0, c1 = (ends[0][k] * 2048 + ends[1][k] * 32 + ends[2][k] for k in (0, 1))
+    wide = [[((x >> at & levels) * 255 + levels // 2) // levels for at, levels in ((11, 31), (5, 63), (0, 31))] for x in (c0, c1)]
+    colors = [*wide, [(2 * p + q) // 3 for p, q in zip(*wide, strict=True)], [(p + 2 * q) // 3 for p, q in zip(*wide, strict=True)]]
+    far = [sum((c - p[..., None]) ** 2 for c, p in zip((r, g, b), color, strict=True)) for color in colors]
+    codes = np.argmin(np.stack(far), axis=0) * there
+    return c0, c1, (codes << (2 * np.arange(16))).sum(axis=-1)
 
 
-def _alpha_bits(name: str) -> Column:
-    """3-bit codes of the cells' values between a0 and a1."""
-    span = F.col("a0") - F.col("a1")
+def _by_block(lines: DataFrame, samples: tuple[str, ...], ends: Callable, names: tuple[str, ...]) -> DataFrame:
+    """A row for each block with what ends() says of it."""
 
-    def code(cell: Column) -> Column:
-        step = F.when(span == 0, 0).otherwise(div((F.col("a0") - cell[name]) * 14 + span, span * 2))
-        return F.when(step == 0, 0).when(step == 7, 1).otherwise(step + 1)
+    def encode(cells: dict[str, np.ndarray], there: np.ndarray) -> list[pa.Array]:
+        found = ends(*(cells[c] for c in samples), there)
+        offsets = pa.array(np.arange(len(found[0]) + 1) * found[0].shape[1], pa.int32())
+        return [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64).ravel())) for x in found]
 
-    return _summed("cells", code, 3)
+    strips = scanlines.in_blocks(lines, samples, encode, " ".join(f"{n} array<bigint>" for n in names))
+    each = strips.select("texture_id", "by", F.inline(F.arrays_zip(F.transform(names[0], lambda _, k: k), *names)).alias("bx", *names))
+    return each.select(*KEY, *[F.col(n).cast("int").alias(n) for n in names[:2]], names[2])
 
 
 def bc3_alpha(planes: DataFrame) -> DataFrame:
-    """Alpha blocks of planes (texture_id, y, x, v): end points and 3-bit codes, texel 0 lowest."""
-    ends = _cells(planes).groupBy(*KEY).agg(
-        F.max("v").cast("int").alias("a0"), F.min("v").cast("int").alias("a1"), F.collect_list(F.struct("i", "v")).alias("cells")
-    )
-    return ends.select(*KEY, "a0", "a1", _alpha_bits("v").alias("a_bits"))
+    """Alpha blocks of planes (texels or lines with v): end points and 3-bit codes, texel 0 lowest."""
+    return _by_block(scanlines.as_lines(planes, ("v",)), ("v",), alpha_ends, ("a0", "a1", "a_bits"))
 
 
 def expanded(c: Column) -> list[Column]:
@@ -52,39 +74,9 @@ def palette(c0: Column, c1: Column) -> list[list[Column]]:
     return [a, b, [div(p * 2 + q, 3) for p, q in zip(a, b, strict=True)], [div(p + q * 2, 3) for p, q in zip(a, b, strict=True)]]
 
 
-def _color_aggregates() -> list[Column]:
-    """The box of a block's colours, and how red and blue go with green."""
-    with_green = lambda c: (F.count(F.lit(1)) * F.sum(F.col(c) * F.col("g")) - F.sum(c) * F.sum("g")).alias(f"cov_{c}")
-    box = [f(c).alias(f"{name}_{c}") for c in "rgb" for name, f in (("hi", F.max), ("lo", F.min))]
-    return [*box, with_green("r"), with_green("b")]
-
-
-def _corner(side: str, other: str) -> Column:
-    """One corner of the box as an RGB565 word; channels that fall as green rises change sides."""
-    end = lambda c: F.when(F.col(f"cov_{c}") < 0, F.col(f"{other}_{c}")).otherwise(F.col(f"{side}_{c}"))
-    red, green, blue = end("r"), F.col(f"{side}_g"), end("b")
-    return (div(red * 31 + 127, 255) * 2048 + div(green * 63 + 127, 255) * 32 + div(blue * 31 + 127, 255)).cast("int")
-
-
-def _with_color_bits(ends: DataFrame) -> DataFrame:
-    """2-bit codes of the cells' colours, by the nearest of the palette's four (the first of equals)."""
-    colors = palette(F.col("c0"), F.col("c1"))
-    ends = ends.withColumn("palette", F.array(*[F.struct(*[v.alias(n) for v, n in zip(c, "rgb", strict=True)]) for c in colors]))
-
-    def code(cell: Column) -> Column:
-        apart = lambda k, c: cell[c] - F.col("palette")[k][c]
-        far = [sum((apart(k, c) * apart(k, c) for c in "rgb"), F.lit(0)) for k in range(4)]
-        least = F.least(*far)
-        return F.when(far[0] == least, 0).when(far[1] == least, 1).when(far[2] == least, 2).otherwise(3)
-
-    return ends.withColumn("c_bits", _summed("cells", code, 2)).drop("palette")
-
-
 def bc3_color(texels: DataFrame) -> DataFrame:
-    """Colour blocks by range fit: two RGB565 corners of the block's box and 2-bit codes, texel 0 lowest."""
-    box = _cells(texels).groupBy(*KEY).agg(*_color_aggregates(), F.collect_list(F.struct("i", "r", "g", "b")).alias("cells"))
-    ends = box.withColumns({"c0": _corner("hi", "lo"), "c1": _corner("lo", "hi")})
-    return _with_color_bits(ends).select(*KEY, "c0", "c1", "c_bits")
+    """Colour blocks of texels or lines by range fit: two RGB565 corners of the block's box and 2-bit codes, texel 0 lowest."""
+    return _by_block(scanlines.as_lines(texels, ("r", "g", "b")), ("r", "g", "b"), color_ends, ("c0", "c1", "c_bits"))
 
 
 def little_endian(value: Column, n: int = 4) -> Column:
@@ -93,24 +85,26 @@ def little_endian(value: Column, n: int = 4) -> Column:
     return F.concat(*[F.substring(digits, k, 2) for k in range(2 * n - 1, 0, -2)])
 
 
-def bc3_blocks(texels: DataFrame) -> DataFrame:
-    """texture_id, by, bx, block: the 16 bytes of each block of texels (texture_id, y, x, r, g, b, a), in one shuffle."""
-    alpha = F.max("a").cast("int").alias("a0"), F.min("a").cast("int").alias("a1")
-    box = _cells(texels).groupBy(*KEY).agg(*alpha, *_color_aggregates(), F.collect_list(F.struct("i", "r", "g", "b", "a")).alias("cells"))
-    ends = box.withColumns({"a_bits": _alpha_bits("a"), "c0": _corner("hi", "lo"), "c1": _corner("lo", "hi")})
-    parts = (("a0", 1), ("a1", 1), ("a_bits", 6), ("c0", 2), ("c1", 2), ("c_bits", 4))
-    return _with_color_bits(ends).select(*KEY, F.unhex(F.concat(*[little_endian(F.col(c), n) for c, n in parts])).alias("block"))
+def _strip_bytes(cells: dict[str, np.ndarray], there: np.ndarray) -> list[pa.Array]:
+    """The 16-byte blocks of each strip, one after the other."""
+    found: dict[str, np.ndarray] = {}
+    found["a0"], found["a1"], a_bits = alpha_ends(cells["a"], there)
+    found["c0"], found["c1"], found["c_bits"] = color_ends(cells["r"], cells["g"], cells["b"], there)
+    rows = np.zeros(a_bits.shape, [("a0", "u1"), ("a1", "u1"), ("a_bits", "u1", 6), ("c0", "<u2"), ("c1", "<u2"), ("c_bits", "<u4")])
+    for name in ("a0", "a1", "c0", "c1", "c_bits"):
+        rows[name] = found[name]
+    rows["a_bits"] = a_bits[..., None] >> (8 * np.arange(6)) & 255
+    return [pa.array([strip.tobytes() for strip in rows], pa.binary())]
 
 
-def joined(value: str, order: str) -> Column:
-    """The bytes of all rows of a group one after the other."""
-    return F.expr(f"listagg({value}) within group (order by {order})")
+def bc3_strips(texels: DataFrame) -> DataFrame:
+    """texture_id, by, strip: the bytes of each line of blocks of texels or lines with r, g, b, a. One shuffle, of lines."""
+    return scanlines.in_blocks(scanlines.as_lines(texels, tuple("rgba")), tuple("rgba"), _strip_bytes, "strip binary")
 
 
 def bc3_payload(texels: DataFrame) -> DataFrame:
-    """texture_id, payload. Rows of blocks are joined before whole textures, so that no task holds the texels of one."""
-    rows = bc3_blocks(texels).groupBy("texture_id", "by").agg(joined("block", "bx").alias("strip"))
-    return rows.groupBy("texture_id").agg(joined("strip", "`by`").alias("payload"))
+    """texture_id, payload of texels or lines. Strips are joined to whole textures as bytes only."""
+    return bc3_strips(texels).groupBy("texture_id").agg(joined("strip", "`by`").alias("payload"))
 
 
 def bc3_decode(alpha: DataFrame, color: DataFrame) -> DataFrame:

@@ -8,37 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import channels
 from ..functions.channels import div
 from ..functions.names import BAD_LEVEL
-from .blocks import bc3_alpha, bc3_blocks, bc3_color, bc3_decode, bc3_payload, joined, little_endian, number
+from . import scanlines
+from .blocks import bc3_alpha, bc3_color, bc3_decode, bc3_payload, decode_blocks, joined, little_endian, number
 
-__all__ = ["bc3_alpha", "bc3_blocks", "bc3_color", "bc3_decode", "bc3_payload"]
+__all__ = ["bc3_alpha", "bc3_color", "bc3_decode", "bc3_payload"]
 
 PLACE = ["texture_id", "y", "x"]
 MAPS = ("normal", "roughness", "metallic")
+#: Sizes beyond this are taken for damage.
+MOST_SIDE = 65536
 
 
 def merge_base_color(texels: DataFrame, alpha: str = "black") -> DataFrame:
     return texels.select(*PLACE, "r", "g", "b", channels.fill_alpha(alpha).alias("a"))
 
 
-def pack_maps(maps: DataFrame) -> DataFrame:
-    """R = 255 - roughness, G = normal G, B = metallic, A = normal R, in one scan and one shuffle.
-
-    maps: texture_id, kind (normal, roughness or metallic), y, x, r, g, b. Places that lack a map have no row.
-    """
-    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
-    grey = channels.luma(F.col("r"), F.col("g"), F.col("b"))
-    packed = maps.where(F.col("kind").isin(*MAPS)).groupBy(*PLACE).agg(
-        of("roughness", channels.inverted(grey)).alias("pr"), of("normal", F.col("g")).alias("pg"), of("metallic", grey).alias("pb"), of("normal", F.col("r")).alias("pa")
-    )
-    return packed.where("pr is not null and pg is not null and pb is not null")
-
-
-def pack_normal(normal: DataFrame, roughness: DataFrame, metallic: DataFrame) -> DataFrame:
-    """pack_maps() of three tables of texels of one size that share texture_id."""
-    named = [df.select(F.lit(kind).alias("kind"), *PLACE, "r", "g", "b") for kind, df in zip(MAPS, (normal, roughness, metallic), strict=True)]
-    return pack_maps(named[0].unionByName(named[1]).unionByName(named[2]))
-
-
 def split_color(texels: DataFrame) -> DataFrame:
     return texels.select(*PLACE, "r", "g", "b", F.col("a").alias("alpha"))
 
@@ -48,49 +32,16 @@ def split_packed(texels: DataFrame) -> DataFrame:
     return texels.select(*PLACE, channels.inverted(F.col("r")).alias("roughness"), F.col("b").alias("metallic"), *normal)
 
 
-def axis_weights(sizes: DataFrame) -> DataFrame:
-    """n, m, i, o, w: exact integer weights of the triangle filter from n samples to m, for each pair of sizes (n, m)."""
-    center = (F.col("o") * 2 + 1) * F.col("n")
-    reach = F.greatest("n", "m") * 2
-    low = F.greatest(F.lit(0), div(center - reach, F.col("m") * 2) - 1)
-    high = F.least(F.col("n") - 1, div(center + reach, F.col("m") * 2) + 1)
-    weight = reach - F.abs((F.col("i") * 2 + 1) * F.col("m") - center)
-    places = sizes.distinct().withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)))
-    near = places.withColumn("i", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    return near.select("n", "m", "i", "o", weight.cast("bigint").alias("w")).where("w > 0")
-
-
-def resample_to(texels: DataFrame, sizes: DataFrame, samples: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Texels at other sizes, each sample rounded half up. Across first, then down, so each pass joins a line's weights only.
-
-    texels: texture_id, y, x and the samples. sizes: texture_id, width, height, target_width, target_height.
-    """
-    across = axis_weights(sizes.select(F.col("width").alias("n"), F.col("target_width").alias("m")))
-    down = axis_weights(sizes.select(F.col("height").alias("n"), F.col("target_height").alias("m")))
-    sized = texels.join(sizes, "texture_id").join(across.toDF("width", "target_width", "x", "ox", "w"), ["width", "target_width", "x"])
-    line = sized.groupBy("texture_id", "height", "target_height", "y", "ox").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in samples], F.sum("w").alias("line_w"))
-    meeting = line.join(down.toDF("height", "target_height", "y", "oy", "w"), ["height", "target_height", "y"])
-    sums = meeting.groupBy("texture_id", "oy", "ox").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in samples], F.sum(F.col("w") * F.col("line_w")).alias("w"))
-    rounded = [div(F.col(c) * 2 + F.col("w"), F.col("w") * 2).cast("int").alias(c) for c in samples]
-    return sums.select("texture_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *rounded)
-
-
-def weights(spark, source: int, target: int) -> DataFrame:
-    """out, in, w: the weights between two sizes known beforehand."""
-    sizes = spark.range(1).select(F.lit(source).alias("n"), F.lit(target).alias("m"))
-    return axis_weights(sizes).select("o", "i", "w")
-
-
 def resample(planes: DataFrame, source: int, target: int) -> DataFrame:
-    """Planes of source x source samples at target x target, rounded half up. The weight table is bounded by the sizes."""
+    """scanlines.resample() of texels."""
     if source == target:
         return planes
-    table = weights(planes.sparkSession, source, target)
-    across, down = F.broadcast(table.toDF("ox", "x", "wx")), F.broadcast(table.toDF("oy", "y", "wy"))
-    meeting = planes.join(across, "x").join(down, "y").withColumn("w", F.col("wx") * F.col("wy"))
-    sums = meeting.groupBy("texture_id", "oy", "ox").agg(F.sum(F.col("w") * F.col("v")).alias("sum"), F.sum("w").alias("weight"))
-    rounded = div(F.col("sum") * 2 + F.col("weight"), F.col("weight") * 2).cast("int")
-    return sums.select("texture_id", F.col("oy").alias("y"), F.col("ox").alias("x"), rounded.alias("v"))
+    return scanlines.texels(scanlines.resample(scanlines.as_lines(planes, ("v",)), source, target), ("v",))
+
+
+def resample_to(texels: DataFrame, sizes: DataFrame, samples: tuple[str, ...] = ("v",)) -> DataFrame:
+    """scanlines.resample_to() of texels."""
+    return scanlines.texels(scanlines.resample_to(scanlines.as_lines(texels, samples), sizes, samples), samples)
 
 
 def _with_expected(levels: DataFrame) -> DataFrame:
@@ -130,60 +81,80 @@ def dds_header(width: Column, height: Column, levels: Column, bc3: Column) -> Co
 def dds_info(files: DataFrame) -> DataFrame:
     """The rows of files (with bytes) and width, height, levels, format (BC1, BC2, BC3, RGBA8) and status of their level 0.
 
-    status: ok, not_dds, unsupported_format, or truncated.
+    status: ok, not_dds, unsupported_format, bad_size (a side of 0 or over MOST_SIDE; sizes and levels are null), or truncated.
     """
-    head = F.hex(F.substring("bytes", 1, 128))
+    return described(files, F.hex(F.substring("bytes", 1, 128)), F.octet_length("bytes").cast("bigint"))
+
+
+def described(files: DataFrame, head: Column, length: Column) -> DataFrame:
+    """dds_info() from the hex digits of the first 128 bytes and the length of the file."""
     fourcc = F.substring(head, 169, 8)
     blocks = F.when(number(head, 80, 4).bitwiseAND(4) == 4, F.element_at(F.create_map(*[F.lit(x) for x in ("44585431", "BC1", "44585433", "BC2", "44585435", "BC3")]), fourcc))
     plain = (number(head, 80, 4) == 0x41) & (number(head, 88, 4) == 32) & (F.substring(head, 185, 32) == "FF00000000FF00000000FF00000000FF")
-    read = files.withColumns({
-        "width": number(head, 16, 4).cast("int"), "height": number(head, 12, 4).cast("int"), "levels": F.greatest(F.lit(1), number(head, 28, 4)).cast("int"),
-        "format": F.when(plain, "RGBA8").otherwise(blocks),
-    })
+    width, height, levels = number(head, 16, 4), number(head, 12, 4), F.greatest(F.lit(1), number(head, 28, 4))
+    is_dds = (length >= 128) & (F.substring(head, 1, 8) == "44445320")
+    kind = F.when(is_dds, F.when(plain, "RGBA8").otherwise(blocks))
+    fits = width.between(1, MOST_SIDE) & height.between(1, MOST_SIDE) & (levels <= MOST_SIDE)
+    sized = lambda n: F.when(is_dds & fits, n).cast("int")
+    read = files.withColumns({"width": sized(width), "height": sized(height), "levels": sized(levels), "format": kind})
+    status = F.when(~F.coalesce(is_dds, F.lit(False)), "not_dds").when(kind.isNull(), "unsupported_format").when(~fits, "bad_size")
+    return read.withColumn("status", status.when(length < payload_size() + 128, "truncated").otherwise("ok"))
+
+
+def payload_size() -> Column:
+    """Bytes of level 0 of rows with format, width and height."""
     half = F.when(F.col("format") == "BC1", 2).otherwise(1)
-    size = F.when(F.col("format") == "RGBA8", F.col("width").cast("bigint") * F.col("height") * 4).otherwise(div(channels.bc3_size(F.col("width"), F.col("height")), half))
-    is_dds = (F.octet_length("bytes") >= 128) & (F.substring(head, 1, 8) == "44445320")
-    status = F.when(~is_dds | F.col("bytes").isNull(), "not_dds").when(F.col("format").isNull(), "unsupported_format")
-    return read.withColumn("status", status.when(F.octet_length("bytes") < size + 128, "truncated").otherwise("ok"))
+    return F.when(F.col("format") == "RGBA8", F.col("width").cast("bigint") * F.col("height") * 4).otherwise(div(channels.bc3_size(F.col("width"), F.col("height")), half))
 
 
-def dds_texels(files: DataFrame) -> DataFrame:
-    """Level 0 of DDS files as texels; those that dds_info() gives another status than ok have no rows. files: texture_id, bytes.
+def dds_strips(files: DataFrame) -> DataFrame:
+    """Level 0 of DDS files, cut: texture_id, width, height, format, at, strip: the bytes of a line of texels, or of a line of blocks.
 
-    Files are cut into rows of texels or blocks first, so that nothing but these is taken on.
+    files: texture_id, bytes; those that dds_info() gives another status than ok have no rows. Each file is read once.
     """
     good = dds_info(files).where("status = 'ok'")
-    plain = good.where("format = 'RGBA8'").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    lines = plain.select("texture_id", "y", "width", F.substring("bytes", (F.col("y") * F.col("width") * 4 + 129).cast("int"), F.col("width") * 4).alias("line"))
-    cells = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    digits = F.hex(F.substring("line", F.col("x") * 4 + 1, F.lit(4)))
-    raw = cells.select("texture_id", "y", "x", *[number(digits, k, 1).cast("int").alias(c) for k, c in enumerate("rgba")])
-    return raw.unionByName(decode_dds_blocks(good.where("format <> 'RGBA8'")))
-
-
-def decode_dds_blocks(good: DataFrame) -> DataFrame:
-    """Texels of block-compressed files, without the padding of blocks at the edges."""
-    from .blocks import decode_blocks
-
-    size = F.when(F.col("format") == "BC1", 8).otherwise(16)
-    across = div(F.col("width") + 3, 4).cast("int")
-    sized = good.withColumns({"size": size, "across": across}).withColumn("by", F.explode(F.sequence(F.lit(0), div(F.col("height") + 3, 4).cast("int") - 1)))
-    strip = F.substring("bytes", (F.col("by") * F.col("across") * F.col("size") + 129).cast("int"), F.col("across") * F.col("size"))
-    strips = sized.select("texture_id", "width", "height", "format", "size", "across", "by", strip.alias("strip"))
-    each = strips.withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
-    # The texture's id carries its size through the decoder.
+    plain = F.col("format") == "RGBA8"
+    size = F.when(plain, F.col("width") * 4).otherwise(div(F.col("width") + 3, 4) * F.when(F.col("format") == "BC1", 8).otherwise(16)).cast("int")
+    many = F.when(plain, F.col("height")).otherwise(div(F.col("height") + 3, 4)).cast("int")
+    cut = good.withColumn("strip_bytes", size).withColumn("at", F.explode(F.sequence(F.lit(0), many - 1)))
+    return cut.select("texture_id", "width", "height", "format", "at", F.substring("bytes", F.col("at") * F.col("strip_bytes") + 129, F.col("strip_bytes")).alias("strip"))
+
+
+def dds_texels(files: DataFrame) -> DataFrame:
+    """Level 0 of DDS files as texels; those that dds_info() gives another status than ok have no rows. files: texture_id, bytes."""
+    return strip_texels(dds_strips(files))
+
+
+def strip_texels(strips: DataFrame) -> DataFrame:
+    """Texels of dds_strips(): a row of the strip each texel or block, whose kind its format says."""
+    plain = F.col("format") == "RGBA8"
+    size = F.when(plain, 4).when(F.col("format") == "BC1", 8).otherwise(16)
+    each = strips.withColumn("cell", F.explode(F.sequence(F.lit(0), div(F.octet_length("strip"), size).cast("int") - 1)))
+    cells = each.withColumn("block", F.substring("strip", (F.col("cell") * size + 1).cast("int"), size))
+    word = number(F.hex("block"), 0, 4)
+    sample = lambda k: F.shiftrightunsigned(word, 8 * k).bitwiseAND(255).cast("int")
+    raw = cells.where(plain).select("texture_id", F.col("at").alias("y"), F.col("cell").alias("x"), *[sample(k).alias(c) for k, c in enumerate("rgba")])
+    # The texture's id carries its size through the decoder; blocks at the edges have padding.
     sized_id = F.struct("texture_id", "width", "height").alias("texture_id")
-    blocks = each.select(sized_id, "by", "bx", "format", F.substring("strip", F.col("bx") * F.col("size") + 1, F.col("size")).alias("block"))
-    found = decode_blocks(blocks).where("x < texture_id.width and y < texture_id.height")
-    return found.withColumn("texture_id", F.col("texture_id.texture_id"))
+    found = decode_blocks(cells.where(~plain).select(sized_id, F.col("at").alias("by"), F.col("cell").alias("bx"), "format", "block"))
+    found = found.where("x < texture_id.width and y < texture_id.height").withColumn("texture_id", F.col("texture_id.texture_id"))
+    return raw.unionByName(found)
+
+
+def dds_lines(files: DataFrame) -> DataFrame:
+    """Level 0 of DDS files as lines of texels, r, g, b, a; uncompressed files are never taken apart into texels."""
+    strips = dds_strips(files)
+    places = F.sequence(F.lit(0), F.col("width") - 1)
+    words = F.transform(places, lambda x: number(F.substring("digits", x * 8 + 1, F.lit(8)), 0, 4))
+    raw = strips.where("format = 'RGBA8'").withColumn("digits", F.hex("strip")).withColumn("words", words)
+    sample = lambda k: F.transform("words", lambda w: F.shiftrightunsigned(w, 8 * k).bitwiseAND(255).cast("int"))
+    lines = raw.select("texture_id", F.col("at").alias("y"), *[sample(k).alias(c) for k, c in enumerate("rgba")])
+    return lines.unionByName(scanlines.of_texels(strip_texels(strips.where("format <> 'RGBA8'")), tuple("rgba")))
 
 
 def rgba8_payload(texels: DataFrame) -> DataFrame:
-    """texture_id and the raw texel bytes, row by row. Rows are joined before whole textures, so that no task holds the texels of one."""
-    word = ((F.col("r").cast("bigint") * 256 + F.col("g")) * 256 + F.col("b")) * 256 + F.col("a")
-    texel = texels.select(*PLACE, F.unhex(F.lpad(F.hex(word), 8, "0")).alias("texel"))
-    rows = texel.groupBy("texture_id", "y").agg(joined("texel", "x").alias("strip"))
-    return rows.groupBy("texture_id").agg(joined("strip", "y").alias("payload"))
+    """texture_id and the raw texel bytes, line by line, of texels or lines."""
+    return scanlines.rgba8_payload(scanlines.as_lines(texels, tuple("rgba")))
 
 
 def payload(texels: DataFrame, uncompressed: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import channels, names
-from ..operators import activity, catalog, raster, sets
+from ..operators import activity, catalog, raster, scanlines, sets
 
 dds_texels = raster.dds_texels
 
@@ -45,20 +45,21 @@ def _of_kinds(texels: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> Da
 
 
 def merge_sets(texels: DataFrame, found: DataFrame, alpha: str = "black", sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The _c and _n texels of complete sets, keyed by prefix.
+    """The _c and _n lines of complete sets, keyed by prefix. texels: texels or lines.
 
     With sizes (texture_id, width, height of each map), roughness and metallic are resampled to the normal map's size;
     without, the maps of a set have one size.
     """
-    maps = _of_kinds(texels, found, raster.MAPS)
+    lines = scanlines.as_lines(texels, tuple("rgba"))
+    maps = _of_kinds(lines.drop("a"), found, raster.MAPS)
     if sizes is not None:
         of_maps = _of_kinds(sizes, found, raster.MAPS)
         wanted = of_maps.where("kind = 'normal'").select("texture_id", F.col("width").alias("target_width"), F.col("height").alias("target_height"))
         pairs = of_maps.join(wanted, "texture_id").withColumn("texture_id", F.struct("texture_id", "kind")).drop("kind")
-        resized = raster.resample_to(maps.withColumn("texture_id", F.struct("texture_id", "kind")), pairs, ("r", "g", "b"))
+        resized = scanlines.resample_to(maps.withColumn("texture_id", F.struct("texture_id", "kind")), pairs, ("r", "g", "b"))
         maps = resized.withColumn("kind", F.col("texture_id.kind")).withColumn("texture_id", F.col("texture_id.texture_id"))
-    color = _of_kinds(texels, found, ("basecolor",))
-    return raster.merge_base_color(color, alpha), raster.pack_maps(maps)
+    color = _of_kinds(lines, found, ("basecolor",))
+    return scanlines.merge_base_color(color, alpha), scanlines.pack_maps(maps)
 
 
 def _dds(payloads: DataFrame, uncompressed: bool) -> Column:
@@ -68,11 +69,11 @@ def _dds(payloads: DataFrame, uncompressed: bool) -> Column:
 
 
 def merge_files(texels: DataFrame, sizes: DataFrame, listing: DataFrame, alpha: str = "black", fmt: str = "DXT5", lenient: bool = False) -> Job:
-    """The _c.dds and _n.dds files of all complete sets of a listing (K2). texels, sizes: texture_id is a path."""
+    """The _c.dds and _n.dds files of all complete sets of a listing (K2). texels (or lines), sizes: texture_id is a path."""
     uncompressed = names.is_uncompressed(fmt, lenient)
     found = sets.find_sets(listing)
     color, packed = merge_sets(texels, found, alpha, sizes)
-    packed = packed.select(*raster.PLACE, F.col("pr").alias("r"), F.col("pg").alias("g"), F.col("pb").alias("b"), F.col("pa").alias("a"))
+    packed = packed.select(*scanlines.LINE, F.col("pr").alias("r"), F.col("pg").alias("g"), F.col("pb").alias("b"), F.col("pa").alias("a"))
     of_kind = _of_kinds(sizes, found, ("basecolor", "normal"))
     files = []
     for at, (made, kind) in enumerate(((color, "basecolor"), (packed, "normal"))):
@@ -94,17 +95,13 @@ def split_files(files: DataFrame, export_format: str = "png", export_alpha: bool
     outputs = sets.split_outputs(good.where(kind.isNotNull()).select("path", "ord"), export_format, export_alpha)
     chosen = sets.collisions(outputs.select("path", "ord", "channel", "name")).select("path", "name")
     wanted = outputs.select("path", "channel", "name").distinct().join(chosen, ["path", "name"])
-    texels = raster.dds_texels(good.select(F.col("path").alias("texture_id"), "bytes"))
-    grey = lambda v: F.array(v)
+    lines = raster.dds_lines(good.select(F.col("path").alias("texture_id"), "bytes"))
     r, g, b, a = (F.col(c) for c in "rgba")
-    of_channel = {
-        "BaseColor": F.array(r, g, b), "Alpha": grey(a), "Roughness": grey(channels.inverted(r)), "Metallic": grey(b), "Normal": F.array(a, g, F.lit(255), F.lit(255)),
-    }
-    each = texels.join(wanted.withColumnRenamed("path", "texture_id"), "texture_id")
-    sample = F.coalesce(*[F.when(F.col("channel") == c, v) for c, v in of_channel.items()])
-    digits = F.array_join(F.transform(sample, lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), "")
-    pixels = each.select("texture_id", "name", "y", "x", F.size(sample).alias("channels"), F.unhex(digits).alias("texel"))
-    rows = pixels.groupBy("texture_id", "name", "channels", "y").agg(raster.joined("texel", "x").alias("strip"))
+    full = scanlines.with_alpha("r", F.lit(255))
+    of_channel = {"BaseColor": [r, g, b], "Alpha": [a], "Roughness": [F.transform(r, channels.inverted)], "Metallic": [b], "Normal": [a, g, full, full]}
+    each = lines.join(wanted.withColumnRenamed("path", "texture_id"), "texture_id")
+    pick = lambda of: F.coalesce(*[F.when(F.col("channel") == c, of(v)) for c, v in of_channel.items()])
+    rows = each.select("texture_id", "name", "y", pick(lambda v: F.lit(len(v))).alias("channels"), pick(scanlines.interleaved).alias("strip"))
     whole = rows.groupBy("texture_id", "name", "channels").agg(raster.joined("strip", "y").alias("pixels"))
     sizes = good.select(F.col("path").alias("texture_id"), "width", "height").distinct()
     made = whole.join(sizes, "texture_id").select("name", "width", "height", "channels", "pixels")
@@ -113,12 +110,12 @@ def split_files(files: DataFrame, export_format: str = "png", export_alpha: bool
 
 
 def mip_files(texels: DataFrame, levels: DataFrame, alpha: str = "keep", fmt: str = "DXT5", lenient: bool = False, on_error: str = "fail") -> Job:
-    """A file of each sequence of levels (K4). levels: texture_id, level, width, height; texels: texture_id, level, y, x, r, g, b, a."""
+    """A file of each sequence of levels (K4). levels: texture_id, level, width, height; texels: texture_id, level, y, x, r, g, b, a, or lines with a level."""
     uncompressed = names.is_uncompressed(fmt, lenient)
     errors = raster.first_mip_error(levels)
     good = _checked(errors, F.col("error"), on_error).select("texture_id")
-    shown = texels.join(good, "texture_id", "left_semi").withColumn("a", channels.override_alpha(F.col("a"), alpha))
-    one = raster.payload(shown.withColumn("texture_id", F.struct("texture_id", "level")), uncompressed)
+    shown = texels.join(good, "texture_id", "left_semi").withColumn("texture_id", F.struct("texture_id", "level"))
+    one = raster.payload(scanlines.override_alpha(scanlines.as_lines(shown, tuple("rgba")), alpha), uncompressed)
     whole = raster.assemble_levels(one.select("texture_id.texture_id", "texture_id.level", "payload"))
     base = levels.groupBy("texture_id").agg(F.min_by("width", "level").alias("width"), F.min_by("height", "level").alias("height"))
     made = whole.join(base, "texture_id")
@@ -135,7 +132,7 @@ def dds_files(texels: DataFrame, sizes: DataFrame, fmt: str = "8.8.8.8", lenient
 
 
 def convert_images(texels: DataFrame, sizes: DataFrame, alpha: str = "keep", fmt: str = "8.8.8.8", lenient: bool = False) -> DataFrame:
-    return dds_files(texels.withColumn("a", channels.override_alpha(F.col("a"), alpha)), sizes, fmt, lenient)
+    return dds_files(scanlines.override_alpha(scanlines.as_lines(texels, tuple("rgba")), alpha), sizes, fmt, lenient)
 
 
 def convert_files(texels: DataFrame, manifest: DataFrame, alpha: str = "keep", fmt: str = "DXT5", lenient: bool = False, on_error: str = "fail") -> Job:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import channels, names
-from .operators import activity, blocks, catalog, raster, sets
+from .operators import activity, blocks, catalog, raster, scanlines, sets
 from .plans import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,21 +58,39 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e")).select("vec_id", "p", v.alias("v"))
 
 
+def _value(e: Column) -> Column:
+    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((e.cast("double") + 0.5) * 255))).cast("int")
+
+
+def set_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one 4 x 4 raster for each vector, four vectors to a set: base colour, roughness, metallic, normal."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", _value).alias("v")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    sample = lambda k: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda x: F.get("v", (F.col("y") * 4 + x) * 4 + k))
+    return rows.select(F.floor(F.col("vec_id") / 4).alias("texture_id"), (F.col("vec_id") % 4).alias("part"), "y", *[sample(k).alias(c) for k, c in enumerate("rgba")])
+
+
+def raster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rasters, each on its own."""
+    return set_lines(spark, sf_dir).withColumn("texture_id", F.col("texture_id") * 4 + F.col("part")).drop("part")
+
+
+def plane_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one 8 x 8 plane for each vector."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("texture_id"), F.transform("embedding", _value).alias("all"))
+    return rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("texture_id", "y", F.slice("all", F.col("y") * 8 + 1, F.lit(8)).alias("v"))
+
+
 def texels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One 4 x 4 raster for each vector, four vectors to a set: base colour, roughness, metallic, normal."""
-    pixel = F.floor(F.col("i") / 4)
-    value = lambda k: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((F.get("embedding", F.col("i") * 4 + k).cast("double") + 0.5) * 255))).cast("int")
-    rows = table(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    return rows.select(F.floor(F.col("vec_id") / 4).alias("texture_id"), (F.col("vec_id") % 4).alias("part"), pixel.cast("int").alias("y"), (F.col("i") % 4).cast("int").alias("x"), *[value(k).alias(c) for k, c in enumerate("rgba")])
+    lines = set_lines(spark, sf_dir).withColumn("texture_id", F.struct("texture_id", "part"))
+    return scanlines.texels(lines, tuple("rgba")).select("texture_id.texture_id", "texture_id.part", "y", "x", *"rgba")
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rasters, each on its own."""
-    return texels(spark, sf_dir).withColumn("texture_id", F.col("texture_id") * 4 + F.col("part")).drop("part")
+    return scanlines.texels(raster_lines(spark, sf_dir), tuple("rgba"))
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).select(F.col("vec_id").alias("texture_id"), F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), "v")
+    return scanlines.texels(plane_lines(spark, sf_dir), ("v",))
 
 
 _SAMPLES = "samples as (select vec_id, i - 1 as p, least(255, greatest(0, floor((embedding[i]::double + 0.5) * 255)))::int as v from embeddings, (select unnest(range(1, 65)) as i))"
@@ -87,7 +105,7 @@ _PACKED = _TEXELS + """, packed as (select n.texture_id, n.y, n.x, 255 - (2126 *
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("basecolor"), F.lit("roughness"), F.lit("metallic"), F.lit("normal")), (F.col("part") + 1).cast("int"))
-    return raster.pack_maps(texels(spark, sf_dir).withColumn("kind", kind))
+    return scanlines.texels(scanlines.pack_maps(set_lines(spark, sf_dir).withColumn("kind", kind)), ("pr", "pg", "pb", "pa"))
 
 
 @query(f"with {_SETS} select * from sets")
@@ -188,12 +206,12 @@ def _resample_sql(n: int, m: int) -> str:
 
 @query(_resample_sql(8, 5))
 def resample_down(spark, sf_dir):
-    return raster.resample(planes(spark, sf_dir), 8, 5)
+    return scanlines.texels(scanlines.resample(plane_lines(spark, sf_dir), 8, 5), ("v",))
 
 
 @query(_resample_sql(8, 16))
 def resample_up(spark, sf_dir):
-    return raster.resample(planes(spark, sf_dir), 8, 16)
+    return scanlines.texels(scanlines.resample(plane_lines(spark, sf_dir), 8, 16), ("v",))
 
 
 @query("""with l as (select vec_id // 4 as texture_id, (vec_id % 4)::int as level, case when vec_id // 4 % 7 = 3 and vec_id % 4 = 2 then 3 else greatest(1, 8 >> (vec_id % 4)::int) end as width, greatest(1, 8 >> (vec_id % 4)::int) as height from embeddings),
@@ -228,12 +246,12 @@ def dds_header(spark, sf_dir):
 
 @query(f"with {_RASTERS} select texture_id, string_agg(printf('%02X%02X%02X%02X', r, g, b, a), '' order by y, x) as payload from rasters group by texture_id")
 def dds_rgba8(spark, sf_dir):
-    return raster.rgba8_payload(rasters(spark, sf_dir)).select("texture_id", F.hex("payload").alias("payload"))
+    return raster.rgba8_payload(raster_lines(spark, sf_dir)).select("texture_id", F.hex("payload").alias("payload"))
 
 
 @query(f"with {_TEXELS} select texture_id, count(distinct part)::int as levels, string_agg(printf('%02X%02X%02X%02X', r, g, b, a), '' order by part, y, x) as payload from texels group by texture_id")
 def mip_payload(spark, sf_dir):
-    t = texels(spark, sf_dir)
+    t = set_lines(spark, sf_dir)
     level = t.withColumn("texture_id", F.struct("texture_id", "part"))
     one = raster.rgba8_payload(level).select(F.col("texture_id.texture_id").alias("texture_id"), F.col("texture_id.part").alias("level"), "payload")
     return raster.assemble_levels(one).select("texture_id", "levels", F.hex("payload").alias("payload"))
@@ -247,7 +265,7 @@ _ALPHA = """cells as (select texture_id, y // 4 as yb, x // 4 as bx, y % 4 * 4 +
 
 @query(f"with {_PLANES}, {_ALPHA} select * from alpha")
 def bc3_alpha(spark, sf_dir):
-    return raster.bc3_alpha(planes(spark, sf_dir))
+    return raster.bc3_alpha(plane_lines(spark, sf_dir))
 
 
 _COLOR = """box as (select texture_id, max(r) as hr, min(r) as lr, max(g) as hg, min(g) as lg, max(b) as hb, min(b) as lb,
@@ -264,7 +282,7 @@ _COLOR = """box as (select texture_id, max(r) as hr, min(r) as lr, max(g) as hg,
 
 @query(f"with {_RASTERS}, {_COLOR} select * from color")
 def bc3_color(spark, sf_dir):
-    return raster.bc3_color(rasters(spark, sf_dir))
+    return raster.bc3_color(raster_lines(spark, sf_dir))
 
 
 @query(f"""with {_RASTERS}, planes as (select texture_id, y, x, a as v from rasters), {_ALPHA}, {_COLOR},
@@ -273,8 +291,8 @@ def bc3_color(spark, sf_dir):
  select texture_id, (i // 4)::int as y, (i % 4)::int as x, p[cc + 1][1]::int as r, p[cc + 1][2]::int as g, p[cc + 1][3]::int as b,
    (case ac when 0 then a0 when 1 then a1 else ((8 - ac) * a0 + (ac - 1) * a1) // 7 end)::int as a from k""")
 def bc3_decode(spark, sf_dir):
-    t = rasters(spark, sf_dir)
-    return raster.bc3_decode(raster.bc3_alpha(t.select("texture_id", "y", "x", F.col("a").alias("v"))), raster.bc3_color(t))
+    t = raster_lines(spark, sf_dir)
+    return raster.bc3_decode(raster.bc3_alpha(t.select("texture_id", "y", F.col("a").alias("v"))), raster.bc3_color(t))
 
 
 def _package_files(spark, sf_dir):
@@ -454,8 +472,8 @@ def _bc3_sql(of: str) -> str:
 
 def _pictures(spark, sf_dir):
     """Rasters of 7 x 6 texels, whose last blocks are not full."""
-    v = F.col("v")
-    return planes(spark, sf_dir).where("x < 7 and y < 6").select("texture_id", "y", "x", v.alias("r"), (255 - v).alias("g"), (v * 7 % 256).alias("b"), (v * 3 % 256).alias("a"))
+    of = lambda f: F.transform(F.slice("v", 1, 7), f)
+    return plane_lines(spark, sf_dir).where("y < 6").select("texture_id", "y", of(lambda v: v).alias("r"), of(lambda v: 255 - v).alias("g"), of(lambda v: v * 7 % 256).alias("b"), of(lambda v: v * 3 % 256).alias("a"))
 
 
 _PICTURES = _PLANES + ", pictures as (select texture_id, y, x, v as r, 255 - v as g, v * 7 % 256 as b, v * 3 % 256 as a from planes where x < 7 and y < 6)"
@@ -531,7 +549,7 @@ def dds_status(spark, sf_dir):
 def resample_any(spark, sf_dir):
     of = lambda *sizes: F.element_at(F.array(*map(F.lit, sizes)), (F.col("vec_id") % 3 + 1).cast("int"))
     sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("texture_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), of(5, 8, 3).alias("target_width"), of(16, 8, 2).alias("target_height"))
-    return raster.resample_to(planes(spark, sf_dir), sizes)
+    return scanlines.texels(scanlines.resample_to(plane_lines(spark, sf_dir), sizes), ("v",))
 
 
 def _set_texels(spark, sf_dir):
@@ -567,7 +585,7 @@ def _dds_inputs(spark, sf_dir):
     end = "case p_size % 6 when 0 then '_c' when 1 then '_n' when 2 then '_n_c' when 3 then '_c_n' when 4 then '_C_c' else '' end"
     named = table(spark, sf_dir, "part").select(F.expr(f"concat('/in/', p_partkey % 2, '/t', p_partkey div 2, {end}, '.dds')").alias("path"), F.col("p_partkey").alias("ord"))
     header = raster.dds_header(F.lit(4), F.lit(4), F.lit(1), F.lit(False))
-    payloads = raster.rgba8_payload(rasters(spark, sf_dir)).select(F.col("texture_id").alias("ord"), F.concat(F.unhex(header), "payload").alias("bytes"))
+    payloads = raster.rgba8_payload(raster_lines(spark, sf_dir)).select(F.col("texture_id").alias("ord"), F.concat(F.unhex(header), "payload").alias("bytes"))
     return named.join(payloads, "ord")
 
 
@@ -627,7 +645,7 @@ _MANIFEST = """manifest as (select '/in/' || (p_partkey % 2) || '/' || (p_partke
  select name, {_dds_sql('4', '4', '1', 'true')} || payload as bytes from chosen join rasters_pay on texture_id = ord""")
 def convert_files(spark, sf_dir):
     files = _manifest(spark, sf_dir)
-    shown = rasters(spark, sf_dir).withColumnRenamed("texture_id", "ord").join(files.select("ord", F.col("path").alias("texture_id")), "ord").drop("ord")
+    shown = raster_lines(spark, sf_dir).withColumnRenamed("texture_id", "ord").join(files.select("ord", F.col("path").alias("texture_id")), "ord").drop("ord")
     return jobs.convert_files(shown, files, on_error="collect").files.select("name", F.hex("bytes").alias("bytes"))
 
 
