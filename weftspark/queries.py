@@ -426,6 +426,21 @@ def job_readiness(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", activity.readiness(rules).alias("blocker"))
 
 
+@query("""with e as (select event_type as tone, ts, event_id, lag(ts) over w as pts, lag(event_type) over w as pt from events window w as (order by ts, event_id)),
+ r as (select *, sum(case when pts is null or ts - pts > interval 10 minutes or tone is distinct from pt then 1 else 0 end) over (order by ts, event_id) as run from e)
+ select run::bigint as run, tone, min(ts) as first_ts, max(ts) as last_ts, count(*) as repeats from r group by run, tone""")
+def activity_runs_global(spark, sf_dir):
+    """The one list over all tasks."""
+    return activity.collapse_runs(_events(spark, sf_dir), 600, order=("ts", "event_id"))
+
+
+@query("""with h as (select event_id, ts, row_number() over (order by ts, event_id) as completed, count(*) over () as total from events)
+ select 0::bigint as task_id, event_id, completed, total, least(100, floor(completed::double / total * 100 + 0.5))::bigint as percent from h""")
+def hot_task_progress(spark, sf_dir):
+    """All events as those of one task."""
+    return activity.progress_view(_events(spark, sf_dir).withColumn("task_id", F.lit(0).cast("bigint")))
+
+
 _KEYS = ("click", "view", "purchase")
 
 
@@ -437,6 +452,32 @@ def profile_fold(spark, sf_dir):
 # Files, jobs, and the rules around them.
 
 
+_PATCH = """case event_id % 11 when 0 then '[1, 2]' when 1 then '{"volume": "loud", "name": "x' || event_id || '"}' when 2 then 'no json' when 3 then '{"dark": true, "other": {"a": 1}}'
+   when 4 then '{"volume": null}' when 5 then '{}' else '{"name": "' || event_type || '", "volume": ' || event_id || ', "rate": ' || (event_id % 4) || '.5}' end"""
+
+
+@query(f"""with p as (select user_id as profile_id, event_id as seq, {_PATCH} as patch, event_id % 11 as k from events),
+ v as (select *, k not in (0, 1, 2, 4) as sound, case when k > 5 then patch->>'name' end as name, case when k > 5 then (patch->>'volume')::bigint end as volume, case when k > 5 then (patch->>'rate')::double end as rate, case when k = 3 then true end as dark from p)
+ select profile_id, count(*) filter (sound) as applied, count(*) filter (not sound) as rejected, coalesce(arg_max(name, seq) filter (name is not null), 'none') as name, coalesce(arg_max(volume, seq) filter (volume is not null), 50) as volume,
+   coalesce(arg_max(rate, seq) filter (rate is not null), 1.0) as rate, coalesce(bool_or(dark), false) as dark from v group by profile_id""")
+def profile_patches(spark, sf_dir):
+    """JSON patches of several keys; some aren't objects, some have a key of a wrong type, some unknown keys."""
+    patches = table(spark, sf_dir, "events").select(F.col("user_id").alias("profile_id"), F.col("event_id").alias("seq"), F.expr(_PATCH).alias("patch"))
+    return activity.fold_settings(patches, {"name": ("string", "none"), "volume": ("bigint", 50), "rate": ("double", 1.0), "dark": ("boolean", False)})
+
+
+@query("""with k as (select p_partkey, [0, 1, 65536, 65537, 4294967295][p_partkey % 5 + 1]::hugeint as w, [0, 1, 70000][p_size % 3 + 1]::hugeint as h, p_size % 2 = 0 as bc3 from part),
+ n as (select *, case when bc3 then (w + 3) // 4 * ((h + 3) // 4) * 16 else w * h * 4 end as need, w between 1 and 65536 and h between 1 and 65536 as fits from k)
+ select p_partkey as texture_id, case when not fits then 'bad_size' when need > 100 then 'truncated' else 'ok' end as status, case when fits then w end::int as width, case when fits then h end::int as height from n""")
+def dds_sizes(spark, sf_dir):
+    """Headers with sides of 0 and beyond all bounds."""
+    width, height = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in (0, 1, 65536, 65537, 4294967295)]), (F.col("p_partkey") % 5 + 1).cast("int")), F.element_at(F.array(*[F.lit(n).cast("bigint") for n in (0, 1, 70000)]), (F.col("p_size") % 3 + 1).cast("int"))
+    data = F.unhex(F.concat(raster.dds_header(width, height, F.lit(1), F.col("p_size") % 2 == 0), F.repeat(F.lit("00"), 100)))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("texture_id"), data.alias("bytes"))
+    return raster.dds_info(files).select("texture_id", "status", "width", "height")
+
+
+
 def _le_bytes(x: str, n: int) -> str:
     digits = f"lpad(printf('%X', ({x})::bigint), {2 * n}, '0')"
     return " || ".join(f"substr({digits}, {k}, 2)" for k in range(2 * n - 1, 0, -2))
