@@ -20,22 +20,22 @@ def collapse_runs(
     time (count of them, or as many as there are partitions to shuffle to), however long a line is.
     """
     rows = ranges.with_range(events, "ts", count)
-    line = Window.partitionBy("span", *per).orderBy(*order)
+    line = Window.partitionBy("_span", *per).orderBy(*order)
     entry = F.struct(F.lit(True).alias("known"), F.col("ts").alias("ts"), *[F.col(c).alias(f"what{k}") for k, c in enumerate(what)])
-    ends = rows.groupBy(*per, "span").agg(F.max_by(entry, F.struct(*order)).alias("end"))
-    carry = ranges.carried(ends, per, last_before=F.last("end"))
-    before = F.coalesce(F.lag(entry).over(line), F.col("last_before"))
-    marked = ranges.joined(rows, carry, per).withColumn("before", before)
-    late = ranges.micros("ts") - ranges.micros("before.ts") > int(gap_seconds * 1_000_000)
+    ends = rows.groupBy(*per, "_span").agg(F.max_by(entry, F.struct(*order)).alias("_end"))
+    carry = ranges.carried(ends, per, _last_before=F.last("_end"))
+    before = F.coalesce(F.lag(entry).over(line), F.col("_last_before"))
+    marked = ranges.joined(rows, carry, per).withColumn("_before", before)
+    late = ranges.micros("ts") - ranges.micros("_before.ts") > int(gap_seconds * 1_000_000)
     other = F.lit(False)
     for k, c in enumerate(what):
-        other = other | ~F.col(c).eqNullSafe(F.col(f"before.what{k}"))
-    breaks = F.when(F.col("before.ts").isNull() | late | other, 1).otherwise(0)
+        other = other | ~F.col(c).eqNullSafe(F.col(f"_before.what{k}"))
+    breaks = F.when(F.col("_before.ts").isNull() | late | other, 1).otherwise(0)
     # Parts of runs within a range, then the numbers that the ranges before have reached.
-    numbered = marked.withColumn("new", breaks).withColumn("part", F.sum("new").over(line))
-    parts = numbered.groupBy("span", *per, "part", *what).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("repeats"))
-    reached = ranges.carried(parts.groupBy(*per, "span").agg(F.max("part").alias("most")), per, runs_before=F.sum("most"))
-    whole = ranges.joined(parts, reached, per).withColumn("run", F.coalesce("runs_before", F.lit(0)) + F.col("part"))
+    numbered = marked.withColumn("_new", breaks).withColumn("_part", F.sum("_new").over(line))
+    parts = numbered.groupBy("_span", *per, "_part", *what).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("repeats"))
+    reached = ranges.carried(parts.groupBy(*per, "_span").agg(F.max("_part").alias("_most")), per, _runs_before=F.sum("_most"))
+    whole = ranges.joined(parts, reached, per).withColumn("run", F.coalesce("_runs_before", F.lit(0)) + F.col("_part"))
     return whole.groupBy(*per, "run", *what).agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("repeats").alias("repeats"))
 
 
@@ -59,9 +59,9 @@ def progress_view(progress: DataFrame, count: int | None = None) -> DataFrame:
     """Running count, total and percent of each task's events, in ranges of time, however many a task has. progress: task_id, event_id, ts."""
     per = ("task_id",)
     rows = ranges.with_range(progress, "ts", count)
-    numbers = rows.groupBy(*per, "span").agg(F.count(F.lit(1)).alias("n"))
+    numbers = rows.groupBy(*per, "_span").agg(F.count(F.lit(1)).alias("n"))
     carry = ranges.carried(numbers, per, done_before=F.sum("n"), whole_total=F.sum("n"))
-    so_far = F.row_number().over(Window.partitionBy("span", *per).orderBy("ts", "event_id"))
+    so_far = F.row_number().over(Window.partitionBy("_span", *per).orderBy("ts", "event_id"))
     counted = ranges.joined(rows, carry, per).withColumn("completed", (so_far + F.coalesce("done_before", F.lit(0))).cast("bigint"))
     return counted.select("task_id", "event_id", "completed", F.col("whole_total").alias("total"), names.percent(F.col("completed"), F.col("whole_total")).alias("percent"))
 

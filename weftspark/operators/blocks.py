@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.channels import div, shifted_right
 from . import scanlines
@@ -107,6 +108,25 @@ def bc3_payload(texels: DataFrame) -> DataFrame:
     return bc3_strips(texels).groupBy("texture_id").agg(joined("strip", "`by`").alias("payload"))
 
 
+def bc3_of_rasters(rasters: DataFrame) -> DataFrame:
+    """rasters (with width, height and rgba, the bytes of a whole image) with payload; an image is one row's work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for width, height, data in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "rgba")), strict=True):
+                image = np.frombuffer(data, np.uint8).reshape(height, width, 4).astype(np.int64)
+                high, wide = -(-height // 4), -(-width // 4)
+                y, x = np.minimum(np.arange(4 * high), height - 1), np.minimum(np.arange(4 * wide), width - 1)
+                there = (np.arange(4 * high) < height)[:, None] & (np.arange(4 * wide) < width)
+                cut = lambda v, a=high, b=wide: v.reshape(a, 4, b, 4).swapaxes(1, 2).reshape(a, b, 16)
+                cells = {c: cut(image[y][:, x, k]) for k, c in enumerate("rgba")}
+                made.append(b"".join(s.as_py() for s in _strip_bytes(cells, cut(there))[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "payload"])
+
+    return rasters.mapInArrow(run, StructType([*rasters.schema.fields, StructField("payload", BinaryType())]))
+
+
 def bc3_decode(alpha: DataFrame, color: DataFrame) -> DataFrame:
     """Texels of blocks of bc3_alpha and bc3_color."""
     each = alpha.join(color, KEY).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15))))

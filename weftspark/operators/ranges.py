@@ -36,23 +36,23 @@ def range_of(value: Column, cuts: list[int]) -> Column:
 
 
 def with_range(rows: DataFrame, time: str, ranges: int | None = None) -> DataFrame:
-    """rows with span, the number of their range of time. Rows of one microsecond share a range."""
+    """rows with _span, the number of their range of time. Rows of one microsecond share a range."""
     many = ranges or min(MOST_RANGES, max(2, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return rows.withColumn("span", range_of(micros(time), cut_points(rows, time, many)))
+    return rows.withColumn("_span", range_of(micros(time), cut_points(rows, time, many)))
 
 
 def carried(summaries: DataFrame, per: tuple[str, ...], **values: Column) -> DataFrame:
-    """A row for each key and span: what the spans before say. values are over `before`, or `whole` for all spans of the key."""
-    before = Window.partitionBy(*per).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    """A row for each key and range: what the ranges before say. values are over `before`, or, if their name begins with whole_, over all ranges of the key."""
+    before = Window.partitionBy(*per).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*per)
-    return summaries.select(*per, "span", *[v.over(whole if name.startswith("whole_") else before).alias(name) for name, v in values.items()])
+    return summaries.select(*per, "_span", *[v.over(whole if name.startswith("whole_") else before).alias(name) for name, v in values.items()])
 
 
 def joined(rows: DataFrame, carry: DataFrame, per: tuple[str, ...]) -> DataFrame:
-    """rows with what was carried to their key and span; keys may be null."""
-    names = ["span", *per]
+    """rows with what was carried to their key and range; keys may be null."""
+    names = ["_span", *per]
     other = carry.select(*[F.col(c).alias(f"own_{c}") for c in names], *[c for c in carry.columns if c not in names])
-    same = F.col("span") == F.col("own_span")
+    same = F.col("_span") == F.col("own__span")
     for c in per:
         same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
     return rows.join(other, same).drop(*[f"own_{c}" for c in names])

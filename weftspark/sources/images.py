@@ -1,4 +1,4 @@
-"""Image and DDS files: listing, decoding in tasks, and a committed DDS sink."""
+"""Image files: listing, decoding and encoding in tasks."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions import names
 from ..operators.blocks import number
+from .dds import DdsSource, opened
+
+__all__ = ["DdsSource"]
 
 RASTER = "path string, width int, height int, rgba binary, status string"
 
@@ -30,14 +32,60 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(names.is_image(F.col("path"))).select("path", "length")
 
 
-def scan_list(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """Files of a manifest (ord, path), with their content, in its order; a path may occur more than once.
+def scan_list(spark: SparkSession, manifest: DataFrame, folder: str, partition_bytes: int = 64 << 20) -> DataFrame:
+    """Files of a manifest (ord, path, and length if known), with their content, in its order; a path may occur more than once.
 
-    Paths are compared without the scheme that Spark puts before them.
+    The manifest's rows are dealt into ranges of ord, and each task opens the files of its rows only, each once; files that
+    aren't there have no row. With lengths, ranges hold about partition_bytes, else as many files. Paths that don't begin
+    at a root are below the folder.
     """
-    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    files = spark.read.format("binaryFile").load(folder).select(bare("path").alias("bare"), "content")
-    return manifest.withColumn("bare", bare("path")).join(files, "bare").drop("bare").orderBy("ord")
+    known = "length" in manifest.columns
+    size = F.sum("length") if known else F.count(F.lit(1)) * (1 << 20)
+    many = max(1, int((manifest.agg(size).first()[0] or 0) // partition_bytes) + 1)
+    kinds = {f.name: f.dataType.simpleString() for f in manifest.schema}
+    at = manifest.columns.index("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, bytes | None] = {}
+        for batch in batches:
+            for k, path in enumerate(batch.column(at).to_pylist()):
+                whole = path if "://" in path or path.startswith(("/", "file:")) else f"{folder.rstrip('/')}/{path}"
+                if whole not in held:
+                    if sum(len(x or b"") for x in held.values()) > partition_bytes:
+                        held.clear()
+                    held[whole] = _content(whole)
+                if held[whole] is not None:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([held[whole]], pa.binary())], names=[*kinds, "content"])
+
+    rows = manifest.repartitionByRange(many, "ord").sortWithinPartitions("ord")
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*kinds.items(), ("content", "binary")]))
+
+
+def _content(path: str) -> bytes | None:
+    filesystem, place = opened(path)
+    try:
+        with filesystem.open_input_stream(place, compression=None) as source:
+            return source.read()
+    except FileNotFoundError:
+        return None
+
+
+def _averaged(line: list[int], up: list[int], step: int) -> list[int]:
+    """A line of filter 3, behind one pixel of zeros: each byte goes up by half the sum of its left and upper one."""
+    row = [0] * step
+    for i, here in enumerate(line):
+        row.append((here + (row[i] + up[i + step] >> 1)) & 255)
+    return row
+
+
+def _paeth(line: list[int], up: list[int], step: int) -> list[int]:
+    """A line of filter 4, behind one pixel of zeros: each byte goes up by the one of left, upper and corner that is nearest to left + upper - corner."""
+    row = [0] * step
+    for i, here in enumerate(line):
+        left, above, corner = row[i], up[i + step], up[i]
+        a, b, c = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+        row.append((here + (left if a <= b and a <= c else above if b <= c else corner)) & 255)
+    return row
 
 
 def _png(data: bytes) -> np.ndarray:
@@ -65,17 +113,10 @@ def _png(data: bytes) -> np.ndarray:
         if kind in (0, 2):
             row[step:] = (line + (up[step:] if kind else 0)) & 255
             continue
-        for x in range(step, row.size, step):
-            left, above, corner, here = row[x - step : x], up[x : x + step], up[x - step : x], line[x - step : x]
-            if kind == 1:
-                guess = left
-            elif kind == 3:
-                guess = (left + above) >> 1
-            else:
-                near = left + above - corner
-                a, b, c = abs(near - left), abs(near - above), abs(near - corner)
-                guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
-            row[x : x + step] = (here + guess) & 255
+        if kind == 1:
+            row[step:] = np.cumsum(line.reshape(-1, step), axis=0).ravel() & 255
+            continue
+        row[:] = (_averaged if kind == 3 else _paeth)(line.tolist(), up.tolist(), step)
     pixels = rows[1:, step:].astype(np.uint8).reshape(height, width, count, depth // 8)[..., 0]  # the high byte of 16
     full = np.full((height, width, 1), 255, np.uint8)
     if color == 3:
@@ -83,6 +124,10 @@ def _png(data: bytes) -> np.ndarray:
         alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
         return np.concatenate([palette[pixels[..., 0]], alpha[pixels]], axis=2)
     rgb = pixels[..., :3] if color in (2, 6) else np.repeat(pixels[..., :1], 3, axis=2)
+    if clear and color in (0, 2):  # texels of exactly this colour are clear, by all bits of their samples
+        wide = rows[1:, step:].reshape(height, width, count, depth // 8)
+        samples = (wide * (256 ** np.arange(depth // 8)[::-1])).sum(axis=-1)
+        full = np.where((samples == np.frombuffer(clear, ">u2", count)).all(axis=-1, keepdims=True), 0, full).astype(np.uint8)
     return np.concatenate([rgb, pixels[..., -1:] if color in (4, 6) else full], axis=2)
 
 
@@ -175,59 +220,3 @@ def _as_tga(image: np.ndarray) -> bytes:
     head = struct.pack("<BBB9xHHBB", 0, 0, 3 if channels == 1 else 2, width, height, 8 * channels, 32 | (8 if channels == 4 else 0))
     order = {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[channels]
     return head + image[..., order].tobytes()
-
-
-class DdsSource(DataSource):
-    """Sink for rows of name and bytes: a file each. Register with spark.dataSource.register(DdsSource)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "dds"
-
-    def schema(self) -> str:
-        return "name string, bytes binary"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _DdsWriter(self.options["path"])
-
-
-class _DdsWriter(DataSourceArrowWriter):
-    """Tasks write under names of their own; the commit gives the files of successful tasks their names."""
-
-    def __init__(self, folder: str):
-        self.folder = folder if "://" in folder else f"file://{folder}"
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        import uuid
-
-        from pyarrow import fs
-
-        filesystem, folder = fs.FileSystem.from_uri(self.folder)
-        filesystem.create_dir(folder, recursive=True)
-        message = _Written()
-        message.files = []
-        for batch in iterator:
-            for name, data in zip(batch.column("name"), batch.column("bytes"), strict=True):
-                attempt = f"{folder}/.{uuid.uuid4().hex}.part"
-                with filesystem.open_output_stream(attempt, compression=None) as out:
-                    out.write(data.as_py())
-                message.files.append((attempt, f"{folder}/{name.as_py()}"))
-        return message
-
-    def commit(self, messages: list) -> None:
-        from pyarrow import fs
-
-        filesystem, _ = fs.FileSystem.from_uri(self.folder)
-        for attempt, name in (f for m in messages if m for f in m.files):
-            filesystem.move(attempt, name)
-
-    def abort(self, messages: list) -> None:
-        from pyarrow import fs
-
-        filesystem, _ = fs.FileSystem.from_uri(self.folder)
-        for attempt, _ in (f for m in messages if m for f in m.files):
-            filesystem.delete_file(attempt)
-
-
-class _Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
