@@ -774,7 +774,7 @@ def brute_phrases(rows, least, within=50):
     for (lang, *words), a in f.items():
         if len(words) < 2 or a < least:
             continue
-        if len(words) == 2 and any(len(k) == 4 and k[0] == lang and (list(k[1:3]) == words or list(k[2:]) == words) and 100 * x >= within * a for k, x in f.items()):
+        if len(words) == 2 and any(len(k) == 4 and k[0] == lang and (list(k[1:3]) == words or list(k[2:]) == words) and 100 * x >= within * a for k, x in f.items() if x >= least):
             continue
         cuts = [(1000000 * a * a // (f[lang, *words[:k]] * f[lang, *words[k:]]), k) for k in range(1, len(words))]
         score, k = min(cuts)
@@ -790,9 +790,8 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
     rows += rows[:5]
     docs = spark.createDataFrame([(lang, text, 1) for lang, text in rows], "lang string, text string, phrase int").repartition(3)
     for chunk, bits, least in ((1 << 20, 1 << 29, 10), (300, 1 << 16, 3), (300, 1 << 16, 1)):
-        monkeypatch.setattr(collocations, "CHUNK", chunk)
         monkeypatch.setattr(collocations, "FILTER_BITS", bits)
-        found = collocations.phrases(docs, least)
+        found = collocations.phrases(docs, least, chunk_bytes=chunk)
         assert sorted(map(tuple, found.collect())) == sorted(brute_phrases(rows, least))
         ranked = sorted(found.collect(), key=lambda r: (r["lang"], -r["score"], -r["a"], r["phrase"].encode()))
         best = collocations.best(found, 4).orderBy("lang", "rank").collect()

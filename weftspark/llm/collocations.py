@@ -42,14 +42,14 @@ KIND[[9, 32]] = 1
 KIND[list(b".,;:!?\n\v\f\r")] = 2
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[int], list[str]]]:
-    """Texts in lower case joined by line ends, about CHUNK bytes at once; where each begins; their languages."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[bytes, list[int], list[str]]]:
+    """Texts in lower case joined by line ends, about limit bytes at once; where each begins; their languages."""
     parts, starts, langs, size = [], [], [], 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data, at = (text or "").encode().translate(LOWER), 0
             while at < len(data):
-                end = at + CHUNK
+                end = at + limit
                 if end < len(data):
                     found = SEPARATOR.search(data, end)
                     end = found.end() if found else len(data)
@@ -58,7 +58,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[int]
                 langs.append(lang)
                 size += len(parts[-1]) + 1
                 at = end
-                if size >= CHUNK:
+                if size >= limit:
                     yield b"\n".join(parts), starts, langs
                     parts, starts, langs, size = [], [], [], 0
     if parts:
@@ -91,8 +91,8 @@ def pair_hashes(words: pa.Array, ids: np.ndarray, lang: np.ndarray, names: list[
     return mix64(mix64(of_lang[lang[:-1]] ^ of_word[ids[:-1]]) + of_word[ids[1:]])
 
 
-def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in chunks(batches):
+def pair_counts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for chunk in chunks(batches, limit):
         words, ids, lang, names, goes_on = words_of(*chunk)
         if goes_on.any():
             found, n = np.unique(pair_hashes(words, ids, lang, names)[goes_on], return_counts=True)
@@ -148,11 +148,11 @@ def counted_windows(chunk: tuple, found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(first // v)), words.take(pa.array(first % v)), taken(b), taken(c), pa.array(n)], names=["lang", "a", "b", "c", "n"])
 
 
-def windows(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def windows(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK) -> DataFrame:
     """Padded windows of three words with their numbers, those of a batch summed: lang, a, b, c, n."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    pairs = kept(texts.mapInArrow(pair_counts, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair"), "frequent-pairs")
+    pairs = kept(texts.mapInArrow(lambda batches: pair_counts(batches, chunk_bytes), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair"), "frequent-pairs")
     bits = min(max(pairs.count() * PAIR_BITS, 1 << 16), FILTER_BITS)
     bits = 1 << (bits - 1).bit_length()
     folder = new_folder(docs.sparkSession, "pair-filter")
@@ -160,7 +160,7 @@ def windows(docs: DataFrame, least: int, text_col: str = "text", lang_col: str =
     forget(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, chunk_bytes):
             yield counted_windows(chunk, load_filter(folder, bits, files))
 
     return texts.mapInArrow(run, "lang string, a string, b string, c string, n bigint")
@@ -178,9 +178,9 @@ def ratio(a: str, left: str, right: str) -> Column:
     return F.expr(f"(1000000BD * cast({a} as decimal(15)) * cast({a} as decimal(15))) div (cast({left} as decimal(15)) * cast({right} as decimal(15)))")
 
 
-def phrases(docs: DataFrame, least: int = LEAST, within_pct: int = WITHIN_PCT, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def phrases(docs: DataFrame, least: int = LEAST, within_pct: int = WITHIN_PCT, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK) -> DataFrame:
     """Phrases of two and three words that occur at least so often and aren't mostly part of a longer one: lang, phrase, a, l, r, n, score."""
-    found = kept(frequencies(windows(docs, least, text_col, lang_col), least), "phrase-counts")
+    found = kept(frequencies(windows(docs, least, text_col, lang_col, chunk_bytes), least), "phrase-counts")
     total = found.where("a is null").select("lang", F.col("f").alias("n"))
     one = found.where("a is not null and b is null").select("lang", "a", "f")
     two = found.where("b is not null and c is null").select("lang", "a", "b", "f")
