@@ -441,6 +441,14 @@ def hot_task_progress(spark, sf_dir):
     return activity.progress_view(_events(spark, sf_dir).withColumn("task_id", F.lit(0).cast("bigint")))
 
 
+@query("""with e as (select event_type as tone, ts, event_id, lag(ts) over w as pts, lag(event_type) over w as pt from events window w as (order by ts, event_id)),
+ r as (select *, sum(case when pts is null or ts - pts > interval 10 minutes or tone is distinct from pt then 1 else 0 end) over (order by ts, event_id) as run from e)
+ select run::bigint as run, tone, min(ts) as first_ts, max(ts) as last_ts, count(*) as repeats from r group by run, tone order by first_ts desc, run desc limit 4""")
+def activity_toasts_global(spark, sf_dir):
+    """The newest runs of the one list over all tasks."""
+    return activity.toasts(_events(spark, sf_dir), 600, order=("ts", "event_id"))
+
+
 _KEYS = ("click", "view", "purchase")
 
 
