@@ -95,6 +95,24 @@ def test_dds_lines_equal_texels(spark):
     assert mine.count() == 2 * (15 + 32) and mine.exceptAll(texels.select(*mine.columns)).count() == 0
 
 
+def test_strips_decode_as_blocks_do(spark):
+    """Every format, both orders of corners and alphas, padding at the edges."""
+    rng = np.random.default_rng(9)
+    rows, blocks_of = [], []
+    for k in range(24):
+        kind, width, height = ("BC1", "BC2", "BC3")[k % 3], int(rng.integers(1, 11)), int(rng.integers(1, 8))
+        size, across = (8 if kind == "BC1" else 16), -(-width // 4)
+        for at_ in range(-(-height // 4)):
+            data = rng.integers(0, 256, (across, size)).astype(np.uint8)
+            rows.append((k, width, height, kind, at_, data.tobytes()))
+            blocks_of += [(k, at_, bx, kind, data[bx].tobytes(), width, height) for bx in range(across)]
+    mine = scanlines.texels(blocks.lines_of_strips(spark.createDataFrame(rows, "texture_id long, width int, height int, format string, at int, strip binary")), tuple("rgba"))
+    each = spark.createDataFrame(blocks_of, "texture_id long, by int, bx int, format string, block binary, w int, h int")
+    sizes = each.select("texture_id", "w", "h").distinct()
+    theirs = blocks.decode_blocks(each.drop("w", "h")).join(sizes, "texture_id").where("x < w and y < h").select(*mine.columns)
+    assert mine.count() == theirs.count() and mine.exceptAll(theirs).count() == 0
+
+
 def entries(n, seed):
     rng = random.Random(seed)
     return [(rng.choice([0, 0, 0, 1, None]), k, at(rng.randint(0, n * 20)) if rng.random() > 0.02 else None, rng.choice(["a", "b", None])) for k in range(n)]
@@ -143,7 +161,7 @@ def test_dds_reader_reads_headers_and_first_levels_only(spark, tmp_path):
     shown = {f"/in/{k}.png": np.random.default_rng(k).integers(0, 256, (h, w, 4)) for k, (h, w) in enumerate([(4, 4), (8, 4), (16, 16)])}
     sizes = spark.createDataFrame([(k, v.shape[1], v.shape[0]) for k, v in shown.items()], "texture_id string, width int, height int")
     files = jobs.dds_files(lines_of(spark, shown, "rgba"), sizes, "8.8.8.8").withColumn("name", F.concat(F.lit("deep/er/"), "name"))
-    assert dds.save(files, str(tmp_path / "out")) == 3
+    assert jobs.save_files(jobs.Job(files, files), str(tmp_path / "out")) == 3
     for f in (tmp_path / "out" / "deep" / "er").iterdir():
         f.write_bytes(f.read_bytes() + b"levels" * 5000)
     (tmp_path / "out" / "bad.dds").write_bytes(b"DDS ")

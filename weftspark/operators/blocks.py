@@ -180,3 +180,62 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
     nibble = F.substring(F.col("digits"), F.col("i") + F.when(F.col("i") % 2 == 0, 2).otherwise(0), F.lit(1))
     alpha = F.when(plain, F.when(three & (code == 3), 0).otherwise(255)).when(F.col("format") == "BC2", F.conv(nibble, 16, 10).cast("bigint") * 17)
     return _texels(each, alpha.otherwise(_alpha_of_code()), [four[0], four[1], middle, last])
+
+
+def _wide_colors(c: np.ndarray) -> np.ndarray:
+    """The 8-bit channels of RGB565 words, in a last axis."""
+    return np.stack([((c >> at & most) * 255 + most // 2) // most for at, most in ((11, 31), (5, 63), (0, 31))], axis=-1)
+
+
+def decoded(data: np.ndarray, kind: str) -> np.ndarray:
+    """r, g, b, a of the 16 texels of blocks: (blocks, 16, 4) of rows of 8 or 16 bytes."""
+    color = data[:, -8:].astype(np.int64)
+    c0, c1 = color[:, 0] + color[:, 1] * 256, color[:, 2] + color[:, 3] * 256
+    codes = (color[:, 4:, None] >> (2 * np.arange(4)) & 3).reshape(-1, 16)
+    p, q = _wide_colors(c0), _wide_colors(c1)
+    # Only BC1 has blocks of three colours and transparent black; they are those whose first corner isn't the greater.
+    three = ((c0 <= c1) & (kind == "BC1"))[:, None]
+    colors = np.stack([p, q, np.where(three, (p + q) // 2, (2 * p + q) // 3), np.where(three, 0, (p + 2 * q) // 3)], axis=1)
+    out = np.empty((len(data), 16, 4), np.int64)
+    out[..., :3] = np.take_along_axis(colors, codes[..., None], axis=1)
+    ahead = data[:, :8].astype(np.int64)
+    if kind == "BC1":
+        out[..., 3] = np.where(three & (codes == 3), 0, 255)
+    elif kind == "BC2":
+        out[..., 3] = (ahead[..., None] >> np.array([0, 4]) & 15).reshape(-1, 16) * 17
+    else:
+        a0, a1 = ahead[:, :1], ahead[:, 1:2]
+        bits = (ahead[:, 2:] << (8 * np.arange(6))).sum(axis=1)
+        code = bits[:, None] >> (3 * np.arange(16)) & 7
+        eight, six = ((8 - code) * a0 + (code - 1) * a1) // 7, ((6 - code) * a0 + (code - 1) * a1) // 5
+        six = np.where(code == 6, 0, np.where(code == 7, 255, six))
+        out[..., 3] = np.where(code == 0, a0, np.where(code == 1, a1, np.where(a0 > a1, eight, six)))
+    return out
+
+
+def lines_of_strips(strips: DataFrame) -> DataFrame:
+    """Lines r, g, b, a of strips: texture_id, width, height, format, at, strip (a line of texels, or of blocks at line 4 * at), without padding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = {c: batch.column(c).to_pylist() for c in ("width", "format")}
+            height, at, ids = batch.column("height").to_numpy(), batch.column("at").to_numpy(), batch.column("texture_id")
+            alike: dict[tuple, list[int]] = {}
+            for k, shape in enumerate(zip(of["width"], of["format"], strict=True)):
+                alike.setdefault(shape, []).append(k)
+            for (width, kind), rows in alike.items():
+                data = np.frombuffer(b"".join(batch.column("strip").take(pa.array(rows)).to_pylist()), np.uint8)
+                rows = np.array(rows)
+                if kind == "RGBA8":
+                    image, y = data.reshape(len(rows), width, 4), at[rows]
+                else:
+                    many = -(-width // 4)
+                    cells = decoded(data.reshape(len(rows) * many, -1), kind).reshape(len(rows), many, 4, 4, 4)
+                    image = cells.swapaxes(1, 2).reshape(len(rows) * 4, many * 4, 4)[:, :width]
+                    y, rows = (at[rows][:, None] * 4 + np.arange(4)).ravel(), np.repeat(rows, 4)
+                inside = y < height[rows]
+                samples = [scanlines.lists(image[inside][..., k]) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[inside])), pa.array(y[inside], pa.int32()), *samples], names=["texture_id", "y", *"rgba"])
+
+    kind = strips.schema["texture_id"].dataType.simpleString()
+    return strips.mapInArrow(run, f"texture_id {kind}, y int, " + ", ".join(f"{c} array<int>" for c in "rgba"))

@@ -9,7 +9,7 @@ from ..functions import channels
 from ..functions.channels import div
 from ..functions.names import BAD_LEVEL
 from . import scanlines
-from .blocks import bc3_alpha, bc3_color, bc3_decode, bc3_payload, decode_blocks, joined, little_endian, number
+from .blocks import bc3_alpha, bc3_color, bc3_decode, bc3_payload, joined, lines_of_strips, little_endian, number
 
 __all__ = ["bc3_alpha", "bc3_color", "bc3_decode", "bc3_payload"]
 
@@ -120,36 +120,14 @@ def dds_strips(files: DataFrame) -> DataFrame:
     return cut.select("texture_id", "width", "height", "format", "at", F.substring("bytes", F.col("at") * F.col("strip_bytes") + 129, F.col("strip_bytes")).alias("strip"))
 
 
-def dds_texels(files: DataFrame) -> DataFrame:
-    """Level 0 of DDS files as texels; those that dds_info() gives another status than ok have no rows. files: texture_id, bytes."""
-    return strip_texels(dds_strips(files))
-
-
-def strip_texels(strips: DataFrame) -> DataFrame:
-    """Texels of dds_strips(): a row of the strip each texel or block, whose kind its format says."""
-    plain = F.col("format") == "RGBA8"
-    size = F.when(plain, 4).when(F.col("format") == "BC1", 8).otherwise(16)
-    each = strips.withColumn("cell", F.explode(F.sequence(F.lit(0), div(F.octet_length("strip"), size).cast("int") - 1)))
-    cells = each.withColumn("block", F.substring("strip", (F.col("cell") * size + 1).cast("int"), size))
-    word = number(F.hex("block"), 0, 4)
-    sample = lambda k: F.shiftrightunsigned(word, 8 * k).bitwiseAND(255).cast("int")
-    raw = cells.where(plain).select("texture_id", F.col("at").alias("y"), F.col("cell").alias("x"), *[sample(k).alias(c) for k, c in enumerate("rgba")])
-    # The texture's id carries its size through the decoder; blocks at the edges have padding.
-    sized_id = F.struct("texture_id", "width", "height").alias("texture_id")
-    found = decode_blocks(cells.where(~plain).select(sized_id, F.col("at").alias("by"), F.col("cell").alias("bx"), "format", "block"))
-    found = found.where("x < texture_id.width and y < texture_id.height").withColumn("texture_id", F.col("texture_id.texture_id"))
-    return raw.unionByName(found)
+def dds_lines(files: DataFrame) -> DataFrame:
+    """Level 0 of DDS files as lines of r, g, b, a. files: texture_id, bytes; those that can't be read have no rows."""
+    return lines_of_strips(dds_strips(files))
 
 
-def dds_lines(files: DataFrame) -> DataFrame:
-    """Level 0 of DDS files as lines of texels, r, g, b, a; uncompressed files are never taken apart into texels."""
-    strips = dds_strips(files)
-    places = F.sequence(F.lit(0), F.col("width") - 1)
-    words = F.transform(places, lambda x: number(F.substring("digits", x * 8 + 1, F.lit(8)), 0, 4))
-    raw = strips.where("format = 'RGBA8'").withColumn("digits", F.hex("strip")).withColumn("words", words)
-    sample = lambda k: F.transform("words", lambda w: F.shiftrightunsigned(w, 8 * k).bitwiseAND(255).cast("int"))
-    lines = raw.select("texture_id", F.col("at").alias("y"), *[sample(k).alias(c) for k, c in enumerate("rgba")])
-    return lines.unionByName(scanlines.of_texels(strip_texels(strips.where("format <> 'RGBA8'")), tuple("rgba")))
+def dds_texels(files: DataFrame) -> DataFrame:
+    """dds_lines() as texels."""
+    return scanlines.texels(dds_lines(files), tuple("rgba"))
 
 
 def rgba8_payload(texels: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import channels, names
 from ..operators import activity, catalog, raster, scanlines, sets
+from ..sources import dds
 
 dds_texels = raster.dds_texels
 
@@ -32,6 +33,11 @@ def _checked(rows: DataFrame, error: Column, on_error: str) -> DataFrame:
     return rows.where(F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(True))
 
 
+def save_files(job: Job, folder: str) -> int:
+    """Write a job's files of name and bytes below a folder; none has its name before all are written. The number of files."""
+    return dds.save(job.files, folder)
+
+
 def find_sets(listing: DataFrame) -> DataFrame:
     """The complete sets, by prefix in byte order."""
     return sets.find_sets(listing).orderBy("prefix")

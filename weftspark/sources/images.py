@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators.blocks import number
+from ..operators import scanlines
+from ..operators.blocks import lines_of_strips, number
 from .dds import DdsSource, opened
 
 __all__ = ["DdsSource"]
@@ -159,14 +160,16 @@ def decode(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, RASTER)
 
 
+def to_lines(rasters: DataFrame) -> DataFrame:
+    """Lines of decoded rasters: texture_id (the path), y, r, g, b, a."""
+    rows = rasters.where("status = 'ok'").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    line = F.substring("rgba", (F.col("at") * F.col("width") * 4 + 1).cast("int"), F.col("width") * 4)
+    return lines_of_strips(rows.select(F.col("path").alias("texture_id"), "width", "height", F.lit("RGBA8").alias("format"), "at", line.alias("strip")))
+
+
 def to_texels(rasters: DataFrame) -> DataFrame:
-    """A row for each texel of decoded rasters, which are cut into lines first."""
-    rows = rasters.where("status = 'ok'").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    line = F.substring("rgba", (F.col("y") * F.col("width") * 4 + 1).cast("int"), F.col("width") * 4)
-    lines = rows.select(F.col("path").alias("texture_id"), "y", "width", line.alias("line"))
-    cells = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    digits = F.hex(F.substring("line", F.col("x") * 4 + 1, F.lit(4)))
-    return cells.select("texture_id", "y", "x", *[number(digits, k, 1).cast("int").alias(c) for k, c in enumerate("rgba")])
+    """A row for each texel of decoded rasters."""
+    return scanlines.texels(to_lines(rasters), tuple("rgba"))
 
 
 def picture_texels(pictures: DataFrame) -> DataFrame:
