@@ -28,21 +28,26 @@ from .common import bounded_batches, small_batches
 MARK = "▁"
 CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Entries held by the caches of a task, about; they are emptied when the task ends.
-CACHE = 120_000
+CACHE = 180_000
 _LOADED: dict[str, Codec] = {}
 
 
 class Known(dict):
-    """Of the cuts met lately, the ids as text and the bytes that these decode to. Those not asked for in a while go first."""
+    """Of the cuts met lately, the ids as text. Those not asked for in a while go first.
+
+    Each cut's ids are decoded once, when it is met; a cut whose ids decode to anything but itself has the bytes beside them.
+    """
 
     def __init__(self, coder: Codec):
         self.coder, self.before = coder, {}
 
-    def __missing__(self, cut: str) -> tuple[str, bytes]:
+    def __missing__(self, cut: str) -> str | tuple[str, bytes]:
         found = self.before.get(cut)
         if found is None:
             ids = self.coder._cut_ids(cut)
-            found = ",".join(map(str, ids)), self.coder.decode_bytes(ids)
+            found, data = ",".join([self.coder.decimal[i] for i in ids]), self.coder.decode_bytes(ids)
+            if data != cut.replace(MARK, " ").encode("utf-8", "surrogatepass"):
+                found = found, data
         if len(cut) < 64:
             if len(self) > CACHE:
                 self.before = dict(self)
@@ -66,6 +71,7 @@ class Codec:
         plain = [i for i in range(len(self.piece)) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
         self.byte_id = {int(self.piece[i][3:5], 16): i for i in range(len(self.piece)) if model.is_byte(i)}
         self.score = [model.get_score(i) for i in range(len(self.piece))]
+        self.decimal = list(map(str, range(len(self.piece))))
         self.id = {self.piece[i]: i for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("the vocabulary has entries that span words")
@@ -177,9 +183,18 @@ class Codec:
         """
         if not text:
             return "", ""
-        cuts = list(map(self.known.__getitem__, CUT.findall(MARK + text.replace(" ", MARK))))
-        ids, data = ",".join([c[0] for c in cuts]), b"".join([c[1] for c in cuts])
-        return ids, self._text(data, int(ids.split(",", 1)[0]))
+        marked = MARK + text.replace(" ", MARK)
+        cuts = CUT.findall(marked)
+        found = list(map(self.known.__getitem__, cuts))
+        try:
+            ids, data = ",".join(found), None  # every cut decodes to itself
+        except TypeError:
+            ids = ",".join([f if isinstance(f, str) else f[0] for f in found])
+            data = b"".join([c.replace(MARK, " ").encode() if isinstance(f, str) else f[1] for c, f in zip(cuts, found, strict=True)])
+        first = int(ids.split(",", 1)[0])
+        if data is not None:
+            return ids, self._text(data, first)
+        return ids, marked[self.piece[first].startswith(MARK) :].replace(MARK, " ")
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.coded(text)[0].split(",")] if text else []
