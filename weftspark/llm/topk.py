@@ -32,9 +32,9 @@ K = 10
 LEVELS = 8
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
-#: Possible members are few if they are FEW times k or a FEW_SHARE-th of the rows. The bound is looked at once half of the
-#: postings are processed, then after each LOOKS-th of them.
-FEW, FEW_SHARE, LOOKS = 8, 16, 16
+#: Possible members are few if they are FEW times k or a FEW_SHARE-th of the rows. After each LOOKS-th of the postings the
+#: bound is looked at: for PROBED rows first, then for all if so few of those are possible members that the end is near.
+FEW, FEW_SHARE, LOOKS, PROBED = 8, 16, 32, 256
 FOUND = "query_id bigint, vec_id bigint, score bigint, postings bigint, of bigint"
 
 
@@ -109,7 +109,7 @@ class Block:
         got = np.full(len(self.ids), float(self.middle[:width] @ query))
         candidates = np.flatnonzero(~own)
         total = len(self.ids) * len(used)
-        processed, look = 0, total // 2
+        processed, look, few = 0, total // LOOKS, max(FEW * k, len(self.ids) // FEW_SHARE)
         slack = 1e-9 * (float(np.abs(self.middle[:width]) @ weights) + float(self.reach[0, :width] @ weights)) + 1e-6
         for level, d in zip(levels, used[places], strict=True):
             part = slice(self.cuts[level], self.cuts[level + 1])
@@ -120,11 +120,14 @@ class Block:
                 continue
             look = processed + total // LOOKS
             left = self.reach[taken, np.arange(width)] * weights
-            open_ = self._left(candidates, taken, left, width) + slack
-            low, high = got[candidates] - open_, got[candidates] + open_
-            proven = np.partition(low, len(low) - want)[len(low) - want]
-            candidates = candidates[high >= proven]
-            if len(candidates) <= max(FEW * k, len(self.ids) // FEW_SHARE):
+            # The rows that lead now have at least this, whatever is left: no row that stays below it is among the best.
+            lead = candidates[np.argpartition(got[candidates], len(candidates) - want)[len(candidates) - want :]]
+            proven = float((got[lead] - self._left(lead, taken, left, width)).min()) - slack
+            some = candidates[:: -(-len(candidates) // PROBED)]
+            if np.mean(got[some] + self._left(some, taken, left, width) + slack >= proven) * len(candidates) > 2 * few:
+                continue
+            candidates = candidates[got[candidates] + self._left(candidates, taken, left, width) + slack >= proven]
+            if len(candidates) <= few:
                 break
         scores = exact_scores(self.rows[candidates, :width], query)
         best = np.lexsort((self.ids[candidates], -scores))[:want]
