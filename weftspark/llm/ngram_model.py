@@ -12,8 +12,8 @@ down to (c + 1)/(N + V + 1) for one token, in which 1 of the V + 1 shares is for
 
 N-grams of all orders are counted by Spark in one pass: each task counts its own first, then the counts meet in ranges of
 n-grams that a sample of texts cuts evenly; the sample only sets the cuts. A frequent context spans several ranges. Ranges
-become files of the shared folder, which tasks map into memory; nothing of the model passes through the driver but the
-list of the files.
+become files of the shared folder, which tasks map into memory. The driver sees a few numbers for each file; tasks find
+them in an index beside the files, and what is broadcast has the same size for any corpus.
 
 Null text is empty, and scores its end token only. Words are known by 64-bit hashes; there may be 2**31 - 2 different ones,
 more are refused. Other columns are not read, rows
@@ -136,31 +136,53 @@ def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, (sums / np.maximum(np.bincount(bins, minlength=256), 1)).astype(np.float32)
 
 
-@dataclass
-class Level:
-    """The files of a level: the first n-gram of each (context, token), and the number of its first node."""
+class _Found:
+    """Arrays by which tasks find the files of a level, in a file of the shared folder. Broadcasts hold its name only."""
+
+    def __init__(self, folder: str, name: str, **arrays: np.ndarray):
+        self.folder, self.name = folder, name
+        put_file(f"{folder}/{name}-index", lambda out: out.write(dump(arrays)))
+        self.__dict__ |= arrays
+
+    def __getstate__(self) -> tuple[str, str]:
+        return self.folder, self.name
+
+    def __setstate__(self, state: tuple[str, str]) -> None:
+        self.folder, self.name = state
+        self.__dict__ |= load(mapped_file(f"{self.folder}/{self.name}-index"))
+
+    def path(self, k: int) -> str:
+        return f"{self.folder}/{self.name}-{self.numbers[k]}"
+
+
+class Words(_Found):
+    """Files of words: numbers, the ids and the hashes that they start with."""
+
+    @classmethod
+    def of(cls, folder: str, numbers: np.ndarray, starts: np.ndarray, first: np.ndarray) -> Words:
+        return cls(folder, "words", numbers=numbers, starts=starts, first=first)
+
+
+class Level(_Found):
+    """Files of n-grams: numbers, the number of the first node, and the first (context, token), by contexts in order."""
 
-    paths: list[str]
-    contexts: np.ndarray
-    tokens: np.ndarray
-    starts: np.ndarray
+    @classmethod
+    def of(cls, folder: str, order: int, contexts: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> Level:
+        each, rank = np.unique(contexts, return_inverse=True)
+        return cls(folder, f"level-{order}", numbers=np.arange(len(contexts)), starts=starts, each=each, keys=rank.astype(np.int64) << 32 | tokens)
 
     def file_of(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The file where each n-gram is, if it is anywhere."""
-        each, rank = np.unique(self.contexts, return_inverse=True)
-        at = np.searchsorted(each, contexts, "right") - 1
-        exact = (at >= 0) & (each[np.maximum(at, 0)] == contexts)
-        files, keys = rank.astype(np.int64) << 32 | self.tokens, at << 32 | np.where(exact, ids, _LOW)
-        return np.maximum(np.searchsorted(files, keys, "right") - 1, 0)
+        at = np.searchsorted(self.each, contexts, "right") - 1
+        exact = (at >= 0) & (self.each[np.maximum(at, 0)] == contexts)
+        return np.maximum(np.searchsorted(self.keys, at << 32 | np.where(exact, ids, _LOW), "right") - 1, 0)
 
 
 @dataclass
 class Model:
-    """What tasks need to find the files."""
+    """What tasks need to find the files; of the same size for any corpus where it is broadcast."""
 
-    words: list[str]
-    word_starts: np.ndarray
-    word_first: np.ndarray
+    words: Words
     n_words: int
     total: int
     levels: list[Level]
@@ -225,23 +247,23 @@ def word_ids(hashes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: unknown) and training counts of token hashes."""
     each, inverse = np.unique(hashes, return_inverse=True)
     ids, counts = np.full(len(each), -1), np.zeros(len(each), np.int64)
-    part = np.searchsorted(model.word_first, each, "right") - 1
+    part = np.searchsorted(model.words.first, each, "right") - 1
     for k in np.unique(part[part >= 0]):
         at = np.flatnonzero(part == k)
-        words = _file(model.words[k], _Words)
+        words = _file(model.words.path(k), _Words)
         at = at[each[at] - words.base <= words.most]
         found, equal = words.hashes.next_at_least(each[at] - words.base)
-        ids[at[equal]] = model.word_starts[k] + found[equal]
+        ids[at[equal]] = model.words.starts[k] + found[equal]
         counts[at[equal]] = words.counts[found[equal]]
     return ids[inverse], counts[inverse]
 
 
 def counts_of_ids(ids: np.ndarray, model: Model) -> np.ndarray:
     counts = np.zeros(len(ids), np.int64)
-    part = np.searchsorted(model.word_starts, ids, "right") - 1
+    part = np.searchsorted(model.words.starts, ids, "right") - 1
     for k in np.unique(part):
         at = part == k
-        counts[at] = _file(model.words[k], _Words).counts[ids[at] - model.word_starts[k]]
+        counts[at] = _file(model.words.path(k), _Words).counts[ids[at] - model.words.starts[k]]
     return counts
 
 
@@ -253,13 +275,13 @@ def look_up(contexts: np.ndarray, ids: np.ndarray, level: Level) -> tuple[np.nda
     """Nodes (-1: none), log10 probabilities and back-offs of n-grams at a level; context or id -1: none. contexts do not fall."""
     node, prob, back = np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(ids))
     known = np.flatnonzero(contexts >= 0)
-    if not level.paths or not len(known):
+    if not len(level.numbers) or not len(known):
         return node, prob, back
     contexts, asked = contexts[known], np.maximum(ids[known], 0)  # an unknown token is in no list, but its context has a back-off
     part = level.file_of(contexts, asked)
     for k in np.unique(part):
         at = np.flatnonzero(part == k)
-        index, p, b = _file(level.paths[k], _LevelFile).find(contexts[at], asked[at])
+        index, p, b = _file(level.path(k), _LevelFile).find(contexts[at], asked[at])
         at = known[at]
         node[at], prob[at], back[at] = np.where(index >= 0, index + level.starts[k], -1), p, b
     unknown = ids < 0
@@ -288,7 +310,7 @@ def _grams(ids: np.ndarray, begins: np.ndarray, start: int, order: int) -> dict[
     return found
 
 
-def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[list[str], np.ndarray, np.ndarray, int, int]:
+def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[Words, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hand_on() -> pa.RecordBatch:
             keys, sums = summed(met.take_new(), counts)
@@ -311,26 +333,26 @@ def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[list[str],
     def build(part: pd.DataFrame) -> pd.DataFrame:
         pieces = [unpack(d) for d in part["data"]]
         keys, counts = summed(np.concatenate([k for k, _ in pieces]), np.concatenate([c for _, c in pieces]))
-        number, path = int(part["part"].iloc[0]), f"{folder}/words-{int(part['part'].iloc[0])}"
+        number = int(part["part"].iloc[0])
         spread = keys - keys[0]
         arrays = {"base": keys[:1], "count": counts, **{f"hash.{k}": v for k, v in encode(spread, int(spread[-1]) + 1).items()}}
-        put_file(path, lambda out: out.write(dump(arrays)))
-        return pd.DataFrame({"part": [number], "path": [path], "first": [int(keys[0]) - (1 << 63)], "size": [len(keys)], "total": [int(counts.sum())]})
+        put_file(f"{folder}/words-{number}", lambda out: out.write(dump(arrays)))
+        return pd.DataFrame({"part": [number], "first": [int(keys[0]) - (1 << 63)], "size": [len(keys)], "total": [int(counts.sum())]})
 
-    done = texts.mapInArrow(count, "part int, data binary").groupBy("part").applyInPandas(build, "part int, path string, first bigint, size bigint, total bigint")
+    done = texts.mapInArrow(count, "part int, data binary").groupBy("part").applyInPandas(build, "part int, first bigint, size bigint, total bigint")
     listed = kept(done, "word-files")
-    files = listed.orderBy("part").collect()  # a row for each file
+    files = listed.orderBy("part").toPandas()  # four numbers for each file
     forget(listed)
-    starts = np.concatenate([[0], np.cumsum([f["size"] for f in files])]).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(files["size"].to_numpy(np.int64))]).astype(np.int64)
     if starts[-1] > MOST_WORDS:
         raise ValueError(f"{starts[-1]} different words; ids are of 31 bits")
-    first = np.array([f["first"] + (1 << 63) for f in files], np.uint64)
-    return [f["path"] for f in files], starts[:-1], first, int(starts[-1]), sum(f["total"] for f in files)
+    first = files["first"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return Words.of(folder, files["part"].to_numpy(np.int64), starts[:-1], first), int(starts[-1]), int(files["total"].sum())
 
 
-def _drawn_cuts(texts: DataFrame, model: Model, order: int, ranges: int, size: int, rows: int) -> dict[int, list[tuple[int, int]]]:
+def _drawn_cuts(texts: DataFrame, folder: str, model: Model, order: int, ranges: int, size: int, rows: int) -> dict[int, _Found]:
     """For each order, n-grams that cut the texts' into ranges of about equal size. The rows that are read are bounded, as are the n-grams drawn."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # names and starts of the files
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # names of folders
     share = min(1.0, CUT_TEXTS / max(rows, 1))
     rate = min(1.0, CUTS_DRAWN * ranges / max(share * size / 6, 1))
     sample = texts.where(F.pmod(F.col("row_hash"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -355,13 +377,14 @@ def _drawn_cuts(texts: DataFrame, model: Model, order: int, ranges: int, size: i
     for n in range(2, order + 1):
         of_n = found[found["n"] == n].sort_values(["context", "token"])
         at = np.unique(np.arange(1, ranges) * len(of_n) // ranges) if len(of_n) else []
-        cuts[n] = [(int(c), int(t)) for c, t in of_n[["context", "token"]].to_numpy()[at]] if len(of_n) else []
+        first = of_n.iloc[at] if len(of_n) else of_n
+        cuts[n] = _Found(folder, f"cuts-{n}", contexts=first["context"].to_numpy(np.int64), tokens=first["token"].to_numpy(np.int64))
     return cuts
 
 
-def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts: dict[int, list[tuple[int, int]]]) -> list:
+def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts: dict[int, _Found]) -> list:
     """Files of the counts of each range of each order; a row for each."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # names and starts of the files
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # names of folders
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(shared.value)
@@ -372,7 +395,7 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
             contexts, tokens, counts = summed_grams(*map(np.concatenate, zip(*held[n], strict=True)))
             held[n], sizes[n] = [], 0
             ends = [0]
-            for context, token in cuts[n]:
+            for context, token in zip(cuts[n].contexts.tolist(), cuts[n].tokens.tolist(), strict=True):
                 a, b = np.searchsorted(contexts, context), np.searchsorted(contexts, context, "right")
                 ends.append(int(a + np.searchsorted(tokens[a:b], token)))
             ends.append(len(tokens))
@@ -412,7 +435,7 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
 
 
 def _build_level(spark: SparkSession, files: list, folder: str, model: Model, order: int, discount: float) -> Level:
-    shared = spark.sparkContext.broadcast(model)  # names and starts of the files
+    shared = spark.sparkContext.broadcast(model)  # names of folders
     edges: dict[int, list[int]] = {}  # of contexts at the ends of files: how many tokens follow, and how often
     for f in files:
         for side in ("first", "last")[: 1 if f["first"] == f["last"] else 2]:
@@ -432,8 +455,8 @@ def _build_level(spark: SparkSession, files: list, folder: str, model: Model, or
         node, prob, back = (x[inverse] for x in look_up(each >> 32, each & _LOW, model.levels[0]))
         return 10 ** np.where(node >= 0, prob, back + single)
 
-    def build(number: int, source: str, ends: list[int], after: int | None) -> tuple[int, str, int]:
-        """Write the file of a range. ends: its first and last context; after: the first of the next file."""
+    def build(number: int, source: str, after: int | None, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
+        """Write the file of a range. after: the first context of the next file; known: of contexts at the ends, what edges has."""
         model = shared.value
         filesystem, name = opened(source)
         with filesystem.open_input_stream(name, compression=None) as stream:
@@ -452,7 +475,7 @@ def _build_level(spark: SparkSession, files: list, folder: str, model: Model, or
         pointers = np.concatenate([[0], np.cumsum(distinct)])
         at_edges = dict(zip(each[[0, -1]].tolist(), local_of[[0, -1]].tolist(), strict=True)) | {int(c): last - first for c in more}
         for context, at in at_edges.items():
-            distinct[at], sums[at] = edges[context]
+            distinct[at], sums[at] = known[context]
         with np.errstate(divide="ignore", invalid="ignore"):
             spare = np.where(sums > 0, discount * distinct / sums, 1.0)
         prob = np.maximum(counts - discount, 0) / sums[local] + spare[local] * lower(contexts, ids, model)
@@ -465,27 +488,30 @@ def _build_level(spark: SparkSession, files: list, folder: str, model: Model, or
         arrays = {"range": np.array([first, last - first + 1]), "prob": prob_codes, "prob_book": prob_book, "back": back_codes, "back_book": back_book}
         arrays |= {f"pointer.{k}": v for k, v in encode(pointers, len(ids) + 1).items()}
         arrays |= {f"follower.{k}": v for k, v in encode(values, int(values[-1]) + 1).items()}
-        path = f"{folder}/level-{order}-{number}"
-        put_file(path, lambda out: out.write(dump(arrays)))
-        return number, path, first
+        put_file(f"{folder}/level-{order}-{number}", lambda out: out.write(dump(arrays)))
+        return number, first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [build(r["number"], r["path"], r["ends"], r["after"]) for r in batch.to_pylist()]
+            made = [build(r["number"], r["path"], r["after"], {e: (n, s) for e, n, s in zip(r["ends"], r["distinct"], r["sums"], strict=True)}) for r in batch.to_pylist()]
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["number", "path", "first_node"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["number", "first_node"])
 
     after = [f["first"] for f in files[1:]] + [None]
-    rows = [(k, f["path"], [f["first"], f["last"]], after[k]) for k, f in enumerate(files)]
-    listed = spark.createDataFrame(rows, "number bigint, path string, ends array<bigint>, after bigint").repartition(max(len(files), 1))
-    written = kept(listed.mapInArrow(run, "number bigint, path string, first_node bigint"), "level-files")
+    rows = []
+    for k, f in enumerate(files):
+        ends = [e for e in dict.fromkeys([f["first"], f["last"], after[k]]) if e is not None]
+        rows.append((k, f["path"], after[k], ends, *map(list, zip(*[edges[e] for e in ends], strict=True))))
+    listed = spark.createDataFrame(rows, "number bigint, path string, after bigint, ends array<bigint>, distinct array<bigint>, sums array<bigint>").repartition(max(len(files), 1))
+    written = kept(listed.mapInArrow(run, "number bigint, first_node bigint"), "level-files")
     built = written.orderBy("number").collect()
     forget(written)
     for f in files:
         filesystem, name = opened(f["path"])
         filesystem.delete_file(name)
     starts = np.concatenate([[0], np.cumsum([f["size"] for f in files])[:-1]]).astype(np.int64) if files else np.zeros(0, np.int64)
-    return Level([b["path"] for b in built], np.array([b["first_node"] for b in built], np.int64), np.array([f["token"] for f in files], np.int64), starts)
+    numbers = lambda rows, name: np.array([r[name] for r in rows], np.int64)
+    return Level.of(folder, order, numbers(built, "first_node"), numbers(files, "token"), starts)
 
 
 def train(texts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> Model:
@@ -501,7 +527,7 @@ def train(texts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> M
     size, rows = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     ranges = max(least, -(-(size or 0) // (6 * RANGE_TOKENS)))
     model = Model(*_train_words(texts.select("text"), folder, ranges), [])
-    files = _count_grams(texts, folder, model, order, _drawn_cuts(texts, model, order, ranges, size or 0, rows))
+    files = _count_grams(texts, folder, model, order, _drawn_cuts(texts, folder, model, order, ranges, size or 0, rows))
     for n in range(2, order + 1):
         model.levels.append(_build_level(spark, [f for f in files if f["n"] == n], folder, model, n, discount))
     return model
@@ -529,7 +555,7 @@ def token_logs(ids: np.ndarray, counts: np.ndarray, begins: np.ndarray, model: M
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of each text."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # names and starts of the files
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names of folders
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
