@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from weftspark.llm import collocations, elias_fano, license_scan, lz_fingerprint, mixing, near_dedup, ngram_model, piece_tokens, ppm_language, suffix_dedup, token_counts, topk, vector_codes, warc
@@ -47,6 +50,56 @@ def test_elias_fano():
         assert (index == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
 
 
+def test_elias_fano_selects_cheaply():
+    """Selects take less CPU than 1.6 sorts of as many numbers (before, 3; now, 0.75): look-ups consist of them."""
+    rng = np.random.default_rng(1)
+    values = np.sort(rng.integers(0, 1 << 40, 1 << 20, dtype=np.uint64))
+    values[1 << 19 :: 7] = values[(1 << 19) - 1 : -1 : 7]
+    values.sort()
+    s = elias_fano.Sequence(elias_fano.load(np.frombuffer(elias_fano.dump({f"x.{k}": v for k, v in elias_fano.encode(values, 1 << 40).items()}), np.uint8)), "x")
+    asked = np.sort(rng.integers(0, len(values) - 1, 1 << 15))
+    mixed = values[asked] * np.uint64(0x9E3779B97F4A7C15)
+
+    def least(run):
+        spent = []
+        for _ in range(15):
+            start = time.process_time()
+            run()
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    assert least(lambda: s.at(asked)) < 1.6 * least(lambda: np.argsort(mixed, kind="stable"))
+    assert (s.at(asked) == values[asked]).all()
+    one, other = s.at_both(asked)
+    assert (one == values[asked]).all() and (other == values[asked + 1]).all()
+    far = np.array([0, 1, 1 << 20, 1 << 20, (1 << 20) + 5000], np.uint64)
+    s = elias_fano.Sequence({f"x.{k}": v for k, v in elias_fano.encode(far, 1 << 21).items()}, "x")
+    assert (s.at_both(np.arange(4))[1] == far[1:]).all()
+
+
+def test_ngram_tokens_and_sums_equal_plain_ones():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aBcÉé \t\n\r\x0b\x0c\x1c\x85\xa0 \x00Z") for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for lot in ([*texts, None, "", " ", " x ", "x"], [None], [" "], ["", "a", ""]):
+        for column in (pa.array(lot, pa.string()), pa.array(["cut off", *lot], pa.string())[1:]):
+            hashes, numbers, begins = ngram_model.read(column)
+            expected = [(t or "").encode().translate(ngram_model.LOWER).split() + [b"\n"] for t in lot]
+            assert hashes[numbers].tolist() == [xxhash.xxh3_64_intdigest(w) for t in expected for w in t]
+            assert begins.tolist() == np.cumsum([0, *map(len, expected)]).tolist()
+    some = np.random.default_rng(2)
+    for most in (1 << 20, 1 << 61):  # contexts of one token, and of two
+        grams = some.integers(0, most, 3000), some.integers(0, 20, 3000), some.integers(1, 1 << 40, 3000)
+        grams[0][::3] = grams[0][0]
+        sums: dict = {}
+        for context, token, n in zip(*(g.tolist() for g in grams), strict=True):
+            sums[context, token] = sums.get((context, token), 0) + n
+        found = ngram_model.summed_grams(*grams)
+        assert list(zip(*(f.tolist() for f in found), strict=True)) == [(*gram, n) for gram, n in sorted(sums.items())]
+        assert all((a.astype(np.int64) == b).all() for a, b in zip(ngram_model.unpack(ngram_model.pack(*found), 3), found, strict=True))
+    for columns in ([np.zeros(0, np.int64)] * 2, [np.zeros(3, np.int64)] * 2, [np.array([5, 2**64 - 1], np.uint64), np.array([0, 1 << 62])]):
+        assert all((a.astype(np.uint64) == b.astype(np.uint64)).all() and len(a) == len(b) for a, b in zip(ngram_model.unpack(ngram_model.pack(*columns)), columns, strict=True))
+
+
 def test_ngram_scores(docs):
     model = ngram_model.train(docs)
     found = ngram_model.score(docs, model).collect()

@@ -6,8 +6,11 @@ import json
 
 import numpy as np
 
-WORDS = 8  # 64-bit words between two counts
+WORDS = 8  # 64-bit words of a block
 _U = np.uint64
+_TWOS, _FOURS, _EIGHTS, _EACH, _TOPS = (_U(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+#: The place of the k-th one of a byte, at 256 * k + byte.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for k in range(8) for byte in range(256)], np.int64)
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -19,8 +22,11 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     flags = np.zeros(size * 64, bool)
     flags[upper] = True
     bits = np.packbits(flags, bitorder="little").view(_U)
-    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).reshape(-1, WORDS).sum(axis=1, dtype=np.int64))])
+    upto = np.cumsum(np.bitwise_count(bits).reshape(-1, WORDS), axis=1, dtype=np.uint16)
+    ones = np.concatenate([[0], np.cumsum(upto[:, -1], dtype=np.int64)])
     zeros = np.arange(len(ones)) * 64 * WORDS - ones
+    within = np.zeros_like(upto)  # ones of a block before each of its words
+    within[:, 1:] = upto[:, :-1]
     packed = np.zeros(n * low // 64 + 2, _U)
     if low:
         place = np.arange(n, dtype=np.int64) * low
@@ -29,7 +35,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         _put(packed, word, rest << shift)
         over = (place & 63) + low > 64
         _put(packed, word[over] + 1, rest[over] >> (_U(64) - shift[over]))
-    return {"meta": np.array([n, low], np.int64), "bits": bits, "ones": ones, "zeros": zeros, "low": packed}
+    return {"meta": np.array([n, low], np.int64), "bits": bits, "ones": ones, "zeros": zeros, "within": within.ravel(), "low": packed}
 
 
 def _put(packed: np.ndarray, word: np.ndarray, bits: np.ndarray) -> None:
@@ -45,27 +51,35 @@ class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.width = (int(x) for x in arrays[f"{name}.meta"])
         self.bits, self.ones, self.zeros, self.packed = (arrays[f"{name}.{k}"] for k in ("bits", "ones", "zeros", "low"))
+        self.within = arrays[f"{name}.within"].reshape(-1, WORDS)
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Places of the k-th ones, or zeros."""
         counts = self.ones if one else self.zeros
         block = np.searchsorted(counts, k, "right") - 1
         rest = k - counts[block]
-        words = self.bits[block[:, None] * WORDS + np.arange(WORDS)]
+        before = self.within[block]
         if not one:
-            words = ~words
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-        word = (upto <= rest[:, None]).sum(axis=1)
-        at = np.arange(len(k))
-        rest = rest - np.where(word > 0, upto[at, np.maximum(word - 1, 0)], 0)
-        value, place = words[at, word], np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            half = np.bitwise_count(value & _U((1 << step) - 1)).astype(np.int64)
-            up = half <= rest
-            rest = rest - np.where(up, half, 0)
-            place += np.where(up, step, 0)
-            value = np.where(up, value >> _U(step), value)
-        return (block * WORDS + word) * 64 + place
+            before = np.arange(0, 64 * WORDS, 64, dtype=np.uint16) - before
+        word = np.bitwise_count((before <= rest.astype(np.uint16)[:, None]).view(_U).ravel()).astype(np.int64) - 1
+        rest = (rest - before.ravel()[np.arange(len(k)) * WORDS + word]).astype(_U)
+        word += block * WORDS
+        value = self.bits[word] if one else ~self.bits[word]
+        upto = value - (value >> _U(1) & _TWOS)  # ones of each two bits, four bits, and of all bytes up to each
+        upto = (upto & _FOURS) + (upto >> _U(2) & _FOURS)
+        upto = (upto + (upto >> _U(4)) & _EIGHTS) * _EACH
+        place = np.bitwise_count((rest * _EACH | _TOPS) - upto & _TOPS).astype(_U) << _U(3)
+        rest -= (upto << _U(8)) >> place & _U(255)
+        return (word << 6) + place.astype(np.int64) + _IN_BYTE[rest << _U(8) | value >> place & _U(255)]
+
+    def _next_one(self, place: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Places of the ones after those at place, which are numbered index."""
+        place = place + 1
+        value = self.bits[np.minimum(place >> 6, len(self.bits) - 1)] >> (place & 63).astype(_U)
+        found = place + np.bitwise_count((value & -value) - _U(1))
+        far = np.flatnonzero((value == 0) | (place >> 6 >= len(self.bits)))
+        found[far] = self._select(index[far] + 1, True)
+        return found
 
     def _ones_from(self, place: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How many ones follow one another from each place; before the zero numbered high."""
@@ -96,6 +110,15 @@ class Sequence:
             return np.zeros(0, _U)
         return (self._select(index, True) - index).astype(_U) << _U(self.width) | self.lows(index)
 
+    def at_both(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at index and at index + 1."""
+        index = index.astype(np.int64)
+        if not len(index):
+            return np.zeros(0, _U), np.zeros(0, _U)
+        place = self._select(index, True)
+        after = self._next_one(place, index)
+        return tuple((p - i).astype(_U) << _U(self.width) | self.lows(i) for p, i in ((place, index), (after, index + 1)))
+
     def next_at_least(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value that is at least target (n if none), and whether it is equal."""
         high, low = (target >> _U(self.width)).astype(np.int64), target & _U((1 << self.width) - 1)
@@ -130,6 +153,7 @@ def dump(arrays: dict[str, np.ndarray]) -> bytes:
 
 
 def load(mapped: np.ndarray) -> dict[str, np.ndarray]:
+    mapped = np.asarray(mapped)  # a plain array: slices of memory maps are slow to make
     size = int.from_bytes(mapped[:8].tobytes(), "little")
     head = json.loads(mapped[8 : 8 + size].tobytes())
     return {name: mapped[8 + size + at : 8 + size + at + n].view(kind) for name, (kind, at, n) in head.items()}

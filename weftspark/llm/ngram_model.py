@@ -33,85 +33,80 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, kept, mapped_file, mix64, new_folder, opened, put_file, small_batches
+from .common import forget, kept, mapped_file, mix64, new_folder, opened, put_file, small_batches, text_bytes
 from .elias_fano import Sequence, dump, encode, load
 
 ORDER = 3
 DISCOUNT = 0.75
 #: Expected number of texts that set the cuts, of n-grams drawn from them for each range, and tokens for each range, about.
 CUT_TEXTS, CUTS_DRAWN, RANGE_TOKENS = 4000, 32, 4 << 20
-#: N-grams that a task counts before it hands them on; words that it remembers; bytes of text that it takes at once.
-COUNTED, REMEMBERED, AT_ONCE = 4 << 20, 500_000, 8 << 20
+#: Words or n-grams that a task counts before it hands them on; bytes of text that it takes at once.
+COUNTED, AT_ONCE = 4 << 20, 8 << 20
 MOST_WORDS = (1 << 31) - 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 END = b"\n"  # no word holds a line end
 _LOW = np.int64(0xFFFFFFFF)
 _OPEN: dict[str, object] = {}
 _READ, READ_BYTES = [0], 256 << 20
 
 
-class _Met(dict):
-    """Numbers of the words that a task has met, in order of meeting. Words that are new since they were taken are in new."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
-
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the tokens of all texts, one after the other, and where each text begins."""
-        tokens: list[bytes] = []
-        begins = [0]
-        for text in texts:
-            tokens += (text.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-            tokens.append(END)
-            begins.append(len(tokens))
-        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)), np.array(begins)
-
-    def take_new(self) -> np.ndarray:
-        found = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(self.new))
-        self.new = []
-        return found
-
-
-class _Known:
-    """Ids and training counts of the tokens of texts."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.met, self.ids, self.counts = _Met(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.met) > REMEMBERED:
-            self._forget()
-        numbers, begins = self.met.read(texts)
-        ids, counts = word_ids(self.met.take_new(), self.model)
-        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        return self.ids[numbers], self.counts[numbers], begins
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, lower-cased, and at which token each text begins: each has its words and an end."""
+    data, offsets = text_bytes(texts)
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    begins_word, ends_word = ~space, ~space
+    begins_word[1:] &= space[:-1]
+    ends_word[:-1] &= space[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]  # a word ends with its text
+    begins_word[edges], ends_word[edges - 1] = ~space[edges], ~space[edges - 1]
+    starts = np.flatnonzero(begins_word)
+    places = np.concatenate([[0], np.cumsum(np.flatnonzero(ends_word) + 1 - starts)])
+    letters = data.tobytes().translate(LOWER, SPACES)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)])
+    return words, np.searchsorted(starts, offsets) + np.arange(len(offsets))
+
+
+def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different tokens of all texts, the number in them of each token, and where each text begins."""
+    words, begins = split(texts)
+    coded = words.dictionary_encode()
+    each = [*coded.dictionary.to_numpy(zero_copy_only=False), END]
+    numbers, of_word = np.full(begins[-1], len(each) - 1, np.int32), np.ones(begins[-1], bool)
+    of_word[begins[1:] - 1] = False
+    numbers[of_word] = coded.indices.to_numpy()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each)), numbers, begins
+
+
+def read_known(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and training counts of the tokens of all texts, and where each text begins."""
+    hashes, numbers, begins = read(texts)
+    ids, counts = word_ids(hashes, model)
+    return ids[numbers], counts[numbers], begins
 
 
 def pack(keys: np.ndarray, *others: np.ndarray) -> bytes:
     """Rising keys and further columns, small: bytes of the keys' differences and of the columns by place, compressed."""
-    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel() for c in (steps, *others)]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
+    columns = [c.astype(np.uint64) for c in (np.diff(keys.astype(np.uint64), prepend=np.uint64(0)), *others)]
+    used = [max((int(c.max(initial=0)).bit_length() + 7) // 8, 1) for c in columns]  # bytes above are zero in all rows
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :n].T).ravel() for c, n in zip(columns, used, strict=True)]
+    return bytes(used) + zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
 def unpack(data: bytes, columns: int = 2) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 8, -1)
-    found = [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in planes]
+    used = list(data[:columns])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[columns:]), np.uint8).reshape(sum(used), -1)
+    found, at = [], 0
+    for n in used:
+        column = np.zeros((planes.shape[1], 8), np.uint8)
+        column[:, :n] = planes[at : at + n].T
+        found.append(column.view(np.uint64).ravel())
+        at += n
     return [np.cumsum(found[0], dtype=np.uint64), *(x.astype(np.int64) for x in found[1:])]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -119,7 +114,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def summed_grams(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for n-grams, in order of context and token."""
-    order = np.lexsort((ids, contexts))
+    contexts, ids = contexts.astype(np.int64), ids.astype(np.int64)
+    keys, order = contexts << 32 | ids, None
+    if len(ids) and contexts.max() > MOST_WORDS:  # contexts of two tokens go by their ranks
+        order = np.argsort(contexts)
+        ranked = contexts[order]
+        keys = np.cumsum(np.diff(ranked, prepend=ranked[:1]) != 0) << 32 | ids[order]
+    by_key = np.argsort(keys)
+    order = by_key if order is None else order[by_key]
     contexts, ids, counts = contexts[order], ids[order], counts[order]
     new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1])])[: len(ids)]
     first = np.flatnonzero(new)
@@ -215,7 +217,7 @@ class _LevelFile:
 
     def spans(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and end of the followers of local contexts, and the base of their values."""
-        begin, end = self.pointers.at(local).astype(np.int64), self.pointers.at(local + 1).astype(np.int64)
+        begin, end = (x.astype(np.int64) for x in self.pointers.at_both(local))
         base = np.zeros(len(local), np.uint64)
         base[begin > 0] = self.followers.at(begin[begin > 0] - 1) + np.uint64(1)
         return begin, end, base
@@ -243,13 +245,22 @@ class _LevelFile:
         return index, prob, back
 
 
+def _by_file(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The files of a list of numbers, and where in the list each is; in one pass, however many files there are."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for at in np.split(order, cuts) if len(order) else []:
+        yield int(part[at[0]]), at
+
+
 def word_ids(hashes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: unknown) and training counts of token hashes."""
     each, inverse = np.unique(hashes, return_inverse=True)
     ids, counts = np.full(len(each), -1), np.zeros(len(each), np.int64)
     part = np.searchsorted(model.words.first, each, "right") - 1
-    for k in np.unique(part[part >= 0]):
-        at = np.flatnonzero(part == k)
+    for k, at in _by_file(part):
+        if k < 0:
+            continue
         words = _file(model.words.path(k), _Words)
         at = at[each[at] - words.base <= words.most]
         found, equal = words.hashes.next_at_least(each[at] - words.base)
@@ -261,8 +272,7 @@ def word_ids(hashes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def counts_of_ids(ids: np.ndarray, model: Model) -> np.ndarray:
     counts = np.zeros(len(ids), np.int64)
     part = np.searchsorted(model.words.starts, ids, "right") - 1
-    for k in np.unique(part):
-        at = part == k
+    for k, at in _by_file(part):
         counts[at] = _file(model.words.path(k), _Words).counts[ids[at] - model.words.starts[k]]
     return counts
 
@@ -279,8 +289,7 @@ def look_up(contexts: np.ndarray, ids: np.ndarray, level: Level) -> tuple[np.nda
         return node, prob, back
     contexts, asked = contexts[known], np.maximum(ids[known], 0)  # an unknown token is in no list, but its context has a back-off
     part = level.file_of(contexts, asked)
-    for k in np.unique(part):
-        at = np.flatnonzero(part == k)
+    for k, at in _by_file(part):
         index, p, b = _file(level.path(k), _LevelFile).find(contexts[at], asked[at])
         at = known[at]
         node[at], prob[at], back[at] = np.where(index >= 0, index + level.starts[k], -1), p, b
@@ -313,21 +322,20 @@ def _grams(ids: np.ndarray, begins: np.ndarray, start: int, order: int) -> dict[
 def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[Words, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hand_on() -> pa.RecordBatch:
-            keys, sums = summed(met.take_new(), counts)
+            keys, sums = summed(*map(np.concatenate, zip(*held, strict=True)))
             part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
             cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
             rows = [(k, pack(keys[a:b], sums[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
 
-        met, counts = _Met(), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in small_batches(batches, "text", AT_ONCE):
-            now = np.bincount(met.read(batch.column(0))[0], minlength=len(met))
-            now[: len(counts)] += counts
-            counts = now
-            if len(met) > REMEMBERED:
+            hashes, numbers, _ = read(batch.column(0))
+            held.append((hashes, np.bincount(numbers, minlength=len(hashes))))
+            if sum(len(h) for h, _ in held) > COUNTED:
                 yield hand_on()
-                met, counts = _Met(), np.zeros(0, np.int64)
-        if len(met):
+        if held:
             yield hand_on()
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -358,10 +366,9 @@ def _drawn_cuts(texts: DataFrame, folder: str, model: Model, order: int, ranges:
     sample = texts.where(F.pmod(F.col("row_hash"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(shared.value)
         met: dict[int, list] = {n: [] for n in range(2, order + 1)}
         for batch in small_batches(batches, "text", AT_ONCE):
-            ids, _, begins = known.read(batch.column(0))
+            ids, _, begins = read_known(batch.column(0), shared.value)
             for n, (contexts, tokens, counts) in _grams(ids, begins, shared.value.n_words, order).items():
                 # By a hash of the n-gram, so that one that occurs often is drawn as one.
                 some = mix64(mix64(contexts) + tokens.astype(np.uint64)).astype(np.float64) < rate * 2.0**64
@@ -387,7 +394,6 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
     shared = texts.sparkSession.sparkContext.broadcast(model)  # names of folders
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(shared.value)
         held: dict[int, list] = {n: [] for n in range(2, order + 1)}
         sizes = dict.fromkeys(held, 0)
 
@@ -404,7 +410,7 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
             return pa.RecordBatch.from_arrays(columns, names=["n", "part", "data"])
 
         for batch in small_batches(batches, "text", AT_ONCE):
-            ids, _, begins = known.read(batch.column(0))
+            ids, _, begins = read_known(batch.column(0), shared.value)
             for n, grams in _grams(ids, begins, shared.value.n_words, order).items():
                 held[n].append(grams)
                 sizes[n] += len(grams[0])
@@ -559,9 +565,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     names = [id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, _Known(shared.value)
+        model = shared.value
         for batch in small_batches(batches, "text", AT_ONCE):
-            ids, counts, begins = known.read(batch.column("text"))
+            ids, counts, begins = read_known(batch.column("text"), model)
             base, total = token_logs(ids, counts, begins, model)
             n_known, base, total = (np.add.reduceat(x, begins[:-1]) for x in ((counts > 0).astype(np.int64), base, total))
             columns = [np.diff(begins), n_known, np.full(batch.num_rows, model.total, np.int64), base, total]
