@@ -78,20 +78,19 @@ class Sequence:
         value = self.bits[np.minimum(place >> 6, len(self.bits) - 1)] >> (place & 63).astype(_U)
         found = place + np.bitwise_count((value & -value) - _U(1))
         far = np.flatnonzero((value == 0) | (place >> 6 >= len(self.bits)))
-        found[far] = self._select(index[far] + 1, True)
+        if len(far):
+            found[far] = self._select(index[far] + 1, True)
         return found
 
     def _ones_from(self, place: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How many ones follow one another from each place; before the zero numbered high."""
         word, shift = place >> 6, (place & 63).astype(_U)
-        value = self.bits[word] >> shift
-        over = shift > 0
-        after = np.minimum(word[over] + 1, len(self.bits) - 1)
-        value[over] |= self.bits[after] << (_U(64) - shift[over])
-        zeros = ~value
+        after = np.minimum(word + 1, len(self.bits) - 1)
+        zeros = ~(self.bits[word] >> shift | self.bits[after] << (_U(63) ^ shift) << _U(1))
         count = np.bitwise_count((zeros & -zeros) - _U(1)).astype(np.int64)  # zeros below the lowest one
         long = np.flatnonzero(zeros == 0)
-        count[long] = self._select(high[long], False) - place[long]
+        if len(long):
+            count[long] = self._select(high[long], False) - place[long]
         return count
 
     def lows(self, index: np.ndarray) -> np.ndarray:
@@ -99,10 +98,7 @@ class Sequence:
             return np.zeros(len(index), _U)
         place = index * self.width
         word, shift = place >> 6, (place & 63).astype(_U)
-        value = self.packed[word] >> shift
-        over = (place & 63) + self.width > 64
-        value[over] |= self.packed[word[over] + 1] << (_U(64) - shift[over])
-        return value & _U((1 << self.width) - 1)
+        return (self.packed[word] >> shift | self.packed[word + 1] << (_U(63) ^ shift) << _U(1)) & _U((1 << self.width) - 1)
 
     def at(self, index: np.ndarray) -> np.ndarray:
         index = index.astype(np.int64)
@@ -123,16 +119,18 @@ class Sequence:
         """Index of the first value that is at least target (n if none), and whether it is equal."""
         high, low = (target >> _U(self.width)).astype(np.int64), target & _U((1 << self.width) - 1)
         index = np.zeros(len(target), np.int64)
-        later = high > 0
+        later = np.flatnonzero(high)
         index[later] = self._select(high[later] - 1, False) + 1 - high[later]
         end = index + self._ones_from(index + high, high)
-        below, above = index.copy(), end.copy()  # by halving, among the values with the same high part
-        left = np.flatnonzero(below < above)
-        while len(left):
-            middle = (below[left] + above[left]) >> 1
-            up = self.lows(middle) < low[left]
-            below[left[up]], above[left[~up]] = middle[up] + 1, middle[~up]
-            left = left[below[left] < above[left]]
+        below, left = index.copy(), np.flatnonzero(index < end)
+        asked, first, last = low[left], index[left], end[left]
+        while len(left):  # by halving, among the values with the same high part
+            middle = (first + last) >> 1
+            up = self.lows(middle) < asked
+            first, last = np.where(up, middle + 1, first), np.where(up, last, middle)
+            more = first < last
+            below[left[~more]] = first[~more]
+            left, asked, first, last = (x[more] for x in (left, asked, first, last))
         equal = below < end
         equal[equal] = self.lows(below[equal]) == low[equal]
         return below, equal

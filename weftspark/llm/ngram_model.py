@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, kept, mapped_file, mix64, new_folder, opened, put_file, small_batches, text_bytes
+from .common import forget, give_back, kept, mapped_file, mix64, new_folder, opened, put_file, small_batches, text_bytes
 from .elias_fano import Sequence, dump, encode, load
 
 ORDER = 3
@@ -61,7 +61,9 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     edges = offsets[(offsets > 0) & (offsets < len(data))]  # a word ends with its text
     begins_word[edges], ends_word[edges - 1] = ~space[edges], ~space[edges - 1]
     starts = np.flatnonzero(begins_word)
-    places = np.concatenate([[0], np.cumsum(np.flatnonzero(ends_word) + 1 - starts)])
+    places = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(ends_word) + 1 - starts, out=places[1:])
+    del space, begins_word, ends_word
     letters = data.tobytes().translate(LOWER, SPACES)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)])
     return words, np.searchsorted(starts, offsets) + np.arange(len(offsets))
@@ -114,15 +116,20 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def summed_grams(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for n-grams, in order of context and token."""
-    contexts, ids = contexts.astype(np.int64), ids.astype(np.int64)
-    keys, order = contexts << 32 | ids, None
+    contexts, ids = contexts.astype(np.int64, copy=False), ids.astype(np.int64, copy=False)
     if len(ids) and contexts.max() > MOST_WORDS:  # contexts of two tokens go by their ranks
         order = np.argsort(contexts)
-        ranked = contexts[order]
-        keys = np.cumsum(np.diff(ranked, prepend=ranked[:1]) != 0) << 32 | ids[order]
-    by_key = np.argsort(keys)
-    order = by_key if order is None else order[by_key]
+        contexts, ids, counts = contexts[order], ids[order], counts[order]
+        del order
+        keys = np.cumsum(np.concatenate([[False], contexts[1:] != contexts[:-1]]))
+    else:
+        keys = contexts.copy()
+    keys <<= 32
+    keys |= ids
+    order = np.argsort(keys)
+    del keys
     contexts, ids, counts = contexts[order], ids[order], counts[order]
+    del order
     new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1])])[: len(ids)]
     first = np.flatnonzero(new)
     return contexts[first], ids[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -337,6 +344,7 @@ def _train_words(texts: DataFrame, folder: str, ranges: int) -> tuple[Words, int
                 yield hand_on()
         if held:
             yield hand_on()
+        give_back()
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         pieces = [unpack(d) for d in part["data"]]
@@ -398,8 +406,10 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
         sizes = dict.fromkeys(held, 0)
 
         def hand_on(n: int) -> pa.RecordBatch:
-            contexts, tokens, counts = summed_grams(*map(np.concatenate, zip(*held[n], strict=True)))
+            parts = [np.concatenate(c) for c in zip(*held[n], strict=True)]
             held[n], sizes[n] = [], 0
+            contexts, tokens, counts = summed_grams(*parts)
+            del parts
             ends = [0]
             for context, token in zip(cuts[n].contexts.tolist(), cuts[n].tokens.tolist(), strict=True):
                 a, b = np.searchsorted(contexts, context), np.searchsorted(contexts, context, "right")
@@ -419,10 +429,14 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
         for n in held:
             if held[n]:
                 yield hand_on(n)
+        give_back()
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         pieces = [unpack(d, 3) for d in rows["data"]]
-        contexts, tokens, counts = summed_grams(*(np.concatenate(c) for c in zip(*pieces, strict=True)))
+        parts = [np.concatenate(c) for c in zip(*pieces, strict=True)]
+        pieces.clear()
+        contexts, tokens, counts = summed_grams(*parts)
+        del parts
         n, part = int(rows["n"].iloc[0]), int(rows["part"].iloc[0])
         path = f"{folder}/counts-{n}-{part}"
         put_file(path, lambda out: out.write(pack(contexts, tokens, counts)))
@@ -430,6 +444,8 @@ def _count_grams(texts: DataFrame, folder: str, model: Model, order: int, cuts:
         for side, context in (("first", contexts[0]), ("last", contexts[-1])):
             of_context = contexts == context
             found |= {side: int(context), f"{side}_n": int(of_context.sum()), f"{side}_sum": int(counts[of_context].sum())}
+        del contexts, tokens, counts, of_context
+        give_back()
         return pd.DataFrame([found])
 
     schema = "n int, part int, path string, size bigint, token bigint, first bigint, first_n bigint, first_sum bigint, last bigint, last_n bigint, last_sum bigint"
@@ -500,6 +516,7 @@ def _build_level(spark: SparkSession, files: list, folder: str, model: Model, or
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [build(r["number"], r["path"], r["after"], {e: (n, s) for e, n, s in zip(r["ends"], r["distinct"], r["sums"], strict=True)}) for r in batch.to_pylist()]
+            give_back()
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["number", "first_node"])
 
