@@ -213,6 +213,21 @@ def test_suffix_dedup(docs, empty, hot, monkeypatch):
     assert stay.columns == docs.columns and stay.where("doc_id in (101, 102)").count() == 2
 
 
+def test_texts_are_cut_once(docs):
+    """One Python evaluation for each row (before, two): a task that chains two keeps two workers, and each holds memory."""
+    stay = suffix_dedup.without_repeats(docs)
+    assert stay._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    spans = {(r["doc_id"], r["text_hash"]): r["spans"] for r in suffix_dedup.removed_spans(docs).collect()}
+    expected = []
+    for r in docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect():
+        data, runs = (r["text"] or "").encode(), spans.get((r["doc_id"], r["h"]))
+        gone = {k for run in runs or () for k in range(run["start"], run["stop"])}
+        left = bytes(b for k, b in enumerate(data) if k not in gone).decode("utf-8", "ignore")
+        if left or not runs:
+            expected.append((r["doc_id"], left if runs else r["text"], len(left) if runs else r["n_chars"]))
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in stay.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_suffix_dedup_of_awkward_texts(spark):
     """Null ids, texts that repeat themselves, periodic, long and multi-byte ones."""
     rng = random.Random(3)

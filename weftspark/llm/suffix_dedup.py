@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, kept, mix64, small_batches, text_bytes
+from .common import forget, give_back, kept, mix64, small_batches, text_bytes
 
 LENGTH = 100
 KGRAM = 32
@@ -230,6 +230,7 @@ def _sorted_spans(pieces: DataFrame, buckets: int) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "text_hash", "start"], kind="stable", na_position="first").reset_index(drop=True)
         row, at = later_windows(part["piece"].tolist())
+        give_back()
         if not len(row):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc_id", "text_hash", "start", "stop")})
         row, start, stop = _runs(row, at)
@@ -353,7 +354,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append("".join(data[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True)))
         return pd.Series(out, dtype=object)
 
-    cut_rows = keyed.withColumn("left", cut("text", "spans")).where("spans is null or length(left) > 0")
+    # Else Spark cuts in the filter and again in the projection, with two Python workers for each task.
+    once = cut.asNondeterministic()
+    cut_rows = keyed.withColumn("left", once("text", "spans")).where("spans is null or length(left) > 0")
     columns = [F.col(f"row.`{c}`") for c in docs.columns]
     for k, c in enumerate(docs.columns):
         if c.lower() == "text":
